@@ -24,6 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary(name: str) -> str:
+    """Where the installed vocabularies keep a file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 @query(r"""
 WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
 g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
@@ -86,3 +93,24 @@ def _register() -> None:
 
 
 _register()
+
+
+@query()
+def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import media_report, stored
+
+    return media_report(stored(table(spark, sf_dir, "documents")))
+
+
+@query()
+def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simple8b import encode_report
+
+    return encode_report(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+@query()
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_dedup_report
+
+    return near_dedup_report(table(spark, sf_dir, "documents"))
