@@ -114,3 +114,17 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_dedup_report
 
     return near_dedup_report(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality_report
+
+    return quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query()
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity_report
+
+    return toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
