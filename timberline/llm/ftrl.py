@@ -141,7 +141,7 @@ def train(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label: C
     rows = rows.repartition(s.shards, "shard").sortWithinPartitions(F.xxhash64("text"))
     examples = _read(features)
     if s.screen:
-        kept = _screened(rows.mapInArrow(_count(features, s), "rows long, ones long, key long, n long, n_ones long").toPandas(), s)
+        kept = _screened(rows.mapInArrow(_count(features, s), "key long, n long, ones long"), s)
         rows = written(rows.mapInArrow(_only(features, kept, s), "label int, shard long, keys array<long>, values array<double>"), "ftrl-features")
         rows = rows.repartition(s.shards, "shard").sortWithinPartitions(F.xxhash64("keys"))
         examples = _ready
@@ -172,36 +172,32 @@ def _ready(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.nda
 
 
 def _count(features: Features, s: Settings) -> Callable:
-    """Of each feature, in how many rows and rows of label 1 it is; those in a single one are left out."""
+    """In how many rows, and rows of label 1, each feature is; key 0 counts the rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         learner = Learner(s)
-        n, ones = np.zeros(1 << s.bits, np.int32), np.zeros(1 << s.bits, np.int32)
-        total = total_ones = 0
+        n, ones = np.zeros(1 << s.bits, np.int64), np.zeros(1 << s.bits, np.int64)
+        total = np.zeros(2, np.int64)
         for label, _, keys, _ in _read(features)(batches):
             slot = learner.vote(keys)
             n[slot] += 1
             ones[slot] += label
-            total += 1
-            total_ones += label
-        at = np.flatnonzero(n > 1)
+            total += 1, label
+        at = np.flatnonzero(n)
         key = np.r_[np.zeros(1, np.uint64), learner.key[at]].view(np.int64)
-        first = np.arange(len(key)) == 0
-        columns = {"rows": first * total, "ones": first * total_ones, "key": key, "n": np.r_[0, n[at]].astype(np.int64), "n_ones": np.r_[0, ones[at]].astype(np.int64)}
-        # Most features of a shard are far from any threshold.
-        share = total_ones / max(total, 1)
-        far = first | (columns["n_ones"] - columns["n"] * share >= s.screen / 4 * np.sqrt(columns["n"] * share * (1 - share) + 1e-9))
-        yield pa.RecordBatch.from_pydict({k: pa.array(v[far].astype(np.int64)) for k, v in columns.items()})
+        yield pa.RecordBatch.from_pydict({"key": pa.array(key), "n": pa.array(np.r_[total[0], n[at]]), "ones": pa.array(np.r_[total[1], ones[at]])})
 
     return run
 
 
-def _screened(found, s: Settings) -> np.ndarray:
-    total = found["rows"].sum()
-    share = found["ones"].sum() / max(total, 1)
-    sums = found.groupby("key")[["n", "n_ones"]].sum().drop(0, errors="ignore")
-    off = (sums["n_ones"] - sums["n"] * share) / np.sqrt(sums["n"] * share * (1 - share) + 1e-9)
-    return np.sort(sums.index[(off >= s.screen).to_numpy() & (sums["n"] >= 3).to_numpy()].to_numpy().view(np.uint64))
+def _screened(counts: DataFrame, s: Settings) -> np.ndarray:
+    """The features in three rows or more that are marks of label 1."""
+    sums = written(counts.groupBy("key").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones")), "ftrl-counts")
+    whole = sums.filter("key = 0").first()
+    share = whole["ones"] / whole["n"] if whole and whole["n"] else 0.0
+    above = (F.col("ones") - F.col("n") * share) / F.sqrt(F.col("n") * (share * (1 - share)) + 1e-9)
+    kept = sums.filter((F.col("key") != 0) & (F.col("n") >= 3) & (above >= s.screen)).select("key").toPandas()["key"]
+    return np.sort(kept.to_numpy(np.int64).view(np.uint64))
 
 
 def _only(features: Features, kept: np.ndarray, s: Settings) -> Callable:

@@ -128,3 +128,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import toxicity_report
 
     return toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query()
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sentencepiece_trie import report
+
+    return report(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
