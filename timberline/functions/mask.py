@@ -15,6 +15,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -160,9 +161,7 @@ def match_spans(bundle: Bundle = DEFAULT):
     alternation = "|".join([RESERVED.replace("(", "(?:"), *(f"({s.pattern})" for s in bundle.slots)])
 
     @F.pandas_udf("array<struct<name:string,start:int,end:int,value:string>>")
-    def spans(parts: Iterator) -> Iterator:
-        import pandas as pd
-
+    def spans(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         pattern = re.compile(alternation)
         for lines in parts:
             rows = []

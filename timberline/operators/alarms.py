@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import ship
 from ..schema import severity_name, severity_rank
 from .verdicts import contextual, gate, severity_of
 from .windows import WindowConfig, triggered
@@ -234,6 +235,7 @@ def contextual_changelog(gated_lines: DataFrame, answers: DataFrame, c: AlarmCon
     the line that tripped them; none means failed at the 10-second deadline. A key's
     lines stream by in order, so a task holds one key's state, not its lines.
     """
+    ship(gated_lines.sparkSession)
     flagged = contextual(F.col("contextual"), c.contextual)
     rows = gated_lines.join(answers, "event_id", "left").select(
         *KEY, "sec", "event_id", "rank", (F.col("rank") >= severity_rank(F.lit(c.bypass))).alias("bypass"), triggered(c.windows).alias("hot"), flagged.alias("flagged"),

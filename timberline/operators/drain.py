@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import template_id, tokens
+from ..runtime import ship
 
 _DIGIT = re.compile(r"[0-9]")
 
@@ -190,6 +191,7 @@ def _trainer(config: Config):
 
 def _trained(lines: DataFrame, config: Config) -> DataFrame:
     """Assignments, and after them each cluster once, of (event_id, at, text) rows."""
+    ship(lines.sparkSession)
     dealt = lines.select("event_id", "text", "at", F.size(F.split("text", " ")).alias("n")).repartition("n").sortWithinPartitions("n", "at", "event_id")
     return dealt.select("event_id", "text").mapInArrow(_trainer(config), _FIELDS)
 

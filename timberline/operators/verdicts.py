@@ -10,6 +10,7 @@ from typing import Any, Protocol
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import ship
 from ..schema import severity_name, severity_rank
 
 KEYS = ("template_id", "questions_hash", "bundle_hash", "model")
@@ -144,6 +145,7 @@ JUDGED = "template_id string, template string, questions_hash string, model stri
 
 def judge(templates: DataFrame, decider: Decider, questions: dict[str, str] = STATIC_QUESTIONS, model: str = "table") -> DataFrame:
     """One record for each template of (template_id, template); a failed decision is a row, too."""
+    ship(templates.sparkSession)
     asked = questions_hash(questions)
 
     def run(parts: Iterator) -> Iterator:
