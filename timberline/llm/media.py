@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -258,9 +259,7 @@ def media_columns(df: DataFrame, media_col: str = "media", out: str = "tracks")
     """Adds ``out``, an array of the tracks' facts, to each row; null for null media and for bytes that are no ISO media file."""
 
     @F.pandas_udf(TRACKS)
-    def facts(parts: Iterator) -> Iterator:
-        import pandas as pd
-
+    def facts(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for media in parts:
             rows = []
             for data in media:

@@ -1,20 +1,15 @@
-"""What the operators share: the shared folder, written stages, shipped code."""
+"""What the operators share: the shared folder and written stages."""
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-_PACKAGE = Path(__file__).resolve().parents[1]
+from ..runtime import ship
 
-
-def session_of(df: DataFrame) -> SparkSession:
-    return df.sparkSession
+__all__ = ["new_folder", "shared_dir", "ship", "written"]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,24 +39,3 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = new_folder(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers wherever the driver runs."""
-    sc = spark.sparkContext
-    if getattr(sc, "_timberline_shipped", False):
-        return
-    path = os.path.join(tempfile.mkdtemp(prefix="timberline-"), "timberline_code.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for p in sorted(_PACKAGE.rglob("*.py")):
-            z.write(p, p.relative_to(_PACKAGE.parent))
-    sc.addPyFile(path)
-    sc._timberline_shipped = True
-
-
-def unused(name: str, columns: list[str]) -> str:
-    """A column name that clashes with none of ``columns``, whatever their case."""
-    taken = {c.lower() for c in columns}
-    while name.lower() in taken:
-        name += "_"
-    return name

@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pandas as pd
 from pyspark.sql import DataFrame
 
 from . import textvec as tv
@@ -108,9 +109,10 @@ class Vocabulary:
 class Segmenter:
     """Segments sorted words, keeping the states of the common prefix."""
 
-    def __init__(self, vocabulary: Vocabulary, limit: int = 1_000_000):
+    def __init__(self, vocabulary: Vocabulary, limit: int = 500_000):
         self.v, self.limit = vocabulary, limit
-        self.pairs: dict[tuple[str, str], bool] = {}
+        #: Left id * 2**24 + right id; left 0 is the start of a word.
+        self.pairs: dict[int, bool] = {}
 
     def merged(self, text: str) -> list[str]:
         """What the merges of a BPE model make of a text."""
@@ -126,20 +128,19 @@ class Segmenter:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def stays(self, left: str, right: str) -> bool:
+    def stays(self, left: str, right: str, key: int) -> bool:
         """Whether merging the two pieces' characters gives the two pieces."""
-        key = left, right
-        found = self.pairs.get(key)
-        if found is None:
-            if len(self.pairs) >= self.limit:
-                self.pairs.clear()
-            found = self.pairs[key] = self.merged(left + right) == [left, right]
+        if len(self.pairs) >= self.limit:
+            self.pairs.clear()
+        found = self.pairs[key] = self.merged(left + right) == ([left, right] if left else [right])
         return found
 
     def words(self, words: list[str]) -> Iterator[list[int]]:
         """The ids of each word; the words come sorted."""
-        v, suffixes, pieces, bpe = self.v, self.v.suffixes, self.v.pieces, self.v.kind == BPE
-        last: list[str] = [""]
+        v, suffixes, pieces, bpe, pairs = self.v, self.v.suffixes, self.v.pieces, self.v.kind == BPE, self.pairs
+        # For each prefix: the last piece's length and id (-1: a character outside the vocabulary), the score.
+        size: list[int] = [0]
+        last: list[int] = [0]
         score: list[float] = [0.0]
         before = ""
         for word in words:
@@ -148,45 +149,53 @@ class Segmenter:
                 if a != b:
                     break
                 same += 1
-            del last[same + 1 :], score[same + 1 :]
+            del size[same + 1 :], last[same + 1 :], score[same + 1 :]
             for i in range(same + 1, len(word) + 1):
-                # Without a piece, the character alone is outside the vocabulary.
-                piece, best = word[i - 1], score[i - 1] + v.floor
+                n, piece, best = 1, -1, score[i - 1] + v.floor
                 for j in range(i - 1, -1, -1):
                     part = word[j:i]
                     if part not in suffixes:
                         break
-                    if part in pieces:
-                        if bpe:
-                            if not j or self.stays(last[j], part):
-                                piece = part
-                                break
-                        elif (total := score[j] + v.scores[part]) > best or (total == best and piece not in pieces):
-                            piece, best = part, total
+                    k = pieces.get(part)
+                    if k is None:
+                        continue
+                    if bpe:
+                        if last[j] < 0:
+                            # Nothing merges over an unknown character: the piece must stand alone.
+                            key, left = k, ""
+                        else:
+                            key, left = last[j] << 24 | k, word[j - size[j] : j]
+                        good = pairs.get(key)
+                        if good is None:
+                            good = self.stays(left, part, key)
+                        if good:
+                            n, piece = i - j, k
+                            break
+                    elif (total := score[j] + v.scores[part]) > best or (total == best and piece < 0):
+                        n, piece, best = i - j, k, total
+                size.append(n)
                 last.append(piece)
                 score.append(best)
             before = word
-            parts, i = [], len(word)
-            while i:
-                parts.append(last[i])
-                i -= len(last[i])
             ids: list[int] = []
-            for p in reversed(parts):
-                k = pieces.get(p)
-                if k is None:
-                    spelt = v.spell(p)
+            i = len(word)
+            while i:
+                if last[i] >= 0:
+                    ids.append(last[i])
+                else:
+                    spelt = v.spell(word[i - 1])
                     # Unknown characters in a row are one unknown piece.
                     if not (spelt == [v.unknown] and ids[-1:] == spelt):
-                        ids += spelt
-                else:
-                    ids.append(k)
+                        ids += reversed(spelt)
+                i -= size[i]
+            ids.reverse()
             yield ids
 
 
 class Coder:
     """Encodes and decodes whole texts; each distinct marked word is segmented once."""
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 400_000):
         self.v = Vocabulary(path)
         self.segmenter = Segmenter(self.v)
         self.limit = limit
@@ -258,7 +267,7 @@ def encoded(df: DataFrame, path: str, text_col: str = "text", out: str = "ids")
     at = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in tv.slices(batches):
             columns = [b.column(df_columns.index(c)) for c in kept]
             for x, y, ids, counts in coder(path).encode(b.column(at).to_pylist()):
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(ids.astype(np.int32)))
@@ -275,9 +284,7 @@ def decoded(df: DataFrame, path: str, ids_col: str = "ids", out: str = "text") -
     from pyspark.sql import functions as F
 
     @F.pandas_udf("string")
-    def text(parts: Iterator) -> Iterator:
-        import pandas as pd
-
+    def text(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for column in parts:
             rows = [np.asarray(x if x is not None else [], np.int64) for x in column]
             flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
@@ -294,7 +301,7 @@ def report(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in tv.slices(batches):
             texts = b.column(1).to_pylist()
             for x, y, ids, counts in coder(path).encode(texts):
                 data, ends = memoryview(ids.astype("<u4").tobytes()), np.cumsum(counts)

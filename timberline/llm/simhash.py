@@ -239,7 +239,7 @@ def fingerprint_table(df: DataFrame, id_col: str, text_col: str, shingle: int =
     """(id, fp) of each row, fp as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in tv.slices(batches):
             fp = fingerprints(b.column(1).to_pylist(), shingle)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["id", "fp"])
 

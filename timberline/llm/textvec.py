@@ -7,9 +7,10 @@ Python code runs for each word.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 
 CHUNK_BYTES = 2 << 20
 
@@ -49,6 +50,14 @@ def chunks(texts: list[bytes], limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
         yield start, len(texts)
 
 
+def slices(batches: Iterator[pa.RecordBatch], limit: int = 2 * CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that few texts at a time become Python objects."""
+    for b in batches:
+        rows = max(1, int(b.num_rows * limit / max(b.nbytes, limit)))
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The buffer, a space after each text, and where each text starts (n + 1 bounds)."""
     buf = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
@@ -150,7 +159,7 @@ class Ragged:
         self.at = np.zeros(1024, np.int64)
         self.n = self.used = 0
 
-    def add(self, key: str | bytes, values: list[int]) -> int:
+    def add(self, key: str | bytes, values: Sequence[int]) -> int:
         if self.used + len(values) > len(self.data):
             self.data = np.resize(self.data, max(2 * len(self.data), self.used + len(values)))
         if self.n + 2 > len(self.at):

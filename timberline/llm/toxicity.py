@@ -67,7 +67,7 @@ def language_model(df: DataFrame, text_col: str = "text") -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SYMBOLS**ORDER, np.int64)
-        for b in batches:
+        for b in tv.slices(batches):
             total += gram_counts(b.column(0).to_pylist())
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"gram": pa.array(at.astype(np.int32)), "n": pa.array(total[at])})
@@ -266,7 +266,7 @@ class Toxicity:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lm, model = shared.value
             table, restorer = model.filter_table(), Restorer(lm)
-            for b in batches:
+            for b in tv.slices(batches):
                 s = scores(model, table, restorer, b.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], [id_col, "score", "predicted"])
 
@@ -281,7 +281,7 @@ class Toxicity:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lm, model = shared.value
             table, restorer = model.filter_table(), Restorer(lm)
-            for b in batches:
+            for b in tv.slices(batches):
                 yield b.filter(pa.array(scores(model, table, restorer, b.column(k).to_pylist()) < threshold))
 
         return df.mapInArrow(run, df.schema)
