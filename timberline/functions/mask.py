@@ -207,11 +207,11 @@ def pieces(template: Column) -> Column:
 
 
 def register(spark, bundle: Bundle = DEFAULT) -> None:
-    """Make ``mask(line)`` and ``template_id(template)`` callable from SQL, as expressions."""
+    """Make ``mask_line(line)`` and ``template_id(template)`` callable from SQL, as expressions."""
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION template_id(t STRING) RETURNS STRING RETURN concat('t_', sha2(t, 256))")
     quoted = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
     names = "\n\x01" + "".join(f"\x02{s.name}\x03" for s in bundle.slots)
     alternates = [r"\n\x01[\s\S]*$", RESERVED, *(f"(?:{s.pattern})(?=[\\s\\S]*\\x02({s.name})\\x03)" for s in bundle.slots)]
     replacement = "<VAR:" + "".join(f"${k}" for k in range(1, len(bundle.slots) + 2)) + ">"
     body = f"regexp_replace(concat(line, {quoted(names)}), {quoted('(?U)' + '|'.join(alternates))}, {quoted(replacement)})"
-    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION mask(line STRING) RETURNS STRING RETURN substring({body}, 1, length({body}) - 6)")
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION mask_line(line STRING) RETURNS STRING RETURN substring({body}, 1, length({body}) - 6)")
