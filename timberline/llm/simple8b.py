@@ -263,10 +263,10 @@ class WordCoder:
             return array("I", self._word(m[1].lower()) + (self._word(marks) if marks else b""))
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def code(self, texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    def code(self, texts: list[str | None], limit: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(first row, last row + 1, ids, ids of each row) in chunks."""
         raw = [(t or "").encode() for t in texts]
-        for a, b in tv.chunks(raw, 4 << 20):
+        for a, b in tv.chunks(raw, limit):
             buf, bounds = tv.joined(raw[a:b])
             inside = (buf != 0x20) & (buf != 0x09) & (buf != 0x0A) & (buf != 0x0D)
             starts, ends = tv.spans(inside)
@@ -330,7 +330,7 @@ def write_ids(df: DataFrame, folder: str, path: str, id_col: str = "doc_id", tex
 
         for b in tv.slices(batches):
             keys = np.asarray(b.column(0).fill_null(-(1 << 63)))
-            for x, y, ids, counts in coder.code(b.column(1).to_pylist()):
+            for x, y, ids, counts in coder.code(b.column(1).to_pylist(), min(4 << 20, file_values)):
                 held.append((keys[x:y], counts, ids))
                 n += len(ids)
                 if n >= file_values:

@@ -32,11 +32,11 @@ BEAM = 24
 #: What each sign may stand for.
 LEET = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "tl", "8": "b", "9": "gq",
-    "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l",
+    "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "€": "e", "£": "l",
 }
 SEPARATORS = " \t._-*/,~'"
 #: Costs in nats.
-SWAP, KEEP_SIGN, SKIP, KEEP_SEPARATOR = 1.0, 4.0, 0.5, 3.0
+SWAP, KEEP_SIGN, SKIP, KEEP_SEPARATOR = 1.0, 7.0, 0.5, 3.0
 ABSORB, KEEP_REPEAT, ABSORB_DOUBLE = 0.1, 4.0, 6.0
 
 _LETTER = np.zeros(256, bool)
@@ -142,7 +142,7 @@ def disguised(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     next_word = tv.WORD[at(1)] | _SIGN[at(1)]
     hit = sign & next_letter
     # A sign that ends a word, if it isn't the first of three or plain punctuation.
-    hit |= sign & last_letter & (buf != ord("!")) & (buf != ord("(")) & (~next_word | ((at(1) == buf) & ~(tv.WORD[at(2)] | _SIGN[at(2)])))
+    hit |= sign & last_letter & (buf != ord("!")) & (~next_word | ((at(1) == buf) & ~(tv.WORD[at(2)] | _SIGN[at(2)])))
     hit |= letter & (at(1) == buf) & (at(2) == buf)
     sep = _SEP[buf]
     single = sep & last_letter & next_letter
