@@ -15,6 +15,7 @@ from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from fractions import Fraction
+from operator import eq
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -67,8 +68,10 @@ class Cluster:
     size: int = 1
     path: tuple[str, ...] = ()
     id: str = ""
+    params: int = 0
 
-    def rename(self) -> None:
+    def rename(self, param: str) -> None:
+        self.params = self.tokens.count(param)
         self.id = "t_" + hashlib.sha256(" ".join(self.tokens).encode()).hexdigest()
 
 
@@ -98,19 +101,18 @@ class Miner:
             node = node.children.get(word) or node.children.get(self.config.param)
         if node is None:
             return None
-        best, score = None, (-1, -1)
-        param = self.config.param
+        best, most, wild = None, -1, -1
+        table = self.table
+        # A line may hold the parameter itself, which is equal to nothing.
+        literal = words.count(self.config.param)
         for seq in node.members:
-            cluster = self.table[seq]
-            same = params = 0
-            for a, b in zip(cluster.tokens, words, strict=True):
-                if a == param:
-                    params += 1
-                elif a == b:
-                    same += 1
-            if (same, params) > score:
-                best, score = cluster, (same, params)
-        return best if best and score[0] * self.of >= self.need * n else None
+            cluster = table[seq]
+            same = sum(map(eq, cluster.tokens, words))
+            if literal:
+                same -= sum(a == b == self.config.param for a, b in zip(cluster.tokens, words, strict=True))
+            if same > most or (same == most and cluster.params > wild):
+                best, most, wild = cluster, same, cluster.params
+        return best if best and most * self.of >= self.need * n else None
 
     def _insert(self, cluster: Cluster) -> None:
         words = cluster.tokens
@@ -150,12 +152,12 @@ class Miner:
             moved = [a if a == b else param for a, b in zip(cluster.tokens, words, strict=True)]
             if moved != cluster.tokens:
                 cluster.tokens = moved
-                cluster.rename()
+                cluster.rename(self.config.param)
             cluster.size += 1
             self.table.move_to_end(cluster.seq)
             return cluster
         cluster = Cluster(self.next, list(words), line)
-        cluster.rename()
+        cluster.rename(self.config.param)
         self.next += 1
         self.table[cluster.seq] = cluster
         self.sizes[len(words)] = self.sizes.get(len(words), 0) + 1

@@ -1,17 +1,18 @@
-"""Syslog over UDP as a streaming source, for development and single collectors.
+"""Syslog over UDP and TCP as streaming sources, for development and single collectors.
 
 Large deployments put a collector and a log broker before ``readStream``.
 """
 
 from __future__ import annotations
 
+import select
 import socket
 import time
 from collections.abc import Iterator
 
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
-from .syslog import MOST_DATAGRAM_BYTES
+from .syslog import MOST_DATAGRAM_BYTES, MOST_LINE_BYTES
 
 
 class Udp(DataSource):
@@ -65,5 +66,80 @@ class UdpReader(SimpleDataSourceStreamReader):
         pass
 
 
+class Tcp(DataSource):
+    """``spark.readStream.format("syslog_tcp").option("port", …)``: frames end with a line end."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "syslog_tcp"
+
+    def schema(self) -> str:
+        return "event_id long, received_at timestamp, peer string, raw binary"
+
+    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
+        return TcpReader(self.options)
+
+
+class Frames:
+    """Cuts a connection's bytes at line ends; a longer line than allowed ends the connection."""
+
+    def __init__(self, most: int = MOST_LINE_BYTES):
+        self.most, self.rest = most, b""
+
+    def feed(self, data: bytes) -> list[bytes]:
+        *whole, self.rest = (self.rest + data).split(b"\n")
+        if len(self.rest) > self.most or any(len(x) > self.most for x in whole):
+            raise ValueError("a frame over the limit")
+        return [x.rstrip(b"\r") for x in whole if x.strip(b"\r")]
+
+
+class TcpReader(SimpleDataSourceStreamReader):
+    """Reads what has arrived on all connections. What is not read stays in the sender's window, so nothing is shed."""
+
+    def __init__(self, options: dict):
+        self.server = socket.create_server((options.get("host", "127.0.0.1"), int(options["port"])))
+        self.wait = float(options.get("wait", "0.2"))
+        self.most_rows = int(options.get("most_rows", "50000"))
+        self.open: dict[socket.socket, tuple[str, Frames]] = {}
+
+    def initialOffset(self) -> dict:
+        return {"n": 0}
+
+    def read(self, start: dict) -> tuple[Iterator, dict]:
+        import datetime
+
+        rows, n, until = [], start["n"], time.monotonic() + 1
+        while time.monotonic() < until and len(rows) < self.most_rows:
+            ready, _, _ = select.select([self.server, *self.open], [], [], self.wait)
+            if not ready:
+                break
+            for s in ready:
+                if s is self.server:
+                    connection, (peer, *_) = s.accept()
+                    self.open[connection] = peer, Frames()
+                    continue
+                peer, frames = self.open[s]
+                data = s.recv(1 << 16)
+                try:
+                    found = frames.feed(data or b"\n")
+                except ValueError:
+                    found, data = [], b""
+                for raw in found:
+                    rows.append((n, datetime.datetime.now(), peer, raw))
+                    n += 1
+                if not data:
+                    self.open.pop(s)
+                    s.close()
+        return iter(rows), {"n": n}
+
+    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator:
+        # What was taken from a connection cannot be read again.
+        return iter([])
+
+    def commit(self, end: dict) -> None:
+        pass
+
+
 def register(spark) -> None:
     spark.dataSource.register(Udp)
+    spark.dataSource.register(Tcp)
