@@ -43,31 +43,64 @@ class Settings:
     bias: float | None = None
 
 
+class Slots:
+    """Where features' numbers are kept: 2**bits slots by the upper bits of the hash.
+
+    A slot stands for the hash that the majority of those seen have.
+    """
+
+    def __init__(self, bits: int):
+        self.bits, self.size = bits, 1 << bits
+        self.key = np.zeros(self.size, np.uint64)
+        self.votes = np.zeros(self.size, np.int16)
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        return (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def vote(self, keys: np.ndarray) -> np.ndarray:
+        slot = self.of(keys)
+        votes = self.votes[slot] + np.where(self.key[slot] == keys, 1, -1)
+        self.key[slot] = np.where(votes < 0, keys, self.key[slot])
+        self.votes[slot] = np.minimum(np.abs(votes), 30_000)
+        return slot
+
+
+class Known:
+    """A place for each of a sorted set of hashes, which alone come."""
+
+    def __init__(self, keys: np.ndarray):
+        self.key, self.size = keys, len(keys)
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.key, keys)
+
+    vote = of
+
+
 class Learner:
-    def __init__(self, s: Settings, start: Model | None = None):
-        self.s = s
-        size = 1 << s.bits
-        self.z, self.n = np.zeros(size), np.zeros(size)
-        self.key = np.zeros(size, np.uint64)
-        self.votes = np.zeros(size, np.int32)
+    def __init__(self, s: Settings, start: Model | None = None, slots: Slots | Known | None = None):
+        self.s, self.slots = s, slots or Slots(s.bits)
+        self.z, self.n = np.zeros(self.slots.size), np.zeros(self.slots.size)
         self.bias = s.bias or 0.0
         self.bias_n = 0.0
         if start is not None:
-            slot = start.slots(s.bits)
+            slot = self.slots.vote(start.keys)
             self.n[slot] = start.squares
             # z that gives back the weights.
             self.z[slot] = -start.weights * ((s.beta + np.sqrt(start.squares)) / s.alpha + s.l2) - np.sign(start.weights) * s.l1
-            self.key[slot] = start.keys
-            self.votes[slot] = 1
             self.bias, self.bias_n = start.bias, start.bias_n
 
+    @property
+    def key(self) -> np.ndarray:
+        return self.slots.key
+
     def weights(self, slot: np.ndarray | slice) -> np.ndarray:
         z, s = self.z[slot], self.s
         return np.where(np.abs(z) <= s.l1, 0.0, (np.sign(z) * s.l1 - z) / ((s.beta + np.sqrt(self.n[slot])) / s.alpha + s.l2))
 
     def learn(self, keys: np.ndarray, values: np.ndarray, label: int) -> None:
         s = self.s
-        slot = self.vote(keys)
+        slot = self.slots.vote(keys)
         w = self.weights(slot)
         p = 1 / (1 + np.exp(-np.clip(w @ values + self.bias, -35, 35)))
         g = (p - label) * values
@@ -78,15 +111,6 @@ class Learner:
             self.bias_n += (p - label) ** 2
             self.bias -= s.alpha * (p - label) / (s.beta + np.sqrt(self.bias_n))
 
-    def vote(self, keys: np.ndarray) -> np.ndarray:
-        """The keys' slots. A slot stands for the key that the majority of those seen have."""
-        slot = (keys >> np.uint64(64 - self.s.bits)).astype(np.int64)
-        same = self.key[slot] == keys
-        votes = self.votes[slot] + np.where(same, 1, -1)
-        self.key[slot] = np.where(votes < 0, keys, self.key[slot])
-        self.votes[slot] = np.abs(votes)
-        return slot
-
 
 @dataclass
 class Model:
@@ -138,16 +162,16 @@ def train(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label: C
     known = labels.select(labels[id_col].alias("id"), label.cast("int").alias("label")).dropna().groupBy("id").agg(F.min("label").alias("label"))
     known = sampled(known, s.most_rows)
     rows = df.select(df[id_col].alias("id"), df[text_col].alias("text")).join(F.broadcast(known), "id").select("label", "text", F.pmod(F.xxhash64("id"), F.lit(s.shards)).alias("shard"))
-    rows = rows.repartition(s.shards, "shard").sortWithinPartitions(F.xxhash64("text"))
-    examples = _read(features)
+    rows = rows.repartition(s.shards, "shard").sortWithinPartitions("shard", F.xxhash64("text"))
+    examples, kept = _read(features), None
     if s.screen:
         kept = _screened(rows.mapInArrow(_count(features, s), "key long, n long, ones long"), s)
         rows = written(rows.mapInArrow(_only(features, kept, s), "label int, shard long, keys array<long>, values array<double>"), "ftrl-features")
-        rows = rows.repartition(s.shards, "shard").sortWithinPartitions(F.xxhash64("keys"))
+        rows = rows.repartition(s.shards, "shard").sortWithinPartitions("shard", F.xxhash64("keys"))
         examples = _ready
     model = None
     for _ in range(s.rounds):
-        found = rows.mapInArrow(_shard(examples, s, model), "shard long, rows long, key long, weight double, square double").toPandas()
+        found = rows.mapInArrow(_shard(examples, s, model, kept), "shard long, rows long, key long, weight double, square double").toPandas()
         model = _average(found, s)
     return model
 
@@ -175,17 +199,20 @@ def _count(features: Features, s: Settings) -> Callable:
     """In how many rows, and rows of label 1, each feature is; key 0 counts the rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        learner = Learner(s)
-        n, ones = np.zeros(1 << s.bits, np.int64), np.zeros(1 << s.bits, np.int64)
+        slots = Slots(s.bits)
+        n, ones = np.zeros(slots.size, np.int32), np.zeros(slots.size, np.int32)
         total = np.zeros(2, np.int64)
         for label, _, keys, _ in _read(features)(batches):
-            slot = learner.vote(keys)
+            slot = slots.vote(keys)
             n[slot] += 1
             ones[slot] += label
             total += 1, label
-        at = np.flatnonzero(n)
-        key = np.r_[np.zeros(1, np.uint64), learner.key[at]].view(np.int64)
-        yield pa.RecordBatch.from_pydict({"key": pa.array(key), "n": pa.array(np.r_[total[0], n[at]]), "ones": pa.array(np.r_[total[1], ones[at]])})
+        yield pa.RecordBatch.from_pydict({"key": pa.array(np.zeros(1, np.int64)), "n": pa.array(total[:1]), "ones": pa.array(total[1:])})
+        seen = np.flatnonzero(n)
+        for k in range(0, len(seen), 1 << 16):
+            at = seen[k : k + (1 << 16)]
+            columns = {"key": slots.key[at].view(np.int64), "n": n[at].astype(np.int64), "ones": ones[at].astype(np.int64)}
+            yield pa.RecordBatch.from_pydict({c: pa.array(v) for c, v in columns.items()})
 
     return run
 
@@ -225,22 +252,28 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, ["label", "shard", "keys", "values"])
 
 
-def _shard(examples: Callable, s: Settings, start: Model | None) -> Callable:
+def _shard(examples: Callable, s: Settings, start: Model | None, kept: np.ndarray | None) -> Callable:
+    """A model for each shard; the rows come by shard, so that one is held at a time."""
+
+    def weights(shard: int, learner: Learner, rows: int) -> pa.RecordBatch:
+        w = learner.weights(slice(None))
+        at = np.flatnonzero(w)
+        # The bias goes first, under key 0.
+        key = np.r_[np.zeros(1, np.uint64), learner.key[at]].view(np.int64)
+        columns = {"shard": np.full(len(key), shard), "rows": np.full(len(key), rows), "key": key, "weight": np.r_[learner.bias, w[at]], "square": np.r_[learner.bias_n, learner.n[at]]}
+        return pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in columns.items()})
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        learners: dict[int, tuple[Learner, list[int]]] = {}
+        learner, own, n = None, None, 0
         for label, shard, keys, values in examples(batches):
-            if shard not in learners:
-                learners[shard] = Learner(s, start), [0]
-            learner, n = learners[shard]
+            if shard != own:
+                if learner:
+                    yield weights(own, learner, n)
+                learner, own, n = Learner(s, start, None if kept is None else Known(kept)), shard, 0
             learner.learn(keys, values, label)
-            n[0] += 1
-        for shard, (learner, n) in learners.items():
-            w = learner.weights(slice(None))
-            at = np.flatnonzero(w)
-            # The bias goes first, under key 0.
-            key = np.r_[np.zeros(1, np.uint64), learner.key[at]].view(np.int64)
-            columns = {"shard": np.full(len(key), shard), "rows": np.full(len(key), n[0]), "key": key, "weight": np.r_[learner.bias, w[at]], "square": np.r_[learner.bias_n, learner.n[at]]}
-            yield pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in columns.items()})
+            n += 1
+        if learner:
+            yield weights(own, learner, n)
 
     return run
 
