@@ -60,6 +60,3 @@ def content(line: Column) -> Column:
     at = F.locate(": ", line)
     return F.trim(F.when(at > 0, line.substr(at + 2, F.length(line))).otherwise(line))
 
-
-def bit_string(hex_text: Column) -> Column:
-    return F.lower(F.hex(F.unhex(hex_text)))

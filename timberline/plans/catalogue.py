@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.mask import mask, matches, pieces, slot_uses
-from ..functions.text import content, excerpt, humanize, template_id, tokens
+from ..functions.text import content, excerpt, humanize, tokens
 from ..operators import alarms as A
 from ..operators import board, metrics, neighbours, synth
 from ..operators import verdicts as V
@@ -108,10 +108,6 @@ def template_excerpt(spark, sf):
 # Clustering
 
 
-def _sequence(df: DataFrame, key: str) -> DataFrame:
-    return df.withColumn("received_at", F.col(key)) if "received_at" not in df.columns else df
-
-
 @query()
 def drain_clusters(spark, sf):
     d = L.document_lines(spark, sf).select((F.col("doc_id") * 1_000_000 + F.col("line_no")).alias("event_id"), mask(F.col("raw")).alias("template")).withColumn("received_at", F.col("event_id"))
@@ -121,7 +117,7 @@ def drain_clusters(spark, sf):
 @query(with_(EVENTS_SQL) + "SELECT l.event_id, l.template_id AS template_id_final FROM lines l")
 def drain_assignments(spark, sf):
     # Masked event lines differ in whole words alone, so each template is its own cluster.
-    return assign(L.event_lines(spark, sf), keep=False)[0].select("event_id", "template_id_final")
+    return assign(L.event_lines(spark, sf))[0].select("event_id", "template_id_final")
 
 
 @query(with_(EVENTS_SQL, "t AS (SELECT DISTINCT template, string_split(template, ' ') AS w FROM lines)") + "SELECT a.template AS a, b.template AS b, list_sum([CASE WHEN a.w[i] = b.w[i] THEN 1 ELSE 0 END FOR i IN range(1, len(a.w) + 1)]) / CAST(len(a.w) AS DOUBLE) AS similarity FROM t a JOIN t b ON a.template < b.template AND len(a.w) = len(b.w)")
@@ -519,5 +515,3 @@ def stream_alarms(spark, sf):
 
     return alarms_to_end(spark, sf)
 
-
-__all__ = ["ORACLE_SQL", "QUERIES", "Window", "template_id"]
