@@ -60,15 +60,15 @@ def _lower(texts: list[str | None]) -> list[bytes]:
 
 
 def features(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
-    h, doc, n = grams(_lower(texts))
-    order = np.argsort(doc, kind="stable")
-    h = h[order]
-    out = []
-    for a, k in zip((np.cumsum(n) - n).tolist(), n.tolist(), strict=True):
-        keys, counts = np.unique(h[a : a + k], return_counts=True)
-        # Two hashes of one slot would overwrite each other; one of them stands for both.
-        _, first, place = np.unique(keys >> np.uint64(64 - SETTINGS.bits), return_index=True, return_inverse=True)
-        out.append((keys[first], np.bincount(place, counts, minlength=len(first)) * (SCALE / max(k, 1))))
+    raw, out = _lower(texts), []
+    for x, y in tv.chunks(raw):
+        h, doc, n = grams(raw[x:y])
+        h = h[np.argsort(doc, kind="stable")]
+        for a, k in zip((np.cumsum(n) - n).tolist(), n.tolist(), strict=True):
+            keys, counts = np.unique(h[a : a + k], return_counts=True)
+            # Two hashes of one slot would overwrite each other; one of them stands for both.
+            _, first, place = np.unique(keys >> np.uint64(64 - SETTINGS.bits), return_index=True, return_inverse=True)
+            out.append((keys[first], np.bincount(place, counts, minlength=len(first)) * (SCALE / max(k, 1))))
     return out
 
 
