@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import textvec as tv
 from .runtime import written
 
 #: From a text to the features of it: hashes and values; each hash once.
@@ -213,6 +214,8 @@ def _count(features: Features, s: Settings) -> Callable:
             at = seen[k : k + (1 << 16)]
             columns = {"key": slots.key[at].view(np.int64), "n": n[at].astype(np.int64), "ones": ones[at].astype(np.int64)}
             yield pa.RecordBatch.from_pydict({c: pa.array(v) for c, v in columns.items()})
+        del slots, n, ones, seen
+        tv.trim()
 
     return run
 
@@ -242,6 +245,7 @@ def _only(features: Features, kept: np.ndarray, s: Settings) -> Callable:
                 rows = []
         if rows:
             yield _rows(rows)
+        tv.trim()
 
     return run
 

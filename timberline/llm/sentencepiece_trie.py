@@ -212,7 +212,7 @@ class Coder:
     def encode(self, texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(first row, last row + 1, ids, ids of each row) in chunks."""
         raw = [self._marked(t or "") for t in texts]
-        for a, b in tv.chunks(raw, 4 << 20):
+        for a, b in tv.chunks(raw):
             data = b"".join(raw[a:b])
             bounds = np.cumsum([0, *map(len, raw[a:b])])
             if not data:
@@ -251,6 +251,13 @@ class Coder:
         return out
 
 
+    def clear(self) -> None:
+        """Forget what was segmented; the vocabulary stays."""
+        self.cache.clear()
+        self.segmenter.pairs.clear()
+        tv.trim()
+
+
 _coders: dict[str, Coder] = {}
 
 
@@ -272,6 +279,7 @@ def encoded(df: DataFrame, path: str, text_col: str = "text", out: str = "ids")
             for x, y, ids, counts in coder(path).encode(b.column(at).to_pylist()):
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*[c.slice(x, y - x) for c in columns], lists], [*kept, out])
+        coder(path).clear()
 
     ship(df.sparkSession)
     df_columns = df.columns
@@ -312,6 +320,7 @@ def report(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
                     [b.column(0).slice(x, y - x), pa.array(counts), pa.array(crcs, pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in back], pa.string()), pa.array(same, pa.bool_())],
                     [id_col, "n_tokens", "ids_crc32", "decoded_sha256", "same"],
                 )
+        coder(path).clear()
 
     ship(df.sparkSession)
     rows = df.select(df[id_col], df[text_col])

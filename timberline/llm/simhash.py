@@ -242,6 +242,7 @@ def fingerprint_table(df: DataFrame, id_col: str, text_col: str, shingle: int =
         for b in tv.slices(batches):
             fp = fingerprints(b.column(1).to_pylist(), shingle)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["id", "fp"])
+        tv.trim()
 
     rows = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, fp long")
@@ -275,6 +276,7 @@ def fingerprint_links(fps: DataFrame, distance: int = DISTANCE, blocks: int = BL
             kept.append(tuple(x[cut:] for x in new))
         if kept:
             yield from of(kept)
+        tv.trim()
 
     dealt = fps.select("fp").mapInArrow(deal, "key long, fp long, home boolean")
     return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "a long, b long")

@@ -70,6 +70,7 @@ def language_model(df: DataFrame, text_col: str = "text") -> np.ndarray:
         for b in tv.slices(batches):
             total += gram_counts(b.column(0).to_pylist())
         at = np.flatnonzero(total)
+        tv.trim()
         yield pa.RecordBatch.from_pydict({"gram": pa.array(at.astype(np.int32)), "n": pa.array(total[at])})
 
     ship(df.sparkSession)
@@ -283,6 +284,8 @@ class Toxicity:
             table, restorer = model.filter_table(), Restorer(lm)
             for b in tv.slices(batches):
                 yield b.filter(pa.array(scores(model, table, restorer, b.column(k).to_pylist()) < threshold))
+            restorer.seen.clear()
+            tv.trim()
 
         return df.mapInArrow(run, df.schema)
 
