@@ -31,7 +31,8 @@ def body(raw: Column, offset: Column) -> Column:
 
 def excerpt(template: Column, most: int = EXCERPT_BYTES) -> Column:
     """The characters that start before byte ``most``; a template of no more bytes is whole."""
-    chars = F.split(template, "")
+    # Every character has a byte or more, so that none after the first ``most`` can start in time.
+    chars = F.split(F.substring(template, 1, most), "")
     cut = F.aggregate(
         chars,
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),

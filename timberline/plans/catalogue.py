@@ -105,6 +105,12 @@ def template_excerpt(spark, sf):
     return table(spark, sf, "documents").filter("length(text) < 400").select("doc_id", excerpt(F.coalesce("text", F.lit(""))).alias("excerpt"))
 
 
+# ``template_excerpt`` takes the texts that its SQL asks for; this takes every document. Only the first 160 characters can start before byte 160.
+@query("SELECT doc_id, CASE WHEN strlen(t) <= 160 THEN t ELSE array_to_string(list_transform(list_filter(list_zip(string_split(h, ''), list_transform(range(1, len(h) + 1), lambda i: strlen(substr(h, 1, i - 1)))), lambda z: z[2] < 160), lambda z: z[1]), '') END AS excerpt FROM (SELECT doc_id, t, substr(t, 1, 160) AS h FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))")
+def document_excerpts(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", excerpt(F.coalesce("text", F.lit(""))).alias("excerpt"))
+
+
 # Clustering
 
 
