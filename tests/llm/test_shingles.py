@@ -1,0 +1,68 @@
+"""The pipeline leaves no two documents with 0.8 or more of their five-word shingles in common."""
+
+import random
+import re
+from itertools import combinations
+
+import corpus_pipeline as P
+import pytest
+from timberline.llm import shingles
+from timberline.llm.runtime import written
+
+from .test_python import roots
+
+
+def plain(text):
+    words = re.findall("[^\x20\x09-\x0d]+", "".join(c.lower() if c.isascii() else c for c in text or ""))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def similarity(a, b):
+    return len(a & b) / len(a | b) if a and b else 0.0
+
+
+def texts_with_near_copies(seed):
+    rng = random.Random(seed)
+    word = lambda: rng.choice("abcdefghijkl") + str(rng.randint(0, 999))
+    passage = [word() for _ in range(40)]
+    texts = [None, "", " ", "a", "A", "a b c d", "ü É w", "a b c d e", "A b\tc d e"]
+    for _ in range(40):
+        base = [word() for _ in range(rng.choice([30, 100, 200]))] + rng.choice([[], passage])
+        texts.append(" ".join(base))
+        for _ in range(rng.choice([0, 1, 3])):
+            copy = list(base)
+            for _ in range(rng.randint(1, 5)):
+                copy[rng.randrange(len(copy))] = word()
+            texts.append(" ".join(copy).upper() if rng.random() < 0.2 else " ".join(copy))
+    rng.shuffle(texts)
+    return texts
+
+
+@pytest.mark.parametrize("looked_at, common", [(4000, 8), (20, 2)])
+def test_pairs_are_those_of_brute_force(spark, monkeypatch, looked_at, common):
+    monkeypatch.setattr(shingles, "LOOKED_AT", looked_at)
+    monkeypatch.setattr(shingles, "COMMON", common)
+    texts = texts_with_near_copies(1)
+    sets = [plain(t) for t in texts]
+    want = {(i, j): similarity(sets[i], sets[j]) for i, j in combinations(range(len(texts)), 2)}
+    want = {k: round(v, 9) for k, v in want.items() if v >= 0.8}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.a, r.b): round(r.similarity, 9) for r in shingles.similar_pairs(df).collect()}
+    assert got == want and len(want) > 20
+
+
+def test_pipeline_keeps_no_near_copies(spark):
+    texts = texts_with_near_copies(2)
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    names = [name for name, _ in P.STAGES]
+    before = None
+    for name, stage in P.STAGES[names.index("exact_dedup") : names.index("mixing")]:
+        before = {r.doc_id for r in docs.collect()}
+        docs = written(stage(spark, docs, ""), name)
+    kept = sorted(r.doc_id for r in docs.collect())
+    sets = {k: plain(texts[k]) for k in before}
+    assert not [(a, b) for a, b in combinations(kept, 2) if similarity(sets[a], sets[b]) >= 0.8]
+    # Nothing else went in the last of these stages.
+    ids = sorted(before)
+    near = [(i, j) for i, j in combinations(range(len(ids)), 2) if similarity(sets[ids[i]], sets[ids[j]]) >= 0.8]
+    assert kept == [ids[k] for k in sorted(set(roots(len(ids), near)))] and len(kept) < len(ids)

@@ -1,0 +1,68 @@
+"""Near duplicates by the Jaccard similarity of their word shingles, in DataFrame functions only.
+
+Of two sets with similarity t or more, sorted in one order, the first n - ceil(t * n) + k
+members have k in common; only documents that meet so often are compared, by their whole
+sets. The order puts shingles last that many documents hold. These are found in some of
+the documents, which decides how many pairs meet, not which are found. Shingles are
+64-bit hashes of words in lower case.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .components import connected_components
+from .mixing import WORD
+from .runtime import written
+
+SHINGLE = 5
+LEAST = 0.8
+#: About so many documents are looked at for common shingles; a shingle in ``COMMON`` of them is one, and the commonest ``MOST_COMMON`` are put last.
+LOOKED_AT, COMMON, MOST_COMMON = 4_000, 8, 20_000
+#: How often two documents meet before their whole sets are compared, if they are long enough.
+MEET = 8
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def shingles(text: Column, size: int = SHINGLE) -> Column:
+    """Distinct hashes of each ``size`` words in a row; of all words where there are fewer; none without words."""
+
+    def of(words: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(words) - (size - 1), F.lit(1)))
+        return F.when(F.size(words) > 0, F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, size))))).otherwise(F.array().cast("array<bigint>"))
+
+    words = F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), _UPPER, _UPPER.lower()), F.lit(WORD), F.lit(0))
+    return F.get(F.transform(F.array(words), of), 0)
+
+
+def similar_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = SHINGLE, least: float = LEAST) -> DataFrame:
+    """(a, b, similarity) with a < b of all rows whose similarity is ``least`` or more."""
+    spark = df.sparkSession
+    sets = written(df.select(df[id_col].alias("id"), shingles(df[text_col], size).alias("s")).filter("id IS NOT NULL AND size(s) > 0"), "shingles")
+    parts = max(1, sets.count() // LOOKED_AT)
+    seen = sets.filter(F.pmod(F.xxhash64("id"), F.lit(parts)) == 0).select(F.explode("s").alias("h")).groupBy("h").count()
+    common = [r.h for r in seen.filter(F.col("count") >= COMMON).orderBy(F.desc("count"), "h").limit(MOST_COMMON).collect()]
+    last = spark.createDataFrame([(common,)], "common array<bigint>")
+    n = F.size("s")
+    # Rounding must not shorten a prefix.
+    shared = F.ceil(n * F.lit(least) - F.lit(1e-9)).cast("int")
+    need = F.least(shared, F.lit(MEET))
+    most = n - shared + need
+    order = F.concat(F.array_sort(F.array_except("s", "common")), F.array_sort(F.array_intersect("s", "common")))
+    firsts = written(sets.crossJoin(F.broadcast(last)).select("id", n.alias("n"), need.alias("need"), F.explode(F.slice(order, F.lit(1), most)).alias("h")), "shingle-firsts")
+    a, b = firsts.alias("a"), firsts.alias("b")
+    meet = a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.id") < F.col("b.id")) & (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * F.lit(least) - F.lit(1e-9)))
+    often = meet.groupBy(F.col("a.id").alias("a"), F.col("b.id").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min(F.least("a.need", "b.need")).alias("need"))
+    pairs = written(often.filter("n >= need").select("a", "b"), "shingle-pairs")
+    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("s_a")), "a")
+    both = left.join(sets.select(F.col("id").alias("b"), F.col("s").alias("s_b")), "b").withColumn("same", F.size(F.array_intersect("s_a", "s_b")))
+    of = F.col("same") / (F.size("s_a") + F.size("s_b") - F.col("same"))
+    return both.select("a", "b", of.alias("similarity")).filter(F.col("similarity") >= least)
+
+
+def without_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = SHINGLE, least: float = LEAST) -> DataFrame:
+    """The input rows with the least id of each group of similar ones, with all their columns; rows without words or id stay."""
+    found = connected_components(similar_pairs(df, id_col, text_col, size=size, least=least).select("a", "b"))
+    drops = written(found.filter("v <> root").select(F.col("v").alias("_drop_id")), "shingle-drops")
+    return df.join(drops, df[id_col] == F.col("_drop_id"), "left_anti")
