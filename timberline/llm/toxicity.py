@@ -43,6 +43,8 @@ _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = True
 _SIGN = np.zeros(256, bool)
 _SIGN[[ord(c) for c in LEET if ord(c) < 128]] = True
+#: Signs of more than one byte.
+_LONG_SIGNS = [c.encode() for c in LEET if ord(c) >= 128]
 _SEP = np.zeros(256, bool)
 _SEP[[ord(c) for c in SEPARATORS if not c.isspace()]] = True
 _SYMBOL = np.zeros(256, np.int32)
@@ -132,42 +134,76 @@ def restore(token: str, lm: np.ndarray) -> str:
     return min((cost + float(lm[state * SYMBOLS]), text) for state, (cost, text) in states.items())[1]
 
 
+def _symbols(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all letters and signs, and which bytes belong to signs."""
+    first, sign = _LETTER[buf] | _SIGN[buf], _SIGN[buf]
+    width = first.astype(np.int64)
+    for raw in _LONG_SIGNS:
+        found = buf[: max(0, len(buf) - len(raw) + 1)] == raw[0]
+        for k in range(1, len(raw)):
+            found = found & (buf[k : k + len(found)] == raw[k])
+        at = np.flatnonzero(found)
+        width[at] = len(raw)
+        sign[at[:, None] + np.arange(len(raw))] = True
+    starts = np.flatnonzero(width)
+    return starts, starts + width[starts], sign
+
+
 def disguised(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Spans of the lower-cased buffer to restore: whole tokens, and runs of one-letter tokens."""
+    """Spans of the lower-cased buffer to restore: whole tokens, words with a letter twice in a row, and runs of single letters and signs."""
     n = len(buf)
     pad = np.zeros(n + 8, np.uint8)
     pad[1 : n + 1] = buf
     at = lambda k: pad[1 + k : 1 + k + n]
-    letter, sign = _LETTER[buf], _SIGN[buf]
+    letter = _LETTER[buf]
+    symbols, symbol_ends, signs = _symbols(buf)
+    sign = _SIGN[buf]
     next_letter, last_letter = _LETTER[at(1)], _LETTER[pad[:n]]
     next_word = tv.WORD[at(1)] | _SIGN[at(1)]
-    hit = sign & next_letter
+    # The last byte of a sign before a letter, of any sign's bytes.
+    hit = signs & next_letter
     # A sign that ends a word, if it isn't the first of three or plain punctuation.
     hit |= sign & last_letter & (buf != ord("!")) & (~next_word | ((at(1) == buf) & ~(tv.WORD[at(2)] | _SIGN[at(2)])))
-    hit |= letter & (at(1) == buf) & (at(2) == buf)
+    wordy = tv.WORD[pad] | _SIGN[pad]
+    for raw in _LONG_SIGNS:
+        own = symbols[(symbol_ends - symbols == len(raw)) & (buf[symbols] == raw[0])]
+        again = np.isin(own + len(raw), own)
+        hit[own] |= last_letter[own] & ~wordy[1 + own + np.where(again, 2, 1) * len(raw)]
+    twice = letter & (at(1) == buf)
+    hit |= twice & (at(2) == buf)
     sep = _SEP[buf]
     single = sep & last_letter & next_letter
     hit |= single & _SEP[at(2)] & _LETTER[at(3)] & _SEP[at(4)] & _LETTER[at(5)]
     starts, ends = tv.spans(~tv.SPACE[buf])
     if not len(starts):
         return starts, ends
+    # Three or more single letters or signs, a letter among them, with nothing but separators and space between.
+    alone = ~wordy[symbols] & ~wordy[1 + symbol_ends]
+    a, b = symbols[alone], symbol_ends[alone]
+    if len(a) > 2:
+        other = np.concatenate([[0], np.cumsum(~(sep | tv.SPACE[buf]))])
+        cut = np.flatnonzero(np.r_[True, other[a[1:]] > other[b[:-1]]])
+        size = np.diff(np.r_[cut, len(a)])
+        run = np.flatnonzero((size >= 3) & (np.add.reduceat(letter[a].astype(np.int64), cut) > 0))
+        a, b = a[cut[run]], b[cut[run] + size[run] - 1]
+    else:
+        a = b = np.zeros(0, np.int64)
     total = np.concatenate([[0], np.cumsum(hit)])
     marked = total[ends] > total[starts]
-    one = (ends - starts == 1) & (letter | sign)[starts]
-    # One-letter tokens a single space apart.
-    a, b = tv.spans(one)
-    if len(a):
-        joined = np.flatnonzero(starts[1:] - ends[:-1] != 1) + 1
-        cut = np.unique(np.concatenate([a, joined[np.isin(joined, np.flatnonzero(one))]]))
-        end = np.minimum(np.append(cut[1:], len(starts)), b[np.searchsorted(a, cut, "right") - 1])
-        long = (end - cut >= 4) & (np.add.reduceat(letter[starts[one.nonzero()[0]]].astype(int), np.searchsorted(one.nonzero()[0], cut)) >= 2)
-        cut, end = cut[long], end[long]
-        for x, y in zip(cut.tolist(), end.tolist(), strict=True):
-            marked[x:y] = False
-        starts, ends = np.concatenate([starts[marked], starts[cut]]), np.concatenate([ends[marked], ends[end - 1]])
-        order = np.argsort(starts)
-        return starts[order], ends[order]
-    return starts[marked], ends[marked]
+    words, word_ends = tv.spans(tv.WORD[buf] & ~signs)
+    pairs = np.concatenate([[0], np.cumsum(twice)])
+    # A word before three equal signs is left as it is, unless something else marks it.
+    tail = pad[1 + word_ends]
+    doubled = (pairs[word_ends] > pairs[words]) & ~(_SIGN[tail] & (tail == pad[2 + word_ends]) & (tail == pad[3 + word_ends]))
+    starts = np.concatenate([starts[marked], words[doubled], a])
+    ends = np.concatenate([ends[marked], word_ends[doubled], b])
+    if not len(starts):
+        return starts, ends
+    # What overlaps is restored as one.
+    order = np.argsort(starts, kind="stable")
+    starts, reach = starts[order], np.maximum.accumulate(ends[order])
+    new = np.flatnonzero(np.r_[True, starts[1:] >= reach[:-1]])
+    return starts[new], reach[np.r_[new[1:] - 1, len(reach) - 1]]
 
 
 class Restorer:
