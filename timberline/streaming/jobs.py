@@ -47,10 +47,11 @@ def mine(lines: DataFrame, config: Config = Config(), lateness: str = "10 minute
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         miner, held = pickle.loads(state.get[0]) if state.exists else (Miner(config), [])
         for p in parts:
-            held += zip(p["received_at"], p["event_id"], p["text"], strict=True)
+            held += zip(p["at_us"], p["event_id"], p["text"], strict=True)
         mark = state.getCurrentWatermarkMs()
         held.sort()
-        ready = [r for r in held if r[0].timestamp() * 1000 <= mark]
+        # Spark keeps the watermark in whole milliseconds.
+        ready = [r for r in held if r[0] // 1000 <= mark]
         held = held[len(ready) :]
         out = []
         for _, event, text in ready:
@@ -58,11 +59,12 @@ def mine(lines: DataFrame, config: Config = Config(), lateness: str = "10 minute
             out.append((event, len(c.tokens), c.seq, c.id, c.size))
         state.update((pickle.dumps((miner, held)),))
         if held:
-            state.setTimeoutTimestamp(max(int(held[0][0].timestamp() * 1000), mark + 1))
+            # A timeout fires once the watermark is above it, and rows are due once the watermark reaches them.
+            state.setTimeoutTimestamp(max(int(held[0][0]) // 1000 - 1, mark))
         yield pd.DataFrame(out, columns=[f.split()[0] for f in schema.split(", ")])
 
     words = F.array_join(F.slice(F.filter(F.split("template", r"\s+"), lambda t: t != ""), 1, config.max_tokens), " ")
-    rows = lines.withWatermark("received_at", lateness).select("received_at", "event_id", words.alias("text")).withColumn("n", F.size(F.split("text", " ")))
+    rows = lines.withWatermark("received_at", lateness).select("received_at", "event_id", words.alias("text"), F.unix_micros("received_at").alias("at_us")).withColumn("n", F.size(F.split("text", " ")))
     return rows.groupBy("n").applyInPandasWithState(run, schema, "kept binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
