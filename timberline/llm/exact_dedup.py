@@ -1,10 +1,11 @@
 """Exact deduplication that one hot text cannot stall.
 
-Copies are combined three times, each time with the full content in the grouping
-key: in each map task (partial aggregation), in each salted digest group, and over
-the winners of the salts. A group of any size therefore reaches the last step as at
-most ``salts`` rows. Rows then look up their group's winner by (digest, salt), so the
-lookup is dealt as evenly as the rows are.
+Digests are counted first, so that only texts whose digest occurs twice or more are
+moved. Copies are then combined three times, each time with the full content in the
+grouping key: in each map task (partial aggregation), in each salted digest group, and
+over the winners of the salts. A group of any size therefore reaches the last step as
+at most ``salts`` rows. Rows then look up their group's winner by (digest, salt), so
+the lookup is dealt as evenly as the rows are.
 """
 
 from __future__ import annotations
@@ -14,9 +15,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import written
+from .runtime import SALTS, matched, written
 
-SALTS = 64
 WHITE = r"[\x20\x09-\x0D]+"
 
 
@@ -50,6 +50,14 @@ def _winners(keyed: DataFrame) -> DataFrame:
     )
 
 
+def _repeated(narrow: DataFrame) -> DataFrame:
+    """The ids of all rows whose digest occurs twice or more; looked up by (digest, salt), so a hot digest stays dealt."""
+    local = narrow.groupBy("digest", "salt").agg(F.count(F.lit(1)).alias("n"))
+    whole = local.groupBy("digest").agg(F.sum("n").alias("n"), F.collect_list("salt").alias("salts")).filter("n > 1")
+    places = whole.select("digest", F.explode("salts").alias("salt"))
+    return narrow.join(places, ["digest", "salt"], "left_semi").select("id").distinct()
+
+
 def decisions(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, salts: int = SALTS, digest: Callable[[Column], Column] = sha256
 ) -> DataFrame:
@@ -59,14 +67,11 @@ def decisions(
     collide stay apart. Ids compare with null last; a group with only null ids has
     a null ``keep_id``. Null texts count as empty, and an empty table gives no rows.
     """
-    keyed = _keyed(df, id_col, text_col, digest, salts)
+    narrow = written(_keyed(df, id_col, text_col, digest, salts).select("id", "digest", "salt"), "dedup-digests")
+    asked = written(_repeated(narrow), "dedup-repeated")
+    keyed = _keyed(matched(df.select(id_col, text_col), id_col, asked, "left_semi"), id_col, text_col, digest, salts)
     found = written(_winners(keyed).filter("n > 1"), "dedup-groups")
-    members = (
-        keyed.select("digest", "salt", "id", *([] if digest is sha256 else ["content"]))
-        .repartition("digest", "salt")
-        .groupBy("digest", "salt", "id", *([] if digest is sha256 else ["content"]))
-        .agg(F.count(F.lit(1)).alias("n_same"))
-    )
+    members = narrow.repartition("digest", "salt").groupBy("digest", "salt", "id").agg(F.count(F.lit(1)).alias("n_same"))
     clean = found.filter("contents = 1").select(
         "digest", F.explode(F.array_distinct("found_in")).alias("salt"), "keep_id", F.col("n").alias("group_size")
     )
@@ -116,12 +121,25 @@ def dedup_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, salts: int = SALTS) -> DataFrame:
-    """The input rows that stay, with all their columns."""
+    """The input rows that stay, with all their columns.
+
+    Null texts count as empty; rows with a null id go where their text has a row with
+    an id. Of rows that agree in id and text the first by a hash of all their columns
+    stays. Columns may have any names. An empty table gives no rows.
+    """
     found = written(decisions(df, id_col, text_col, salts=salts).filter("not kept or n_same > 1"), "dedup-drops")
-    key = [F.col(id_col).alias("_dedup_id"), sha256(normalised(F.col(text_col))).alias("_dedup_digest")]
-    rows = df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), *key)
-    drops = found.filter("not kept").select("id", "digest")
-    stay = rows.join(drops, rows._dedup_id.eqNullSafe(drops.id) & (rows._dedup_digest == drops.digest), "left_anti")
-    if not found.filter("kept and n_same > 1").isEmpty():
-        stay = stay.groupBy("_dedup_id", "_dedup_digest").agg(F.first("row").alias("row"))
-    return stay.select("row.*")
+
+    def same_text(row: Column, mark: Column) -> Column:
+        # No join key, so that digests are made only where ids are equal; both have 64 digits.
+        return F.instr(mark.getField("digest"), sha256(normalised(row.getField(text_col)))) == 1
+
+    drops = written(found.filter("not kept").select("id", "digest"), "dedup-dropped")
+    again = written(found.filter("kept and n_same > 1").select("id", "digest"), "dedup-again")
+    stay = matched(df, id_col, drops, "left_anti", same_text)
+    if again.isEmpty():
+        return stay
+    rows = matched(stay, id_col, again, "left_semi", same_text)
+    row = F.struct(*[rows[c] for c in rows.columns])
+    key = [rows[id_col].alias("_id"), sha256(normalised(rows[text_col])).alias("_digest")]
+    one = rows.select(row.alias("row"), F.xxhash64(F.to_json(row)).alias("order"), *key).groupBy("_id", "_digest").agg(F.min_by("row", "order").alias("row"))
+    return matched(stay, id_col, again, "left_anti", same_text).union(one.select("row.*"))

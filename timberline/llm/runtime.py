@@ -1,15 +1,21 @@
-"""What the operators share: the shared folder and written stages."""
+"""What the operators share: the shared folder, written stages and lookups that skew cannot stall."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..runtime import ship
 
-__all__ = ["new_folder", "shared_dir", "ship", "written"]
+__all__ = ["matched", "new_folder", "shared_dir", "ship", "summed", "written"]
+
+#: Narrow tables of up to so many rows (about 60 MB with their digests) are broadcast; larger ones are joined by shuffle.
+BROADCAST_ROWS = 500_000
+SALTS = 64
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,3 +45,31 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = new_folder(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def matched(rows: DataFrame, id_col: str, marks: DataFrame, how: str, also: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """The rows (``left_semi``) or other rows (``left_anti``) whose id is in ``marks.id``, null equal to null.
+
+    ``also(row, mark)`` is looked at only where ids are equal. ``marks`` should be a
+    written table: it is counted, and broadcast where it is small, so that rows stay
+    where they are; else both sides are shuffled by a hash of the id.
+    """
+    r = rows.select(F.struct(*[rows[c] for c in rows.columns]).alias("row"), F.xxhash64(rows[id_col]).alias("key"))
+    m = marks.select(F.struct(*[marks[c] for c in marks.columns]).alias("mark"), F.xxhash64(marks["id"]).alias("mark_key"))
+    same = F.col("row").getField(id_col).eqNullSafe(F.col("mark.id"))
+    if also:
+        same &= also(F.col("row"), F.col("mark"))
+    small = marks.count() <= BROADCAST_ROWS
+    return r.join(F.broadcast(m) if small else m, (r.key == m.mark_key) & same, how).select("row.*")
+
+
+def summed(rows: DataFrame, key: str, spread: Column, least: str, salts: int = SALTS) -> DataFrame:
+    """Adds ``least_of_key``, the least ``least`` of all rows with the same ``key``.
+
+    A key's rows are dealt over ``salts`` places by ``spread`` and its minimum is
+    looked up at each place where it has rows, so no task holds all rows of a key.
+    """
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    local = salted.groupBy(key, "salt").agg(F.min(least).alias("m"))
+    whole = local.groupBy(key).agg(F.min("m").alias("least_of_key"), F.collect_list("salt").alias("salts"))
+    return salted.join(whole.select(key, "least_of_key", F.explode("salts").alias("salt")), [key, "salt"]).drop("salt")
