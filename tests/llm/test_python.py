@@ -96,9 +96,9 @@ def test_links_join_what_brute_force_joins(monkeypatch, blocks, pairs):
             fps.add(x)
     fps = np.array(sorted(fps), np.uint64)
     near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 4
-    keys, f, home = (np.concatenate(x) for x in zip(*simhash.anchors(fps, blocks)))
+    keys, rows, home = (np.concatenate(x) for x in zip(*simhash.anchors(fps[:, None], simhash.block_bits(blocks), 4 // blocks)))
     order = np.argsort(keys.view(np.int64), kind="stable")
-    a, b = simhash.links(keys[order], f[order], home[order])
+    a, b = simhash.links(keys[order], fps[rows][order], home[order])
     at = {int(x): k for k, x in enumerate(fps)}
     found = [(at[int(x)], at[int(y)]) for x, y in zip(a, b)]
     assert all(near[x, y] for x, y in found)

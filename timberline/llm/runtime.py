@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import ship
 
-__all__ = ["matched", "new_folder", "shared_dir", "ship", "summed", "written"]
+__all__ = ["dealt_join", "matched", "new_folder", "shared_dir", "ship", "summed", "written"]
 
 #: Narrow tables of up to so many rows (about 60 MB with their digests) are broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 500_000
@@ -63,13 +63,24 @@ def matched(rows: DataFrame, id_col: str, marks: DataFrame, how: str, also: Call
     return r.join(F.broadcast(m) if small else m, (r.key == m.mark_key) & same, how).select("row.*")
 
 
-def summed(rows: DataFrame, key: str, spread: Column, least: str, salts: int = SALTS) -> DataFrame:
-    """Adds ``least_of_key``, the least ``least`` of all rows with the same ``key``.
+def _salted(rows: DataFrame, spread: Column) -> DataFrame:
+    return rows.withColumn("salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
 
-    A key's rows are dealt over ``salts`` places by ``spread`` and its minimum is
-    looked up at each place where it has rows, so no task holds all rows of a key.
+
+def dealt_join(rows: DataFrame, key: str, table: DataFrame, spread: Column, how: str = "inner") -> DataFrame:
+    """Joins ``table``, which has each key once, without one task for all rows of a key.
+
+    Rows are dealt by (key, salt of ``spread``), and the table's row goes to each salt
+    where its key has rows.
     """
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    salted = _salted(rows, spread)
+    places = salted.select(key, "salt").distinct()
+    return salted.join(places.join(table, key), [key, "salt"], how).drop("salt")
+
+
+def summed(rows: DataFrame, key: str, spread: Column, least: str) -> DataFrame:
+    """Adds ``least_of_key``, the least ``least`` of all rows with the same ``key``; dealt as ``dealt_join`` deals."""
+    salted = _salted(rows, spread)
     local = salted.groupBy(key, "salt").agg(F.min(least).alias("m"))
     whole = local.groupBy(key).agg(F.min("m").alias("least_of_key"), F.collect_list("salt").alias("salts"))
     return salted.join(whole.select(key, "least_of_key", F.explode("salts").alias("salt")), [key, "salt"]).drop("salt")

@@ -7,13 +7,20 @@ the remaining bits; their covering radius is 1. A fingerprint is sent to every a
 within 1 + t bits, and is at home at the nearest one. If x and y differ in t bits or
 fewer of a block, then y is also sent to the home of x, so that comparing those at home
 with all that were sent, anchor by anchor, finds every link.
+
+For near duplicates by similarity (``similar``), fingerprints have ``WIDE`` words and so
+many more blocks: a pair of that similarity differs in few bits of some block with a
+probability that ``recall`` states. What meets is then compared exactly, by the sets of
+shingles. Where most members of an anchor are close to each other, a spanning set of
+their pairs is compared first, and others only where components still differ.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import combinations
+from math import acos, ceil, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +29,14 @@ from pyspark.sql import functions as F
 
 from . import textvec as tv
 from .components import connected_components
-from .runtime import ship, written
+from .runtime import dealt_join, matched, ship, summed, written
 
 SEED = 42
 SHINGLE = 4
 DISTANCE = 4
 BLOCKS = 3
+#: For similarity: words of a shingle, the least similarity, words of a fingerprint, and bits of a block, in which 1 may differ.
+WIDE_SHINGLE, SIMILAR, WIDE, WIDE_BITS = 5, 0.8, 5, 18
 #: Pairs compared at once.
 PAIRS = 1 << 21
 
@@ -107,33 +116,67 @@ def _majority(h: np.ndarray, first: np.ndarray, counts: np.ndarray) -> np.ndarra
     return np.packbits(total * 2 > counts[:, None], axis=1, bitorder="little").view("<u8")[:, 0].astype(np.uint64)
 
 
+def _shingled(raw: list[bytes], shingle: int) -> tuple[np.ndarray, ...] | None:
+    """Texts with words, how many shingles each has, and the shingles as slices of a buffer, words one space apart."""
+    buf, bounds = tv.joined(raw)
+    buf = tv.LOWER[buf]
+    inside = ~tv.SPACE[buf]
+    starts, ends = tv.spans(inside)
+    if not len(starts):
+        return None
+    doc = np.searchsorted(bounds, starts, "right") - 1
+    inside[ends] = True
+    buf[ends] = 0x20
+    buf = buf[inside]
+    sizes = ends - starts
+    starts = np.cumsum(sizes + 1) - sizes - 1
+    ends = starts + sizes
+    docs, first, n = np.unique(doc, return_index=True, return_counts=True)
+    made = np.maximum(n - shingle + 1, 1)
+    i = tv.ranges(first, made)
+    last = np.minimum(i + shingle - 1, np.repeat(first + n - 1, made))
+    return docs, made, buf, starts[i], ends[last]
+
+
 def fingerprints(texts: list[str | None], shingle: int = SHINGLE) -> np.ndarray:
     """SimHash of each text over its word shingles; 0 for a text without words."""
     raw = [(t or "").encode() for t in texts]
     out = np.zeros(len(raw), np.uint64)
     for a, b in tv.chunks(raw):
-        buf, bounds = tv.joined(raw[a:b])
-        buf = tv.LOWER[buf]
-        inside = ~tv.SPACE[buf]
-        starts, ends = tv.spans(inside)
-        if not len(starts):
-            continue
-        doc = np.searchsorted(bounds, starts, "right") - 1
-        inside[ends] = True
-        buf[ends] = 0x20
-        buf = buf[inside]
-        sizes = ends - starts
-        starts = np.cumsum(sizes + 1) - sizes - 1
-        ends = starts + sizes
-        docs, first, n = np.unique(doc, return_index=True, return_counts=True)
-        made = np.maximum(n - shingle + 1, 1)
-        i = tv.ranges(first, made)
-        last = np.minimum(i + shingle - 1, np.repeat(first + n - 1, made))
-        h = xxh64(buf, starts[i], ends[last])
-        out[a + docs] = _majority(h, np.cumsum(made) - made, made)
+        found = _shingled(raw[a:b], shingle)
+        if found:
+            docs, made, buf, starts, ends = found
+            out[a + docs] = _majority(xxh64(buf, starts, ends), np.cumsum(made) - made, made)
     return out
 
 
+def shingle_sets(texts: list[str | None], shingle: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows with words, how many distinct shingles each has, and their 64-bit hashes, rising in each row."""
+    raw = [(t or "").encode() for t in texts]
+    for a, b in tv.chunks(raw):
+        found = _shingled(raw[a:b], shingle)
+        if found:
+            docs, made, buf, starts, ends = found
+            h = tv.Hasher(buf)(starts, ends)
+            row = np.repeat(np.arange(len(docs)), made)
+            order = np.lexsort((h, row))
+            h, row = h[order], row[order]
+            new = np.r_[True, (h[1:] != h[:-1]) | (row[1:] != row[:-1])]
+            yield a + docs, np.bincount(row[new], minlength=len(docs)), h[new]
+
+
+def wide_fingerprints(texts: list[str | None], shingle: int = WIDE_SHINGLE, words: int = WIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """SimHash words over each text's set of shingles, a 64-bit hash of that set and its size; zeros without words."""
+    fps, name, size = np.zeros((len(texts), words), np.uint64), np.zeros(len(texts), np.uint64), np.zeros(len(texts), np.int64)
+    for docs, made, h in shingle_sets(texts, shingle):
+        first = np.cumsum(made) - made
+        for k in range(words):
+            fps[docs, k] = _majority(tv.mix(h + _P3 * np.uint64(k + 1)), first, made)
+        name[docs] = np.add.reduceat(tv.mix(h ^ _P4), first)
+        size[docs] = made
+    return fps, name, size
+
+
 @lru_cache(maxsize=8)
 def code(bits: int, radius: int) -> tuple[int, list[np.ndarray]]:
     """Length of the Hamming part, and for each syndrome the error masks that lead to the anchors within ``radius``."""
@@ -164,11 +207,19 @@ def block_bits(blocks: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def anchors(fps: np.ndarray, blocks: int = BLOCKS, distance: int = DISTANCE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(key, fingerprint, at home) rows, a batch for each block and syndrome."""
-    t = distance // blocks
-    for k, (first, bits) in enumerate(block_bits(blocks)):
-        part = (fps >> np.uint64(first)) & np.uint64((1 << bits) - 1)
+def wide_bits(words: int = WIDE, bits: int = WIDE_BITS) -> list[tuple[int, int]]:
+    """(first bit, bits) of as many equal blocks as fit in a wide fingerprint."""
+    return [(k * bits, bits) for k in range(64 * words // bits)]
+
+
+def anchors(fps: np.ndarray, cuts: list[tuple[int, int]], t: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(key, row of ``fps``, at home), a batch for each block and syndrome; ``fps`` has a column for each word."""
+    for k, (first, bits) in enumerate(cuts):
+        w, off = divmod(first, 64)
+        part = fps[:, w] >> np.uint64(off)
+        if off + bits > 64:
+            part |= fps[:, w + 1] << np.uint64(64 - off)
+        part &= np.uint64((1 << bits) - 1)
         n, masks = code(bits, 1 + t)
         syndromes = _syndromes(part, n)
         for s, errors in enumerate(masks):
@@ -176,7 +227,24 @@ def anchors(fps: np.ndarray, blocks: int = BLOCKS, distance: int = DISTANCE) ->
             if len(own):
                 key = (part[own][:, None] ^ errors[None, :]) | np.uint64(k << 58)
                 home = np.broadcast_to(errors == (np.uint64(1 << (s - 1)) if s else np.uint64(0)), key.shape)
-                yield key.ravel(), np.repeat(fps[own], len(errors)), home.ravel()
+                yield key.ravel(), np.repeat(own, len(errors)), home.ravel()
+
+
+def differing(similar: float) -> float:
+    """The share of bits in which SimHash differs for sets of a similarity."""
+    return acos(2 * similar / (1 + similar)) / pi
+
+
+def most_bits(similar: float, bits: int, deviations: float = 3.5) -> int:
+    """Nearly all pairs of that similarity or more differ in so many of ``bits`` or fewer."""
+    p = differing(similar)
+    return ceil(bits * p + deviations * sqrt(bits * p * (1 - p)))
+
+
+def recall(similar: float, words: int = WIDE, bits: int = WIDE_BITS) -> float:
+    """The share of pairs with a similarity that meet: 1 bit or none of some block differs."""
+    p = differing(similar)
+    return 1 - (1 - (1 - p) ** bits - bits * p * (1 - p) ** (bits - 1)) ** (64 * words // bits)
 
 
 def _hot_links(fps: np.ndarray, home: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
@@ -248,76 +316,238 @@ def fingerprint_table(df: DataFrame, id_col: str, text_col: str, shingle: int =
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, fp long")
 
 
+def wide_table(df: DataFrame, id_col: str, text_col: str, shingle: int = WIDE_SHINGLE, words: int = WIDE) -> DataFrame:
+    """(id, v, n, w0, w1 …): the hash of each row's set of shingles, its size and its wide fingerprint."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in tv.slices(batches):
+            fps, name, size = wide_fingerprints(b.column(1).to_pylist(), shingle, words)
+            columns = [pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (name, size, *fps.T)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], ["id", "v", "n", *[f"w{k}" for k in range(words)]])
+        tv.trim()
+
+    rows = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, v long, n long, " + ", ".join(f"w{k} long" for k in range(words)))
+
+
 def fingerprint_links(fps: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
     """Links (a, b) that connect all distinct fingerprints within ``distance`` bits of each other."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for key, fp, home in anchors(_u64(b.column(0)), blocks, distance):
-                yield _batch(key=key, fp=fp, home=home)
+            own = _u64(b.column(0))
+            for key, row, home in anchors(own[:, None], block_bits(blocks), distance // blocks):
+                yield _batch(key=key, fp=own[row], home=home)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[tuple[np.ndarray, ...]] = []
-
-        def of(rows: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-            keys, fp, home = (np.concatenate(x) for x in zip(*rows, strict=True))
-            p, q = links(keys, fp, home, distance)
+        for keys, fp, home in _anchor_runs(batches):
+            p, q = links(keys, fp.view(np.uint64), home, distance)
             yield _batch(a=np.minimum(p, q), b=np.maximum(p, q))
-
-        for b in batches:
-            if not b.num_rows:
-                continue
-            new = _u64(b.column(0)), _u64(b.column(1)), np.asarray(b.column(2)).astype(bool)
-            # The last key's rows may go on in the next batch.
-            cut = int(np.searchsorted(new[0].view(np.int64), new[0].view(np.int64)[-1]))
-            if cut or (kept and kept[-1][0][-1] != new[0][0]):
-                yield from of([*kept, tuple(x[:cut] for x in new)])
-                kept = []
-            kept.append(tuple(x[cut:] for x in new))
-        if kept:
-            yield from of(kept)
         tv.trim()
 
     dealt = fps.select("fp").mapInArrow(deal, "key long, fp long, home boolean")
     return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "a long, b long")
 
 
+def _anchor_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """The columns of sorted batches (keys first), cut so that no key is cut."""
+    kept: list[tuple[np.ndarray, ...]] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        new = tuple(np.asarray(c) for c in b.columns)
+        # The last key's rows may go on in the next batch.
+        cut = int(np.searchsorted(new[0], new[0][-1]))
+        if cut or (kept and kept[-1][0][-1] != new[0][0]):
+            yield tuple(np.concatenate(x) for x in zip(*kept, tuple(x[:cut] for x in new), strict=True))
+            kept = []
+        kept.append(tuple(x[cut:] for x in new))
+    if kept:
+        yield tuple(np.concatenate(x) for x in zip(*kept, strict=True))
+
+
+def _meetings(keys: np.ndarray, v: np.ndarray, w: np.ndarray, home: np.ndarray, size: np.ndarray, label: np.ndarray, most: int, least: float, budget: int) -> tuple[np.ndarray, ...]:
+    """Pairs (a, b) to compare of each anchor, and the keys of anchors that have more.
+
+    Where few pairs meet, all are given. Of an anchor with more, each pair that joins
+    two components of its members, the nearest first, and with a ``budget`` that many
+    times as many nearest pairs as it has members.
+    """
+    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    ends = np.r_[starts[1:], len(keys)]
+    a, b, more = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
+    at_home = np.add.reduceat(home.astype(np.int64), starts)
+    for g in np.flatnonzero((ends - starts > 1) & (at_home > 0)):
+        own = slice(starts[g], ends[g])
+        vv, ww, ss, ll = v[own], w[own].view(np.uint64), size[own], label[own]
+        homes = np.flatnonzero(home[own])
+        limit = max(4, budget) * len(vv)
+        far, x, y = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        over = False
+        step = max(1, PAIRS // len(vv))
+        for k in range(0, len(homes), step):
+            i = homes[k : k + step]
+            d = np.bitwise_count(ww[i][:, None] ^ ww[None, :])
+            ok = (d <= most) & (ll[i][:, None] != ll[None, :])
+            ok &= np.minimum(ss[i][:, None], ss[None, :]) >= least * np.maximum(ss[i][:, None], ss[None, :]) - 1e-9
+            p, q = np.nonzero(ok)
+            far, x, y = np.r_[far, d[p, q]], np.r_[x, i[p]], np.r_[y, q]
+            if len(far) > limit:
+                over = True
+                nearest = np.argsort(far, kind="stable")[:limit]
+                far, x, y = far[nearest], x[nearest], y[nearest]
+        if over:
+            more.append(keys[starts[g]])
+            if not budget:
+                # The nearest pairs that join what is still apart.
+                order = np.argsort(far, kind="stable")
+                parent = list(range(len(vv)))
+
+                def root(i: int, parent: list[int] = parent) -> int:
+                    while parent[i] != i:
+                        parent[i] = parent[parent[i]]
+                        i = parent[i]
+                    return i
+
+                chosen = []
+                for e in order.tolist():
+                    i, j = root(x[e]), root(y[e])
+                    if i != j:
+                        parent[i] = j
+                        chosen.append(e)
+                x, y = x[chosen], y[chosen]
+        a.append(np.minimum(vv[x], vv[y]))
+        b.append(np.maximum(vv[x], vv[y]))
+    return np.concatenate(a), np.concatenate(b), np.array(more, np.int64)
+
+
+def similar_links(df: DataFrame, vertices: DataFrame, id_col: str, text_col: str, similar: float, shingle: int, words: int = WIDE) -> DataFrame:
+    """Links (a, b) between sets of shingles that connect all pairs which meet and have the similarity.
+
+    Pairs are chosen at the anchors by one word of their fingerprints, then by all words
+    and at last by their sets. In rounds: an anchor where very many meet first gives a
+    spanning set; when those are compared, it gives pairs of components that are still
+    apart, eight times as many in each round, until no anchor has any left.
+    """
+    most, whole, cuts = most_bits(similar, 64, 3), most_bits(similar, 64 * words), wide_bits(words)
+    fields = [f"w{k}" for k in range(words)]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            v, size = np.asarray(b.column(0)), np.asarray(b.column(1))
+            fps = np.stack([_u64(b.column(2 + k)) for k in range(words)], axis=1)
+            for key, row, home in anchors(fps, cuts, 1):
+                yield _batch(key=key, v=v[row], w=fps[row, 0], home=home, n=size[row].astype(np.int32))
+
+    def choose(budget: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for keys, v, w, home, size, label in _anchor_runs(batches):
+                a, b, more = _meetings(keys, v, w, home.astype(bool), size, label, most, similar, budget)
+                yield pa.RecordBatch.from_pydict({"a": pa.array(a), "b": pa.array(b), "key": pa.nulls(len(a), pa.int64())})
+                yield pa.RecordBatch.from_pydict({"a": pa.nulls(len(more), pa.int64()), "b": pa.nulls(len(more), pa.int64()), "key": pa.array(more)})
+            tv.trim()
+
+        return run
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.schema([("v", pa.int64()), ("s", pa.list_(pa.int64()))])
+        for b in tv.slices(batches):
+            for docs, made, h in shingle_sets(b.column(0).to_pylist(), shingle):
+                name = np.add.reduceat(tv.mix(h ^ _P4), np.cumsum(made) - made).view(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(made)].astype(np.int32)), pa.array(h.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(name), lists], schema=kind)
+        tv.trim()
+
+    dealt = vertices.select("v", "n", *fields).mapInArrow(deal, "key long, v long, w long, home boolean, n int")
+    labels = links_so_far = tested = asked = None
+    budget = 0
+    while True:
+        now = dealt if asked is None else dealt.join(asked, "key", "left_semi")
+        now = now.withColumn("label", F.col("v")) if labels is None else dealt_join(now, "v", labels, F.col("key"), "left").withColumn("label", F.coalesce("label", "v"))
+        now = now.select("key", "v", "w", "home", "n", "label").repartition("key").sortWithinPartitions("key")
+        met = written(now.mapInArrow(choose(budget), "a long, b long, key long"), "simhash-met")
+        pairs = met.filter("key IS NULL").select("a", "b").distinct()
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = written(pairs, "simhash-pairs")
+        bits = F.lit(0)
+        of = vertices.select("v", *fields)
+        both = dealt_join(pairs, "a", of.toDF("a", *[f"a_{f}" for f in fields]), F.col("b"))
+        both = dealt_join(both, "b", of.toDF("b", *[f"b_{f}" for f in fields]), F.col("a"))
+        for f in fields:
+            bits = bits + F.bit_count(F.col(f"a_{f}").bitwiseXOR(F.col(f"b_{f}")))
+        near = written(both.filter(bits <= whole).select("a", "b"), "simhash-near")
+        ends = written(near.select(F.explode(F.array("a", "b")).alias("v")).distinct(), "simhash-ends")
+        wanted = written(vertices.join(ends, "v", "left_semi").select(F.col("first_id").alias("id")), "simhash-wanted")
+        found = matched(df.select(id_col, text_col), id_col, wanted, "left_semi").select(text_col).mapInArrow(sets, "v long, s array<long>")
+        found = written(found.join(ends, "v", "left_semi").dropDuplicates(["v"]), "simhash-sets")
+        both = dealt_join(near, "a", found.toDF("a", "s_a"), F.col("b"))
+        both = dealt_join(both, "b", found.toDF("b", "s_b"), F.col("a"))
+        same = F.size(F.array_intersect("s_a", "s_b"))
+        alike = same / (F.size("s_a") + F.size("s_b") - same) >= F.lit(similar)
+        good = written(both.filter(alike).select("a", "b"), "simhash-links")
+        links_so_far = good if links_so_far is None else links_so_far.union(good)
+        asked = met.filter("key IS NOT NULL").select("key").distinct()
+        if asked.isEmpty():
+            return links_so_far
+        tested = pairs if tested is None else tested.union(pairs)
+        labels = written(connected_components(links_so_far).toDF("v", "label"), "simhash-labels")
+        budget = 8 * max(budget, 1)
+
+
 def near_duplicates(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, distance: int = DISTANCE, blocks: int = BLOCKS, shingle: int = SHINGLE
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
+    distance: int = DISTANCE, blocks: int = BLOCKS, shingle: int = SHINGLE, similar: float | None = None,
 ) -> DataFrame:
     """One row for each input row: id, fp (long), component_id (the least id reachable).
 
-    Equal fingerprints are one vertex, so copies never meet each other. Null texts and
-    texts without words have fingerprint 0. A component with only null ids has a null
-    ``component_id``. An empty table gives no rows.
-    """
+    Rows are linked whose fingerprints differ in ``distance`` bits or fewer or, with
+    ``similar``, whose sets of shingles have that Jaccard similarity (``fp`` then names
+    the set). Equal fingerprints or sets are one vertex, so copies never meet each other.
+    Null texts and texts without words have fingerprint 0 and are linked. A component
+    with only null ids has a null ``component_id``. Rows that repeat, with or without
+    other text, are rows of their own. An empty table gives no rows.
+    """
     ship(df.sparkSession)
-    rows = written(fingerprint_table(df, id_col, text_col, shingle), "simhash")
-    vertices = written(rows.groupBy("fp").agg(F.min("id").alias("first_id")), "simhash-distinct")
-    roots = written(connected_components(fingerprint_links(vertices, distance, blocks)), "simhash-roots")
-    linked = roots.join(vertices, roots.v == vertices.fp).select("v", "root", "first_id")
-    least = linked.groupBy("root").agg(F.min("first_id").alias("least"))
-    moved = roots.join(least, "root").select(F.col("v").alias("fp"), "least")
-    found = vertices.join(moved, "fp", "left").select("fp", F.coalesce("least", "first_id").alias("component_id"))
-    found = written(found, "simhash-components")
-    return rows.join(found, "fp").select("id", "fp", "component_id")
-
-
-def near_dedup_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
+    if similar is None:
+        rows = written(fingerprint_table(df, id_col, text_col, shingle).withColumnRenamed("fp", "v"), "simhash")
+        vertices = written(rows.groupBy("v").agg(F.min("id").alias("first_id")), "simhash-distinct")
+        found = fingerprint_links(vertices.select(F.col("v").alias("fp")), distance, blocks)
+    else:
+        rows = written(wide_table(df, id_col, text_col, shingle), "simhash-wide")
+        others = [c for c in rows.columns if c not in ("id", "v")]
+        vertices = written(rows.groupBy("v").agg(F.min("id").alias("first_id"), *[F.first(c).alias(c) for c in others]), "simhash-distinct")
+        found = similar_links(df, vertices, id_col, text_col, similar, shingle)
+    roots = written(connected_components(found), "simhash-roots")
+    linked = roots.join(vertices.select("v", "first_id"), "v")
+    least = written(summed(linked, "root", F.col("v"), "first_id").select("v", F.col("least_of_key").alias("least")), "simhash-least")
+    whole = vertices.join(least, "v", "left").select("v", F.coalesce("least", "first_id").alias("component_id"))
+    whole = written(whole, "simhash-components")
+    return dealt_join(rows.select("id", "v"), "v", whole, F.col("id")).select("id", F.col("v").alias("fp"), "component_id")
+
+
+def near_dedup_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: float) -> DataFrame:
+    """One row for each input row: id, fingerprint (16 digits) and component_id, as ``near_duplicates`` has them."""
     found = near_duplicates(df, id_col, text_col, **options)
     return found.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
-    """The input rows with the least id of each component, with all their columns; of rows that share it, one."""
-    found = written(
-        near_duplicates(df, id_col, text_col, **options).groupBy("id").agg(
-            F.max(F.col("id").eqNullSafe(F.col("component_id"))).alias("kept"), F.count(F.lit(1)).alias("n")
-        ), "simhash-kept",
+def near_deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: float) -> DataFrame:
+    """The input rows with the least id of each component, with all their columns.
+
+    Of rows that share that id, the first by a hash of all their columns stays. Rows
+    with a null id stay only where their component has no id, one of them. Columns may
+    have any names. An empty table gives no rows.
+    """
+    found = near_duplicates(df, id_col, text_col, **options).groupBy("id").agg(
+        F.max(F.col("id").eqNullSafe(F.col("component_id"))).alias("kept"), F.count(F.lit(1)).alias("n")
     )
-    drops = found.filter("not kept").select(F.col("id").alias("_drop_id"))
-    stay = df.join(drops, df[id_col].eqNullSafe(F.col("_drop_id")), "left_anti")
-    if found.filter("kept and n > 1").isEmpty():
+    found = written(found.filter("not kept or n > 1"), "simhash-kept")
+    stay = matched(df, id_col, written(found.filter("not kept").select("id"), "simhash-dropped"), "left_anti")
+    again = written(found.filter("kept and n > 1").select("id"), "simhash-again")
+    if again.isEmpty():
         return stay
-    row = F.struct(*[stay[c] for c in df.columns])
-    return stay.groupBy(F.col(id_col).alias("_id")).agg(F.first(row).alias("row")).select("row.*")
+    rows = matched(stay, id_col, again, "left_semi")
+    row = F.struct(*[rows[c] for c in rows.columns])
+    one = rows.select(row.alias("row"), F.xxhash64(F.to_json(row)).alias("order"), rows[id_col].alias("_id")).groupBy("_id").agg(F.min_by("row", "order").alias("row"))
+    return matched(stay, id_col, again, "left_anti").union(one.select("row.*"))
