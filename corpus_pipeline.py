@@ -1,4 +1,4 @@
-"""From raw documents to a mixed, encoded corpus: six stages, each written before the next reads it.
+"""From raw documents to a mixed, encoded corpus: five stages, each written before the next reads it.
 
 SQL cannot express the first stage's model nor the ids of the last, so there is no
 ORACLE_SQL; the tests hold each stage against a brute-force version.
@@ -14,7 +14,6 @@ from timberline.llm.quality import held_out
 from timberline.llm.queries import table, vocabulary
 from timberline.llm.runtime import written
 from timberline.llm.sentencepiece_trie import encoded
-from timberline.llm.shingles import without_similar
 from timberline.llm.simhash import near_deduplicated
 from timberline.llm.toxicity import Toxicity
 
@@ -31,16 +30,8 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, the document with the smallest doc_id."""
-    return near_deduplicated(docs)
-
-
-def without_similar_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with 0.8 or more of their five-word shingles in common, the one with the smallest doc_id.
-
-    Most of these are farther apart than the few bits of the fingerprints before.
-    """
-    return without_similar(docs)
+    """Of each group of documents with 0.8 or more of their five-word shingles in common, the one with the smallest doc_id."""
+    return near_deduplicated(docs, similar=0.8, shingle=5)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +48,6 @@ STAGES = [
     ("toxicity", without_toxic),
     ("exact_dedup", without_copies),
     ("simhash_near_dedup", without_near_copies),
-    ("shingle_near_dedup", without_similar_copies),
     ("mixing", mixed),
     ("sentencepiece", as_ids),
 ]
