@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,8 +47,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def matched(rows: DataFrame, id_col: str, marks: DataFrame, how: str, also: Callable[[Column, Column], Column] | None = None) -> DataFrame:
-    """The rows (``left_semi``) or other rows (``left_anti``) whose id is in ``marks.id``, null equal to null.
+def matched(rows: DataFrame, id_col: str, marks: DataFrame, how: str, also: Callable[[Column, Column], Column] | None = None, take: Sequence[str] = ()) -> DataFrame:
+    """The rows (``left_semi``) or other rows (``left_anti``) whose id is in ``marks.id``, null equal to null; ``inner`` adds the columns ``take`` of the mark.
 
     ``also(row, mark)`` is looked at only where ids are equal. ``marks`` should be a
     written table: it is counted, and broadcast where it is small, so that rows stay
@@ -60,7 +60,7 @@ def matched(rows: DataFrame, id_col: str, marks: DataFrame, how: str, also: Call
     if also:
         same &= also(F.col("row"), F.col("mark"))
     small = marks.count() <= BROADCAST_ROWS
-    return r.join(F.broadcast(m) if small else m, (r.key == m.mark_key) & same, how).select("row.*")
+    return r.join(F.broadcast(m) if small else m, (r.key == m.mark_key) & same, how).select("row.*", *[F.col("mark").getField(c).alias(c) for c in take])
 
 
 def _salted(rows: DataFrame, spread: Column) -> DataFrame:

@@ -8,16 +8,19 @@ within 1 + t bits, and is at home at the nearest one. If x and y differ in t bit
 fewer of a block, then y is also sent to the home of x, so that comparing those at home
 with all that were sent, anchor by anchor, finds every link.
 
+An anchor with very many members is cut into tiles, and each pair of tiles is a task.
+
 For near duplicates by similarity (``similar``), fingerprints have ``WIDE`` words and so
 many more blocks: a pair of that similarity differs in few bits of some block with a
-probability that ``recall`` states. What meets is then compared exactly, by the sets of
-shingles. Where most members of an anchor are close to each other, a spanning set of
-their pairs is compared first, and others only where components still differ.
+probability that ``recall`` states. Two words are compared at the anchors. What they
+connect is a candidate group, whose sets of shingles then decide, each pair of tiles of
+a group in one task: pairs in order of their distance over all words, but for those
+that are connected already. Tasks give links that span what they find, never all pairs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
 from math import acos, ceil, pi, sqrt
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import textvec as tv
 from .components import connected_components
-from .runtime import dealt_join, matched, ship, summed, written
+from .runtime import BROADCAST_ROWS, dealt_join, matched, ship, summed, written
 
 SEED = 42
 SHINGLE = 4
@@ -37,8 +40,12 @@ DISTANCE = 4
 BLOCKS = 3
 #: For similarity: words of a shingle, the least similarity, words of a fingerprint, and bits of a block, in which 1 may differ.
 WIDE_SHINGLE, SIMILAR, WIDE, WIDE_BITS = 5, 0.8, 5, 18
-#: Pairs compared at once.
-PAIRS = 1 << 21
+#: Pairs compared at once, and elements of sets looked up at once.
+PAIRS, ELEMENTS = 1 << 21, 1 << 18
+#: Members of an anchor that one task compares; elements of sets in a tile of a candidate group, and how many the least set counts as.
+HOT, TILE, LEAST_SET = 1 << 16, 1 << 19, 256
+#: Words compared at the anchors, and elements of a set in a row.
+MET, PIECE = 2, 1024
 
 _P1, _P2, _P3, _P4, _P5 = map(
     np.uint64, (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
@@ -235,7 +242,7 @@ def differing(similar: float) -> float:
     return acos(2 * similar / (1 + similar)) / pi
 
 
-def most_bits(similar: float, bits: int, deviations: float = 3.5) -> int:
+def most_bits(similar: float, bits: int, deviations: float = 2.5) -> int:
     """Nearly all pairs of that similarity or more differ in so many of ``bits`` or fewer."""
     p = differing(similar)
     return ceil(bits * p + deviations * sqrt(bits * p * (1 - p)))
@@ -247,52 +254,68 @@ def recall(similar: float, words: int = WIDE, bits: int = WIDE_BITS) -> float:
     return 1 - (1 - (1 - p) ** bits - bits * p * (1 - p) ** (bits - 1)) ** (64 * words // bits)
 
 
-def _hot_links(fps: np.ndarray, home: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that span what one large anchor's members form; at most one for each member."""
-    label = np.arange(len(fps))
-    a, b = [], []
-    for i in np.flatnonzero(home):
-        near = np.flatnonzero(np.bitwise_count(fps ^ fps[i]) <= distance)
-        roots, at = np.unique(label[near], return_index=True)
-        other = roots != label[i]
-        if other.any():
-            b.append(fps[near[at[other]]])
-            a.append(np.full(len(b[-1]), fps[i]))
-            label[np.isin(label, roots)] = label[i]
-    none = np.zeros(0, np.uint64)
-    return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
-
-
-def links(keys: np.ndarray, fps: np.ndarray, home: np.ndarray, distance: int = DISTANCE) -> tuple[np.ndarray, np.ndarray]:
-    """Links between members of each anchor; rows come sorted by key."""
+class Forest:
+    """What edges connect, and which of them span it."""
+
+    def __init__(self, n: int):
+        self.root = np.arange(n)
+
+    def add(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Places of the edges that connect what was apart."""
+        left, chosen = np.arange(len(x)), [np.zeros(0, np.int64)]
+        while True:
+            a, b = self.root[x[left]], self.root[y[left]]
+            apart = a != b
+            left, a, b = left[apart], a[apart], b[apart]
+            if not len(left):
+                return np.concatenate(chosen)
+            lo, hi = np.minimum(a, b), np.maximum(a, b)
+            order = np.lexsort((lo, hi))
+            first = order[np.r_[True, hi[order][1:] != hi[order][:-1]]]
+            chosen.append(left[first])
+            self.root[hi[first]] = lo[first]
+            while (self.root[self.root] != self.root).any():
+                self.root = self.root[self.root]
+
+
+def name_of(fps: np.ndarray) -> np.ndarray:
+    """One word of each row of words; of one word, the word itself."""
+    name = fps[:, 0]
+    for k in range(1, fps.shape[1]):
+        name = tv.mix(name ^ tv.mix(fps[:, k] + np.uint64(k)))
+    return name
+
+
+def links(
+    keys: np.ndarray, fps: np.ndarray, home: np.ndarray, distance: int = DISTANCE, sizes: np.ndarray | None = None, least: float = 0.0
+) -> tuple[np.ndarray, np.ndarray]:
+    """Names of linked members that span what is linked at each anchor; rows come sorted by key, ``fps`` has a column for each word.
+
+    Of sets with ``sizes``, those are compared of which one has ``least`` of the other's size.
+    """
+    fps = fps.reshape(len(keys), -1)
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-    sizes = np.diff(np.r_[starts, len(keys)])
-    group = np.repeat(np.arange(len(starts)), sizes)
-    at_home = np.add.reduceat(home.astype(np.int64), starts)
-    a, b = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
-    hot = set(np.flatnonzero(at_home * sizes > PAIRS).tolist())
-    left = np.flatnonzero(home & ~np.isin(group, list(hot)))
-    cost = np.cumsum(sizes[group[left]])
+    count = np.diff(np.r_[starts, len(keys)])
+    group = np.repeat(np.arange(len(starts)), count)
+    left = np.flatnonzero(home)
+    cost = np.cumsum(count[group[left]])
+    forest, xs, ys = Forest(len(keys)), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     while len(left):
-        n = max(1, int(np.searchsorted(cost, cost[0] - sizes[group[left[0]]] + PAIRS, "right")))
-        x = np.repeat(left[:n], sizes[group[left[:n]]])
-        y = tv.ranges(starts[group[left[:n]]], sizes[group[left[:n]]])
-        near = (np.bitwise_count(fps[x] ^ fps[y]) <= distance) & (fps[x] != fps[y])
+        n = max(1, int(np.searchsorted(cost, cost[0] - count[group[left[0]]] + PAIRS, "right")))
+        x = np.repeat(left[:n], count[group[left[:n]]])
+        y = tv.ranges(starts[group[left[:n]]], count[group[left[:n]]])
+        if sizes is not None:
+            fits = np.minimum(sizes[x], sizes[y]) >= least * np.maximum(sizes[x], sizes[y]) - 1e-9
+            x, y = x[fits], y[fits]
+        bits = sum(np.bitwise_count(w[x] ^ w[y]).astype(np.int16) for w in fps.T)
+        near = (bits <= distance) & (bits > 0)
         x, y = x[near], y[near]
-        # Where almost all are linked, a spanning set stands for the links.
-        found, n_links = np.unique(group[x], return_counts=True)
-        dense = found[n_links > 4 * sizes[found]]
-        hot.update(dense.tolist())
-        few = ~np.isin(group[x], dense)
-        a.append(fps[x[few]])
-        b.append(fps[y[few]])
+        span = forest.add(x, y)
+        xs.append(x[span])
+        ys.append(y[span])
         left, cost = left[n:], cost[n:]
-    for g in hot:
-        own = slice(starts[g], starts[g] + sizes[g])
-        p, q = _hot_links(fps[own], home[own], distance)
-        a.append(p)
-        b.append(q)
-    return np.concatenate(a), np.concatenate(b)
+    name = name_of(fps)
+    return name[np.concatenate(xs)], name[np.concatenate(ys)]
 
 
 def _u64(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -317,36 +340,64 @@ def fingerprint_table(df: DataFrame, id_col: str, text_col: str, shingle: int =
 
 
 def wide_table(df: DataFrame, id_col: str, text_col: str, shingle: int = WIDE_SHINGLE, words: int = WIDE) -> DataFrame:
-    """(id, v, n, w0, w1 …): the hash of each row's set of shingles, its size and its wide fingerprint."""
+    """(id, v, n, c, w0, w1 …): the hash of each row's set of shingles, its size, the name of the words compared at anchors, and all words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in tv.slices(batches):
             fps, name, size = wide_fingerprints(b.column(1).to_pylist(), shingle, words)
-            columns = [pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (name, size, *fps.T)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *columns], ["id", "v", "n", *[f"w{k}" for k in range(words)]])
+            columns = [pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (name, size, name_of(fps[:, :MET]), *fps.T)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], ["id", "v", "n", "c", *[f"w{k}" for k in range(words)]])
         tv.trim()
 
     rows = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, v long, n long, " + ", ".join(f"w{k} long" for k in range(words)))
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, v long, n long, c long, " + ", ".join(f"w{k} long" for k in range(words)))
 
 
-def fingerprint_links(fps: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
-    """Links (a, b) that connect all distinct fingerprints within ``distance`` bits of each other."""
+def _placed(dealt: DataFrame, words: list[str]) -> DataFrame:
+    """(place, mark, words): members by the anchor at which they are compared, or by a pair of tiles of an anchor with very many.
+
+    Of such an anchor, those at home go by their tile to each other tile, and all
+    members to each tile of homes, so that every home still meets every member.
+    """
+    hot = written(dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT).select("key", F.ceil(F.col("n") / HOT).alias("tiles")), "simhash-hot")
+    n = hot.count()
+    if not n:
+        return dealt.select(F.col("key").alias("place"), "mark", *words)
+    joined = dealt.join(F.broadcast(hot), "key", "left") if n <= BROADCAST_ROWS else dealt_join(dealt, "key", hot, F.col(words[0]), "left")
+    own, every = F.pmod(F.xxhash64(*words), F.col("tiles")), F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)
+    at_home = F.col("mark") % 2 == 1
+    pair = lambda i, j, mark: F.struct(F.xxhash64("key", i, j).alias("place"), mark.alias("mark"))
+    away = F.transform(every, lambda i: pair(i, own, F.col("mark") - F.col("mark") % 2))
+    both = F.when(at_home, F.concat(F.transform(every, lambda j: pair(own, j, F.col("mark"))), away)).otherwise(away)
+    one = F.array(F.struct(F.col("key").alias("place"), F.col("mark")))
+    return joined.select(F.explode(F.when(F.col("tiles").isNull(), one).otherwise(both)).alias("p"), *words).select("p.*", *words)
+
+
+def anchor_links(vertices: DataFrame, words: int, cuts: list[tuple[int, int]], t: int, distance: int, met: int = 1, least: float = 0.0) -> DataFrame:
+    """Links (a, b) that connect all rows (n, w0, w1 …) which meet and differ in ``distance`` bits or fewer of the first ``met`` words."""
+    fields = [f"w{k}" for k in range(words)]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own = _u64(b.column(0))
-            for key, row, home in anchors(own[:, None], block_bits(blocks), distance // blocks):
-                yield _batch(key=key, fp=own[row], home=home)
+            size, fps = np.asarray(b.column(0)), np.stack([_u64(c) for c in b.columns[1:]], axis=1)
+            for key, row, home in anchors(fps, cuts, t):
+                yield _batch(key=key, mark=2 * size[row] + home, **{f: fps[row, k] for k, f in enumerate(fields[:met])})
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, fp, home in _anchor_runs(batches):
-            p, q = links(keys, fp.view(np.uint64), home, distance)
+        for place, mark, *fps in _anchor_runs(batches):
+            sizes = mark >> 1 if least else None
+            p, q = links(place, np.stack([x.view(np.uint64) for x in fps], axis=1), (mark & 1).astype(bool), distance, sizes, least)
             yield _batch(a=np.minimum(p, q), b=np.maximum(p, q))
         tv.trim()
 
-    dealt = fps.select("fp").mapInArrow(deal, "key long, fp long, home boolean")
-    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "a long, b long")
+    kept = ", ".join(f"{f} long" for f in fields[:met])
+    dealt = vertices.select("n", *fields).mapInArrow(deal, f"key long, mark long, {kept}")
+    return _placed(dealt, fields[:met]).repartition("place").sortWithinPartitions("place").mapInArrow(compare, "a long, b long")
+
+
+def fingerprint_links(fps: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
+    """Links (a, b) that connect all distinct fingerprints (fp) within ``distance`` bits of each other."""
+    return anchor_links(fps.select(F.lit(0).cast("long").alias("n"), F.col("fp").alias("w0")), 1, block_bits(blocks), distance // blocks, distance)
 
 
 def _anchor_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
@@ -366,133 +417,139 @@ def _anchor_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray
         yield tuple(np.concatenate(x) for x in zip(*kept, strict=True))
 
 
-def _meetings(keys: np.ndarray, v: np.ndarray, w: np.ndarray, home: np.ndarray, size: np.ndarray, label: np.ndarray, most: int, least: float, budget: int) -> tuple[np.ndarray, ...]:
-    """Pairs (a, b) to compare of each anchor, and the keys of anchors that have more.
+def alike(words: np.ndarray, tile: np.ndarray, sizes: np.ndarray, values: np.ndarray, similar: float, cross: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that span what pairs of ``similar`` sets connect; with ``cross``, of pairs over two tiles.
 
-    Where few pairs meet, all are given. Of an anchor with more, each pair that joins
-    two components of its members, the nearest first, and with a ``budget`` that many
-    times as many nearest pairs as it has members.
+    ``values`` are the rows' sets one after another, each rising. Pairs whose distance
+    over all words, or whose sizes, leave no doubt are not looked at; the others come
+    nearest first, and only if they are still apart.
     """
-    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-    ends = np.r_[starts[1:], len(keys)]
-    a, b, more = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
-    at_home = np.add.reduceat(home.astype(np.int64), starts)
-    for g in np.flatnonzero((ends - starts > 1) & (at_home > 0)):
-        own = slice(starts[g], ends[g])
-        vv, ww, ss, ll = v[own], w[own].view(np.uint64), size[own], label[own]
-        homes = np.flatnonzero(home[own])
-        limit = max(4, budget) * len(vv)
-        far, x, y = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        over = False
-        step = max(1, PAIRS // len(vv))
-        for k in range(0, len(homes), step):
-            i = homes[k : k + step]
-            d = np.bitwise_count(ww[i][:, None] ^ ww[None, :])
-            ok = (d <= most) & (ll[i][:, None] != ll[None, :])
-            ok &= np.minimum(ss[i][:, None], ss[None, :]) >= least * np.maximum(ss[i][:, None], ss[None, :]) - 1e-9
-            p, q = np.nonzero(ok)
-            far, x, y = np.r_[far, d[p, q]], np.r_[x, i[p]], np.r_[y, q]
-            if len(far) > limit:
-                over = True
-                nearest = np.argsort(far, kind="stable")[:limit]
-                far, x, y = far[nearest], x[nearest], y[nearest]
-        if over:
-            more.append(keys[starts[g]])
-            if not budget:
-                # The nearest pairs that join what is still apart.
-                order = np.argsort(far, kind="stable")
-                parent = list(range(len(vv)))
-
-                def root(i: int, parent: list[int] = parent) -> int:
-                    while parent[i] != i:
-                        parent[i] = parent[parent[i]]
-                        i = parent[i]
-                    return i
-
-                chosen = []
-                for e in order.tolist():
-                    i, j = root(x[e]), root(y[e])
-                    if i != j:
-                        parent[i] = j
-                        chosen.append(e)
-                x, y = x[chosen], y[chosen]
-        a.append(np.minimum(vv[x], vv[y]))
-        b.append(np.maximum(vv[x], vv[y]))
-    return np.concatenate(a), np.concatenate(b), np.array(more, np.int64)
+    m, most = len(sizes), most_bits(similar, 64 * words.shape[1])
+    far, xs, ys = [], [], []
+    step = max(1, PAIRS // m)
+    for k in range(0, m, step):
+        own = np.arange(k, min(k + step, m))
+        d = sum(np.bitwise_count(w[own][:, None] ^ w[None, :]).astype(np.uint16) for w in words.T)
+        ok = (tile[own][:, None] < tile[None, :]) if cross else (own[:, None] < np.arange(m)[None, :])
+        ok &= (d <= most) & (np.minimum(sizes[own][:, None], sizes[None, :]) >= similar * np.maximum(sizes[own][:, None], sizes[None, :]) - 1e-9)
+        p, q = np.nonzero(ok)
+        far.append(d[p, q])
+        xs.append(own[p].astype(np.int32))
+        ys.append(q.astype(np.int32))
+    order = np.argsort(np.concatenate(far), kind="stable")
+    x, y = np.concatenate(xs)[order], np.concatenate(ys)[order]
+    # Elements that only one set has are in no intersection.
+    _, place, count = np.unique(values, return_inverse=True, return_counts=True)
+    kept = count[place] > 1
+    doc, n = np.repeat(np.arange(m), sizes)[kept], len(count)
+    place, common = place[kept], np.bincount(doc, minlength=m)
+    first, table = np.cumsum(common) - common, doc * n + place
+    forest, a, b = Forest(m), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    at, wide = 0, 1 << 16
+    while at < len(x):
+        i, j = x[at : at + wide], y[at : at + wide]
+        at += wide
+        while len(i):
+            apart = forest.root[i] != forest.root[j]
+            i, j = i[apart], j[apart]
+            less = np.where(common[i] <= common[j], i, j)
+            now = max(1, int(np.searchsorted(np.cumsum(common[less]), ELEMENTS, "right")))
+            p, q, less = i[:now], j[:now], less[:now]
+            if not len(p):
+                break
+            own, times = tv.ranges(first[less], common[less]), common[less]
+            asked = np.repeat((p + q - less).astype(np.int64), times) * n + place[own]
+            found = np.minimum(np.searchsorted(table, asked), max(len(table) - 1, 0))
+            hit = table[found] == asked if len(table) else np.zeros(0, bool)
+            same = np.bincount(np.repeat(np.arange(len(p)), times)[hit], minlength=len(p))
+            good = same / np.maximum(sizes[p] + sizes[q] - same, 1) >= similar
+            p, q = p[good], q[good]
+            span = forest.add(p, q)
+            a.append(p[span])
+            b.append(q[span])
+            i, j = i[now:], j[now:]
+    return np.concatenate(a), np.concatenate(b)
 
 
-def similar_links(df: DataFrame, vertices: DataFrame, id_col: str, text_col: str, similar: float, shingle: int, words: int = WIDE) -> DataFrame:
-    """Links (a, b) between sets of shingles that connect all pairs which meet and have the similarity.
+def _set_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """(v, tile, cross, part, sizes, values) of each place, whose rows come one after another."""
+    kept: list[tuple[np.ndarray, ...]] = []
+    last = None
 
-    Pairs are chosen at the anchors by one word of their fingerprints, then by all words
-    and at last by their sets. In rounds: an anchor where very many meet first gives a
-    spanning set; when those are compared, it gives pairs of components that are still
-    apart, eight times as many in each round, until no anchor has any left.
-    """
-    most, whole, cuts = most_bits(similar, 64, 3), most_bits(similar, 64 * words), wide_bits(words)
-    fields = [f"w{k}" for k in range(words)]
+    def whole() -> tuple[np.ndarray, ...]:
+        return tuple(np.concatenate(x) for x in zip(*kept, strict=True))
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            v, size = np.asarray(b.column(0)), np.asarray(b.column(1))
-            fps = np.stack([_u64(b.column(2 + k)) for k in range(words)], axis=1)
-            for key, row, home in anchors(fps, cuts, 1):
-                yield _batch(key=key, v=v[row], w=fps[row, 0], home=home, n=size[row].astype(np.int32))
+    for b in batches:
+        if not b.num_rows:
+            continue
+        place, *plain = (np.asarray(c) for c in b.columns[:5])
+        sizes, values = np.asarray(b.column(5).value_lengths()), np.asarray(b.column(5).flatten())
+        ends = np.cumsum(sizes)
+        cuts = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+        for lo, hi in zip(cuts, np.r_[cuts[1:], len(place)], strict=True):
+            if kept and place[lo] != last:
+                yield whole()
+                kept = []
+            last = place[lo]
+            kept.append((*(x[lo:hi] for x in plain), sizes[lo:hi], values[ends[lo] - sizes[lo] : ends[hi - 1]]))
+    if kept:
+        yield whole()
 
-    def choose(budget: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for keys, v, w, home, size, label in _anchor_runs(batches):
-                a, b, more = _meetings(keys, v, w, home.astype(bool), size, label, most, similar, budget)
-                yield pa.RecordBatch.from_pydict({"a": pa.array(a), "b": pa.array(b), "key": pa.nulls(len(a), pa.int64())})
-                yield pa.RecordBatch.from_pydict({"a": pa.nulls(len(more), pa.int64()), "b": pa.nulls(len(more), pa.int64()), "key": pa.array(more)})
-            tv.trim()
 
-        return run
+def similar_links(df: DataFrame, vertices: DataFrame, id_col: str, text_col: str, similar: float, shingle: int, words: int = WIDE) -> DataFrame:
+    """Links (a, b) between sets of shingles that connect all pairs which meet and have the similarity."""
+    fields = [f"w{k}" for k in range(words)]
+    near = written(anchor_links(vertices, words, wide_bits(words), 1, most_bits(similar, 64 * MET, 3), MET, similar), "simhash-near")
+    # Sets whose words at the anchors are equal are one vertex there.
+    groups = written(connected_components(near).toDF("c", "root"), "simhash-groups")
+    shared = vertices.groupBy("c").agg(F.count(F.lit(1)).alias("k")).join(groups, "c", "left").filter("root is not null or k > 1")
+    shared = written(shared.select("c", F.coalesce("root", "c").alias("root")), "simhash-shared")
+    members = written(dealt_join(vertices, "c", shared, F.col("v")).select("root", "v", F.col("first_id").alias("id"), "n", *fields), "simhash-members")
+    tiles = F.ceil(F.sum(F.greatest("n", F.lit(LEAST_SET))) / TILE).alias("tiles")
+    members = dealt_join(members, "root", members.groupBy("root").agg(tiles), F.col("v"))
+    members = written(members.withColumn("tile", F.pmod(F.xxhash64("v"), F.col("tiles"))), "simhash-tiles")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.schema([("v", pa.int64()), ("s", pa.list_(pa.int64()))])
+        kind = pa.schema([("root", pa.int64()), ("tiles", pa.int64()), ("tile", pa.int64()), ("v", pa.int64()), ("part", pa.int64()), ("s", pa.list_(pa.int64()))])
         for b in tv.slices(batches):
+            plain = [np.asarray(b.column(c)) for c in ("root", "tiles", "tile", "v")]
+            fps = np.stack([np.asarray(b.column(f)) for f in fields], axis=1)
             for docs, made, h in shingle_sets(b.column(0).to_pylist(), shingle):
-                name = np.add.reduceat(tv.mix(h ^ _P4), np.cumsum(made) - made).view(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(made)].astype(np.int32)), pa.array(h.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(name), lists], schema=kind)
+                first = np.cumsum(made) - made
+                own = np.add.reduceat(tv.mix(h ^ _P4), first).view(np.int64) == plain[3][docs]
+                # Another text of the same id is not the member's.
+                docs, made, first = docs[own], made[own], first[own]
+                if not len(docs):
+                    continue
+                pieces = -(-made // PIECE)
+                part = tv.ranges(np.zeros(len(docs), np.int64), pieces)
+                size = np.minimum(np.repeat(made, pieces) - part * PIECE, PIECE)
+                row = np.r_[docs, np.repeat(docs, pieces)]
+                values = np.r_[fps[docs].ravel(), h[tv.ranges(first, made)].view(np.int64)]
+                ends = np.cumsum(np.r_[0, np.full(len(docs), words), size])
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values))
+                yield pa.RecordBatch.from_arrays([*(pa.array(x[row]) for x in plain), pa.array(np.r_[np.full(len(docs), -1), part]), lists], schema=kind)
+        tv.trim()
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for v, tile, cross, part, size, values in _set_runs(batches):
+            # Rows come by v and part; part -1 has the words. A set that came twice counts once.
+            once = np.r_[True, (v[1:] != v[:-1]) | (part[1:] != part[:-1])]
+            fp = part == -1
+            of = np.repeat(once & fp, size), np.repeat(once & ~fp, size)
+            names = v[once & fp]
+            made = np.bincount(np.searchsorted(names, v[once & ~fp]), weights=size[once & ~fp], minlength=len(names)).astype(np.int64)
+            a, b = alike(values[of[0]].view(np.uint64).reshape(-1, words), tile[once & fp], made, values[of[1]].view(np.uint64), similar, bool(cross[0]))
+            yield _batch(a=np.minimum(names[a], names[b]), b=np.maximum(names[a], names[b]))
         tv.trim()
 
-    dealt = vertices.select("v", "n", *fields).mapInArrow(deal, "key long, v long, w long, home boolean, n int")
-    labels = links_so_far = tested = asked = None
-    budget = 0
-    while True:
-        now = dealt if asked is None else dealt.join(asked, "key", "left_semi")
-        now = now.withColumn("label", F.col("v")) if labels is None else dealt_join(now, "v", labels, F.col("key"), "left").withColumn("label", F.coalesce("label", "v"))
-        now = now.select("key", "v", "w", "home", "n", "label").repartition("key").sortWithinPartitions("key")
-        met = written(now.mapInArrow(choose(budget), "a long, b long, key long"), "simhash-met")
-        pairs = met.filter("key IS NULL").select("a", "b").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "simhash-pairs")
-        bits = F.lit(0)
-        of = vertices.select("v", *fields)
-        both = dealt_join(pairs, "a", of.toDF("a", *[f"a_{f}" for f in fields]), F.col("b"))
-        both = dealt_join(both, "b", of.toDF("b", *[f"b_{f}" for f in fields]), F.col("a"))
-        for f in fields:
-            bits = bits + F.bit_count(F.col(f"a_{f}").bitwiseXOR(F.col(f"b_{f}")))
-        near = written(both.filter(bits <= whole).select("a", "b"), "simhash-near")
-        ends = written(near.select(F.explode(F.array("a", "b")).alias("v")).distinct(), "simhash-ends")
-        wanted = written(vertices.join(ends, "v", "left_semi").select(F.col("first_id").alias("id")), "simhash-wanted")
-        found = matched(df.select(id_col, text_col), id_col, wanted, "left_semi").select(text_col).mapInArrow(sets, "v long, s array<long>")
-        found = written(found.join(ends, "v", "left_semi").dropDuplicates(["v"]), "simhash-sets")
-        both = dealt_join(near, "a", found.toDF("a", "s_a"), F.col("b"))
-        both = dealt_join(both, "b", found.toDF("b", "s_b"), F.col("a"))
-        same = F.size(F.array_intersect("s_a", "s_b"))
-        alike = same / (F.size("s_a") + F.size("s_b") - same) >= F.lit(similar)
-        good = written(both.filter(alike).select("a", "b"), "simhash-links")
-        links_so_far = good if links_so_far is None else links_so_far.union(good)
-        asked = met.filter("key IS NOT NULL").select("key").distinct()
-        if asked.isEmpty():
-            return links_so_far
-        tested = pairs if tested is None else tested.union(pairs)
-        labels = written(connected_components(links_so_far).toDF("v", "label"), "simhash-labels")
-        budget = 8 * max(budget, 1)
+    texts = matched(df.select(F.col(text_col).alias("text"), F.col(id_col).alias("id")), "id", members, "inner", take=["root", "tiles", "tile", "v", *fields])
+    found = texts.select("text", "root", "tiles", "tile", "v", *fields).mapInArrow(sets, "root long, tiles long, tile long, v long, part long, s array<long>")
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("other")
+    placed = found.select("root", "tile", "v", "part", "s", other).select(
+        F.xxhash64("root", F.least("tile", "other"), F.greatest("tile", "other")).alias("place"), "v", "tile", (F.col("tile") != F.col("other")).cast("long").alias("cross"), "part", "s"
+    )
+    return placed.repartition("place").sortWithinPartitions("place", "v", "part").mapInArrow(decide, "a long, b long")
 
 
 def near_duplicates(
@@ -518,6 +575,7 @@ def near_duplicates(
         others = [c for c in rows.columns if c not in ("id", "v")]
         vertices = written(rows.groupBy("v").agg(F.min("id").alias("first_id"), *[F.first(c).alias(c) for c in others]), "simhash-distinct")
         found = similar_links(df, vertices, id_col, text_col, similar, shingle)
+    found = written(found, "simhash-links")
     roots = written(connected_components(found), "simhash-roots")
     linked = roots.join(vertices.select("v", "first_id"), "v")
     least = written(summed(linked, "root", F.col("v"), "first_id").select("v", F.col("least_of_key").alias("least")), "simhash-least")
