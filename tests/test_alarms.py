@@ -55,6 +55,41 @@ def test_windows_equal_a_simulation(spark):
     assert W.window_stats(df.limit(0)).count() == 0
 
 
+def test_windows_forget_idle_templates(spark):
+    """Sessions are those of gaps looked at line by line, and windows by session start anew."""
+    rng = random.Random(7)
+    rows, at = [], {"a": 0, "b": 5, None: 9}
+    for k in range(400):
+        t = rng.choice(["a", "b", None])
+        at[t] += rng.choice([0, 3, 40, 900, 3599, 3600, 3601, 9000])
+        rows.append((k, t, rng.choice(["h1", "h2", None]), at[t]))
+    df = spark.createDataFrame(rows, "event_id long, template_id string, host string, sec long").withColumn("k", F.lit("own")).withColumn("b", F.lit(1))
+    session, last, want = {}, {}, {}
+    for event, t, _, sec in sorted(rows, key=lambda r: (r[3], r[0])):
+        session[t] = session.get(t, 0) + (t in last and sec - last[t] > 3600)
+        last[t], want[event] = sec, session[t]
+    with_sessions = W.idle_reset(df)
+    assert with_sessions.columns == [*df.columns, "session"]
+    assert {r.event_id: r.session for r in with_sessions.collect()} == want
+    got = {r.event_id: (r.short_total, r.long_total, r.distinct_hosts, r.first_seen_secs, r.span_secs) for r in W.window_stats(with_sessions, by=("template_id", "session")).collect()}
+    assert got == simulate_windows([(e, (t, want[e]), h, s) for e, t, h, s in rows])
+
+
+@pytest.mark.parametrize("config", [W.WindowConfig(short_bucket=7, short_buckets=4, long_bucket=45, long_buckets=3, host_span=100), W.WindowConfig(host_span=7)])
+def test_windows_of_any_shape(spark, config):
+    """Buckets that do not nest, and hosts' windows of any length."""
+    rng = random.Random(9)
+    rows = [(k, "t", rng.choice(["h1", "h2", "h3"]), rng.randint(0, 2000)) for k in range(400)]
+    df = spark.createDataFrame(rows, "event_id long, template_id string, host string, sec long")
+    got = {r.event_id: (r.short_total, r.long_total, r.distinct_hosts) for r in W.window_stats(df, config).collect()}
+    ordered = sorted((r[3], r[0], r[2]) for r in rows)
+    for n, (sec, event, _) in enumerate(ordered):
+        seen = ordered[: n + 1]
+        short = sum(s // config.short_bucket > sec // config.short_bucket - config.short_buckets for s, _, _ in seen)
+        long = sum(s // config.long_bucket > sec // config.long_bucket - config.long_buckets for s, _, _ in seen)
+        assert got[event] == (short, long, len({h for s, _, h in seen if sec - s < config.host_span}))
+
+
 @pytest.mark.parametrize("silence, cooldown", [(900, 1800), (300, 600), (10, 0), (60, 5000)])
 def test_alarms_equal_a_simulation(spark, silence, cooldown):
     rng = random.Random(silence)

@@ -1,9 +1,9 @@
 """Masking: one ordered alternation of slots, replaced in a single Catalyst expression.
 
-``regexp_replace`` has no callback, so the replacement must name the slot that matched.
-A dictionary of the slot names is appended to the line; each alternate captures its own
-name from it by lookahead, groups of other alternates are empty, and the first
-alternate eats the dictionary again.
+``regexp_replace`` has no callback, so that the replacement cannot name the slot that
+matched. It puts each alternate's group between separators, of which one group is not
+empty; the line is then split there, and a piece's place among the separators names its
+slot. A line is matched once, at a cost that grows with its length alone.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import hashlib
 import re
 import tomllib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cached_property
 
 import pandas as pd
@@ -23,6 +23,9 @@ VERSION = 1
 RESERVED = r"<VAR:([A-Z][A-Z0-9_]*)>"
 NAME = re.compile(r"[A-Z][A-Z0-9_]*")
 MOST_PATTERN_CHARS = 1 << 20
+SEPARATOR = "\x01"
+#: Separators and escapes in a line that has separators, as masking sees them.
+ESCAPES = (("\x04", "\x04\x06"), (SEPARATOR, "\x04\x05"))
 
 # The slots in order of precedence, and what each matches.
 DEFAULT_SLOTS = (
@@ -65,6 +68,8 @@ class Bundle:
 
     slots: tuple[Slot, ...]
     source: str = ""
+    #: What every match starts with, as a lookahead; most places of a line are then passed over at once. Empty: anything.
+    start: str = ""
 
     @classmethod
     def of(cls, *slots: tuple[str, str]) -> Bundle:
@@ -116,28 +121,45 @@ class Bundle:
         """Of the exact source text."""
         return "b_" + hashlib.sha256(self.source.encode()).hexdigest()
 
+    @property
+    def grouped(self) -> str:
+        """All slots, placeholders first, each as a group of its own."""
+        return self.start + "(?:" + "|".join(["(<VAR:[A-Z][A-Z0-9_]*>)", *(f"({s.pattern})" for s in self.slots)]) + ")"
+
+    @property
+    def separated(self) -> str:
+        """The replacement: all groups between separators."""
+        return SEPARATOR + "".join(f"${k}{SEPARATOR}" for k in range(1, len(self.slots) + 2))
+
     @property
     def alternation(self) -> str:
         """All slots, placeholders first, without capturing groups."""
         return "|".join(["<VAR:[A-Z][A-Z0-9_]*>", *(f"(?:{s.pattern})" for s in self.slots)])
 
 
-DEFAULT = Bundle.of(*DEFAULT_SLOTS)
+# Each slot above starts at a word boundary, or with a digit, a slash, a colon or a bracket; placeholders with theirs.
+DEFAULT = replace(Bundle.of(*DEFAULT_SLOTS), start=r"(?=\b|[\d/:\[<])")
 
 
 def mask(line: Column, bundle: Bundle = DEFAULT, unicode: bool = True) -> Column:
     """The template of a line: each match as ``<VAR:NAME>``; placeholders stay as they are."""
-    names = "\n\x01" + "".join(f"\x02{s.name}\x03" for s in bundle.slots)
-    alternates = [
-        r"\n\x01[\s\S]*$",
-        RESERVED,
-        *(f"(?:{s.pattern})(?=[\\s\\S]*\\x02({s.name})\\x03)" for s in bundle.slots),
-    ]
-    replacement = "<VAR:" + "".join(f"${k}" for k in range(1, len(bundle.slots) + 2)) + ">"
-    # The text itself must not look like the dictionary.
-    clean = F.replace(line, F.lit("\n\x01"), F.lit("\n\x04"))
-    masked = F.regexp_replace(F.concat(clean, F.lit(names)), ("(?U)" if unicode else "") + "|".join(alternates), replacement)
-    return F.replace(masked.substr(F.lit(1), F.length(masked) - len("<VAR:>")), F.lit("\n\x04"), F.lit("\n\x01"))
+    flag = "(?U)" if unicode else ""
+    odd = F.contains(line, F.lit(SEPARATOR))
+    clean, tags = line, F.array(*(F.lit(f"<VAR:{s.name}>") for s in bundle.slots))
+    for old, new in ESCAPES:
+        clean = F.replace(clean, F.lit(old), F.lit(new))
+    pieces_ = F.split(F.regexp_replace(F.when(odd, clean).otherwise(line), flag + bundle.grouped, bundle.separated), SEPARATOR, -1)
+
+    def named(piece: Column, i: Column) -> Column:
+        # Of each match: nothing, a placeholder, then one piece for each slot; text is before and after.
+        k = i % (len(bundle.slots) + 2)
+        return F.when(k <= 1, piece).when(piece == "", piece).otherwise(F.get(tags, k - 2))
+
+    out = F.array_join(F.transform(pieces_, named), "")
+    back = out
+    for old, new in reversed(ESCAPES):
+        back = F.replace(back, F.lit(new), F.lit(old))
+    return F.when(odd, back).otherwise(out)
 
 
 def matches(line: Column, bundle: Bundle = DEFAULT, unicode: bool = True) -> Column:
@@ -207,11 +229,11 @@ def pieces(template: Column) -> Column:
 
 
 def register(spark, bundle: Bundle = DEFAULT) -> None:
-    """Make ``mask_line(line)`` and ``template_id(template)`` callable from SQL, as expressions."""
+    """Make ``mask_line(line)`` and ``template_id(template)`` callable from SQL, as expressions; lines have no control character 1."""
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION template_id(t STRING) RETURNS STRING RETURN concat('t_', sha2(t, 256))")
-    quoted = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
-    names = "\n\x01" + "".join(f"\x02{s.name}\x03" for s in bundle.slots)
-    alternates = [r"\n\x01[\s\S]*$", RESERVED, *(f"(?:{s.pattern})(?=[\\s\\S]*\\x02({s.name})\\x03)" for s in bundle.slots)]
-    replacement = "<VAR:" + "".join(f"${k}" for k in range(1, len(bundle.slots) + 2)) + ">"
-    body = f"regexp_replace(concat(line, {quoted(names)}), {quoted('(?U)' + '|'.join(alternates))}, {quoted(replacement)})"
-    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION mask_line(line STRING) RETURNS STRING RETURN substring({body}, 1, length({body}) - 6)")
+    quoted = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    tags = ", ".join(quoted(f"<VAR:{s.name}>") for s in bundle.slots)
+    found = f"split(regexp_replace(line, {quoted('(?U)' + bundle.grouped)}, {quoted(bundle.separated)}), {quoted(SEPARATOR)})"
+    k = f"i % {len(bundle.slots) + 2}"
+    body = f"array_join(transform({found}, (piece, i) -> CASE WHEN {k} <= 1 OR piece = '' THEN piece ELSE get(array({tags}), {k} - 2) END), '')"
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION mask_line(line STRING) RETURNS STRING RETURN {body}")

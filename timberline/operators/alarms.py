@@ -2,7 +2,9 @@
 
 Once open, an alarm lives as long as its key's gated lines keep coming within the
 silence interval. So it is the part of such an island from the first trigger on, and
-episodes that follow one another within the cooldown are one alarm.
+episodes that follow one another within the cooldown are one alarm. Islands and alarms
+are found from blocks of time, so that a (template, host) with a third of all lines is
+dealt over as many tasks as it has blocks.
 """
 
 from __future__ import annotations
@@ -48,19 +50,43 @@ def gated(lines: DataFrame, c: AlarmConfig = AlarmConfig()) -> DataFrame:
     )
 
 
+def islands(gated_lines: DataFrame, c: AlarmConfig = AlarmConfig()) -> DataFrame:
+    """(_key, _block, trig, episode, episode_no, alarm_no, ends): the blocks of each key that belong to an alarm.
+
+    Blocks as long as the silence hold no gap longer than it, so that islands are told
+    from the first and last second of each block, and no key's lines are ever ordered
+    as a whole. ``trig`` is the place (sec, event_id) from which an island's lines are
+    live, ``ends`` its last second.
+    """
+    place = F.struct("sec", "event_id")
+    blocks = _blocked(gated_lines, c).groupBy("_key", "_block").agg(F.min("sec").alias("first"), F.max("sec").alias("last"), F.min(F.when(F.col("trig"), place)).alias("trig"))
+    order = Window.partitionBy("_key").orderBy("_block")
+    blocks = blocks.withColumn("joined", F.coalesce(F.col("first") - F.lag("last").over(order) <= c.silence, F.lit(False)))
+    blocks = blocks.withColumn("island", F.sum((~F.col("joined")).cast("long")).over(order))
+    live = blocks.groupBy("_key", "island").agg(F.min("trig").alias("trig"), F.max("last").alias("ends")).filter("trig is not null")
+    by_key = Window.partitionBy("_key").orderBy("island")
+    apart = F.coalesce(F.col("trig.sec") - (F.lag("ends").over(by_key) + c.silence) > c.cooldown, F.lit(True))
+    live = live.withColumns({"apart": apart, "episode_no": F.row_number().over(by_key).cast("long")}).withColumn("alarm_no", F.sum(F.col("apart").cast("long")).over(by_key))
+    found = blocks.select("_key", "_block", "island", "last").join(live, ["_key", "island"]).filter(F.col("last") >= F.col("trig.sec"))
+    return found.select("_key", "_block", "trig", F.col("trig.sec").alias("episode"), "episode_no", "alarm_no", "ends")
+
+
+def _blocked(gated_lines: DataFrame, c: AlarmConfig) -> DataFrame:
+    return gated_lines.select(F.struct(*KEY).alias("_key"), F.floor(F.col("sec") / max(1, c.silence)).alias("_block"), *gated_lines.columns)
+
+
+def _live(gated_lines: DataFrame, c: AlarmConfig) -> DataFrame:
+    """The lines that belong to an alarm, with ``_key``, ``_block`` and what ``islands`` tells of their block."""
+    marks = islands(gated_lines, c).withColumnRenamed("trig", "live_from")
+    return _blocked(gated_lines, c).join(marks, ["_key", "_block"]).filter(F.struct("sec", "event_id") >= F.col("live_from"))
+
+
 def episodes(gated_lines: DataFrame, c: AlarmConfig = AlarmConfig()) -> DataFrame:
-    """The lines that belong to an alarm, with ``episode`` (its first second) and ``alarm_no`` within their key."""
-    order = Window.partitionBy(*KEY).orderBy("sec", "event_id")
-    gap = F.col("sec") - F.lag("sec").over(order)
-    marked = gated_lines.withColumn("_gap", gap).withColumn("_island", F.sum(F.when(F.col("_gap") <= c.silence, 0).otherwise(1)).over(order))
-    within = Window.partitionBy(*KEY, "_island").orderBy("sec", "event_id")
-    live = marked.withColumn("_open", F.max(F.col("trig").cast("int")).over(within.rowsBetween(Window.unboundedPreceding, Window.currentRow))).filter("_open = 1")
-    first = Window.partitionBy(*KEY, "_island")
-    live = live.withColumn("episode", F.min("sec").over(first))
-    before = F.lag("sec").over(order)
-    starts = F.col("_before").isNull() | (F.col("_new_island") & (F.col("episode") - (F.col("_before") + c.silence) > c.cooldown))
-    live = live.withColumns({"_before": before, "_new_island": ~F.lag("_island").over(order).eqNullSafe(F.col("_island"))})
-    return live.withColumn("alarm_no", F.sum(starts.cast("int")).over(order).cast("long")).drop("_gap", "_open", "_before", "_new_island")
+    """The lines that belong to an alarm, with ``episode`` (its first second) and ``alarm_no`` within their key.
+
+    ``gated_lines`` are read twice, once by a few columns; written ones are made once.
+    """
+    return _live(gated_lines, c).select(*gated_lines.columns, "episode", "episode_no", "alarm_no")
 
 
 def alarm_id(first_event: Column) -> Column:
@@ -73,7 +99,7 @@ def alarms(gated_lines: DataFrame, c: AlarmConfig = AlarmConfig(), now: Column |
     found = rows.groupBy(*KEY, "alarm_no").agg(
         F.min(F.struct("sec", "event_id")).alias("first"), F.max("sec").alias("last_sec"), F.count(F.lit(1)).alias("count"), F.max("rank").alias("rank"),
         F.min_by("template", F.struct("sec", "event_id")).alias("template"), F.min_by("raw", F.struct("sec", "event_id")).alias("exemplar"),
-        F.countDistinct("episode").alias("episodes"),
+        (F.max("episode_no") - F.min("episode_no") + 1).alias("episodes"),
     )
     found = found.select(
         alarm_id(F.col("first.event_id")).alias("alarm_id"), *KEY, "template", "exemplar", severity_name(F.col("rank")).alias("severity"), F.lit("Dashboard").alias("lane"),
@@ -90,24 +116,33 @@ def open_alarms(found: DataFrame) -> DataFrame:
 
 
 def changelog(gated_lines: DataFrame, c: AlarmConfig = AlarmConfig(), now: Column | None = None) -> DataFrame:
-    """(alarm_id, at_sec, event_id, op, count, severity): Raised for a start or a revival, Updated, Cleared."""
-    rows = episodes(gated_lines, c)
-    per_alarm = Window.partitionBy(*KEY, "alarm_no")
-    order = per_alarm.orderBy("sec", "event_id")
-    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    first = F.first("event_id").over(so_far)
-    is_first = F.row_number().over(Window.partitionBy(*KEY, "episode").orderBy("sec", "event_id")) == 1
-    lines = rows.withColumns({"_id": first, "_raised": is_first, "count": F.row_number().over(order).cast("long"), "_rank": F.max("rank").over(so_far)})
-    events = lines.select(
-        alarm_id(F.col("_id")).alias("alarm_id"), F.col("sec").alias("at_sec"), "event_id", F.when(F.col("_raised"), "Raised").otherwise("Updated").alias("op"),
-        "count", severity_name(F.col("_rank")).alias("severity"),
+    """(alarm_id, at_sec, event_id, op, count, severity): Raised for a start or a revival, Updated, Cleared.
+
+    Lines are counted within their block; what an alarm had before comes from sums of blocks.
+    """
+    rows = _live(gated_lines, c)
+    place = F.struct("sec", "event_id")
+    blocks = rows.groupBy("_key", "_block", "alarm_no", "episode", "ends").agg(F.count(F.lit(1)).alias("n"), F.max("rank").alias("worst"), F.min(place).alias("first"))
+    before = Window.partitionBy("_key", "alarm_no").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("_key", "alarm_no")
+    blocks = blocks.withColumns({
+        "n_before": F.coalesce(F.sum("n").over(before), F.lit(0)), "worst_before": F.max("worst").over(before),
+        "id": F.min("first").over(whole)["event_id"],
+    })
+    order = Window.partitionBy("_key", "_block").orderBy("sec", "event_id")
+    dealt = rows.select("_key", "_block", "sec", "event_id", "rank", "live_from", *KEY).repartition("_key", "_block")
+    counted = dealt.withColumns({"place": F.row_number().over(order), "so_far": F.max("rank").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))})
+    lines = counted.join(blocks.select("_key", "_block", "n_before", "worst_before", "id"), ["_key", "_block"])
+    # Of lines with equal places, one raises.
+    raised = F.col("place") == F.min(F.when(place == F.col("live_from"), F.col("place"))).over(Window.partitionBy("_key", "_block"))
+    events = lines.withColumn("raised", raised).select(
+        alarm_id(F.col("id")).alias("alarm_id"), F.col("sec").alias("at_sec"), "event_id", F.when(F.col("raised"), "Raised").otherwise("Updated").alias("op"),
+        (F.col("n_before") + F.col("place")).alias("count"), severity_name(F.greatest("worst_before", "so_far")).alias("severity"),
     )
-    ends = lines.groupBy(*KEY, "episode").agg(
-        F.max_by(F.struct("_id", "sec", "count", "_rank"), F.struct("sec", "event_id")).alias("e")
-    )
-    cleared = ends.select(
-        alarm_id(F.col("e._id")).alias("alarm_id"), (F.col("e.sec") + c.silence).alias("at_sec"), F.lit(None).cast("long").alias("event_id"),
-        F.lit("Cleared").alias("op"), F.col("e.count").alias("count"), severity_name(F.col("e._rank")).alias("severity"),
+    ends = blocks.groupBy("_key", "alarm_no", "episode").agg(F.max_by(F.struct("id", "ends", (F.col("n_before") + F.col("n")).alias("n"), F.greatest("worst_before", "worst").alias("worst")), "_block").alias("e"))
+    cleared = ends.select("_key.*", "e").select(
+        alarm_id(F.col("e.id")).alias("alarm_id"), (F.col("e.ends") + c.silence).alias("at_sec"), F.lit(None).cast("long").alias("event_id"),
+        F.lit("Cleared").alias("op"), F.col("e.n").alias("count"), severity_name(F.col("e.worst")).alias("severity"),
     )
     if now is not None:
         cleared = cleared.filter(F.col("at_sec") < now)

@@ -1,12 +1,15 @@
 """Sliding statistics of each template, for each line.
 
-Counts come from sums of buckets plus a line's place in its own bucket; hosts from
-blocks as long as the window, to each of which the block before is copied. So a
-template with a third of all lines is dealt over as many tasks as it has minutes.
+Lines are dealt once, by template and block of time (five minutes), so that a template
+with a third of all lines goes to as many tasks as it has blocks. Within a block, hosts
+come and go in order of time and one running sum counts them; to counts, sums of
+buckets are added, which are few. What the block before leaves is each host's last line.
 """
 
 from __future__ import annotations
 
+import math
+
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -37,48 +40,63 @@ def seconds(lines: DataFrame, at: str = "received_at", origin: Column | None = N
     return lines.withColumn("sec", passed).drop("_origin")
 
 
-def _before(buckets: DataFrame, key: str, n: int) -> DataFrame:
-    w = Window.partitionBy("template_id").orderBy(key).rangeBetween(-(n - 1), -1)
-    return buckets.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0)))
+def _before(buckets: DataFrame, at: str, reach: int) -> Column:
+    """Lines of the ``reach`` - 1 buckets before, less those of this block before the bucket."""
+    near = F.sum("n").over(Window.partitionBy("k").orderBy(at).rangeBetween(-(reach - 1), -1))
+    own = F.sum("n").over(Window.partitionBy("k", "b").orderBy(at).rowsBetween(Window.unboundedPreceding, -1))
+    return F.coalesce(near, F.lit(0)) - F.coalesce(own, F.lit(0))
+
+
+def _bases(rows: DataFrame, c: WindowConfig) -> DataFrame:
+    """For each block (k, b) with lines: what to add to a line's place in it, by short and by long bucket, and the key's first second."""
+    buckets = [F.floor(F.col("sec") / c.short_bucket).alias("s"), F.floor(F.col("sec") / c.long_bucket).alias("l")]
+    both = rows.select("k", "b", "sec", *buckets).groupBy("k", "b", "s", "l").agg(F.count(F.lit(1)).alias("n"), F.min("sec").alias("first"))
+    short = both.groupBy("k", "b", "s").agg(F.sum("n").alias("n"))
+    long = both.groupBy("k", "b", "l").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+    shorts = short.select("k", "b", F.struct("s", _before(short, "s", c.short_buckets)).alias("e")).groupBy("k", "b").agg(F.map_from_entries(F.collect_list("e")).alias("shorts"))
+    ever = F.min("first").over(Window.partitionBy("k"))
+    longs = long.select("k", "b", F.struct("l", _before(long, "l", c.long_buckets)).alias("e"), ever.alias("first")).groupBy("k", "b")
+    return shorts.join(longs.agg(F.map_from_entries(F.collect_list("e")).alias("longs"), F.min("first").alias("first")), ["k", "b"])
 
 
-def window_stats(lines: DataFrame, c: WindowConfig = WindowConfig()) -> DataFrame:
+def window_stats(lines: DataFrame, c: WindowConfig = WindowConfig(), by: tuple[str, ...] = ("template_id",)) -> DataFrame:
     """Adds short_total, long_total, distinct_hosts, first_seen_secs and span_secs to (template_id, host, sec, event_id) rows.
 
-    A line counts those before it and itself, in order of (sec, event_id). Windows are
-    never forgotten; see ``idle_reset``. Null hosts are no hosts.
+    A line counts those before it and itself, in order of (sec, event_id). Windows
+    belong to ``by``; with ``("template_id", "session")`` after ``idle_reset`` they
+    forget a template that was idle. Null hosts are no hosts and null keys are a key.
+    ``lines`` are read three times, two of them by a few columns, so that lines which
+    cost something to make should be written first.
     """
-    rows = lines.withColumns({"_s": F.floor(F.col("sec") / c.short_bucket), "_l": F.floor(F.col("sec") / c.long_bucket)})
-    short = _before(rows.groupBy("template_id", "_s").agg(F.count(F.lit(1)).alias("n")), "_s", c.short_buckets).select("template_id", "_s", F.col("before").alias("_sb"))
-    long_n = rows.groupBy("template_id", "_l").agg(F.count(F.lit(1)).alias("n"), F.min("sec").alias("first"))
-    ever = Window.partitionBy("template_id").orderBy("_l").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    long = _before(long_n.withColumn("_first", F.min("first").over(ever)), "_l", c.long_buckets).select("template_id", "_l", F.col("before").alias("_lb"), "_first")
-    in_short = Window.partitionBy("template_id", "_l", "_s").orderBy("sec", "event_id")
-    in_long = Window.partitionBy("template_id", "_l").orderBy("sec", "event_id")
-    rows = rows.withColumns({"_sn": F.row_number().over(in_short), "_ln": F.row_number().over(in_long)})
-    rows = rows.join(long, ["template_id", "_l"]).join(short, ["template_id", "_s"])
-    # Hosts of earlier seconds, from this block and the one before; then those of the same second.
-    block = F.floor(F.col("sec") / c.host_span)
-    hosts = rows.filter("host is not null").select("template_id", "sec", "host").distinct()
-    near = hosts.select("template_id", "sec", "host", F.explode(F.array(block, block + 1)).alias("_b"))
-    seen = near.groupBy("template_id", "_b", "sec").agg(F.collect_set("host").alias("own"))
-    past = Window.partitionBy("template_id", "_b").orderBy("sec").rangeBetween(-(c.host_span - 1), -1)
-    seconds_ = rows.select("template_id", "sec", block.alias("_b")).distinct()
-    earlier = (
-        seen.join(seconds_.withColumn("_ask", F.lit(True)), ["template_id", "_b", "sec"], "full")
-        .withColumn("_past", F.array_distinct(F.flatten(F.collect_list("own").over(past))))
-        .filter("_ask")
-        .select("template_id", "sec", "_past")
-    )
-    now = Window.partitionBy("template_id", "sec").orderBy("event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("_now", F.collect_set("host").over(now)).join(earlier, ["template_id", "sec"])
-    return rows.select(
-        *lines.columns,
-        (F.col("_sb") + F.col("_sn")).cast("long").alias("short_total"),
-        (F.col("_lb") + F.col("_ln")).cast("long").alias("long_total"),
-        F.size(F.array_union(F.coalesce("_past", F.array().cast("array<string>")), "_now")).cast("long").alias("distinct_hosts"),
-        F.col("_first").cast("long").alias("first_seen_secs"),
-        F.least(F.col("sec") - F.col("_first"), F.lit(c.longest_span)).cast("long").alias("span_secs"),
+    # Blocks hold whole buckets and are no shorter than the hosts' window.
+    width = math.lcm(c.short_bucket, c.long_bucket)
+    width *= -(-c.host_span // width)
+    block = F.floor(F.col("sec") / width)
+    rows = lines.select(F.struct(*[lines[x] for x in by]).alias("k"), block.alias("b"), "sec", "event_id", "host", F.struct(*[lines[x] for x in lines.columns]).alias("row"))
+    # A host's last line of a block may still count in the next one.
+    last = rows.filter("host is not null").groupBy("k", "b", "host").agg(F.max("sec").alias("sec")).filter((F.col("b") + 1) * width - F.col("sec") < c.host_span)
+    dealt = rows.unionByName(last.withColumn("b", F.col("b") + 1), allowMissingColumns=True).repartition("k", "b")
+    own = Window.partitionBy("k", "b", "host").orderBy("sec", F.col("event_id").asc_nulls_first())
+    known, hosted = F.col("row").isNotNull(), F.col("host").isNotNull()
+    old, new = F.lag("sec").over(own), F.lead("sec").over(own)
+    marked = dealt.withColumns({
+        "came": (hosted & F.coalesce(F.col("sec") - old >= c.host_span, F.lit(True))).cast("long"),
+        "left": hosted & F.coalesce(new - F.col("sec") >= c.host_span, F.lit(True)),
+    })
+    # A host comes with the first line of a run and leaves once its last line is out of the window.
+    came = F.struct(F.col("sec").alias("at"), F.lit(1).alias("kind"), F.col("came").alias("hosts"), known.cast("long").alias("line"), F.col("row").alias("row"))
+    left = F.struct((F.col("sec") + c.host_span).alias("at"), F.lit(0).alias("kind"), F.lit(-1).cast("long").alias("hosts"), F.lit(0).cast("long").alias("line"), F.lit(None).cast(lines.schema).alias("row"))
+    steps = marked.select("k", "b", "event_id", F.explode(F.when(F.col("left"), F.array(came, left)).otherwise(F.array(came))).alias("x")).select("k", "b", "event_id", "x.*")
+    so_far = Window.partitionBy("k", "b").orderBy("at", "kind", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = steps.withColumns({"hosts": F.sum("hosts").over(so_far), "line": F.sum("line").over(so_far)}).filter(known)
+    base = lambda m, size: F.element_at(m, F.floor(F.col("at") / size)) + F.col("line")
+    return placed.join(_bases(rows, c), ["k", "b"]).select(
+        "row.*",
+        base("shorts", c.short_bucket).alias("short_total"),
+        base("longs", c.long_bucket).alias("long_total"),
+        F.col("hosts").alias("distinct_hosts"),
+        F.col("first").alias("first_seen_secs"),
+        F.least(F.col("at") - F.col("first"), F.lit(c.longest_span)).alias("span_secs"),
     )
 
 
@@ -92,16 +110,28 @@ def triggered(c: WindowConfig = WindowConfig()) -> Column:
 def idle_reset(lines: DataFrame, c: WindowConfig = WindowConfig()) -> DataFrame:
     """Adds ``session``: counts up where a template was idle for more than ``idle`` seconds.
 
-    For windows that forget, partition by (template_id, session); ``stalest_first``
-    orders templates as they would be forgotten.
+    Blocks as long as that hold no such gap, so that sessions are told from the first
+    and last second of each block alone. ``window_stats`` forgets with ``by`` of
+    (template_id, session).
     """
-    order = Window.partitionBy("template_id").orderBy("sec", "event_id")
-    gap = F.col("sec") - F.lag("sec").over(order)
-    return lines.withColumn("_new", (gap > c.idle).cast("int")).withColumn("session", F.coalesce(F.sum("_new").over(order), F.lit(0)).cast("long")).drop("_new")
+    rows = lines.select(F.struct("template_id").alias("k"), F.floor(F.col("sec") / c.idle).alias("b"), F.struct(*[lines[x] for x in lines.columns]).alias("row"), "sec")
+    order = Window.partitionBy("k").orderBy("b")
+    blocks = rows.groupBy("k", "b").agg(F.min("sec").alias("first"), F.max("sec").alias("last"))
+    new = F.coalesce((F.col("first") - F.lag("last").over(order) > c.idle).cast("long"), F.lit(0))
+    sessions = blocks.withColumn("new", new).select("k", "b", F.sum("new").over(order).alias("session"))
+    return rows.join(sessions, ["k", "b"]).select("row.*", "session")
 
 
 def stalest_first(lines: DataFrame, keep: int) -> DataFrame:
-    """The templates over the cap, those seen least recently first."""
+    """The templates over the cap, those seen least recently first.
+
+    The last second that stays is found from counts of templates by second, and only
+    templates of that second are ordered among each other.
+    """
     last = lines.groupBy("template_id").agg(F.max("sec").alias("last_seen"))
-    place = F.row_number().over(Window.orderBy(F.col("last_seen").desc(), F.col("template_id").desc()))
-    return last.withColumn("place", place.cast("long")).filter(F.col("place") > keep).orderBy("last_seen", "template_id")
+    by_second = last.groupBy("last_seen").agg(F.count(F.lit(1)).alias("n"))
+    newer = F.coalesce(F.sum("n").over(Window.orderBy(F.col("last_seen").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.row_number().over(Window.partitionBy("last_seen").orderBy(F.col("template_id").desc()))
+    seconds_ = by_second.withColumn("newer", newer).filter(F.col("newer") + F.col("n") > keep).select("last_seen", "newer")
+    placed = last.join(seconds_, "last_seen").withColumn("place", (F.col("newer") + place).cast("long"))
+    return placed.filter(F.col("place") > keep).select("template_id", "last_seen", "place").orderBy("last_seen", "template_id")

@@ -14,6 +14,7 @@ from ..operators import board, metrics, neighbours, synth
 from ..operators import verdicts as V
 from ..operators import windows as W
 from ..operators.drain import assign, similarity
+from ..runtime import spread, written
 from ..sources import files, journal, otlp, syslog
 from . import lines as L
 from .lines import ALL_SQL, EVENTS_SQL, HISTORY_SQL, STATS_SQL, VERDICTS_SQL, quoted, sql_mask, table, with_
@@ -239,7 +240,7 @@ def contextual_flag(spark, sf):
 
 def _stat(name: str):
     def run(spark, sf):
-        return W.window_stats(L.event_lines(spark, sf)).select("event_id", name)
+        return W.window_stats(L.stored_lines(spark, sf)).select("event_id", name)
 
     run.__name__ = {"short_total": "window_short", "long_total": "window_long", "distinct_hosts": "window_hosts", "span_secs": "window_span"}[name]
     return query(with_(EVENTS_SQL, STATS_SQL) + f"SELECT event_id, {name} FROM st")(run)
@@ -251,7 +252,7 @@ for _name in ("short_total", "long_total", "distinct_hosts", "span_secs"):
 
 @query(with_(EVENTS_SQL, STATS_SQL) + f"SELECT event_id, {L.TRIGGER_SQL} AS triggered FROM st")
 def window_trigger(spark, sf):
-    return W.window_stats(L.event_lines(spark, sf)).select("event_id", W.triggered().alias("triggered"))
+    return W.window_stats(L.stored_lines(spark, sf)).select("event_id", W.triggered().alias("triggered"))
 
 
 @query("WITH l AS (SELECT event_id, user_id, CAST(floor((epoch_us(ts) - min(epoch_us(ts)) OVER ()) / CAST(1000000 AS DOUBLE)) AS BIGINT) AS sec FROM events), m AS (SELECT *, sec - lag(sec) OVER (PARTITION BY user_id ORDER BY sec, event_id) AS gap FROM l) SELECT event_id, CAST(sum(CASE WHEN gap > 3600 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY sec, event_id) AS BIGINT) AS session FROM m")
@@ -269,13 +270,15 @@ def stalest_templates(spark, sf):
 # Alarms
 
 
-def _gated(spark, sf):
-    return A.gated(L.judged_lines(spark, sf))
+def _gated(spark, sf, lines=None):
+    """Written, as alarms read them twice."""
+    return written(A.gated(L.judged_lines(spark, sf, lines)), "gated")
 
 
-def _alarms(spark, sf):
-    now = L.event_lines(spark, sf).agg(F.max("sec").alias("_now"))
-    return A.alarms(_gated(spark, sf)).crossJoin(F.broadcast(now)).withColumn("open", F.col("clears_sec") >= F.col("_now")).drop("_now")
+def _alarms(spark, sf, lines=None):
+    lines = L.stored_lines(spark, sf) if lines is None else lines
+    now = lines.agg(F.max("sec").alias("_now"))
+    return A.alarms(_gated(spark, sf, lines)).crossJoin(F.broadcast(now)).withColumn("open", F.col("clears_sec") >= F.col("_now")).drop("_now")
 
 
 @query(ALL_SQL + "SELECT template_id, host, CAST(alarm_no AS BIGINT) AS alarm_no, episode, count(*) AS lines FROM rw GROUP BY ALL")

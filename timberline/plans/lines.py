@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.mask import DEFAULT, Bundle, mask
 from ..functions.text import template_id
 from ..operators.windows import seconds, window_stats
+from ..runtime import spread, written
 
 #: Judgments by event type: severity, actionable, contextual. ``view`` is unjudged.
 VERDICTS = {"error": (3.0, 0.95, 0.1), "purchase": (2.0, 0.80, 0.7), "signup": (1.0, 0.90, 0.2), "click": (0.2, 0.60, 0.1)}
@@ -28,7 +29,7 @@ def plain(df: DataFrame) -> DataFrame:
 
 def event_lines(spark: SparkSession, sf_dir: str, squeeze: int = SQUEEZE) -> DataFrame:
     """event_id, received_at, host, raw, event_type, template, template_id, sec."""
-    e = table(spark, sf_dir, "events")
+    e = spread(table(spark, sf_dir, "events"))
     raw = F.concat(
         F.lit("app["), F.col("user_id").cast("string"), F.lit("]: "), "event_type", F.lit(" event "), F.col("event_id").cast("string"), F.lit(" took "),
         F.floor(F.col("value") * 100).cast("long").cast("string"), F.lit("ms"),
@@ -51,13 +52,18 @@ def verdict_rows(spark: SparkSession) -> DataFrame:
     return v.unionByName(later)
 
 
-def judged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stored_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event lines, masked once and written, for what reads them more than once."""
+    return written(event_lines(spark, sf_dir), "lines")
+
+
+def judged_lines(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
     """Event lines with window statistics and their judgment (null where unjudged)."""
-    return window_stats(event_lines(spark, sf_dir)).join(F.broadcast(verdicts(spark)), "template_id", "left")
+    return window_stats(stored_lines(spark, sf_dir) if lines is None else lines).join(F.broadcast(verdicts(spark)), "template_id", "left")
 
 
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders")
+    o = spread(table(spark, sf_dir, "orders"))
     raw = F.concat(
         F.lit("order "), F.col("o_orderkey").cast("string"), F.lit(" for customer "), F.col("o_custkey").cast("string"), F.lit(" placed at "),
         F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"), F.lit(" status "), "o_orderstatus", F.lit(" priority "), "o_orderpriority",
@@ -67,7 +73,7 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each non-empty line of each document."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"))
     return d.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "raw")).filter("raw <> ''")
 
 

@@ -1,13 +1,14 @@
-"""Shipping this package to Python workers."""
+"""Shipping this package to Python workers, and tables in the shared folder."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _PACKAGE = Path(__file__).resolve().parent
 
@@ -23,3 +24,39 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(_PACKAGE.parent))
     sc.addPyFile(path)
     sc._timberline_shipped = True
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors see.
+
+    It is what the session names in ``spark.checkpoint.dir``. Only where that is
+    unset, as in local tests, a temporary folder of this machine takes its place.
+    """
+    sc = spark.sparkContext
+    found = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
+    if not found:
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="timberline-"))
+        found = sc.getCheckpointDir()
+    return found.rstrip("/")
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write rows as Parquet in the shared folder and read them back.
+
+    What several branches read is then made once, and a lost executor costs the tasks
+    it ran, not what came before. The rows stay until the folder is emptied, since
+    results are lazy.
+    """
+    path = new_folder(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of fewer partitions than the cluster has cores, dealt out; others as they are. For work that needs much CPU a row."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
