@@ -84,3 +84,40 @@ def test_recall_is_what_is_stated():
         cuts = simhash.wide_bits()
         at = [{(int(k), int(r)) for keys, rows, home in simhash.anchors(x, cuts, 1) for k, r in zip(keys[home] if own else keys, rows[home] if own else rows)} for x, own in ((base, True), (base ^ flip, False))]
         assert abs(len({r for _, r in at[0] & at[1]}) / 2000 - simhash.recall(similar)) < 0.03 or len({r for _, r in at[0] & at[1]}) / 2000 > simhash.recall(similar)
+
+
+def test_hot_anchors_and_tiles_change_nothing(spark, monkeypatch):
+    """Anchors of over 20 members and candidate groups are cut into many tiles."""
+    monkeypatch.setattr(simhash, "HOT", 20)
+    monkeypatch.setattr(simhash, "TILE", 4096)
+    texts = texts_with_near_copies(2, 120)
+    sets = [plain(t) for t in texts]
+    want = roots(len(texts), [(i, j) for i, j in combinations(range(len(texts)), 2) if similarity(sets[i], sets[j]) >= 0.8])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.id: r.component_id for r in simhash.near_duplicates(df, similar=0.8, shingle=5).collect()}
+    assert [got[k] for k in range(len(texts))] == want
+
+
+def test_hot_anchors_of_fingerprints_change_nothing(spark, monkeypatch):
+    texts = texts_with_near_copies(4, 150)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {r.id: r.component_id for r in simhash.near_duplicates(df).collect()}
+    monkeypatch.setattr(simhash, "HOT", 10)
+    assert {r.id: r.component_id for r in simhash.near_duplicates(df).collect()} == want
+
+
+@pytest.mark.parametrize("cross, elements", [(False, 1 << 18), (False, 50), (True, 300)])
+def test_alike_spans_what_brute_force_connects(monkeypatch, cross, elements):
+    monkeypatch.setattr(simhash, "ELEMENTS", elements)
+    monkeypatch.setattr(simhash, "PAIRS", 1000)
+    texts = [t for t in texts_with_near_copies(6, 30) if plain(t)]
+    sets = list(simhash.shingle_sets(texts, 5))
+    sizes, values = np.concatenate([s[1] for s in sets]), np.concatenate([s[2] for s in sets])
+    tile = np.arange(len(texts)) % 2
+    words = simhash.wide_fingerprints(texts)[0]
+    a, b = simhash.alike(words, tile, sizes, values, 0.8, cross)
+    own = [plain(t) for t in texts]
+    pairs = [(i, j) for i, j in combinations(range(len(texts)), 2) if not cross or tile[i] != tile[j]]
+    near = {(i, j) for i, j in pairs if similarity(own[i], own[j]) >= 0.8}
+    found = [(min(i, j), max(i, j)) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+    assert set(found) <= near and roots(len(texts), found) == roots(len(texts), near) and len(found) < len(texts)
