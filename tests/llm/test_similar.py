@@ -121,3 +121,12 @@ def test_alike_spans_what_brute_force_connects(monkeypatch, cross, elements):
     near = {(i, j) for i, j in pairs if similarity(own[i], own[j]) >= 0.8}
     found = [(min(i, j), max(i, j)) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
     assert set(found) <= near and roots(len(texts), found) == roots(len(texts), near) and len(found) < len(texts)
+
+
+def test_thinned_links_connect_the_same():
+    rng = np.random.default_rng(3)
+    parts = [tuple(rng.integers(0, 300, (2, 50), np.int64).view(np.uint64)) for _ in range(20)]
+    for most in (1 << 18, 60):
+        got = [(int(a), int(b)) for p, q in simhash.thinned(iter(parts), most) for a, b in zip(p, q, strict=True)]
+        assert roots(300, got) == roots(300, [(int(a), int(b)) for p, q in parts for a, b in zip(p, q, strict=True)])
+        assert most == 60 or len(got) < 300

@@ -289,8 +289,9 @@ def name_of(fps: np.ndarray) -> np.ndarray:
 def links(
     keys: np.ndarray, fps: np.ndarray, home: np.ndarray, distance: int = DISTANCE, sizes: np.ndarray | None = None, least: float = 0.0
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Names of linked members that span what is linked at each anchor; rows come sorted by key, ``fps`` has a column for each word.
+    """Names of linked members that span what is linked at any anchor; rows come sorted by key, ``fps`` has a column for each word.
 
+    Members hang on the least name that they are linked to, so that anchors give much the same links.
     Of sets with ``sizes``, those are compared of which one has ``least`` of the other's size.
     """
     fps = fps.reshape(len(keys), -1)
@@ -299,7 +300,8 @@ def links(
     group = np.repeat(np.arange(len(starts)), count)
     left = np.flatnonzero(home)
     cost = np.cumsum(count[group[left]])
-    forest, xs, ys = Forest(len(keys)), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    names, own = np.unique(name_of(fps), return_inverse=True)
+    forest, xs, ys = Forest(len(names)), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     while len(left):
         n = max(1, int(np.searchsorted(cost, cost[0] - count[group[left[0]]] + PAIRS, "right")))
         x = np.repeat(left[:n], count[group[left[:n]]])
@@ -309,13 +311,31 @@ def links(
             x, y = x[fits], y[fits]
         bits = sum(np.bitwise_count(w[x] ^ w[y]).astype(np.int16) for w in fps.T)
         near = (bits <= distance) & (bits > 0)
-        x, y = x[near], y[near]
+        x, y = own[x[near]], own[y[near]]
         span = forest.add(x, y)
         xs.append(x[span])
         ys.append(y[span])
         left, cost = left[n:], cost[n:]
-    name = name_of(fps)
-    return name[np.concatenate(xs)], name[np.concatenate(ys)]
+    return names[np.concatenate(xs)], names[np.concatenate(ys)]
+
+
+def thinned(found: Iterator[tuple[np.ndarray, np.ndarray]], most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links that span all links of a task; no more than about ``most`` are held."""
+    a = b = np.zeros(0, np.uint64)
+
+    def span() -> tuple[np.ndarray, np.ndarray]:
+        names, place = np.unique(np.r_[a, b], return_inverse=True)
+        kept = Forest(len(names)).add(place[: len(a)], place[len(a) :])
+        return a[kept], b[kept]
+
+    for p, q in found:
+        a, b = np.r_[a, p], np.r_[b, q]
+        if len(a) > most:
+            a, b = span()
+            if len(a) > most // 2:
+                yield a, b
+                a = b = np.zeros(0, np.uint64)
+    yield span()
 
 
 def _u64(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -384,9 +404,12 @@ def anchor_links(vertices: DataFrame, words: int, cuts: list[tuple[int, int]], t
                 yield _batch(key=key, mark=2 * size[row] + home, **{f: fps[row, k] for k, f in enumerate(fields[:met])})
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for place, mark, *fps in _anchor_runs(batches):
-            sizes = mark >> 1 if least else None
-            p, q = links(place, np.stack([x.view(np.uint64) for x in fps], axis=1), (mark & 1).astype(bool), distance, sizes, least)
+        def found() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for place, mark, *fps in _anchor_runs(batches):
+                sizes = mark >> 1 if least else None
+                yield links(place, np.stack([x.view(np.uint64) for x in fps], axis=1), (mark & 1).astype(bool), distance, sizes, least)
+
+        for p, q in thinned(found()):
             yield _batch(a=np.minimum(p, q), b=np.maximum(p, q))
         tv.trim()
 
