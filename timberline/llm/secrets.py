@@ -3,12 +3,14 @@
 Positions come from splitting a text at a pattern: the pieces and matches in turn add
 up to code-point offsets. Candidate strings are scanned once with a window whose
 character counts change by one character in and one out; the sum of c*log2(c) is kept
-in integers, so that no rounding depends on the order of the additions.
+in integers, so that no rounding depends on the order of the additions. Time grows with
+the length of a text and of its candidates.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -68,74 +70,106 @@ CLASSES = (
     CharClass("base64_entropy", _UPPER + _LOWER + _DIGITS + "+/=_-", 3.7),
 )
 
-#: Candidates that hold any of these are no secrets: no digit, no letter, UUIDs, alphabets in order, placeholders, words and numbers in a row.
+#: Candidates with any of these are no secrets: no digit, no letter, UUIDs, alphabets in order, placeholders.
 ALLOWED = (
     r"^[^0-9]*$",
     r"^[^A-Za-z]*$",
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"0123456789|abcdefghij|ABCDEFGHIJ",
     r"EXAMPLE|example",
-    r"^([A-Za-z]+|[0-9]+)([-_/=+]+([A-Za-z]+|[0-9]+))*[-_/=+]*$",
 )
+#: Nor are words and numbers in a row: they start with one, and no letter stands beside a digit. No pattern repeats a group, which would need stack for each repeat.
+IN_A_ROW, MIXED = r"^[A-Za-z0-9][A-Za-z0-9_/=+-]*$", r"[A-Za-z][0-9]|[0-9][A-Za-z]"
+#: Sums of piece lengths are kept for blocks of so many matches.
+BLOCK = 256
+
+
+def allowed(value: Column) -> Column:
+    return value.rlike("|".join(ALLOWED)) | (value.rlike(IN_A_ROW) & ~value.rlike(MIXED))
+
+
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is evaluated once."""
+    return F.get(F.transform(F.array(value), f), 0)
 
 
 def _spans(text: Column, kind: str, rank: int, regex: str, group: int = 0, least: int = 0) -> Column:
     """Array of (start, rank, end, kind, value) of the matches, in code points."""
-    found = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
-    groups = F.regexp_extract_all(text, F.lit(regex), F.lit(group)) if group else found
-    gaps = F.split(text, regex, -1)
     none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,value:string>>")
+    found = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
+    groups = F.regexp_extract_all(text, F.lit(regex), F.lit(group)) if group else F.lit(None)
+    steps = F.zip_with(F.split(text, regex, -1), found, lambda gap, m: F.struct(F.length(gap).alias("gap"), F.coalesce(F.length(m), F.lit(0)).alias("size")))
+    add = lambda acc, x: acc + x["gap"] + x["size"]
+
+    def placed(z: Column) -> Column:
+        n = F.size(z["found"])
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")), lambda k: F.aggregate(F.slice(z["steps"], k * BLOCK + 1, F.lit(BLOCK)), F.lit(0), add))
+        sums = F.aggregate(blocks, F.array(F.lit(0)), lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + x))
+
+        def row(starts: Column) -> Column:
+            def one(m: Column, i: Column) -> Column:
+                k = F.floor(i / BLOCK).cast("int")
+                start = F.aggregate(F.slice(z["steps"], k * BLOCK + 1, i % BLOCK), F.get(starts, k), add) + F.get(z["steps"], i)["gap"]
+                value = F.get(z["groups"], i) if group else m
+                return _let(start, lambda at: F.struct(at.alias("start"), F.lit(rank).alias("rank"), (at + F.length(m)).alias("end"), F.lit(kind).alias("kind"), value.alias("value")))
 
-    def add(acc: Column, i: Column) -> Column:
-        start = acc["at"] + F.length(F.get(gaps_, i))
-        end = start + F.length(F.get(found_, i))
-        row = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), F.get(groups_, i).alias("value"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(row)).alias("out"))
+            return F.transform(z["found"], one)
 
-    def walk(parts: Column) -> Column:
-        nonlocal found_, gaps_, groups_
-        found_, gaps_, groups_ = parts["found"], parts["gaps"], parts["groups"]
-        return F.aggregate(F.sequence(F.lit(0), F.size(found_) - 1), F.struct(F.lit(0).alias("at"), none.alias("out")), add, lambda acc: acc["out"])
+        return _let(sums, row)
 
-    found_ = gaps_ = groups_ = None
-    parts = F.struct(found.alias("found"), gaps.alias("gaps"), groups.alias("groups"))
-    spans = F.when(text.rlike(regex), F.get(F.transform(F.array(parts), walk), 0)).otherwise(none)
+    z = F.struct(found.alias("found"), groups.alias("groups"), steps.alias("steps"))
+    spans = F.when(text.rlike(regex), _let(z, placed)).otherwise(none)
     return F.filter(spans, lambda s: F.length(s["value"]) >= least) if least else spans
 
 
+#: Counts of the characters of a window, 5 bits each, so many to a word.
+BITS, PER_WORD = 5, 12
+
+
 def _suspicious(value: Column, c: CharClass) -> Column:
-    """(first, last) of the suspicious windows in a candidate, as 1-based character places; 0 if there is none."""
+    """(first, last) of the suspicious windows in a candidate, as 1-based character places; 0 if there is none.
+
+    Counts are packed into a few words, so that a step changes as few numbers however
+    long the candidate or its alphabet is. A window has fewer than 2**BITS characters.
+    """
     logs = F.array(*map(F.lit, c.logs))
-    size = len(c.alphabet)
+    n_words = -(-len(c.alphabet) // PER_WORD)
+    word = lambda k: F.floor(k / PER_WORD).cast("int")
+    shift = lambda k: (k % PER_WORD * BITS).cast("int")
 
     def scan(codes: Column) -> Column:
         def step(z: Column, i: Column) -> Column:
-            new, old = F.get(codes, i), F.coalesce(F.get(codes, F.when(i >= c.window, i - c.window)), F.lit(0))
-            n_new, n_old = F.element_at(z["counts"], new), F.element_at(z["counts"], F.when(old > 0, old))
-            gain = F.get(logs, n_new + 1) - F.get(logs, n_new)
-            loss = F.coalesce(F.get(logs, n_old) - F.get(logs, n_old - 1), F.lit(0))
+            return _let(F.struct(F.get(codes, i).alias("new"), F.get(codes, F.when(i >= c.window, i - c.window)).alias("old")), lambda x: moved(z, i, x["new"], x["old"]))
+
+        def moved(z: Column, i: Column, new: Column, old: Column) -> Column:
+            words = F.array(*[z[f"w{k}"] for k in range(n_words)])
+            count = lambda k: F.call_function("shiftright", F.get(words, word(k)), shift(k)).bitwiseAND(F.lit((1 << BITS) - 1).cast("long")).cast("int")
+            gain = _let(count(new), lambda n: F.get(logs, n + 1) - F.get(logs, n))
+            loss = F.when(old.isNull(), 0).otherwise(_let(count(old), lambda n: F.get(logs, n) - F.get(logs, n - 1)))
+            one = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), shift(k))
+            here = lambda k, j: F.when(word(k) == j, one(k)).otherwise(F.lit(0).cast("long"))
             total = F.when(new == old, z["sum"]).otherwise(z["sum"] + gain - loss)
-            counts = F.transform(z["counts"], lambda n, j: n + (j + 1 == new).cast("int") - (j + 1 == old).cast("int"))
-            hit = (i + 1 >= c.window) & (total <= c.most)
-            return F.struct(
-                counts.alias("counts"),
-                total.alias("sum"),
-                F.when(hit & (z["last"] == 0), i + 2 - c.window).otherwise(z["first"]).alias("first"),
-                F.when(hit, i + 1).otherwise(z["last"]).alias("last"),
-            )
-
-        zero = F.struct(
-            F.array_repeat(F.lit(0), size).alias("counts"), F.lit(0).alias("sum"), F.lit(0).alias("first"), F.lit(0).alias("last")
-        )
+
+            def out(total: Column) -> Column:
+                hit = (i + 1 >= c.window) & (total <= c.most)
+                return F.struct(
+                    *[(z[f"w{k}"] + here(new, k) - F.coalesce(here(old, k), F.lit(0).cast("long"))).alias(f"w{k}") for k in range(n_words)],
+                    total.alias("sum"),
+                    F.when(hit & (z["last"] == 0), i + 2 - c.window).otherwise(z["first"]).alias("first"),
+                    F.when(hit, i + 1).otherwise(z["last"]).alias("last"),
+                )
+
+            return _let(total, out)
+
+        zero = F.struct(*[F.lit(0).cast("long").alias(f"w{k}") for k in range(n_words)], *[F.lit(0).alias(x) for x in ("sum", "first", "last")])
         return F.aggregate(F.sequence(F.lit(0), F.size(codes) - 1), zero, step, lambda z: F.struct(z["first"].alias("first"), z["last"].alias("last")))
 
-    codes = F.transform(F.sequence(F.lit(1), F.length(value)), lambda i: F.instr(F.lit(c.alphabet), F.substring(value, i, F.lit(1))))
-    return F.get(F.transform(F.array(codes), scan), 0)
+    return _let(F.transform(F.split(value, ""), lambda ch: F.instr(F.lit(c.alphabet), ch) - 1), scan)
 
 
 def entropy_spans(text: Column, c: CharClass, rank: int) -> Column:
     """Spans from the first to the last suspicious window of each candidate that is not on the allow list."""
-    candidates = F.filter(_spans(text, c.kind, rank, c.regex), lambda s: ~s["value"].rlike("|".join(ALLOWED)))
+    candidates = F.filter(_spans(text, c.kind, rank, c.regex), lambda s: ~allowed(s["value"]))
 
     def shrink(s: Column) -> Column:
         return F.get(
@@ -168,12 +202,14 @@ def scan(df: DataFrame, text_col: str = "text", out: str = "secrets") -> DataFra
     """
     text = F.coalesce(df[text_col], F.lit(""))
     base = F.array_sort(F.concat(*[_spans(text, p.kind, k, p.regex, p.group, p.least) for k, p in enumerate(PATTERNS)]))
-    found = df.select("*", base.alias("_base"), *[entropy_spans(text, c, len(PATTERNS) + k).alias(f"_e{k}") for k, c in enumerate(CLASSES)])
-    spans = F.col("_base")
+    # Columns of the input may have any names, so they go in a struct of their own.
+    row = F.struct(*[df[c] for c in df.columns]).alias("row")
+    found = df.select(row, base.alias("base"), *[entropy_spans(text, c, len(PATTERNS) + k).alias(f"e{k}") for k, c in enumerate(CLASSES)])
+    spans = F.col("base")
     for k in range(len(CLASSES)):
-        found = found.withColumn("_spans", F.concat(spans, _apart(F.col(f"_e{k}"), spans)))
-        spans = F.col("_spans")
-    return found.select(*[df[c] for c in df.columns], F.struct(F.col("_base").alias("base"), F.array_sort("_spans").alias("spans")).alias(out))
+        found = found.withColumn("spans", F.concat(spans, _apart(F.col(f"e{k}"), spans)))
+        spans = F.col("spans")
+    return found.select("row.*", F.struct("base", F.array_sort("spans").alias("spans")).alias(out))
 
 
 def report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -196,11 +232,11 @@ FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, regexp_ex
 WHERE len(g[i]) >= {least}"""
 
     base = " UNION ALL ".join(found(p.regex, k, p.kind, p.group, p.least) for k, p in enumerate(PATTERNS))
-    allowed = " AND ".join(f"NOT regexp_matches(v, {q(x)})" for x in ALLOWED)
+    no_secret = " AND ".join(f"NOT regexp_matches(v, {q(x)})" for x in ALLOWED) + f" AND NOT (regexp_matches(v, {q(IN_A_ROW)}) AND NOT regexp_matches(v, {q(MIXED)}))"
     parts, before = [], "SELECT doc_id, a, b FROM base"
     for k, c in enumerate(CLASSES):
         logs = "[" + ", ".join(map(str, c.logs)) + "]"
-        parts.append(f"""c{k} AS (SELECT *, row_number() OVER () AS cid FROM ({found(c.regex, len(PATTERNS) + k, c.kind, 0, 0)}) WHERE {allowed}),
+        parts.append(f"""c{k} AS (SELECT *, row_number() OVER () AS cid FROM ({found(c.regex, len(PATTERNS) + k, c.kind, 0, 0)}) WHERE {no_secret}),
 w{k} AS (SELECT cid, unnest(range(1, len(v) - {c.window} + 2)) AS i, v FROM c{k}),
 h{k} AS (SELECT cid, i, sum({logs}[n + 1]) AS s FROM (SELECT cid, i, ch, count(*) AS n FROM (SELECT cid, i, unnest(string_split(v[i:i + {c.window - 1}], '')) AS ch FROM w{k}) GROUP BY ALL) GROUP BY ALL),
 e{k} AS (SELECT c.doc_id, c.r, c.kind, c.a + min(i) - 1 AS a, c.a + max(i) - 1 + {c.window} AS b FROM h{k} JOIN c{k} c USING (cid) WHERE s <= {c.most} GROUP BY c.cid, c.doc_id, c.r, c.kind, c.a),
