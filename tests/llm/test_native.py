@@ -185,9 +185,9 @@ def plain_verdict(host, path, rules):
     return max(fits)[2:] if fits else (None, "allow")
 
 
-@pytest.mark.parametrize("limit", [urlfilter.BROADCAST_CHARS, 0])
-def test_urls(spark, monkeypatch, limit):
-    monkeypatch.setattr(urlfilter, "BROADCAST_CHARS", limit)
+@pytest.mark.parametrize("nodes", [100_000, 0])
+def test_urls(spark, monkeypatch, nodes):
+    monkeypatch.setattr(urlfilter, "BROADCAST_NODES", nodes)
     rng = random.Random(6)
     hosts = ["com", "example.com", "a.example.com", "xexample.com", "net", "example.net", "EXAMPLE.net", "org", "", "a.org:80", "u@b.org"]
     paths = ["", "/", "/en/", "/en", "/en/7", "/en/71/x", "/de/", "/de/8", "/de/9", "/es/a", "//en/"]
@@ -195,7 +195,11 @@ def test_urls(spark, monkeypatch, limit):
     urls += [None, "", "no scheme", "://", "http:///en/7", "x://com/en/\n", "http://com/en/7"]
     rules = [*urlfilter.CONTRACT_RULES, ("block", "a.example.com", ""), ("allow", "example.com", "/en/71/")]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("RULE", F.lit("old"))
-    for r in urlfilter.judge(df.drop("RULE"), rules).collect():
+    judged = urlfilter.judge(df.union(df), rules)
+    assert [c.lower() for c in judged.columns] == ["page_id", "url", "rule", "host", "path", "verdict"] or judged.columns == ["page_id", "url", "host", "path", "rule", "verdict"]
+    rows = judged.collect()
+    assert len(rows) == 2 * len(urls)
+    for r in rows:
         host, path = "", ""
         if r.url and "://" in r.url:
             host, path = re.match(r"([^/?#]*)([^?#]*)", r.url.split("://", 1)[1]).groups()
@@ -203,3 +207,14 @@ def test_urls(spark, monkeypatch, limit):
         assert (r.host, r.path) == (host, path)
         assert (r.rule, r.verdict) == plain_verdict(host, path, rules), r.url
     assert urlfilter.judge(df.limit(0), rules).count() == 0
+
+
+@pytest.mark.parametrize("nodes", [100_000, 0])
+def test_rules_of_equal_length(spark, monkeypatch, nodes):
+    """Block decides between equal rules, however they are listed, written and found; other ties cannot be."""
+    monkeypatch.setattr(urlfilter, "BROADCAST_NODES", nodes)
+    df = spark.createDataFrame([(1, "http://a.com/x/1"), (2, "http://b.com/x"), (3, "http://c.b.com/x"), (4, "http://d.com/12:y"), (5, "http://a.com/X")], "page_id long, url string")
+    for order in (1, -1):
+        rules = [("allow", "a.com", "/x"), ("block", "A.com", "/x"), ("block", "b.com", ""), ("allow", "b.com", ""), ("block", "com", "/x"), ("allow", "d.com", "/12:")][::order]
+        got = {r.page_id: (r.rule, r.verdict) for r in urlfilter.judge(df, rules).collect()}
+        assert got == {1: ("a.com/x", "block"), 2: ("b.com", "block"), 3: ("b.com", "block"), 4: ("d.com/12:", "allow"), 5: (None, "allow")}

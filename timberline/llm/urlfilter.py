@@ -1,7 +1,8 @@
 """URL filters: a broadcast trie over reversed host labels and path segments.
 
 The longest rule that fits decides, whether it allows or blocks: more host labels
-first, then more of the path.
+first, then more of the path. Of an allow and a block entry for the same host and path,
+block decides.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import ship
+from .runtime import dealt_join, ship
 
 #: Fixed values of the query's contract: verdict, host, path.
 CONTRACT_RULES = (
@@ -23,8 +24,8 @@ CONTRACT_RULES = (
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 )
-#: Rule lists of more characters are joined instead of broadcast.
-BROADCAST_CHARS = 32 << 20
+#: A trie of more nodes (about 400 bytes each) is not broadcast; its rules are joined instead, with the same results.
+BROADCAST_NODES = 100_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -91,12 +92,17 @@ def judge(df: DataFrame, rules: Iterable[tuple[str, str, str]], url_col: str = "
 
     ``rules`` are (allow or block, host, path); a rule fits its host and all
     subdomains where the url's path starts with the rule's. Null urls and urls without
-    ``://`` have empty host and path and fit no rule. Columns of those names in the
-    input are replaced.
+    ``://`` have empty host and path and fit no rule. Rows that repeat stay as they are,
+    and an empty table gives no rows. Columns of those names in the input are replaced,
+    in whatever case Spark takes for equal.
     """
-    rules = list(dict.fromkeys((v, h.translate(str.maketrans(UPPER, LOWER)), p) for v, h, p in rules))
+    verdicts: dict[tuple[str, str], str] = {}
+    for verdict, host, path in rules:
+        place = host.translate(str.maketrans(UPPER, LOWER)), path
+        verdicts[place] = max(verdict, verdicts.get(place, verdict))
+    rules = [(v, *place) for place, v in verdicts.items()]
     rows = df.withColumn("host", host_of(df[url_col])).withColumn("path", path_of(df[url_col]))
-    if sum(len(h) + len(p) + 16 for _, h, p in rules) > BROADCAST_CHARS:
+    if sum(h.count(".") + p.count("/") + 2 for _, h, p in rules) > BROADCAST_NODES:
         return _joined(rows, rules, default)
     ship(df.sparkSession)
     trie = df.sparkSession.sparkContext.broadcast(Trie(rules))
@@ -111,18 +117,25 @@ def judge(df: DataFrame, rules: Iterable[tuple[str, str, str]], url_col: str = "
 
 
 def _joined(rows: DataFrame, rules: list[tuple[str, str, str]], default: str) -> DataFrame:
-    """The same for rule lists that are too large to broadcast: distinct urls meet rules by host suffix."""
-    table = rows.sparkSession.createDataFrame(rules, "found string, suffix string, start string")
+    """The same for rule lists that are too large to broadcast.
+
+    Each distinct url asks for the rules that are exactly a suffix of its host and the
+    beginning of its path, of the lengths that rules have; so it meets one row for each
+    of its rules, not all rules of its host. What many urls ask for is dealt over salts.
+    """
+    table = rows.sparkSession.createDataFrame([(f"{len(h)}:{h}{p}", v) for v, h, p in rules], "asked string, found string")
+    lengths = F.array(*map(F.lit, sorted({len(p) for _, _, p in rules})))
     labels = F.split("host", r"\.")
-    suffix = F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")))
-    hits = (
-        rows.select("host", "path").distinct().select("*", suffix.alias("suffix")).join(table, "suffix").filter(F.startswith("path", "start"))
-        .groupBy("host", "path")
-        .agg(F.max(F.struct(F.length("suffix"), F.length("start"), F.concat("suffix", "start").alias("rule"), F.col("found").alias("verdict"))).alias("hit"))
-        .select("host", "path", "hit.rule", "hit.verdict")
-    )
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    starts = F.transform(F.filter(lengths, lambda n: n <= F.length("path")), lambda n: F.substring("path", F.lit(1), n))
+    pairs = F.flatten(F.transform(suffixes, lambda s: F.transform(starts, lambda p: F.struct(s.alias("suffix"), p.alias("start")))))
+    url = F.struct("host", "path").alias("url")
+    asked = rows.select("host", "path").distinct().select(url, F.explode(pairs).alias("p")).withColumn("asked", F.concat(F.length("p.suffix").cast("string"), F.lit(":"), "p.suffix", "p.start"))
+    best = F.max(F.struct(F.length("p.suffix"), F.length("p.start"), F.concat("p.suffix", "p.start").alias("rule"), F.col("found").alias("verdict"))).alias("hit")
+    hits = dealt_join(asked, "asked", table, F.col("url")).groupBy("url").agg(best).select("url", "hit.rule", "hit.verdict")
     kept = rows.drop("rule", "verdict")
-    return kept.join(hits, ["host", "path"], "left").select(*[kept[c] for c in kept.columns], "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
+    packed = kept.select(F.struct(*[kept[c] for c in kept.columns]).alias("row"), url)
+    return dealt_join(packed, "url", hits, F.to_json("row"), "left").select("row.*", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
 
 
 def oracle_sql() -> str:
