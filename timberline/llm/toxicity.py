@@ -27,7 +27,6 @@ THRESHOLD = 0.7
 PREFIXES = (4, 5, 6)
 ORDER = 4
 SYMBOLS = 27
-BEAM = 24
 
 #: What each sign may stand for.
 LEET = {
@@ -93,9 +92,13 @@ def costs(counts: np.ndarray, strength: float = 5.0) -> np.ndarray:
 
 
 def restore(token: str, lm: np.ndarray) -> str:
-    """The cheapest reading of one token: Viterbi over (last three symbols), a beam of states wide."""
+    """The cheapest reading of one token, of equally cheap ones the first by code point: Viterbi over all states (last three symbols).
+
+    A path is a chain of what it emits, shared with the paths that it came from, so
+    that memory grows with the token and not with its square.
+    """
     base = SYMBOLS ** (ORDER - 1)
-    states: dict[int, tuple[float, str]] = {0: (0.0, "")}
+    states: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
     n = len(token)
     run = 1
     for i, c in enumerate(token):
@@ -117,21 +120,29 @@ def restore(token: str, lm: np.ndarray) -> str:
             ways += [(None, SKIP), ("", KEEP_SEPARATOR)]
         else:
             ways.append(("", 0.0))
-        new: dict[int, tuple[float, str]] = {}
-        for state, (cost, text) in states.items():
+        new: dict[int, tuple[float, tuple | None]] = {}
+        for state, (cost, path) in states.items():
             for way, extra in ways:
                 if way is None:
-                    to, total, out = state, cost + extra, text
+                    to, total, out = state, cost + extra, path
                 else:
                     symbol = ord(way) - 96 if way else 0
                     gram = state * SYMBOLS + symbol
-                    to, total, out = gram % base, cost + extra + float(lm[gram]), text + (way or c)
+                    to, total, out = gram % base, cost + extra + float(lm[gram]), (path, way or c)
                 if to not in new or total < new[to][0]:
                     new[to] = total, out
-        if len(new) > BEAM:
-            new = dict(sorted(new.items(), key=lambda s: s[1][0])[:BEAM])
         states = new
-    return min((cost + float(lm[state * SYMBOLS]), text) for state, (cost, text) in states.items())[1]
+    last = [(cost + float(lm[state * SYMBOLS]), path) for state, (cost, path) in states.items()]
+    least = min(cost for cost, _ in last)
+    return min(_emitted(path) for cost, path in last if cost == least)
+
+
+def _emitted(path: tuple | None) -> str:
+    out = []
+    while path:
+        path, c = path
+        out.append(c)
+    return "".join(reversed(out))
 
 
 def _symbols(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -327,6 +338,11 @@ class Toxicity:
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score and predicted; labels of held-out rows are never read."""
+    """doc_id, held_out, score and predicted; labels of held-out rows are never read.
+
+    One row for each row of ``docs``, repeated ones too. Null and empty texts get the
+    score of no words; a score equal to the threshold is predicted. Rows without an id
+    are not held out and have no label. An empty table gives no rows.
+    """
     judge = Toxicity(docs, labels.filter(~held_out("doc_id", 3, 1)))
     return judge.score(docs).select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", "predicted")
