@@ -5,13 +5,14 @@ Ids are cut into blocks of fixed length that start at a word; a file keeps the w
 which each block starts, so that blocks are packed and read independently, all at once.
 Values of 2**60 and more are escaped: the escape selector, then the value as a word.
 
-A file: magic, counts of words, values and documents (4 x 8 bytes); the words; the
-first word of each block; for each document its id and its first value; the CRC-32 of
+A file: magic; counts of words, values, documents, values of a block and documents
+without an id, which come first (5 x 8 bytes); the words; the first word of each block; for each document its id and its first value; the CRC-32 of
 all before. Integers are little-endian and 8 bytes long.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 import zlib
@@ -37,7 +38,7 @@ PACKINGS = (
 ESCAPE = 1
 COUNTS = np.array([n for n, _ in PACKINGS], np.int64)
 BLOCK = 4096
-MAGIC = b"TLSIMP8B"
+MAGIC = b"TLSIMP8C"
 FILE_VALUES = 4 << 20
 #: Blocks packed at once.
 AT_ONCE = 64
@@ -162,14 +163,16 @@ class IdFile:
     words: np.ndarray
     block_words: np.ndarray
     n_values: int
+    #: So many documents, the first ones, have no id.
+    n_null: int = 0
 
     @classmethod
-    def of(cls, doc_ids: np.ndarray, counts: np.ndarray, values: np.ndarray) -> IdFile:
+    def of(cls, doc_ids: np.ndarray, counts: np.ndarray, values: np.ndarray, n_null: int = 0) -> IdFile:
         words, block_words = pack(values)
-        return cls(np.asarray(doc_ids, np.int64), np.cumsum(counts) - counts, words, block_words, len(values))
+        return cls(np.asarray(doc_ids, np.int64), np.cumsum(counts) - counts, words, block_words, len(values), n_null)
 
     def to_bytes(self) -> bytes:
-        head = np.array([len(self.words), self.n_values, len(self.doc_ids), BLOCK], "<u8")
+        head = np.array([len(self.words), self.n_values, len(self.doc_ids), BLOCK, self.n_null], "<u8")
         parts = [MAGIC, head.tobytes(), self.words.astype("<u8").tobytes(), self.block_words.astype("<u8").tobytes(), self.doc_ids.astype("<i8").tobytes(), self.starts.astype("<u8").tobytes()]
         data = b"".join(parts)
         return data + zlib.crc32(data).to_bytes(8, "little")
@@ -178,15 +181,20 @@ class IdFile:
     def from_bytes(cls, data: bytes) -> IdFile:
         if data[:8] != MAGIC or zlib.crc32(data[:-8]) != int.from_bytes(data[-8:], "little"):
             raise ValueError("not an id file, or a damaged one")
-        n_words, n_values, n_docs, block = (int(x) for x in np.frombuffer(data, "<u8", 4, 8))
+        n_words, n_values, n_docs, block, n_null = (int(x) for x in np.frombuffer(data, "<u8", 5, 8))
         n_blocks = -(-n_values // block)
-        at = 40
+        at = 48
         parts = []
         for n, kind in ((n_words, "<u8"), (n_blocks, "<u8"), (n_docs, "<i8"), (n_docs, "<u8")):
             parts.append(np.frombuffer(data, kind, n, at))
             at += 8 * n
         words, block_words, doc_ids, starts = parts
-        return cls(doc_ids, starts.astype(np.int64), words, block_words.astype(np.int64), n_values)
+        return cls(doc_ids, starts.astype(np.int64), words, block_words.astype(np.int64), n_values, n_null)
+
+    @property
+    def ids(self) -> pa.Array:
+        """The documents' ids; null for those without one."""
+        return pa.array(self.doc_ids, mask=np.arange(len(self.doc_ids)) < self.n_null)
 
     def values(self) -> np.ndarray:
         return unpack(self.words)
@@ -223,13 +231,27 @@ def read_file(uri: str) -> IdFile:
         return IdFile.from_bytes(f.read())
 
 
+#: The rules of a tokenizer file under which pieces may be coded one by one.
+RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
 class WordCoder:
-    """Ids of whole texts by the tokenizers library, with each distinct piece coded once.
+    """Ids of whole texts by the tokenizers library, with each distinct piece coded once where its rules allow that.
 
-    The tokenizer's rules never look across a space, tab or line end, so texts are cut
+    Under ``RULES`` nothing looks across a space, tab or line end, so texts are cut
     there. Pieces of plain Latin letters, with ASCII marks after them or not, are
-    already what its normaliser and splitter would make of them once lower-cased; the
-    library's model codes those. It codes any other piece with all its rules.
+    already what the normaliser and splitter would make of them once lower-cased; the
+    library's model codes those. It codes any other piece with all its rules. With a
+    file of other rules, the library codes whole texts.
     """
 
     PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-;=-@\[-`{-~]*)")
@@ -239,6 +261,9 @@ class WordCoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        rules = json.loads(self.tokenizer.to_str())
+        added = [t["content"] for t in rules["added_tokens"]]
+        self.by_piece = all(rules[k] == v for k, v in RULES.items()) and not any(re.search(r"\s", t) or self.PLAIN.fullmatch(t) for t in added)
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in set(shown)]
         self.shown = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
@@ -267,6 +292,11 @@ class WordCoder:
         """(first row, last row + 1, ids, ids of each row) in chunks."""
         raw = [(t or "").encode() for t in texts]
         for a, b in tv.chunks(raw, limit):
+            if not self.by_piece:
+                end_ids = [] if self.end_id is None else [self.end_id]
+                coded = [array("I", self.tokenizer.encode(t or "", add_special_tokens=False).ids + end_ids) for t in texts[a:b]]
+                yield a, b, np.frombuffer(b"".join(c.tobytes() for c in coded), np.uint32), np.array([len(c) for c in coded], np.int64)
+                continue
             buf, bounds = tv.joined(raw[a:b])
             inside = (buf != 0x20) & (buf != 0x09) & (buf != 0x0A) & (buf != 0x0D)
             starts, ends = tv.spans(inside)
@@ -310,28 +340,29 @@ def write_ids(df: DataFrame, folder: str, path: str, id_col: str = "doc_id", tex
 
     The list has path, part, seq, n_docs, n_values and ``start``, the ids in files
     before. Null texts count as empty; an empty text has the end id alone. Null ids
-    come first, written as the least 64-bit integer; equal ids are in order of text.
+    come first and stay null; rows with equal ids are documents of their own, in order
+    of text. An empty table gives no files. Other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq = TaskContext.get().partitionId(), 0
         coder = word_coder(path, end_id)
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
         n = 0
 
         def flush() -> pa.RecordBatch:
             nonlocal held, n, seq
-            docs, counts, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+            docs, none, counts, ids = (np.concatenate(x) for x in zip(*held, strict=True))
             name = f"{folder}/part-{part:06d}-{seq:06d}.s8b"
-            write_atomically(name, IdFile.of(docs, counts, ids).to_bytes())
+            write_atomically(name, IdFile.of(docs, counts, ids, int(none.sum())).to_bytes())
             row = {"path": [name], "part": [part], "seq": [seq], "n_docs": [len(docs)], "n_values": [len(ids)]}
             held, n, seq = [], 0, seq + 1
             return pa.RecordBatch.from_pydict(row)
 
         for b in tv.slices(batches):
-            keys = np.asarray(b.column(0).fill_null(-(1 << 63)))
+            keys, none = np.asarray(b.column(0).fill_null(0)), np.asarray(b.column(0).is_null())
             for x, y, ids, counts in coder.code(b.column(1).to_pylist(), min(4 << 20, file_values)):
-                held.append((keys[x:y], counts, ids))
+                held.append((keys[x:y], none[x:y], counts, ids))
                 n += len(ids)
                 if n >= file_values:
                     yield flush()
@@ -346,14 +377,14 @@ def write_ids(df: DataFrame, folder: str, path: str, id_col: str = "doc_id", tex
 
 
 def read_ids(files: DataFrame, each: Callable[[IdFile, int], pa.RecordBatch], schema: str) -> DataFrame:
-    """What ``each`` makes of every file of a list and the number of ids before it."""
+    """What ``each`` makes of every file of a list and the number of ids before it; a task for each file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path, start in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 yield each(read_file(path), start)
 
-    return files.select("path", "start").repartition(F.col("path")).mapInArrow(run, schema)
+    return files.select("path", "start").repartition(max(1, files.count())).mapInArrow(run, schema)
 
 
 def document_ids(files: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -362,7 +393,7 @@ def document_ids(files: DataFrame, id_col: str = "doc_id") -> DataFrame:
     def each(f: IdFile, start: int) -> pa.RecordBatch:
         ends = np.append(f.starts, f.n_values)
         ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(f.values().astype(np.int64)))
-        return pa.RecordBatch.from_arrays([pa.array(f.doc_ids), pa.array(f.starts + start), ids], [id_col, "start", "ids"])
+        return pa.RecordBatch.from_arrays([f.ids, pa.array(f.starts + start), ids], [id_col, "start", "ids"])
 
     return read_ids(files, each, f"{id_col} long, start long, ids array<long>")
 
@@ -375,12 +406,17 @@ def ids_report(files: DataFrame, id_col: str = "doc_id") -> DataFrame:
         ends = np.append(f.starts[1:], f.n_values)
         crcs = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(f.starts.tolist(), ends.tolist(), strict=True)]
         return pa.RecordBatch.from_arrays(
-            [pa.array(f.doc_ids), pa.array(f.starts + start), pa.array(ends - f.starts), pa.array(crcs, pa.int64())], [id_col, "start", "n_tokens", "ids_crc32"]
+            [f.ids, pa.array(f.starts + start), pa.array(ends - f.starts), pa.array(crcs, pa.int64())], [id_col, "start", "n_tokens", "ids_crc32"]
         )
 
     return read_ids(files, each, f"{id_col} long, start long, n_tokens long, ids_crc32 long")
 
 
 def encode_report(df: DataFrame, path: str) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of each document, read back from files in a new shared folder.
+
+    Null texts count as empty, null ids come first, repeated rows are documents of their
+    own, and an empty table gives no rows, as ``write_ids`` has it.
+    """
     spark: SparkSession = df.sparkSession
     return ids_report(write_ids(df, new_folder(spark, "ids"), path))
