@@ -13,8 +13,18 @@ from pyspark.sql import DataFrame, SparkSession
 _PACKAGE = Path(__file__).resolve().parent
 
 
+#: Most bytes of an Arrow batch, which a worker and its executor hold at once; rows of long texts are far from alike.
+BATCH_BYTES = 8 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers wherever the driver runs; once for each context."""
+    """Make this package importable in Python workers wherever the driver runs; once for each context.
+
+    Also bounds the bytes of the session's Arrow batches, unless it has a bound of its own below Spark's.
+    """
+    size = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(size, "").rstrip("b") == str(64 << 20):
+        spark.conf.set(size, BATCH_BYTES)
     sc = spark.sparkContext
     if getattr(sc, "_timberline_shipped", False):
         return
