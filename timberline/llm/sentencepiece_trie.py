@@ -109,7 +109,7 @@ class Vocabulary:
 class Segmenter:
     """Segments sorted words, keeping the states of the common prefix."""
 
-    def __init__(self, vocabulary: Vocabulary, limit: int = 300_000):
+    def __init__(self, vocabulary: Vocabulary, limit: int = 200_000):
         self.v, self.limit = vocabulary, limit
         #: Left id * 2**24 + right id; left 0 is the start of a word.
         self.pairs: dict[int, bool] = {}
@@ -195,7 +195,7 @@ class Segmenter:
 class Coder:
     """Encodes and decodes whole texts; each distinct marked word is segmented once."""
 
-    def __init__(self, path: str, limit: int = 200_000):
+    def __init__(self, path: str, limit: int = 120_000):
         self.v = Vocabulary(path)
         self.segmenter = Segmenter(self.v)
         self.limit = limit

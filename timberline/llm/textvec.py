@@ -14,7 +14,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 
 _P = 0x9E3779B97F4A7C15 | 1
 _PINV = pow(_P, -1, 1 << 64)
@@ -52,7 +52,7 @@ def chunks(texts: list[bytes], limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
         yield start, len(texts)
 
 
-def slices(batches: Iterator[pa.RecordBatch], limit: int = 2 * CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], limit: int = 4 * CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Batches cut so that few texts at a time become Python objects."""
     for b in batches:
         rows = max(1, int(b.num_rows * limit / max(b.nbytes, limit)))
@@ -65,6 +65,7 @@ def trim() -> None:
     for t in range(2):
         _powers[t] = np.ones(1, np.uint64)
     gc.collect()
+    pa.default_memory_pool().release_unused()
     free = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if free:
         free(0)
