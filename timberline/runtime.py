@@ -23,7 +23,7 @@ def ship(spark: SparkSession) -> None:
     Also bounds the bytes of the session's Arrow batches, unless it has a bound of its own below Spark's.
     """
     size = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(size, "").rstrip("b") == str(64 << 20):
+    if spark.conf.get(size).rstrip("b") == str(64 << 20):
         spark.conf.set(size, BATCH_BYTES)
     sc = spark.sparkContext
     if getattr(sc, "_timberline_shipped", False):
