@@ -191,7 +191,7 @@ class Machine:
         self.template_id, self.host, self.c, self.k = template_id, host, c, Key()
 
     def _raise(self, at: int, event: int, rank: int, lane: str) -> tuple:
-        name = hashlib.sha256(f"{self.template_id}|{self.host}|{event}".encode()).hexdigest()
+        name = hashlib.sha256("|".join(str(x) for x in (self.template_id, self.host, event) if x is not None).encode()).hexdigest()
         self.k.alarm, self.k.last = [name, 1, rank, lane], at
         return self._row(at, event, "Raised")
 

@@ -309,13 +309,16 @@ def alarms_first_judgment(spark, sf):
     return A.first_judgments(L.event_lines(spark, sf).select("template_id", "host", "received_at"), L.verdict_rows(spark))
 
 
-@query()
-def alarms_contextual(spark, sf):
-    g = _gated(spark, sf)
-    answers = g.filter(F.col("event_id") % 3 != 0).select(
+def _answers(events):
+    """Two checks of three are answered, after five seconds."""
+    return events.filter(F.col("event_id") % 3 != 0).select(
         "event_id", F.lit(5).cast("long").alias("delay_sec"), (F.col("event_id") % 10 / 10).alias("matters_now"), (F.col("event_id") % 7 / 6).alias("wake_someone")
     )
-    return A.contextual_changelog(g, answers)
+
+
+@query()
+def alarms_contextual(spark, sf):
+    return A.contextual_changelog(_gated(spark, sf), _answers(table(spark, sf, "events")))
 
 
 @query(ALL_SQL + ", b AS (SELECT event_id, host, sec FROM lines WHERE event_type = 'view'), r AS (SELECT b.event_id, a.opened_sec, a.alarm_id, row_number() OVER (PARTITION BY b.event_id ORDER BY a.opened_sec, a.alarm_id) AS k FROM b JOIN alarms a ON a.host = b.host AND a.opened_sec < b.sec AND b.sec <= a.clears_sec)\nSELECT b.event_id, coalesce(string_agg(r.alarm_id, ',' ORDER BY r.opened_sec, r.alarm_id), '') AS seen FROM b LEFT JOIN r ON r.event_id = b.event_id AND r.k <= 8 GROUP BY b.event_id")
@@ -518,9 +521,20 @@ def stream_drain(spark, sf):
     return mined_to_end(spark, sf)
 
 
-@query()
+CHANGELOG_SQL = ORACLE_SQL["alarm_changelog"]
+
+
+# What clears after the last millisecond of the watermark is still open in the stream.
+@query(f"SELECT alarm_id, at_sec, event_id, op, count FROM ({CHANGELOG_SQL}) WHERE op <> 'Cleared' OR at_sec < (SELECT floor((floor(max(epoch_us(ts)) / CAST(1000 AS DOUBLE)) * 1000 - min(epoch_us(ts))) / CAST({L.SQUEEZE}000000 AS DOUBLE)) FROM events)")
 def stream_alarms(spark, sf):
     from ..streaming.jobs import alarms_to_end
 
-    return alarms_to_end(spark, sf)
+    return alarms_to_end(spark, sf).select("alarm_id", "at_sec", "event_id", "op", "count")
+
+
+@query()
+def stream_contextual(spark, sf):
+    """With contextual checks, answered as ``alarms_contextual`` answers them."""
+    from ..streaming.jobs import alarms_to_end
 
+    return alarms_to_end(spark, sf, A.AlarmConfig(), _answers(table(spark, sf, "events")))

@@ -7,7 +7,6 @@ holds rows back until the watermark passes and then takes them in order of
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,10 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.mask import mask
-from ..functions.text import template_id
-from ..operators.alarms import AlarmConfig, gated
+from ..functions.text import template_id, tokens
+from ..operators.alarms import AlarmConfig
 from ..operators.drain import Config, Miner
-from ..runtime import ship
+from ..runtime import new_folder, ship
 
 
 def classified(lines: DataFrame) -> DataFrame:
@@ -63,17 +62,20 @@ def mine(lines: DataFrame, config: Config = Config(), lateness: str = "10 minute
             state.setTimeoutTimestamp(max(int(held[0][0]) // 1000 - 1, mark))
         yield pd.DataFrame(out, columns=[f.split()[0] for f in schema.split(", ")])
 
-    words = F.array_join(F.slice(F.filter(F.split("template", r"\s+"), lambda t: t != ""), 1, config.max_tokens), " ")
+    words = F.array_join(tokens(F.col("template"), config.max_tokens), " ")
     rows = lines.withWatermark("received_at", lateness).select("received_at", "event_id", words.alias("text"), F.unix_micros("received_at").alias("at_us")).withColumn("n", F.size(F.split("text", " ")))
     return rows.groupBy("n").applyInPandasWithState(run, schema, "kept binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def to_end(spark: SparkSession, stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there now and give back its rows."""
-    name = "s" + uuid.uuid4().hex
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
+    """Run a stream over what is there now into the shared folder, a part for each batch, and give back its rows."""
+    at = new_folder(spark, "stream")
+
+    def part(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/rows/batch={batch_id}")
+
+    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(part).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{at}/rows")
 
 
 def into(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"):
@@ -109,54 +111,11 @@ def mined_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     return to_end(spark, mine(classified(event_stream(spark, sf_dir)), lateness="0 seconds")).select("event_id", "template_id_at_train", "size")
 
 
-def alarm_stream(lines: DataFrame, c: AlarmConfig = AlarmConfig(), lateness: str = "10 minutes", squeeze: int = 1) -> DataFrame:
-    """The change feed (alarm_id, template_id, host, at_sec, event_id, op, count, rank, lane) of judged lines with statistics, by keyed state.
-
-    ``lines`` have received_at and the columns of ``operators.alarms.gated``. Silence
-    is told by the watermark. ``squeeze`` is how many seconds of time one of ``sec`` is.
-    """
-    import pickle
-
-    from ..operators.alarms import CHANGES, Machine
-
-    names = [f.split()[0] for f in CHANGES.split(", ")]
-    ship(lines.sparkSession)
-
-    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        machine, held, seen = pickle.loads(state.get[0]) if state.exists else (Machine(*key, c), [], (0, 0))
-        for p in parts:
-            held += zip(p["sec"], p["event_id"], p["rank"], p["trig"], p["at_ms"], strict=True)
-        mark = state.getCurrentWatermarkMs()
-        held.sort()
-        ready = [r for r in held if r[4] <= mark]
-        held = held[len(ready) :]
-        out = []
-        for sec, event, rank, trig, _ in ready:
-            out += machine.line(int(sec), int(event), int(rank), False, bool(trig), False, None)
-        if ready:
-            seen = ready[-1][0], ready[-1][4]
-        if machine.k.alarm and not held:
-            out += machine.advance(int(seen[0] + (mark - seen[1]) // (1000 * squeeze)))
-        state.update((pickle.dumps((machine, held, seen)),))
-        if held:
-            state.setTimeoutTimestamp(max(int(held[0][4]), mark + 1))
-        elif machine.k.alarm:
-            state.setTimeoutTimestamp(max(int(seen[1]) + (c.silence + 1) * 1000 * squeeze, mark + 1))
-        yield pd.DataFrame(out, columns=names)
-
-    rows = lines.withWatermark("received_at", lateness).select("template_id", "host", "received_at", "sec", "event_id", "rank", "trig", F.unix_millis("received_at").alias("at_ms"))
-    return rows.groupBy("template_id", "host").applyInPandasWithState(run, CHANGES, "kept binary", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def alarms_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The alarm stream over judged lines that a batch has written."""
-    import tempfile
-
-    from ..plans.lines import SQUEEZE, judged_lines
+def alarms_to_end(spark: SparkSession, sf_dir: str, c: AlarmConfig = AlarmConfig(contextual=float("inf")), answers: DataFrame | None = None) -> DataFrame:
+    """The feed from raw lines to alarms; without contextual checks unless ``c`` asks for them."""
+    from ..plans.lines import SQUEEZE, table, verdicts
+    from .lines import alarm_feed, first_micros
 
-    base = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="timberline-")
-    path = f"{base}/judged-{uuid.uuid4().hex}"
-    rows = gated(judged_lines(spark, sf_dir))
-    rows.write.parquet(path)
-    stream = spark.readStream.schema(rows.schema).parquet(path)
-    return to_end(spark, alarm_stream(stream, lateness="0 seconds", squeeze=SQUEEZE)).select("alarm_id", "at_sec", "event_id", "op", "count")
+    origin = first_micros(spark, table(spark, sf_dir, "events"))
+    feed = alarm_feed(classified(event_stream(spark, sf_dir)), verdicts(spark), c, answers=answers, origin_us=origin, squeeze=SQUEEZE, lateness="0 seconds")
+    return to_end(spark, feed)
