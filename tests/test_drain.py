@@ -57,6 +57,34 @@ def test_golden_clusters(spark, name):
         assert want and got == want, mode
 
 
+def plain_mined(lines, config):
+    """One table for all lines, in order."""
+    m = Miner(config)
+    found = {}
+    for k, line in enumerate(lines):
+        found[k] = m.train(line.split(" ") if line else [], k)
+    return found
+
+
+@pytest.mark.parametrize("firsts, config", [("words", Config()), ("many", Config(max_children=6)), ("mixed", Config(max_children=50)), ("words", Config(max_clusters=9)), ("words", Config(depth=3)), ("words", Config(max_leaf=3))])
+def test_dealt_mining_equals_one_table(spark, firsts, config):
+    """Dealt by first token or not, and with clusters forgotten, every line is assigned as by one miner of its token count."""
+    rng = random.Random(5)
+    heads = {"words": ["alpha", "beta", "gamma"], "many": [f"w{c}" .replace("w", "w" + c) for c in "abcdefghijkl"], "mixed": ["alpha", "beta", "7", "<*>", "n5"]}[firsts]
+    lines = [" ".join([rng.choice(heads), *(rng.choice("xyz") if i in (3, 9) else f"t{i}".replace(str(i), "abcdefghijkl"[i]) for i in range(rng.choice([0, 2, 10, 11])))]) for _ in range(500)]
+    want, alive = {}, []
+    for n in {len(x.split(" ")) for x in lines}:
+        own = [(k, x) for k, x in enumerate(lines) if len(x.split(" ")) == n]
+        for (k, _), c in zip(own, plain_mined([x for _, x in own], config).values(), strict=True):
+            alive.append(c)
+            want[k] = (n, id(c), " ".join(c.tokens), c.size)
+    out, clusters = assign(frame(spark, lines), config)
+    rows = {r.event_id: r for r in out.join(clusters.select("seq", "template", F.col("size").alias("whole")), "seq").collect()}
+    assert len(rows) == len(lines)
+    assert {k: (r.template, r.whole) for k, r in rows.items()} == {k: w[2:] for k, w in want.items()}
+    assert len({r.seq for r in rows.values()}) == len({w[1] for w in want.values()}) == clusters.count()
+
+
 def test_assign_edges(spark):
     lines, clusters = assign(frame(spark, ["a b", None, "", "a b", " a  b "]))
     rows = {r.event_id: r for r in lines.collect()}

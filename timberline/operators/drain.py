@@ -1,9 +1,13 @@
 """Template mining with a bounded fixed-depth tree.
 
-Token count is the tree's first level, so lines are dealt by it and each task trains
-on its counts' lines in order as they stream by; what a task holds is its cluster
-table, not its lines. ``distinct`` mode trains on the distinct masked lines in order of
-first appearance, which is far fewer rows where lines repeat, and joins the rest back.
+Token count is the tree's first level and the first token its second. Lines are dealt
+by both where that cannot change a result: where a count has no more first tokens than
+a node has room for, none of which goes to the parameter's child (which other lines are
+looked for in, too), and no more distinct lines than clusters are kept. Other counts
+are dealt by count alone. Each task trains on its lines in order as they stream by;
+what it holds is a cluster table, not lines, and a cluster that is forgotten is given
+out at once. ``distinct`` mode trains on the distinct masked lines in order of first
+appearance, which is far fewer rows where lines repeat, and joins the rest back.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import template_id, tokens
-from ..runtime import ship
+from ..runtime import ship, written
 
 _DIGIT = re.compile(r"[0-9]")
 
@@ -87,6 +91,8 @@ class Miner:
         self.table: OrderedDict[int, Cluster] = OrderedDict()
         self.sizes: dict[int, int] = {}
         self.next = 1
+        #: Clusters forgotten since they were last asked for.
+        self.forgotten: list[Cluster] = []
 
     def _levels(self, n: int) -> int:
         """How many tokens route a line of n tokens."""
@@ -134,6 +140,7 @@ class Miner:
 
     def forget(self, seq: int) -> None:
         cluster = self.table.pop(seq)
+        self.forgotten.append(cluster)
         nodes = [self.root]
         for key in cluster.path:
             nodes.append(nodes[-1].children[key])
@@ -167,70 +174,102 @@ class Miner:
         return cluster
 
 
-_FIELDS = "event_id long, n_tokens int, local long, template_id_at_train string, size long, template string, first_event long"
+_FIELDS = "event_id long, n_tokens int, route string, local long, template_id_at_train string, size long, template string, first_event long"
 
 
 def _trainer(config: Config):
+    names = [f.split()[0] for f in _FIELDS.split(", ")]
+    types = [pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        miner, names = Miner(config), [f.split()[0] for f in _FIELDS.split(", ")]
-        types = [pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-        seen: dict[int, Cluster] = {}
+        miner, at, rows = None, None, []
+
+        def ended(clusters) -> list[tuple]:
+            return [(None, len(c.tokens), at[1], c.seq, None, c.size, " ".join(c.tokens), c.first) for c in clusters]
+
         for b in batches:
-            rows = []
-            for event, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                words = text.split(" ") if text else []
-                c = miner.train(words, event)
-                seen[c.seq] = c
-                rows.append((event, len(c.tokens), c.seq, c.id, c.size, None, None))
+            for event, text, n, route in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if at != (n, route):
+                    if miner:
+                        rows += ended(miner.table.values())
+                    miner, at = Miner(config), (n, route)
+                c = miner.train(text.split(" ") if text else [], event)
+                rows.append((event, len(c.tokens), route, c.seq, c.id, c.size, None, None))
+                if miner.forgotten:
+                    rows += ended(miner.forgotten)
+                    miner.forgotten.clear()
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names)
-        rows = [(None, len(c.tokens), c.seq, None, c.size, " ".join(c.tokens), c.first) for c in seen.values()]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+                yield batch(rows)
+                rows = []
+        if miner and miner.table:
+            yield batch(ended(miner.table.values()))
 
     return run
 
 
+def _routed(lines: DataFrame, config: Config) -> DataFrame:
+    """Adds ``n`` (token count) and ``route``: the first token where the count's lines can be dealt by it."""
+    first = F.element_at(F.split("text", " "), 1)
+    # Tokens that go to the parameter's child whatever came before.
+    wild = (first == config.param) | first.rlike(r"\p{N}")
+    rows = lines.withColumns({"n": F.size(F.split("text", " ")), "route": F.when(wild, F.lit("\n")).otherwise(first)})
+    if config.depth < 4:
+        return rows.withColumn("route", F.lit(""))
+    texts = rows.groupBy("n", "route", "text").agg(F.lit(1)).groupBy("n", "route").agg(F.count(F.lit(1)).alias("texts"))
+    # One child is kept for the parameter.
+    fits = (F.count_if(F.col("route") == "\n") == 0) & (F.count(F.lit(1)) < config.max_children)
+    if config.max_clusters:
+        fits &= F.sum("texts") <= config.max_clusters
+    # A single token is never routed.
+    dealt = texts.groupBy("n").agg(fits.alias("fits")).select("n", (F.col("fits") & (F.col("n") > 1)).alias("fits"))
+    return rows.join(F.broadcast(dealt), "n").withColumn("route", F.when(F.col("fits"), F.col("route")).otherwise(F.lit(""))).drop("fits")
+
+
 def _trained(lines: DataFrame, config: Config) -> DataFrame:
-    """Assignments, and after them each cluster once, of (event_id, at, text) rows."""
+    """Assignments, and each cluster once, of (event_id, at, text) rows; written, so that mining is done once."""
     ship(lines.sparkSession)
-    dealt = lines.select("event_id", "text", "at", F.size(F.split("text", " ")).alias("n")).repartition("n").sortWithinPartitions("n", "at", "event_id")
-    return dealt.select("event_id", "text").mapInArrow(_trainer(config), _FIELDS)
+    dealt = _routed(lines, config).repartition("n", "route").sortWithinPartitions("n", "route", "at", "event_id")
+    return written(dealt.select("event_id", "text", "n", "route").mapInArrow(_trainer(config), _FIELDS), "drain")
 
 
-def assign(df: DataFrame, config: Config = Config(), *, mode: str = "exact", template_col: str = "template", keep: bool = True) -> tuple[DataFrame, DataFrame]:
+def assign(df: DataFrame, config: Config = Config(), *, mode: str = "exact", template_col: str = "template") -> tuple[DataFrame, DataFrame]:
     """(assignments, clusters) of rows with event_id, received_at and a masked line.
 
     Assignments have event_id, seq, template_id_at_train, size (then), and
     template_id_final. Clusters have seq (in order of first event), template,
-    template_id, n_tokens, size and first_event. A null line counts as empty.
+    template_id, n_tokens, size and first_event; only their list is numbered in one
+    task. A null line counts as empty; an empty table gives no rows.
     """
     rows = df.select(
         "event_id", F.col("received_at").alias("at"), F.array_join(tokens(F.coalesce(F.col(template_col), F.lit("")), config.max_tokens), " ").alias("text")
     )
+    rows = written(rows, "drain-lines")
     if mode == "distinct":
         first = rows.groupBy("text").agg(F.min(F.struct("at", "event_id")).alias("f"), F.count(F.lit(1)).alias("n"))
+        first = written(first, "drain-distinct")
         out = _trained(first.select("f.event_id", "f.at", "text"), config)
     elif mode == "exact":
         out = _trained(rows, config)
     else:
         raise ValueError(mode)
-    if keep:
-        out = out.persist()
-    found = out.filter("event_id is null").select("n_tokens", "local", "template", "size", "first_event")
+    place = ["n_tokens", "route", "local"]
+    found = out.filter("event_id is null").select(*place, "template", "size", "first_event")
     lines = out.filter("event_id is not null").drop("template", "first_event")
     if mode == "distinct":
         trained = lines.join(first.select(F.col("f.event_id").alias("event_id"), "text", "n"), "event_id")
-        sizes = trained.groupBy("n_tokens", "local").agg(F.sum("n").alias("size"))
-        found = found.drop("size").join(sizes, ["n_tokens", "local"])
+        sizes = trained.groupBy(*place).agg(F.sum("n").alias("size"))
+        found = found.drop("size").join(sizes, place)
         lines = rows.select("event_id", "text").join(trained.drop("event_id"), "text").drop("text", "n")
     clusters = found.select(
         F.row_number().over(Window.orderBy("first_event", "n_tokens")).cast("long").alias("seq"), "template", template_id(F.col("template")).alias("template_id"),
-        "n_tokens", "size", "first_event", "local",
+        "n_tokens", "size", "first_event", "route", "local",
     )
-    names = clusters.select("n_tokens", "local", "seq", F.col("template_id").alias("template_id_final"))
-    assignments = lines.join(names, ["n_tokens", "local"]).select("event_id", "seq", "template_id_at_train", "size", "template_id_final")
-    return assignments, clusters.drop("local")
+    names = clusters.select(*place, "seq", F.col("template_id").alias("template_id_final"))
+    assignments = lines.join(names, place).select("event_id", "seq", "template_id_at_train", "size", "template_id_final")
+    return assignments, clusters.drop("route", "local")
 
 
 def similarity(cluster_tokens, line_tokens, param: str = "<*>"):

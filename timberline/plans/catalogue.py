@@ -101,13 +101,17 @@ def content_and_label(spark, sf):
     return d.select("doc_id", content(F.coalesce("text", F.lit(""))).alias("body"), humanize(F.concat_ws("_", "lang", "source")).alias("label"))
 
 
-@query("SELECT doc_id, CASE WHEN strlen(t) <= 160 THEN t ELSE array_to_string(list_transform(list_filter(list_zip(string_split(t, ''), list_transform(range(1, len(t) + 1), lambda i: strlen(substr(t, 1, i - 1)))), lambda z: z[2] < 160), lambda z: z[1]), '') END AS excerpt FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents WHERE length(text) < 400)")
+# Only the first 160 characters can start before byte 160.
+EXCERPT_SQL = ("SELECT doc_id, CASE WHEN strlen(t) <= 160 THEN t ELSE array_to_string(list_transform(list_filter(list_zip(string_split(h, ''), list_transform(range(1, len(h) + 1), lambda i: strlen(substr(h, 1, i - 1)))), lambda z: z[2] < 160), lambda z: z[1]), '') END AS excerpt FROM (SELECT doc_id, t, substr(t, 1, 160) AS h FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))")
+
+
+@query(EXCERPT_SQL)
 def template_excerpt(spark, sf):
-    return table(spark, sf, "documents").filter("length(text) < 400").select("doc_id", excerpt(F.coalesce("text", F.lit(""))).alias("excerpt"))
+    """Whole documents stand for templates."""
+    return document_excerpts(spark, sf)
 
 
-# ``template_excerpt`` takes the texts that its SQL asks for; this takes every document. Only the first 160 characters can start before byte 160.
-@query("SELECT doc_id, CASE WHEN strlen(t) <= 160 THEN t ELSE array_to_string(list_transform(list_filter(list_zip(string_split(h, ''), list_transform(range(1, len(h) + 1), lambda i: strlen(substr(h, 1, i - 1)))), lambda z: z[2] < 160), lambda z: z[1]), '') END AS excerpt FROM (SELECT doc_id, t, substr(t, 1, 160) AS h FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))")
+@query(EXCERPT_SQL)
 def document_excerpts(spark, sf):
     return table(spark, sf, "documents").select("doc_id", excerpt(F.coalesce("text", F.lit(""))).alias("excerpt"))
 
@@ -118,7 +122,7 @@ def document_excerpts(spark, sf):
 @query()
 def drain_clusters(spark, sf):
     d = L.document_lines(spark, sf).select((F.col("doc_id") * 1_000_000 + F.col("line_no")).alias("event_id"), mask(F.col("raw")).alias("template")).withColumn("received_at", F.col("event_id"))
-    return assign(d, keep=False)[1]
+    return assign(d)[1]
 
 
 @query(with_(EVENTS_SQL) + "SELECT l.event_id, l.template_id AS template_id_final FROM lines l")
@@ -127,6 +131,32 @@ def drain_assignments(spark, sf):
     return assign(L.event_lines(spark, sf))[0].select("event_id", "template_id_final")
 
 
+# Three families of order lines, on which SQL can tell what mining gives: lines alike but for their priority are one
+# cluster and such of another status another; first tokens with digits are one cluster; of first tokens in letters, 99 in
+# order of appearance have room at their node and the others are one cluster.
+@query(
+    """WITH o AS (SELECT o_orderkey AS k, epoch_us(o_orderdate) AS us, 'is' || lower(o_orderstatus) AS s, replace(substr(o_orderpriority, 3), ' ', '-') AS p, o_custkey % 150 AS c, o_custkey % 40 AS d FROM orders),
+a AS (SELECT 'batch of work for clients in zone ' || s || ' and desk ' || s || ' ended ' || CASE WHEN count(DISTINCT p) > 1 THEN '<*>' ELSE min(p) END AS template, count(*) AS size, 13 AS n_tokens, arg_min(k * 3, (us, k)) AS first_event FROM o GROUP BY s),
+b AS (SELECT CASE WHEN count(DISTINCT d) > 1 THEN '<*>' ELSE min('u' || d) END || ' units were moved to the north hall at noon today' AS template, count(*) AS size, 11 AS n_tokens, arg_min(k * 3 + 1, (us, k)) AS first_event FROM o HAVING count(*) > 0),
+f AS (SELECT c, 'q' || chr(CAST(97 + c // 26 AS INT)) || chr(CAST(97 + c % 26 AS INT)) AS w, row_number() OVER (ORDER BY min((us, k))) AS place FROM o GROUP BY c),
+g AS (SELECT CASE WHEN place <= 99 THEN place ELSE 100 END AS g, w, k, us FROM o JOIN f USING (c)),
+x AS (SELECT CASE WHEN count(DISTINCT w) > 1 THEN '<*>' ELSE min(w) END || ' sent its goods to bay seven at dusk safely' AS template, count(*) AS size, 10 AS n_tokens, arg_min(k * 3 + 2, (us, k)) AS first_event FROM g GROUP BY g)
+SELECT template, size, CAST(n_tokens AS INT) AS n_tokens, first_event FROM (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM x)"""
+)
+def drain_families(spark, sf):
+    o = spread(table(spark, sf, "orders"))
+    status, letter = F.concat(F.lit("is"), F.lower("o_orderstatus")), lambda n: F.char((F.lit(97) + n).cast("int"))
+    custkey = F.col("o_custkey") % 150
+    lines = (
+        F.concat(F.lit("batch of work for clients in zone "), status, F.lit(" and desk "), status, F.lit(" ended "), F.expr("replace(substring(o_orderpriority, 3), ' ', '-')")),
+        F.concat(F.lit("u"), (F.col("o_custkey") % 40).cast("string"), F.lit(" units were moved to the north hall at noon today")),
+        F.concat(F.lit("q"), letter(F.floor(custkey / 26)), letter(custkey % 26), F.lit(" sent its goods to bay seven at dusk safely")),
+    )
+    family = F.posexplode(F.array(*lines)).alias("family", "template")
+    rows = o.select("o_orderkey", F.col("o_orderdate").alias("received_at"), family).withColumn("event_id", F.col("o_orderkey") * 3 + F.col("family"))
+    return assign(rows)[1].select("template", "size", "n_tokens", "first_event")
+
+
 @query(with_(EVENTS_SQL, "t AS (SELECT DISTINCT template, string_split(template, ' ') AS w FROM lines)") + "SELECT a.template AS a, b.template AS b, list_sum([CASE WHEN a.w[i] = b.w[i] THEN 1 ELSE 0 END FOR i IN range(1, len(a.w) + 1)]) / CAST(len(a.w) AS DOUBLE) AS similarity FROM t a JOIN t b ON a.template < b.template AND len(a.w) = len(b.w)")
 def pairwise_similarity(spark, sf):
     t = L.event_lines(spark, sf).select("template").distinct().withColumn("w", F.split("template", " "))
