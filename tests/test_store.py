@@ -43,7 +43,7 @@ def test_sockets():
         for k in range(3):
             s.sendto(b"<13>m%d" % k, udp.socket.getsockname())
     rows, end = udp.read({"n": 5})
-    assert [r[3] for r in rows] == [b"<13>m0", b"<13>m1"] and end == {"n": 7} and udp.shed == 1
+    assert [r[3] for r in rows] == [b"<13>m0", b"<13>m1"] and end == {"n": 7} and udp.shed.total == udp.shed.counts["over the quota of a second"] == 1
     tcp = TcpReader({"port": "0"})
     with socket.create_connection(tcp.server.getsockname()) as s:
         s.sendall(b"<13>a\n<13>b\n")

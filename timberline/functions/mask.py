@@ -108,6 +108,15 @@ class Bundle:
             raise BadBundle("size", "the patterns are too long")
         return cls(slots, text)
 
+    def check(self, spark) -> Bundle:
+        """The bundle, if Java takes its patterns as well, which are what masking runs. Raises BadBundle."""
+        for s in self.slots:
+            try:
+                spark.range(1).select(F.lit("").rlike("(?U)" + s.pattern)).collect()
+            except Exception as x:
+                raise BadBundle("regex", f"{s.name}: {x}") from x
+        return self
+
     def to_toml(self) -> str:
         out = [f"version = {VERSION}\n"]
         for s in self.slots:

@@ -164,15 +164,32 @@ def first_judgments(sightings: DataFrame, verdicts: DataFrame, c: AlarmConfig =
     )
 
 
-def context_snapshot(bursts: DataFrame, open_: DataFrame, most: int = 8) -> DataFrame:
-    """For each burst (host, sec), the oldest open alarms of its host at that time: array of (opened_sec, alarm_id, template)."""
-    spans = open_.select(F.col("host").alias("_h"), "opened_sec", "clears_sec", "alarm_id", "template")
-    live = (F.col("host") == F.col("_h")) & (F.col("opened_sec") < F.col("sec")) & (F.col("sec") <= F.col("clears_sec"))
-    ranked = bursts.join(spans, live).withColumn("_r", F.row_number().over(Window.partitionBy("event_id").orderBy("opened_sec", "alarm_id"))).filter(F.col("_r") <= most)
+def context_snapshot(bursts: DataFrame, open_: DataFrame, most: int = 8, block: int = 900) -> DataFrame:
+    """For each burst (host, sec), the oldest open alarms of its host at that time: array of (opened_sec, alarm_id, template).
+
+    Time is cut into blocks. Of the alarms that are open all through a block, its
+    bursts can only show the oldest ``most``, so that a burst meets those and the
+    alarms that open or clear in its block.
+    """
+    blocks = F.sequence(F.floor(F.col("opened_sec") / block), F.floor(F.col("clears_sec") / block))
+    spans = open_.select(F.col("host").alias("_h"), "opened_sec", "clears_sec", "alarm_id", "template", F.explode(blocks).alias("_b"))
+    through = (F.col("opened_sec") < F.col("_b") * block) & (F.col("clears_sec") >= (F.col("_b") + 1) * block - 1)
+    place = F.row_number().over(Window.partitionBy("_h", "_b", "_through").orderBy("opened_sec", "alarm_id"))
+    spans = spans.withColumn("_through", through).withColumn("_place", place).filter(~F.col("_through") | (F.col("_place") <= most))
+    asked = bursts.select("event_id", "host", "sec", F.floor(F.col("sec") / block).alias("_b"))
+    live = (F.col("host") == F.col("_h")) & (asked["_b"] == spans["_b"]) & (F.col("opened_sec") < F.col("sec")) & (F.col("sec") <= F.col("clears_sec"))
+    ranked = asked.join(spans, live).withColumn("_r", F.row_number().over(Window.partitionBy("event_id").orderBy("opened_sec", "alarm_id"))).filter(F.col("_r") <= most)
     found = ranked.groupBy("event_id").agg(F.array_sort(F.collect_list(F.struct("opened_sec", "alarm_id", "template"))).alias("open_alarms"))
     return bursts.join(found, "event_id", "left")
 
 
+def still_open(answers: DataFrame, found: DataFrame) -> DataFrame:
+    """Answers (answered_sec, correlates_with) with null for a named alarm that was not open any more when the answer came."""
+    spans = found.select(F.col("alarm_id").alias("_id"), "opened_sec", "clears_sec")
+    live = (F.col("correlates_with") == F.col("_id")) & (F.col("opened_sec") <= F.col("answered_sec")) & (F.col("answered_sec") <= F.col("clears_sec"))
+    return answers.join(spans, live, "left").withColumn("correlates_with", F.col("_id")).select(*answers.columns)
+
+
 @dataclass
 class Key:
     """One key's state in the contextual machine."""

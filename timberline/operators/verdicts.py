@@ -10,6 +10,7 @@ from typing import Any, Protocol
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import excerpt
 from ..runtime import ship
 from ..schema import severity_name, severity_rank
 
@@ -27,6 +28,16 @@ SEVERITY_FLOOR, ACTIONABLE, CONTEXTUAL = "minor", 0.5, 0.5
 PAGE, DASHBOARD = 0.90, 0.60
 
 
+# Fixed value: the name of the answer that no shown alarm is the same incident.
+NONE = "none"
+
+
+def context_options(open_alarms: Column, most: int = 160) -> Column:
+    """What a burst's ``correlates_with`` may be answered with: a map of the ids in its snapshot to their excerpts, and none."""
+    shown = F.transform(F.coalesce(open_alarms, F.array().cast("array<struct<opened_sec:bigint,alarm_id:string,template:string>>")), lambda a: F.struct(a["alarm_id"].alias("key"), excerpt(a["template"], most).alias("value")))
+    return F.map_from_entries(F.concat(shown, F.array(F.struct(F.lit(NONE).alias("key"), F.lit("another incident").alias("value")))))
+
+
 def questions_hash(questions: Any) -> str:
     """32 hex digits of the JSON text with sorted keys."""
     text = json.dumps(questions, sort_keys=True, separators=(",", ":"), ensure_ascii=False)

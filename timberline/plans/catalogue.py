@@ -351,10 +351,10 @@ def alarms_contextual(spark, sf):
     return A.contextual_changelog(_gated(spark, sf), _answers(table(spark, sf, "events")))
 
 
-@query(ALL_SQL + ", b AS (SELECT event_id, host, sec FROM lines WHERE event_type = 'view'), r AS (SELECT b.event_id, a.opened_sec, a.alarm_id, row_number() OVER (PARTITION BY b.event_id ORDER BY a.opened_sec, a.alarm_id) AS k FROM b JOIN alarms a ON a.host = b.host AND a.opened_sec < b.sec AND b.sec <= a.clears_sec)\nSELECT b.event_id, coalesce(string_agg(r.alarm_id, ',' ORDER BY r.opened_sec, r.alarm_id), '') AS seen FROM b LEFT JOIN r ON r.event_id = b.event_id AND r.k <= 8 GROUP BY b.event_id")
+@query(ALL_SQL + ", b AS (SELECT event_id, host, sec FROM lines), r AS (SELECT b.event_id, a.opened_sec, a.alarm_id, row_number() OVER (PARTITION BY b.event_id ORDER BY a.opened_sec, a.alarm_id) AS k FROM b JOIN alarms a ON a.host = b.host AND a.opened_sec < b.sec AND b.sec <= a.clears_sec)\nSELECT b.event_id, coalesce(string_agg(r.alarm_id, ',' ORDER BY r.opened_sec, r.alarm_id), '') AS seen FROM b LEFT JOIN r ON r.event_id = b.event_id AND r.k <= 8 GROUP BY b.event_id")
 def context_snapshot(spark, sf):
-    bursts = L.event_lines(spark, sf).filter("event_type = 'view'").select("event_id", "host", "sec")
-    s = A.context_snapshot(bursts, _alarms(spark, sf))
+    lines = L.stored_lines(spark, sf)
+    s = A.context_snapshot(lines.select("event_id", "host", "sec"), written(_alarms(spark, sf, lines), "alarms"))
     return s.select("event_id", F.coalesce(F.array_join(F.transform("open_alarms", lambda a: a["alarm_id"]), ","), F.lit("")).alias("seen"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .syslog import host_or
@@ -29,3 +29,8 @@ def normalise(df: DataFrame, record: str = "record", own_unit: str | None = None
             "body_offset": F.lit(0),
         }
     )
+
+
+def tail(spark: SparkSession, folder: str, own_unit: str | None = None) -> DataFrame:
+    """A stream of the records that are exported into a folder, line by line, but for the engine's own unit's."""
+    return normalise(parse(spark.readStream.text(folder).withColumnRenamed("value", "line")), own_unit=own_unit)

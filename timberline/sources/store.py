@@ -70,6 +70,19 @@ class Store:
 
         return sink
 
+    def feed(self, after: int, most_behind: int = 256) -> tuple[str, int, DataFrame]:
+        """What a follower that has seen batch ``after`` gets: ("changes" or "resync", the last batch, rows).
+
+        One that is more than ``most_behind`` batches behind, or before the first batch
+        that is still there, is given all open alarms instead of the changes in between.
+        """
+        rows = self.spark.read.parquet(f"{self.path}/alarm_changes")
+        first, last = rows.agg(F.min("batch"), F.max("batch")).first()
+        if last is not None and (last - after > most_behind or after + 1 < first):
+            return "resync", last, self.open_alarms()
+        order = [c for c in ("batch", "at_sec") if c in rows.columns]
+        return "changes", after if last is None else last, rows.filter(F.col("batch") > after).orderBy(*order)
+
     def open_alarms(self) -> DataFrame:
         """Alarms whose last change is not a clear, oldest first."""
         rows = self.spark.read.parquet(f"{self.path}/alarm_changes")
