@@ -17,7 +17,7 @@ import re
 import uuid
 import zlib
 from array import array
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -248,13 +248,15 @@ class WordCoder:
     """Ids of whole texts by the tokenizers library, with each distinct piece coded once where its rules allow that.
 
     Under ``RULES`` nothing looks across a space, tab or line end, so texts are cut
-    there. Pieces of plain Latin letters, with ASCII marks after them or not, are
-    already what the normaliser and splitter would make of them once lower-cased; the
-    library's model codes those. It codes any other piece with all its rules. With a
+    there. Pieces of Latin letters, with ASCII marks after them or not, are already
+    what the normaliser and splitter would make of them once lower-cased and cut between
+    letters and marks; the library's model codes those. It codes any other piece with
+    all its rules. With a
     file of other rules, the library codes whole texts.
     """
 
-    PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-;=-@\[-`{-~]*)")
+    #: ASCII marks that may follow letters; an apostrophe may belong to a word's end, and an added token starts with a less-than sign.
+    MARKS = re.compile(r"[!-&(-/:-;=-@\[-`{-~]")
 
     def __init__(self, path: str, end_id: int | None, limit: int = 600_000):
         from tokenizers import Tokenizer
@@ -263,30 +265,49 @@ class WordCoder:
         self.model = self.tokenizer.model
         rules = json.loads(self.tokenizer.to_str())
         added = [t["content"] for t in rules["added_tokens"]]
-        self.by_piece = all(rules[k] == v for k, v in RULES.items()) and not any(re.search(r"\s", t) or self.PLAIN.fullmatch(t) for t in added)
+        self.by_piece = all(rules[k] == v for k, v in RULES.items()) and all(t.startswith("<") and not re.search(r"\s", t) for t in added)
+        # The byte-level alphabet: how the model spells bytes.
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in set(shown)]
         self.shown = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+        #: Classes of bytes: 1 letters, 2 marks, 0 others.
+        self.kind = np.zeros(256, np.uint8)
+        self.kind[[*range(65, 91), *range(97, 123)]] = 1
+        self.kind[[c for c in range(128) if self.MARKS.fullmatch(chr(c))]] = 2
         self.end_id, self.limit = end_id, limit
         self.cache = tv.Ragged(np.uint32, limit)
-        #: Ids as bytes, which take a quarter of a list's memory.
-        self.words: dict[str, bytes] = {}
-
-    def _word(self, word: str) -> bytes:
-        ids = self.words.get(word)
-        if ids is None:
-            if len(self.words) >= self.limit:
-                self.words.clear()
-            shown = word if word.isascii() else "".join(map(self.shown.__getitem__, word.encode()))
-            ids = self.words[word] = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
-        return ids
-
-    def piece(self, text: str) -> Sequence[int]:
-        m = self.PLAIN.fullmatch(text)
-        if m:
-            marks = m[2]
-            return array("I", self._word(m[1].lower()) + (self._word(marks) if marks else b""))
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def units(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The buffer with plain pieces lower-cased, starts and ends of units, and which units are plain.
+
+        A piece of letters, then marks, is plain; it is cut between them.
+        """
+        kind = self.kind[buf]
+        # Latin letters of two bytes; small ones are 32 above the others, and two signs stand among them.
+        latin = np.flatnonzero((buf[:-1] == 0xC3) & (buf[1:] != 0x97) & (buf[1:] != 0xB7))
+        kind[latin] = kind[latin + 1] = 1
+        sums = lambda x: np.r_[0, np.cumsum(x, dtype=np.int32)]
+        others, letters = sums(kind == 0), sums(kind == 1)
+        turns = sums((kind[:-1] == 2) & (kind[1:] == 1))
+        plain = (others[ends] == others[starts]) & (turns[ends - 1] == turns[starts])
+        inside = np.zeros(len(buf) + 1, np.int8)
+        inside[starts[plain]] = 1
+        inside[ends[plain]] -= 1
+        small = tv.LOWER[buf]
+        small[latin + 1] |= np.where(buf[latin + 1] < 0x9F, 0x20, 0).astype(np.uint8)
+        low = np.where(np.cumsum(inside[:-1], dtype=np.int8) > 0, small, buf)
+        middle = starts + letters[ends] - letters[starts]
+        middle = middle[plain & (middle > starts) & (middle < ends)]
+        first = np.concatenate([starts, middle])
+        order = np.argsort(first, kind="stable")
+        return low, first[order], np.sort(np.concatenate([ends, middle])), np.concatenate([plain, np.ones(len(middle), bool)])[order]
+
+    def ids(self, text: bytes, plain: bool) -> list[int]:
+        """Of a plain unit, by the model alone; else by all rules."""
+        if plain:
+            shown = text.decode() if text.isascii() else "".join(map(self.shown.__getitem__, text))
+            return [t.id for t in self.model.tokenize(shown)]
+        return self.tokenizer.encode(text.decode(), add_special_tokens=False).ids
 
     def code(self, texts: list[str | None], limit: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(first row, last row + 1, ids, ids of each row) in chunks."""
@@ -298,25 +319,24 @@ class WordCoder:
                 yield a, b, np.frombuffer(b"".join(c.tobytes() for c in coded), np.uint32), np.array([len(c) for c in coded], np.int64)
                 continue
             buf, bounds = tv.joined(raw[a:b])
-            inside = (buf != 0x20) & (buf != 0x09) & (buf != 0x0A) & (buf != 0x0D)
-            starts, ends = tv.spans(inside)
+            starts, ends = tv.spans((buf != 0x20) & (buf != 0x09) & (buf != 0x0A) & (buf != 0x0D))
             if self.cache.n > self.limit:
                 self.cache.clear()
             end = self.cache.index.get(b"")
             if end is None:
                 end = self.cache.add(b"", [] if self.end_id is None else [self.end_id])
             if len(starts):
+                buf, starts, ends, plain = self.units(buf, starts, ends)
                 first, place = tv.distinct(buf, starts, ends)
                 data, index = buf.tobytes(), self.cache.index
-                places = np.zeros(len(first), np.int64)
-                for k, (s, e) in enumerate(zip(starts[first].tolist(), ends[first].tolist(), strict=True)):
-                    key = data[s:e]
-                    i = index.get(key)
-                    places[k] = self.cache.add(key, self.piece(key.decode())) if i is None else i
+                keys = [data[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+                places = np.fromiter((index.get(k, -1) for k in keys), np.int64, len(keys))
+                new = np.flatnonzero(places < 0)
+                places[new] = self.cache.add_all([keys[k] for k in new.tolist()], [self.ids(keys[k], p) for k, p in zip(new.tolist(), plain[first[new]].tolist(), strict=True)])
                 place = places[place]
             else:
                 place = np.zeros(0, np.int64)
-            # After the last piece of each text comes its end.
+            # After the last unit of each text comes its end.
             cut = np.searchsorted(starts, bounds[1:])
             place = np.insert(place, cut, end)
             ids, counts = self.cache.gather(place)
@@ -359,7 +379,7 @@ def write_ids(df: DataFrame, folder: str, path: str, id_col: str = "doc_id", tex
             held, n, seq = [], 0, seq + 1
             return pa.RecordBatch.from_pydict(row)
 
-        for b in tv.slices(batches):
+        for b in tv.slices(batches, 4 << 20):
             keys, none = np.asarray(b.column(0).fill_null(0)), np.asarray(b.column(0).is_null())
             for x, y, ids, counts in coder.code(b.column(1).to_pylist(), min(4 << 20, file_values)):
                 held.append((keys[x:y], none[x:y], counts, ids))

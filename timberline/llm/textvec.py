@@ -10,6 +10,7 @@ from __future__ import annotations
 import ctypes
 import gc
 from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -184,6 +185,21 @@ class Ragged:
         self.at[self.n] = self.used
         return i
 
+    def add_all(self, keys: list[str | bytes], values: list[Sequence[int]]) -> np.ndarray:
+        """The places of new keys, which get their values at once."""
+        sizes = np.fromiter(map(len, values), np.int64, len(values))
+        total, n = int(sizes.sum()), len(keys)
+        if self.used + total > len(self.data):
+            self.data = np.resize(self.data, max(2 * len(self.data), self.used + total))
+        if self.n + n + 1 > len(self.at):
+            self.at = np.resize(self.at, max(2 * len(self.at), self.n + n + 1))
+        self.data[self.used : self.used + total] = np.fromiter(chain.from_iterable(values), self.dtype, total)
+        self.at[self.n + 1 : self.n + n + 1] = self.used + np.cumsum(sizes)
+        self.index.update(zip(keys, range(self.n, self.n + n), strict=True))
+        self.used += total
+        self.n += n
+        return np.arange(self.n - n, self.n)
+
     def gather(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The values of all places one after another, and how many each has."""
         counts = self.at[places + 1] - self.at[places]
