@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from timberline.llm import exact_dedup, secrets, urlfilter
-from timberline.llm.mixing import Mix, uniform
+from timberline.llm.mixing import Mix, length_weight, uniform
 
 DOC = "doc_id long, text string, source string"
 
@@ -102,6 +102,18 @@ def test_mix_edges(spark):
     share = m.report().withColumn("heavy", F.col("doc_id") % 4 < 2).groupBy("heavy").agg(F.sum("taken").alias("n")).collect()
     n = {r.heavy: r.n for r in share}
     assert 2.3 < n[True] / n[False] < 3.8
+    # Odds by length meet their targets, too; null and negative weights are none, and such rows come last.
+    rows = [(k, "w " * rng_size, "ab"[k % 2]) for k in range(1500) for rng_size in [(k * 7919) % 1500]] + [(1500, "x " * 9, None), (1501, "x", "b"), (1501, "x", "b")]
+    sized = Mix(docs(spark, rows), weight=length_weight(F.col("text"))).report().collect()
+    for source in ("a", "b"):
+        own = [r for r in sized if r.source_size == max(x.source_size for x in sized if x.doc_id % 2 == (source == "b") and x.doc_id < 1500)]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 0.02 * own[0].target
+    free = [r for r in sized if r.target < 1.5 * r.source_size]
+    long, short = [r for r in free if r.size >= 1000], [r for r in free if 0 < r.size <= 200]
+    assert sum(r.taken / r.size for r in long) / len(long) > 1.3 * sum(r.taken / r.size for r in short) / len(short)
+    assert all(r.taken <= 2 * r.size for r in sized) and len(sized) == len(rows)
+    none = Mix(df, weight=F.when(F.col("doc_id") % 4 == 0, None).when(F.col("doc_id") % 4 == 1, -5.0).otherwise(1.0), share=0.4).report().filter("doc_id % 4 < 2 and taken > 0").count()
+    assert none <= 2
     u = spark.range(5000).select(uniform(F.col("id")).alias("u")).agg(F.avg("u"), F.min("u"), F.max("u")).first()
     assert abs(u[0] - 0.5) < 0.02 and u[1] > 0 and u[2] < 1
 

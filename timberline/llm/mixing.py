@@ -3,8 +3,9 @@
 Each document is due ``ratio * weight`` copies. Its whole copies are certain; for the
 remaining fraction p, documents are ranked by the odds of a uniform draw over the odds
 of p, and the smallest ranks are taken until the source's remaining words are filled.
-The cut is found from a histogram of ranks and one ordered look into the bucket where
-the words run out, so no source is ever sorted as a whole. What one source needs to
+The cut is found from a histogram of ranks, its groups first and then the buckets of
+one group, and one ordered look into the bucket where the words run out, so no source is
+ever sorted as a whole. What one source needs to
 judge its rows is a single row of cuts; the documents themselves are never shuffled.
 """
 
@@ -19,7 +20,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST_COPIES = 2
-BUCKETS = 1 << 14
+#: Ranks are counted in so many buckets, and first in groups of so many of these.
+BUCKETS, GROUP = 1 << 14, 1 << 7
+#: Words that count for a document's weight.
+LONG = 1000
 #: More sources than this are joined by shuffle instead of broadcast.
 BROADCAST_SOURCES = 100_000
 
@@ -28,6 +32,11 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def length_weight(text: Column) -> Column:
+    """LONG and a document's words, up to LONG of them: what has a thousand words is due twice as often as what has none."""
+    return F.lit(LONG).cast("long") + F.least(n_words(text), F.lit(LONG).cast("long"))
+
+
 def uniform(id_col: Column, seed: str = "") -> Column:
     """A draw in (0, 1) that depends on the id alone: 52 bits of MD5."""
     digits = F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(id_col.cast("string"), F.lit("")))), 1, 13)
@@ -81,8 +90,11 @@ def _ranked(rows: DataFrame, seed: str, most: int) -> DataFrame:
 class Mix:
     """The cuts of each source, found over all rows of ``df``.
 
-    Rows that share an id and a source are taken together. Null texts have size 0 and
-    null sources are a source; an empty table gives empty results.
+    ``weight`` says how often rows of a source are due against each other; whole
+    numbers are summed exactly, null and negative ones count as 0, and rows of weight 0
+    come after all others of their source. Rows that share an id and a source are taken
+    together. Null texts have size 0 and null sources are a source; an empty table gives
+    empty results. Columns may have any names.
     """
 
     def __init__(
@@ -90,7 +102,7 @@ class Mix:
         weight: Column | None = None, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST_COPIES, seed: str = "",
     ):
         self.seed, self.most, self.id_col, self.source_col = seed, most, id_col, source_col
-        self.weight = F.lit(1.0) if weight is None else weight.cast("double")
+        self.weight = F.lit(1).cast("long") if weight is None else F.greatest(F.coalesce(weight, F.lit(0)), F.lit(0))
         self.sized = sized = written(
             df.select(df[id_col].alias("id"), df[source_col].alias("source"), n_words(df[text_col]).alias("size"), self.weight.alias("weight")), "mix-sizes"
         )
@@ -117,14 +129,17 @@ class Mix:
         by_bucket = written(by_bucket, "mix-buckets")
         certain = by_bucket.groupBy("source").agg(F.sum("certain").alias("certain"))
         quotas = _with_source(self.plan, certain, self.small).withColumn("quota", F.col("target") - F.col("certain")).select("source", "quota")
-        so_far = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        sums = _with_source(by_bucket.withColumn("so_far", F.sum("words").over(so_far)), quotas, self.small)
-        over = (
-            sums.filter("so_far > quota")
-            .groupBy("source")
-            .agg(F.min(F.struct("bucket", (F.col("so_far") - F.col("words")).alias("before"))).alias("at"), F.first("quota").alias("quota"))
-            .select("source", F.col("at.bucket").alias("cut_bucket"), F.col("at.before").alias("before"), "quota")
-        )
+        def where_words_run_out(sums: DataFrame, place: str, before: Column) -> DataFrame:
+            so_far = F.sum("words").over(Window.partitionBy("source").orderBy(place).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+            past = sums.withColumn("so_far", before + so_far).filter("so_far > quota").groupBy("source")
+            first = past.agg(F.min(F.struct(place, (F.col("so_far") - F.col("words")).alias("before"))).alias("at"), F.first("quota").alias("quota"))
+            return first.select("source", F.col(f"at.{place}").alias(f"cut_{place}"), F.col("at.before").alias("before"), "quota")
+
+        group = F.floor(F.col("bucket") / GROUP).cast("int").alias("group")
+        groups = by_bucket.groupBy("source", group).agg(F.sum("words").alias("words"))
+        cut_groups = written(where_words_run_out(_with_source(groups, quotas, self.small), "group", F.lit(0)), "mix-groups")
+        fine = _with_source(by_bucket.withColumn("group", group), cut_groups, self.small).filter("group = cut_group")
+        over = where_words_run_out(fine, "bucket", F.col("before"))
         over = written(over, "mix-over")
         free = _with_source(ranked.filter(F.col("base") < self.most), over, self.small)
         upto = F.sum("size").over(Window.partitionBy("source").orderBy("rank", "id"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -45,19 +46,20 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"""
 WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
-s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS turn FROM d GROUP BY source),
+e AS (SELECT *, 1000 + least(size, 1000) AS weight_ FROM d),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CAST(sum(size * weight_) AS DOUBLE) AS weighted, row_number() OVER (ORDER BY source NULLS LAST) AS turn FROM e GROUP BY source),
 w AS (SELECT *, CAST([3, 1, 2][(turn - 1) % 3 + 1] AS DOUBLE) AS weight, source_size * CAST(2 AS DOUBLE) AS cap FROM s),
 l AS (SELECT *, (sum(source_size) OVER () * CAST(1.5 AS DOUBLE)
     - coalesce(sum(cap) OVER (ORDER BY cap / weight, turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
     / sum(weight) OVER (ORDER BY cap / weight, turn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
 f AS (SELECT *, cap / weight <= level AS full_ FROM l),
 m AS (SELECT *, (SELECT min_by(level, cap / weight) FROM f WHERE NOT full_) AS shared FROM f),
-t AS (SELECT source, source_size, CASE WHEN full_ THEN cap ELSE weight * shared END AS target FROM m),
-r AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS ratio FROM t),
-x AS (SELECT d.doc_id, d.size, d.source, r.source_size, r.target, r.ratio, floor(least(r.ratio, 2)) AS base, least(r.ratio, 2) - floor(least(r.ratio, 2)) AS p,
+t AS (SELECT source, source_size, weighted, CASE WHEN full_ THEN cap ELSE weight * shared END AS target FROM m),
+r AS (SELECT *, CASE WHEN weighted > 0 THEN target / weighted ELSE 0 END AS ratio FROM t),
+x AS (SELECT d.doc_id, d.size, d.source, r.source_size, r.target, r.ratio, floor(least(r.ratio * d.weight_, 2)) AS base, least(r.ratio * d.weight_, 2) - floor(least(r.ratio * d.weight_, 2)) AS p,
     (CAST(CAST('0x' || substr(md5(CAST(d.doc_id AS VARCHAR)), 1, 13) AS BIGINT) AS DOUBLE) + CAST(0.5 AS DOUBLE)) / CAST(4503599627370496 AS DOUBLE) AS u
-    FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source),
-q AS (SELECT *, CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) ELSE CAST('inf' AS DOUBLE) END AS rank_, target - base * source_size AS quota FROM x),
+    FROM e d JOIN r ON d.source IS NOT DISTINCT FROM r.source),
+q AS (SELECT *, CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) ELSE CAST('inf' AS DOUBLE) END AS rank_, target - sum(base * size) OVER (PARTITION BY source) AS quota FROM x),
 c AS (SELECT *, base < 2 AND sum(size) OVER (PARTITION BY source ORDER BY rank_, doc_id) <= quota AS in_ FROM q),
 g AS (SELECT source, max(quota) - coalesce(sum(size) FILTER (WHERE in_), 0) AS gap FROM c GROUP BY source),
 o AS (SELECT c.source, arg_min(c.doc_id, (abs(c.size - g.gap), c.rank_, c.doc_id)) AS more_id FROM c JOIN g ON c.source IS NOT DISTINCT FROM g.source
@@ -67,9 +69,9 @@ SELECT c.doc_id, c.size, c.source_size, c.target,
 FROM c LEFT JOIN o ON c.source IS NOT DISTINCT FROM o.source
 """)
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .mixing import Mix
+    from .mixing import Mix, length_weight
 
-    return Mix(table(spark, sf_dir, "documents")).report()
+    return Mix(table(spark, sf_dir, "documents"), weight=length_weight(F.col("text"))).report()
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
