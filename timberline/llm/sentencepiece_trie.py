@@ -28,6 +28,8 @@ from .runtime import ship
 
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
+#: Bytes of texts whose distinct words are sorted together: the more, the longer the prefixes that they share.
+CHUNK_BYTES = 1 << 20
 #: How far below the worst piece a character outside the vocabulary scores.
 UNKNOWN_PENALTY = 10.0
 
@@ -109,7 +111,7 @@ class Vocabulary:
 class Segmenter:
     """Segments sorted words, keeping the states of the common prefix."""
 
-    def __init__(self, vocabulary: Vocabulary, limit: int = 200_000):
+    def __init__(self, vocabulary: Vocabulary, limit: int = 300_000):
         self.v, self.limit = vocabulary, limit
         #: Left id * 2**24 + right id; left 0 is the start of a word.
         self.pairs: dict[int, bool] = {}
@@ -195,7 +197,7 @@ class Segmenter:
 class Coder:
     """Encodes and decodes whole texts; each distinct marked word is segmented once."""
 
-    def __init__(self, path: str, limit: int = 120_000):
+    def __init__(self, path: str, limit: int = 200_000):
         self.v = Vocabulary(path)
         self.segmenter = Segmenter(self.v)
         self.limit = limit
@@ -212,7 +214,7 @@ class Coder:
     def encode(self, texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(first row, last row + 1, ids, ids of each row) in chunks."""
         raw = [self._marked(t or "") for t in texts]
-        for a, b in tv.chunks(raw):
+        for a, b in tv.chunks(raw, CHUNK_BYTES):
             data = b"".join(raw[a:b])
             bounds = np.cumsum([0, *map(len, raw[a:b])])
             if not data:
