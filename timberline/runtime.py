@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +38,24 @@ def ship(spark: SparkSession) -> None:
     sc._timberline_shipped = True
 
 
+@contextmanager
+def importable(spark: SparkSession) -> Iterator[None]:
+    """Functions made within are read by processes that find this package where the driver has it.
+
+    The driver's own process for keyed state is not given shipped code.
+    """
+    environment = spark.sparkContext.environment
+    before = environment.get("PYTHONPATH")
+    environment["PYTHONPATH"] = os.pathsep.join(filter(None, [str(_PACKAGE.parent), before]))
+    try:
+        yield
+    finally:
+        if before is None:
+            del environment["PYTHONPATH"]
+        else:
+            environment["PYTHONPATH"] = before
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
 

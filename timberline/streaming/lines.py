@@ -20,7 +20,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..operators.alarms import CHANGES, AlarmConfig, Key, Machine
 from ..operators.verdicts import contextual, gate, severity_of
 from ..operators.windows import WindowConfig
-from ..runtime import ship
+from ..runtime import importable, ship
 from ..schema import severity_rank
 
 #: The state store that keyed processors with timers need.
@@ -174,7 +174,8 @@ def alarm_feed(
         F.coalesce(rank >= severity_rank(F.lit(c.bypass)), F.lit(False)).alias("bypass"), contextual(F.col("contextual"), c.contextual).alias("flagged"),
         "delay_sec", "matters_now", "wake_someone",
     )
-    return rows.groupBy("template_id").transformWithStateInPandas(LineAlarms(c, origin_us, squeeze, forget), CHANGES, "append", "EventTime")
+    with importable(spark):
+        return rows.groupBy("template_id").transformWithStateInPandas(LineAlarms(c, origin_us, squeeze, forget), CHANGES, "append", "EventTime")
 
 
 def first_micros(spark: SparkSession, table: DataFrame, at: str = "ts") -> int:
