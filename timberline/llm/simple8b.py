@@ -381,7 +381,7 @@ def write_ids(df: DataFrame, folder: str, path: str, id_col: str = "doc_id", tex
 
         for b in tv.slices(batches, 4 << 20):
             keys, none = np.asarray(b.column(0).fill_null(0)), np.asarray(b.column(0).is_null())
-            for x, y, ids, counts in coder.code(b.column(1).to_pylist(), min(4 << 20, file_values)):
+            for x, y, ids, counts in coder.code(b.column(1).to_pylist(), min(2 << 20, file_values)):
                 held.append((keys[x:y], none[x:y], counts, ids))
                 n += len(ids)
                 if n >= file_values:
