@@ -137,3 +137,12 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sentencepiece_trie import report
 
     return report(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+@query()
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .byte_bpe import report
+
+    return report(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
