@@ -87,11 +87,18 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(pages, CONTRACT_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import divergence
+
+    return divergence(table(spark, sf_dir, "documents"))
+
+
 def _register() -> None:
-    from . import secrets, urlfilter
+    from . import divergence, secrets, urlfilter
 
     query(secrets.oracle_sql())(op6_secret_scan)
     query(urlfilter.oracle_sql())(op10_url_filter)
+    query(divergence.oracle_sql())(op12_divergence)
 
 
 _register()
