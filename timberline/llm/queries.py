@@ -93,12 +93,19 @@ def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence(table(spark, sf_dir, "documents"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .prefix_trie import prefix_trie
+
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def _register() -> None:
-    from . import divergence, secrets, urlfilter
+    from . import divergence, prefix_trie, secrets, urlfilter
 
     query(secrets.oracle_sql())(op6_secret_scan)
     query(urlfilter.oracle_sql())(op10_url_filter)
     query(divergence.oracle_sql())(op12_divergence)
+    query(prefix_trie.oracle_sql())(op13_prefix_trie)
 
 
 _register()
