@@ -1,8 +1,13 @@
+import random
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
 from tests import golden
-from timberline.functions.mask import DEFAULT, BadBundle, Bundle, Slot, mask, match_spans, matches, pieces, register, slot_uses
+from timberline.functions.mask import DEFAULT, DEFAULT_SLOTS, LINEAR, BadBundle, Bundle, Slot, mask, match_spans, matches, pieces, register, slot_uses
 
 CASES = [
     ("at 2026-09-19T10:00:00Z done", "at <VAR:TS> done"),
@@ -80,3 +85,64 @@ def test_bundle_round_trip():
     again = Bundle.parse(DEFAULT.to_toml())
     assert again.slots == DEFAULT.slots and again.hash == DEFAULT.hash
     assert Bundle.parse(Bundle((Slot("Q", "it's \"x\""),)).to_toml()).slots[0].pattern == "it's \"x\""
+
+
+# Characters that make long runs, many boundaries and near misses of the slots whose patterns are run in another form.
+RUNS = {
+    "HOST": ["a", "b-", "-", ".", "com", "de", ".com", "..", "x1", "é", "_", " ", "1", "ca", "-com."],
+    "EMAIL": ["a", "@", "b.", "-", "com", "%", "+", "_", " ", ".x", "é", "a@b.co"],
+    "URL": ["a", "http", "://", "+", ".", "-", "1", " ", "x", "é", "A", "::", "/"],
+    "PATH": ["/", "a", ".", "_", "-", " ", "é", "b1", "//"],
+}
+
+
+@pytest.mark.parametrize("flag", ["(?U)", ""])
+def test_patterns_run_in_another_form_find_the_same(spark, flag):
+    rng = random.Random(1)
+    slots = dict(DEFAULT_SLOTS)
+    rows = []
+    for name, parts in RUNS.items():
+        dense = [p for p in parts if p != " "]
+        rows += [(name, "".join(rng.choice(rng.choice([parts, dense])) for _ in range(rng.choice([4, 20, 60, 220])))) for _ in range(1500)]
+    every = sum(RUNS.values(), ["2024-01-01T00:00:00", "::1", "1.2.3.4", "0xff", "[12]", "5 ms", "<VAR:X>", "deadbeef01", "/dev/sda"])
+    rows += [("", "".join(rng.choice(every) for _ in range(rng.choice([5, 20, 90])))) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "slot string, line string").cache()
+    for name in RUNS:
+        own = df.filter(F.col("slot") == name)
+        assert own.filter(F.regexp_replace("line", flag + slots[name], "#") != F.regexp_replace("line", flag + LINEAR[slots[name]], "#")).count() == 0
+        assert own.filter(F.col("line").rlike(slots[name])).count() > 300
+    written = DEFAULT.start + "(?:" + "|".join(["(<VAR:[A-Z][A-Z0-9_]*>)", *(f"({s.pattern})" for s in DEFAULT.slots)]) + ")"
+    plain = F.when(F.lit(True), F.regexp_replace("line", flag + written, DEFAULT.separated))
+    run = F.when(F.contains("line", F.lit("@")) | F.contains("line", F.lit("://")), F.regexp_replace("line", flag + DEFAULT.grouped, DEFAULT.separated)).otherwise(F.regexp_replace("line", flag + DEFAULT.lean, DEFAULT.separated))
+    assert df.filter(plain != run).count() == 0
+
+
+LONG = {
+    "ab." * 21_000 + "com": "<VAR:HOST>", "/ab" * 20_000: "<VAR:PATH>", "http://" + "a/" * 32_000: "<VAR:URL>", "a" * 64_000 + "@b.co": "<VAR:EMAIL>", "1" * 64_000: "<VAR:HEX>",
+    "ab1" * 21_000: "<VAR:HEX>", "/dev/" + "a" * 64_000: "<VAR:DEV>", "a-" * 32_000: None, "a." * 32_000: None, "a-b." * 16_000 + "@x": None, "a@" * 32_000: None, "a+" * 32_000: None,
+    "1 " * 32_000: "<VAR:NUM> " * 32_000, "12:" * 21_000: "", "1." * 32_000: "", "1:" * 32_000: "", "[1]" * 20_000: "<VAR:PID>" * 20_000, "fe80::" * 10_000: "", "5ms" * 20_000: None, "a.com." * 10_000: "<VAR:HOST>.",
+}
+
+
+def test_lines_of_64_kib_in_a_new_process():
+    """A cold JVM has the least stack to spare; time is in proportion to the line."""
+    code = f"""
+import sys, time
+sys.path.insert(0, {str(Path(__file__).resolve().parents[1])!r})
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+from tests.test_mask import LONG
+from timberline.functions.mask import mask
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+for line, want in LONG.items():
+    began = time.time()
+    got = spark.createDataFrame([(line,)], "raw string").select(mask(F.col("raw")).alias("m")).first().m
+    assert want == "" or got == (line if want is None else want), line[:20]
+    assert time.time() - began < 20, line[:20]
+big = "a-b." * 250_000
+began = time.time()
+assert spark.createDataFrame([(big,)], "raw string").select(mask(F.col("raw")).alias("m")).first().m == big and time.time() - began < 60
+print("all masked")
+"""
+    run = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=600)
+    assert "all masked" in run.stdout, run.stderr[-2000:]

@@ -33,6 +33,26 @@ def test_syslog(spark):
     assert syslog.normalise(frames(spark, [b"\xff\xfe\x00junk"])).first().attrs == {"parse": "failed"}
 
 
+def test_syslog_frames_of_64_kib(spark):
+    """Structured data, escapes, brackets and tokens of any length are matched in place."""
+    data = b"[a x=" + b"y" * 2500 + b"]"
+    frames_ = [
+        b"<34>1 2026-03-04T05:06:07Z h app 1 m " + data + b" told",
+        b"<34>1 2026-03-04T05:06:07Z h app 1 m [e q=" + rb"\]" * 20_000 + b"] told",
+        b"<34>1 2026-03-04T05:06:07Z h app 1 m " + b"[a]" * 21_000 + b" told",
+        b"<34>1 2026-03-04T05:06:07Z h - - - [open " + b"z" * 64_000,
+        b"<13>Oct  3 04:05:06 gate7 " + b"w" * 64_000,
+        b"<13>Oct  3 04:05:06 gate7 tag[" + b"5" * 64_000 + b"]: told",
+        b"<13>" + b"[" * 64_000,
+        rb'<34>1 - - - - - [a b="\]"] - ] x',
+    ]
+    rows = syslog.normalise(frames(spark, frames_)).select("*", body(F.col("raw"), F.col("body_offset")).alias("body")).orderBy("k").collect()
+    assert [r.attrs["protocol"] for r in rows] == ["rfc5424"] * 3 + ["rfc3164"] * 4 + ["rfc5424"]
+    assert all(r.body.startswith("app 1 m ") and r.body.endswith(" told") for r in rows[:3])
+    assert rows[4].body == " " + "w" * 64_000 and rows[5].attrs["procid"] == "5" * 64_000 and rows[5].body.startswith("tag[5")
+    assert rows[3].body == frames_[3].decode() and rows[6].body == frames_[6].decode()
+
+
 @pytest.mark.parametrize("received, month, day, year", [("2027-01-01 00:00:01", 12, 31, 2026), ("2026-12-31 23:59:59", 1, 1, 2027), ("2025-03-01 00:00:00", 2, 29, 2024)])
 def test_nearest_year(spark, received, month, day, year):
     at = syslog.nearest_year(F.lit(month), F.lit(day), F.lit("12:00:00"), F.lit(received).cast("timestamp"))
@@ -82,7 +102,11 @@ def test_files_and_generators(spark, tmp_path):
     assert {r.content: r.event for r in files.truth_match(lines, known.union(more)).collect()} == {"a 1 b": "E1", "a 2 c": "ambiguous", "zz": "E5"}
     files.write_tsv(spark.createDataFrame([("a\tb", "c\nd")], "x string, y string"), str(tmp_path / "out"))
     assert "a b\tc d" in "".join(p.read_text() for p in (tmp_path / "out").glob("*.csv"))
-    for kind in ("ext4", "routine", "mixed"):
-        assert generate.lines(spark, kind, 50, 3).collect() == generate.lines(spark, kind, 50, 3).collect()
+    for kind in (*generate.KINDS, "mixed"):
+        made = generate.lines(spark, kind, 200, 3).collect()
+        assert made == generate.lines(spark, kind, 200, 3).collect() != generate.lines(spark, kind, 200, 4).collect()
+        assert all(r.line and "{" not in r.line for r in made) and len({r.line for r in made}) > 150
+    frames_ = generate.lines(spark, "mixed", 3).select(generate.envelope(F.col("line"), F.lit(AT).cast("timestamp"), F.lit("h7")).alias("raw"), F.lit("p").alias("peer"), F.lit(AT).cast("timestamp").alias("received_at"))
+    assert {(r.host, r.attrs["app"]) for r in syslog.normalise(frames_).collect()} == {("h7", "made-up")}
     shed = syslog.shed(spark.range(10).select(F.col("id").alias("event_id"), F.lit(AT).cast("timestamp").alias("received_at")), 4)
     assert shed.filter("shed").count() == 6

@@ -9,11 +9,12 @@ slot. A line is matched once, at a cost that grows with its length alone.
 from __future__ import annotations
 
 import hashlib
+import operator
 import re
 import tomllib
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
-from functools import cached_property
+from functools import cached_property, reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -47,6 +48,40 @@ DEFAULT_SLOTS = (
 )
 
 
+def _linear() -> dict[str, str]:
+    """The slots above whose patterns take stack for each repeat or scan a long run again from each of its places, in a form that does neither.
+
+    What such a pattern finds depends on where its run of characters ends, not on where
+    in it the match starts. So a start within a long run is tried only if none of up to
+    32 characters before it has failed since the last match (``\\G``). Repeats are
+    possessive where nothing that follows needs characters back.
+    """
+
+    def start(run: str, other: str) -> str:
+        return rf"(?:(?!{run}{{65}})|(?<!{other}))"
+
+    patterns = dict(DEFAULT_SLOTS)
+    user, scheme = "[A-Za-z0-9._%+-]", "[a-z0-9+.-]"
+    label = r"[A-Za-z0-9][A-Za-z0-9-]*+(?<!-)\."
+    top = patterns["HOST"][patterns["HOST"].rindex("(?:") :]
+    # Labels up to the last one before a name of the list.
+    upto = rf"(?:(?:{label}(?!{top}))*+{label}(?={top}))++"
+    since = r"(?!\G)"
+    safe = {
+        "URL": rf"""\b(?=[a-z]){start(scheme, rf"\b[a-z]{since}(?:{scheme}{since}){{0,31}}")}{scheme}++://[^\s"']+""",
+        "EMAIL": rf"\b{start(user, rf'\b(?:{user}{since}){{1,32}}')}{user}++@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}\b",
+        "HOST": rf"\b(?=[A-Za-z0-9])(?=[0-9.-]*+[A-Za-z]){start('[A-Za-z0-9.-]', rf'\b[A-Za-z0-9]{since}(?:[A-Za-z0-9-]{since}){{0,30}}(?:(?<!-)\.{since})?')}{upto}{top}",
+        "PATH": r"(?:/[A-Za-z0-9._-]++){2,}+/?",
+    }
+    return {patterns[name]: pattern for name, pattern in safe.items()}
+
+
+#: By the text of a pattern: what is run in its place.
+LINEAR = _linear()
+#: By the text of a pattern: what each of its matches holds. Lines with none of it are masked without the pattern.
+HOLDS = {pattern: held for name, pattern in DEFAULT_SLOTS for slot, held in (("URL", "://"), ("EMAIL", "@")) if slot == name}
+
+
 class BadBundle(ValueError):
     """A bundle that must not be used; ``kind`` says why."""
 
@@ -61,6 +96,11 @@ class Slot:
     pattern: str
     why: str = ""
 
+    @property
+    def run(self) -> str:
+        """The pattern as Java runs it."""
+        return LINEAR.get(self.pattern, self.pattern)
+
 
 @dataclass(frozen=True)
 class Bundle:
@@ -133,7 +173,19 @@ class Bundle:
     @property
     def grouped(self) -> str:
         """All slots, placeholders first, each as a group of its own."""
-        return self.start + "(?:" + "|".join(["(<VAR:[A-Z][A-Z0-9_]*>)", *(f"({s.pattern})" for s in self.slots)]) + ")"
+        return self._grouped(lambda s: s.run)
+
+    @property
+    def lean(self) -> str:
+        """``grouped`` for lines that hold nothing of ``held``: the slots that need it match nothing."""
+        return self._grouped(lambda s: "(?!)" if s.pattern in HOLDS else s.run)
+
+    @property
+    def held(self) -> list[str]:
+        return [HOLDS[s.pattern] for s in self.slots if s.pattern in HOLDS]
+
+    def _grouped(self, run) -> str:
+        return self.start + "(?:" + "|".join(["(<VAR:[A-Z][A-Z0-9_]*>)", *(f"({run(s)})" for s in self.slots)]) + ")"
 
     @property
     def separated(self) -> str:
@@ -142,7 +194,7 @@ class Bundle:
 
     @property
     def alternation(self) -> str:
-        """All slots, placeholders first, without capturing groups."""
+        """All slots as they are written, placeholders first, without capturing groups."""
         return "|".join(["<VAR:[A-Z][A-Z0-9_]*>", *(f"(?:{s.pattern})" for s in self.slots)])
 
 
@@ -157,7 +209,12 @@ def mask(line: Column, bundle: Bundle = DEFAULT, unicode: bool = True) -> Column
     clean, tags = line, F.array(*(F.lit(f"<VAR:{s.name}>") for s in bundle.slots))
     for old, new in ESCAPES:
         clean = F.replace(clean, F.lit(old), F.lit(new))
-    pieces_ = F.split(F.regexp_replace(F.when(odd, clean).otherwise(line), flag + bundle.grouped, bundle.separated), SEPARATOR, -1)
+    clean = F.when(odd, clean).otherwise(line)
+    found = F.regexp_replace(clean, flag + bundle.grouped, bundle.separated)
+    if bundle.held:
+        holds = reduce(operator.or_, (F.contains(line, F.lit(x)) for x in bundle.held))
+        found = F.when(holds, found).otherwise(F.regexp_replace(clean, flag + bundle.lean, bundle.separated))
+    pieces_ = F.split(found, SEPARATOR, -1)
 
     def named(piece: Column, i: Column) -> Column:
         # Of each match: nothing, a placeholder, then one piece for each slot; text is before and after.
@@ -174,12 +231,13 @@ def mask(line: Column, bundle: Bundle = DEFAULT, unicode: bool = True) -> Column
 def matches(line: Column, bundle: Bundle = DEFAULT, unicode: bool = True) -> Column:
     """Array of (name, value) of what ``mask`` replaces, in order; placeholders are not reported."""
     flag = "(?U)" if unicode else ""
-    found = F.regexp_extract_all(line, F.lit(flag + bundle.alternation), F.lit(0))
+    alternation = "|".join(["<VAR:[A-Z][A-Z0-9_]*>", *(f"(?:{s.run})" for s in bundle.slots)])
+    found = F.regexp_extract_all(line, F.lit(flag + alternation), F.lit(0))
 
     def named(value: Column) -> Column:
         name = F.lit(None).cast("string")
         for s in reversed(bundle.slots):
-            name = F.when(value.rlike(f"{flag}^(?:{s.pattern})$"), F.lit(s.name)).otherwise(name)
+            name = F.when(value.rlike(f"{flag}^(?:{s.run})$"), F.lit(s.name)).otherwise(name)
         return F.struct(name.alias("name"), value.alias("value"))
 
     own = F.filter(found, lambda v: ~v.rlike(f"^{RESERVED}$"))
@@ -242,7 +300,9 @@ def register(spark, bundle: Bundle = DEFAULT) -> None:
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION template_id(t STRING) RETURNS STRING RETURN concat('t_', sha2(t, 256))")
     quoted = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
     tags = ", ".join(quoted(f"<VAR:{s.name}>") for s in bundle.slots)
-    found = f"split(regexp_replace(line, {quoted('(?U)' + bundle.grouped)}, {quoted(bundle.separated)}), {quoted(SEPARATOR)})"
+    replaced = lambda pattern: f"regexp_replace(line, {quoted('(?U)' + pattern)}, {quoted(bundle.separated)})"
+    holds = " OR ".join([f"contains(line, {quoted(x)})" for x in bundle.held] or ["true"])
+    found = f"split(CASE WHEN {holds} THEN {replaced(bundle.grouped)} ELSE {replaced(bundle.lean)} END, {quoted(SEPARATOR)})"
     k = f"i % {len(bundle.slots) + 2}"
     body = f"array_join(transform({found}, (piece, i) -> CASE WHEN {k} <= 1 OR piece = '' THEN piece ELSE get(array({tags}), {k} - 2) END), '')"
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION mask_line(line STRING) RETURNS STRING RETURN {body}")

@@ -16,12 +16,17 @@ MOST_DATAGRAM_BYTES = 65_507
 MOST_LINE_BYTES = 64 * 1024
 MOST_PRIORITY = 191
 
-#: 1 priority, 2 timestamp, 3 host, 4 app, 5 process, 6 message id, 7 message.
-RFC5424 = r"(?s)^<(\d{1,3})>\d{1,2} (-|\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d{1,9})?(?:Z|[+-]\d{2}:\d{2})) (\S+) (\S+) (\S+) (\S+) (?:-|(?:\[(?:[^\]\\]|\\.)*\])+)(?: (.*))?$"
-#: 1 priority, 2 month, 3 day, 4 time, 5 host, 6 app with process, 7 app, 8 process, 9 message.
-RFC3164 = r"(?s)^(?:<(\d{1,3})>)?(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec) {1,2}(\d{1,2}) (\d{2}:\d{2}:\d{2})(?: ((?![^ ]*:(?: |$))\S+))?(?: (([^ \[\]:]+)(?:\[([^\]]*)\])?): ?)?(.*)$"
-#: A frame without a timestamp: 1 priority, 2 the rest.
-BARE = r"(?s)^(?:<(\d{1,3})>)?(.*)$"
+#: Of RFC 5424: 1 priority, 2 version, 3 timestamp, 4 host, 5 app, 6 process, 7 message id, 8 message. Structured data is passed over without a stack.
+RFC5424 = r"<(\d{1,3})>(\d{1,2}) (-|\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d{1,9})?(?:Z|[+-]\d{2}:\d{2})) (\S+) (\S+) (\S+) (\S+) (?:-|(?:\[[^\]\\]*+(?:\\.[^\]\\]*+)*+\])++)(?: (.*))?$"
+#: Of RFC 3164: 9 priority, 10 month, 11 day, 12 time, 13 host, 14 what follows.
+RFC3164 = r"(?:<(\d{1,3})>)?(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec) {1,2}(\d{1,2}) (\d{2}:\d{2}:\d{2})(?: ((?![^ ]*:(?: |$))\S+))?(.*)$"
+#: Of a frame without a timestamp: 15 priority, 16 the rest.
+BARE = r"(?:<(\d{1,3})>)?(.*)$"
+FRAME = rf"(?s)^(?:{RFC5424}|{RFC3164}|{BARE})"
+#: All parts without spaces in them, then the only one with: a frame is matched once and cut at its first spaces.
+PARTS = "$1 $2 $3 $4 $5 $6 $7 $9 $10 $11 $12 $13 $15 $8$14$16"
+#: The tag of RFC 3164, after a space: the app, and its process in brackets.
+TAG = r"(?s)^ ([^ \[\]:]+)(?:\[([^\]]*)\])?:"
 
 
 def host_or(name: Column, fallback: Column) -> Column:
@@ -59,30 +64,35 @@ def normalise(df: DataFrame, raw: str = "raw", peer: str = "peer", received_at:
     ``failed`` and the peer as host. The body starts at the app's name, or at the
     message, where the frame has a timestamp; else the whole line is the body.
     """
-    text = F.try_validate_utf8(F.col(raw).cast("string"))
     dash = lambda c: F.nullif(F.nullif(c, F.lit("-")), F.lit(""))
-    rows = df.withColumn("_t", text)
-    pick = lambda rx, k: F.regexp_extract("_t", rx, k)
-    rows = rows.withColumns({"_5": F.coalesce(F.col("_t").rlike(RFC5424), F.lit(False)), "_3": F.coalesce(F.col("_t").rlike(RFC3164), F.lit(False))})
+    filled = lambda c: F.nullif(c, F.lit(""))
+    rows = df.withColumn("_t", F.try_validate_utf8(F.col(raw).cast("string")))
+    rows = rows.withColumn("_f", F.split(F.regexp_replace("_t", FRAME, PARTS), " ", 14))
+    part = lambda k: F.get("_f", F.lit(k))
+    rest, bytes_ = part(13), lambda *k: sum((F.octet_length(part(x)) for x in k), F.lit(0))
+    new, old = filled(part(0)).isNotNull(), filled(part(8)).isNotNull()
+    tagged = old & rest.rlike(TAG)
     rows = rows.withColumns(
         {
-            "_pri": F.nullif(F.when(F.col("_5"), pick(RFC5424, 1)).when(F.col("_3"), pick(RFC3164, 1)).otherwise(pick(BARE, 1)), F.lit("")).cast("int"),
-            "_host": F.when(F.col("_5"), dash(pick(RFC5424, 3))).when(F.col("_3"), F.nullif(pick(RFC3164, 5), F.lit(""))),
-            "_app": F.when(F.col("_5"), dash(pick(RFC5424, 4))).when(F.col("_3"), F.nullif(pick(RFC3164, 7), F.lit(""))),
-            "_proc": F.when(F.col("_5"), dash(pick(RFC5424, 5))).when(F.col("_3"), F.nullif(pick(RFC3164, 8), F.lit(""))),
-            "_msgid": F.when(F.col("_5"), dash(pick(RFC5424, 6))),
-            "_at": F.when(F.col("_5"), F.try_to_timestamp(dash(pick(RFC5424, 2)))).when(
-                F.col("_3"), nearest_year(F.array_position(F.array(*map(F.lit, MONTHS)), pick(RFC3164, 2)).cast("int"), pick(RFC3164, 3).cast("int"), pick(RFC3164, 4), F.col(received_at))
+            "_5": F.coalesce(new, F.lit(False)), "_3": F.coalesce(old, F.lit(False)), "_rest": rest,
+            "_pri": filled(F.concat(part(0), part(7), part(12))).cast("int"),
+            "_host": F.when(new, dash(part(3))).otherwise(filled(part(11))),
+            "_app": F.when(new, dash(part(4))).when(tagged, F.regexp_extract(rest, TAG, 1)),
+            "_proc": F.when(new, dash(part(5))).when(tagged, filled(F.regexp_extract(rest, TAG, 2))),
+            "_msgid": F.when(new, dash(part(6))),
+            "_at": F.when(new, F.try_to_timestamp(dash(part(2)))).when(
+                old, nearest_year(F.array_position(F.array(*map(F.lit, MONTHS)), part(8)).cast("int"), part(9).cast("int"), part(10), F.col(received_at))
             ),
+            # Signs around the priority, and four spaces.
+            "_head": bytes_(0, 1, 2, 3) + 5,
         }
-    )
-    # The tail of the line from the app or the message on.
-    tail5 = F.regexp_extract("_t", r"(?s)^<\d{1,3}>\d{1,2} \S+ \S+ (.*)$", 1)
-    message5 = pick(RFC5424, 7)
-    tail3 = F.concat(F.regexp_extract("_t", RFC3164.replace(r"(?: (([^ \[\]:]+)(?:\[([^\]]*)\])?): ?)?(.*)$", r"(?: (.*))?$"), 6))
-    tail = F.when(F.col("_5"), F.when(F.col("_app").isNotNull(), tail5).otherwise(message5)).when(F.col("_3"), F.when(F.col("_app").isNotNull(), tail3).otherwise(pick(RFC3164, 9)))
+    ).drop("_f")
+    # Bytes before the app, or before the message.
+    whole, tail = F.octet_length("_t"), F.octet_length("_rest")
+    named = F.col("_app").isNotNull()
+    before = F.when(F.col("_5") & named, F.col("_head")).when(F.col("_3") & named, whole - tail + 1).otherwise(whole - tail)
     bad = F.col("_t").isNull() | (F.col("_pri") > MOST_PRIORITY)
-    offset = F.when(F.col("_at").isNotNull(), F.octet_length("_t") - F.octet_length(tail)).otherwise(0)
+    offset = F.when(F.col("_at").isNotNull(), before).otherwise(0)
     attrs = _attrs(
         protocol=F.when(F.col("_5"), "rfc5424").otherwise("rfc3164"),
         facility=_name(FACILITIES, F.floor(F.col("_pri") / 8).cast("int")),
@@ -97,7 +107,7 @@ def normalise(df: DataFrame, raw: str = "raw", peer: str = "peer", received_at:
             "attrs": F.when(bad, F.create_map(F.lit("parse"), F.lit("failed"))).otherwise(attrs),
             "body_offset": F.when(bad, 0).otherwise(offset).cast("int"),
         }
-    ).drop("_t", "_5", "_3", "_pri", "_host", "_app", "_proc", "_msgid", "_at")
+    ).drop("_t", "_5", "_3", "_rest", "_pri", "_host", "_app", "_proc", "_msgid", "_at", "_head")
 
 
 def shed(df: DataFrame, per_second: int = 50_000, at: str = "received_at") -> DataFrame:
