@@ -251,10 +251,10 @@ def prefix_trie(conversations: DataFrame, *, limit: int = LIMIT) -> DataFrame:
 
 def oracle_sql() -> str:
     return r"""
-WITH crc AS (SELECT list_transform(range(256), i -> list_reduce(list_concat([i], range(8)), (c, b) -> CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crcs),
+WITH crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crcs),
 t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
 own AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, sha256(length(role)::VARCHAR || ':' || role || text)) AS turns FROM t GROUP BY conv_id),
-c AS (SELECT conv_id, turns, conv_id - conv_id % 20 AS base, xor(list_reduce(list_concat([4294967295], list_transform(range(1, length(conv_id::VARCHAR) + 1), i -> ascii(conv_id::VARCHAR[i])::BIGINT)), (x, b) -> xor(x >> 8, crcs[(xor(x, b) & 255) + 1])), 4294967295) % 4 AS h FROM own, crc),
+c AS (SELECT conv_id, turns, conv_id - conv_id % 20 AS base, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, length(CAST(conv_id AS VARCHAR)) + 1), lambda i: ascii(CAST(conv_id AS VARCHAR)[i])::BIGINT)), lambda x, b: xor(x >> 8, crcs[(xor(x, b) & 255) + 1])), 4294967295) % 4 AS h FROM own, crc),
 s AS (SELECT c.conv_id, list_concat(coalesce(b.turns[1:c.h], []), c.turns[c.h + 1:]) AS turns FROM c LEFT JOIN own b ON b.conv_id = c.base),
 m AS (SELECT conv_id, k AS depth, turns[1:k] AS path, k = len(turns) AS ends FROM s, unnest(range(len(turns) + 1)) AS u(k)),
 n AS (SELECT depth, path, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256,
