@@ -57,20 +57,21 @@ def _linear() -> dict[str, str]:
     possessive where nothing that follows needs characters back.
     """
 
-    def start(run: str, other: str) -> str:
-        return rf"(?:(?!{run}{{65}})|(?<!{other}))"
+    def start(first: str, run: str, then: str, whole: str, other: str) -> str:
+        # A run that ends soon must end as it should; in a long one no start before may have failed.
+        return rf"\b(?={first}(?:{run}{{64}}|{run}{{0,63}}{then}))(?:(?!{whole}{{65}})|(?<!{other}))"
 
     patterns = dict(DEFAULT_SLOTS)
-    user, scheme = "[A-Za-z0-9._%+-]", "[a-z0-9+.-]"
+    scheme, user, host = "[a-z0-9+.-]", "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
     label = r"[A-Za-z0-9][A-Za-z0-9-]*+(?<!-)\."
     top = patterns["HOST"][patterns["HOST"].rindex("(?:") :]
     # Labels up to the last one before a name of the list.
-    upto = rf"(?:(?:{label}(?!{top}))*+{label}(?={top}))++"
+    upto = rf"(?=[0-9.-]*+[A-Za-z])(?:(?:{label}(?!{top}))*+{label}(?={top}))++"
     since = r"(?!\G)"
     safe = {
-        "URL": rf"""\b(?=[a-z]){start(scheme, rf"\b[a-z]{since}(?:{scheme}{since}){{0,31}}")}{scheme}++://[^\s"']+""",
-        "EMAIL": rf"\b{start(user, rf'\b(?:{user}{since}){{1,32}}')}{user}++@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}\b",
-        "HOST": rf"\b(?=[A-Za-z0-9])(?=[0-9.-]*+[A-Za-z]){start('[A-Za-z0-9.-]', rf'\b[A-Za-z0-9]{since}(?:[A-Za-z0-9-]{since}){{0,30}}(?:(?<!-)\.{since})?')}{upto}{top}",
+        "URL": start("[a-z]", scheme, "://", scheme, rf"\b[a-z]{since}(?:{scheme}{since}){{0,31}}") + rf"""{scheme}++://[^\s"']+""",
+        "EMAIL": start(user, user, "@", user, rf"\b(?:{user}{since}){{1,32}}") + rf"{user}++@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}\b",
+        "HOST": start("[A-Za-z0-9]", host, r"\.", "[A-Za-z0-9.-]", rf"\b[A-Za-z0-9]{since}(?:{host}{since}){{0,30}}(?:(?<!-)\.{since})?") + upto + top,
         "PATH": r"(?:/[A-Za-z0-9._-]++){2,}+/?",
     }
     return {patterns[name]: pattern for name, pattern in safe.items()}
