@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tests import golden
 from timberline.functions.mask import mask
-from timberline.operators import metrics, neighbours, synth
+from timberline.operators import drain, metrics, neighbours, synth
 from timberline.operators.drain import Config, Miner, assign, generalise, numeric, similarity
 
 
@@ -66,25 +66,67 @@ def plain_mined(lines, config):
     return found
 
 
-@pytest.mark.parametrize("firsts, config", [("words", Config()), ("many", Config(max_children=6)), ("mixed", Config(max_children=50)), ("words", Config(max_clusters=9)), ("words", Config(depth=3)), ("words", Config(max_leaf=3))])
-def test_dealt_mining_equals_one_table(spark, firsts, config):
-    """Dealt by first token or not, and with clusters forgotten, every line is assigned as by one miner of its token count."""
+HEADS = {
+    "words": ["alpha", "beta", "gamma"],
+    "many": [f"w{c}{c}" for c in "abcdefghijkl"],
+    "mixed": ["alpha", "beta", "7", "<*>", "n5", "gamma", "delta"],
+    "late": ["alpha", "beta", "gamma", "delta", "eps", "zeta", "8"],
+}
+
+
+@pytest.mark.parametrize("share", [0, 60])
+@pytest.mark.parametrize(
+    "firsts, config",
+    [("words", Config()), ("many", Config(max_children=6)), ("many", Config(max_children=4, depth=5)), ("mixed", Config(max_children=50)), ("late", Config(max_children=5)), ("late", Config(max_children=1)),
+     ("words", Config(max_clusters=9)), ("words", Config(depth=3)), ("many", Config(max_leaf=3, max_children=5)), ("late", Config(similarity=0.5, max_children=3))],
+)
+def test_dealt_mining_equals_one_table(spark, firsts, config, share):
+    """Dealt by paths of tokens or not, and with clusters forgotten, every line is assigned as by one miner of its token count."""
     rng = random.Random(5)
-    heads = {"words": ["alpha", "beta", "gamma"], "many": [f"w{c}" .replace("w", "w" + c) for c in "abcdefghijkl"], "mixed": ["alpha", "beta", "7", "<*>", "n5"]}[firsts]
-    lines = [" ".join([rng.choice(heads), *(rng.choice("xyz") if i in (3, 9) else f"t{i}".replace(str(i), "abcdefghijkl"[i]) for i in range(rng.choice([0, 2, 10, 11])))]) for _ in range(500)]
-    want, alive = {}, []
+    heads = HEADS[firsts]
+    lines = []
+    for k in range(600):
+        # New first tokens keep coming, and a token with a digit now and then.
+        head = rng.choice(heads[: 1 + k * len(heads) // 500] or heads)
+        second = rng.choice(["red", "blue", "x9"] if k > 300 else ["red", "blue", "green", "grey"][: 1 + k // 60])
+        rest = [rng.choice("xyz") if i in (3, 9) else "abcdefghijkl"[i] for i in range(rng.choice([0, 2, 10, 11]))]
+        lines.append(" ".join([head, second, *rest] if rest else [head]))
+    want = {}
     for n in {len(x.split(" ")) for x in lines}:
         own = [(k, x) for k, x in enumerate(lines) if len(x.split(" ")) == n]
         for (k, _), c in zip(own, plain_mined([x for _, x in own], config).values(), strict=True):
-            alive.append(c)
-            want[k] = (n, id(c), " ".join(c.tokens), c.size)
-    out, clusters = assign(frame(spark, lines), config)
+            want[k] = (n, id(c), c)
+    out, clusters = assign(frame(spark, lines), config, share=share)
     rows = {r.event_id: r for r in out.join(clusters.select("seq", "template", F.col("size").alias("whole")), "seq").collect()}
     assert len(rows) == len(lines)
-    assert {k: (r.template, r.whole) for k, r in rows.items()} == {k: w[2:] for k, w in want.items()}
+    assert {k: (r.template, r.whole) for k, r in rows.items()} == {k: (" ".join(c.tokens), c.size) for k, (_, _, c) in want.items()}
     assert len({r.seq for r in rows.values()}) == len({w[1] for w in want.values()}) == clusters.count()
 
 
+def test_tasks_of_one_token_count(spark):
+    """Thousands of first tokens: those with a child of their own, and one task for the rest."""
+    rng = random.Random(6)
+    name = lambda k: "".join(chr(97 + int(d)) for d in str(k))
+    lines = [f"q{name(rng.randrange(3000))} b c d" for _ in range(6000)]
+    rows = drain._routed(frame(spark, lines).select("event_id", F.col("received_at").alias("at"), F.col("template").alias("text")), Config(), 0).groupBy("n", "route").count().collect()
+    firsts = list(dict.fromkeys(x.split(" ")[0] for x in lines))
+    assert {r.route.split(" ")[0] for r in rows} == {*firsts[:99], "\n99"}
+    got = assign(frame(spark, lines), share=0)[1].count()
+    assert got == len({id(c) for c in plain_mined(lines, Config()).values()})
+
+
+def test_a_leaf_keeps_its_order_of_use():
+    """What a full leaf forgets is found without a walk over the table."""
+    m = Miner(Config(max_leaf=3, max_clusters=0))
+    for k in range(3000):
+        m.train(["other", f"{k}", *(f"{k}{i}" for i in range(6))], k)
+    for word in "abc":
+        m.train(["one", "two", "x", "x", "x", "x", word * 2, word * 3], 0)
+    m.train(["one", "two", "x", "x", "x", "x", "aa", "aaa"], 0)
+    m.train(["one", "two", "x", "x", "x", "x", "dd", "ddd"], 0)
+    assert [c.tokens[6] for c in m.forgotten if c.tokens[0] == "one"] == ["bb"]
+
+
 def test_assign_edges(spark):
     lines, clusters = assign(frame(spark, ["a b", None, "", "a b", " a  b "]))
     rows = {r.event_id: r for r in lines.collect()}

@@ -1,13 +1,20 @@
 """Template mining with a bounded fixed-depth tree.
 
-Token count is the tree's first level and the first token its second. Lines are dealt
-by both where that cannot change a result: where a count has no more first tokens than
-a node has room for, none of which goes to the parameter's child (which other lines are
-looked for in, too), and no more distinct lines than clusters are kept. Other counts
-are dealt by count alone. Each task trains on its lines in order as they stream by;
-what it holds is a cluster table, not lines, and a cluster that is forgotten is given
-out at once. ``distinct`` mode trains on the distinct masked lines in order of first
-appearance, which is far fewer rows where lines repeat, and joins the rest back.
+Token count is the tree's first level, the first tokens are the next ones. Mining
+depends on order, but only among lines that can meet. At a node, each new token without
+a digit gets a child of its own as long as there is room and no line has gone to the
+parameter's child; such a token's lines are alone below that child for good. So tokens
+are ranked by first appearance, lines are dealt by the path of such tokens, and what is
+left at a node shares a task, which is told how many children the node has beside. That
+is repeated by level where a node holds many lines. Each task trains on its lines in
+order as they stream by; it holds a cluster table, not lines, and a cluster that is
+forgotten is given out at once.
+
+All this holds while no cluster is forgotten for the table's size. So counts that made
+more clusters than are kept are mined again, each in one task.
+
+``distinct`` mode trains on the distinct masked lines in order of first appearance,
+which is far fewer rows where lines repeat, and joins the rest back.
 """
 
 from __future__ import annotations
@@ -29,6 +36,9 @@ from ..functions.text import template_id, tokens
 from ..runtime import ship, written
 
 _DIGIT = re.compile(r"[0-9]")
+#: Lines of a node from which on they are dealt by its tokens; rows of a routing table that is broadcast.
+SHARE = 20_000
+BROADCAST_ROWS = 200_000
 
 
 @dataclass(frozen=True)
@@ -61,7 +71,10 @@ def numeric(token: str) -> bool:
 @dataclass
 class Node:
     children: dict[str, Node] = field(default_factory=dict)
+    #: In order of entry, by which equal candidates are told apart.
     members: list[int] = field(default_factory=list)
+    #: The members from the least to the most recently used.
+    used: OrderedDict[int, None] = field(default_factory=OrderedDict)
 
 
 @dataclass
@@ -71,6 +84,7 @@ class Cluster:
     first: int
     size: int = 1
     path: tuple[str, ...] = ()
+    leaf: Node | None = None
     id: str = ""
     params: int = 0
 
@@ -94,6 +108,14 @@ class Miner:
         #: Clusters forgotten since they were last asked for.
         self.forgotten: list[Cluster] = []
 
+    def reserve(self, n: int, path: list[str], children: int) -> None:
+        """Keep the place of so many children of a node, whose lines are mined elsewhere."""
+        node = self.root.children.setdefault(str(n), Node())
+        for word in path:
+            node = node.children.setdefault(word, Node())
+        for k in range(children):
+            node.children[f"\n{k}"] = Node()
+
     def _levels(self, n: int) -> int:
         """How many tokens route a line of n tokens."""
         return max(0, min(self.config.depth - 3, n - 1))
@@ -132,11 +154,10 @@ class Miner:
             path.append(key)
             node = kids.setdefault(key, Node())
         node.members.append(cluster.seq)
-        cluster.path = tuple(path)
+        node.used[cluster.seq] = None
+        cluster.path, cluster.leaf = tuple(path), node
         if self.config.max_leaf and len(node.members) > self.config.max_leaf:
-            # The table's order is that of last use.
-            members = set(node.members) - {cluster.seq}
-            self.forget(next(s for s in self.table if s in members))
+            self.forget(next(iter(node.used)))
 
     def forget(self, seq: int) -> None:
         cluster = self.table.pop(seq)
@@ -145,6 +166,7 @@ class Miner:
         for key in cluster.path:
             nodes.append(nodes[-1].children[key])
         nodes[-1].members.remove(seq)
+        del nodes[-1].used[seq]
         for key, parent, node in zip(reversed(cluster.path), reversed(nodes[:-1]), reversed(nodes[1:]), strict=True):
             if node.members or node.children:
                 break
@@ -162,6 +184,7 @@ class Miner:
                 cluster.rename(self.config.param)
             cluster.size += 1
             self.table.move_to_end(cluster.seq)
+            cluster.leaf.used.move_to_end(cluster.seq)
             return cluster
         cluster = Cluster(self.next, list(words), line)
         cluster.rename(self.config.param)
@@ -196,6 +219,9 @@ def _trainer(config: Config):
                     if miner:
                         rows += ended(miner.table.values())
                     miner, at = Miner(config), (n, route)
+                    path, rest, children = route.partition("\n")
+                    if rest:
+                        miner.reserve(n if text else 0, path.split(" ")[:-1], int(children))
                 c = miner.train(text.split(" ") if text else [], event)
                 rows.append((event, len(c.tokens), route, c.seq, c.id, c.size, None, None))
                 if miner.forgotten:
@@ -210,38 +236,75 @@ def _trainer(config: Config):
     return run
 
 
-def _routed(lines: DataFrame, config: Config) -> DataFrame:
-    """Adds ``n`` (token count) and ``route``: the first token where the count's lines can be dealt by it."""
-    first = F.element_at(F.split("text", " "), 1)
-    # Tokens that go to the parameter's child whatever came before.
-    wild = (first == config.param) | first.rlike(r"\p{N}")
-    rows = lines.withColumns({"n": F.size(F.split("text", " ")), "route": F.when(wild, F.lit("\n")).otherwise(first)})
-    if config.depth < 4:
-        return rows.withColumn("route", F.lit(""))
-    texts = rows.groupBy("n", "route", "text").agg(F.lit(1)).groupBy("n", "route").agg(F.count(F.lit(1)).alias("texts"))
-    # One child is kept for the parameter.
-    fits = (F.count_if(F.col("route") == "\n") == 0) & (F.count(F.lit(1)) < config.max_children)
-    if config.max_clusters:
-        fits &= F.sum("texts") <= config.max_clusters
-    # A single token is never routed.
-    dealt = texts.groupBy("n").agg(fits.alias("fits")).select("n", (F.col("fits") & (F.col("n") > 1)).alias("fits"))
-    return rows.join(F.broadcast(dealt), "n").withColumn("route", F.when(F.col("fits"), F.col("route")).otherwise(F.lit(""))).drop("fits")
-
-
-def _trained(lines: DataFrame, config: Config) -> DataFrame:
-    """Assignments, and each cluster once, of (event_id, at, text) rows; written, so that mining is done once."""
-    ship(lines.sparkSession)
-    dealt = _routed(lines, config).repartition("n", "route").sortWithinPartitions("n", "route", "at", "event_id")
+def _levels(lines: DataFrame, config: Config, share: int) -> list[tuple[DataFrame, DataFrame]]:
+    """For each level, its nodes of over ``share`` lines (n, path, own), and the tokens there whose lines are alone (n, path, token).
+
+    ``path`` has the tokens down to the node, each with a space; ``own`` counts its tokens.
+    """
+    place = F.min(F.struct("at", "event_id")).alias("first")
+    open_ = written(lines.groupBy("n", "by").agg(place, F.count(F.lit(1)).alias("lines")).withColumn("path", F.lit("")), "drain-routes")
+    found = []
+    for level in range(max(0, config.depth - 3)):
+        deeper = open_.filter(F.size("by") > level).withColumn("token", F.get("by", F.lit(level)))
+        nodes = deeper.groupBy("n", "path").agg(F.sum("lines").alias("lines")).filter(F.col("lines") > share).select("n", "path")
+        tokens_ = deeper.groupBy("n", "path", "token").agg(F.min("first").alias("first")).join(nodes, ["n", "path"], "left_semi")
+        # Tokens that go to the parameter's child whatever came before.
+        wild = (F.col("token") == config.param) | F.col("token").rlike(r"\p{N}")
+        shared = tokens_.filter(wild).groupBy("n", "path").agg(F.min("first").alias("shared"))
+        rank = F.row_number().over(Window.partitionBy("n", "path").orderBy("first"))
+        # One child is kept for the parameter.
+        early = tokens_.filter(~wild).withColumn("rank", rank).filter(F.col("rank") < config.max_children)
+        own = written(early.join(shared, ["n", "path"], "left").filter("shared is null or first < shared").select("n", "path", "token"), "drain-own")
+        nodes = written(nodes.join(own.groupBy("n", "path").agg(F.count(F.lit(1)).alias("own")), ["n", "path"], "left").fillna({"own": 0}), "drain-nodes")
+        if nodes.isEmpty():
+            break
+        found.append((nodes, own))
+        open_ = deeper.join(own, ["n", "path", "token"]).withColumn("path", F.concat("path", "token", F.lit(" "))).select(open_.columns)
+    return found
+
+
+def _routed(lines: DataFrame, config: Config, share: int) -> DataFrame:
+    """Adds ``n`` (token count) and ``route``: the path of the tokens that a line is alone by; after a line end, how many such the node has that the line shares with others."""
+    words = F.split("text", " ")
+    rows = lines.withColumns({"n": F.size(words), "by": F.slice(words, F.lit(1), F.least(F.lit(max(0, config.depth - 3)), F.size(words) - 1))})
+    out = rows.withColumn("path", F.lit(""))
+    for level, (nodes, own) in enumerate(_levels(rows, config, share)):
+        hint = F.broadcast if own.count() + nodes.count() <= BROADCAST_ROWS else (lambda x: x)
+        out = out.withColumn("token", F.get("by", F.lit(level))).join(hint(nodes), ["n", "path"], "left").join(hint(own.withColumn("alone", F.lit(True))), ["n", "path", "token"], "left")
+        shared = F.concat("path", F.lit("\n"), F.col("own").cast("string"))
+        out = out.withColumn("path", F.when(F.col("alone"), F.concat("path", "token", F.lit(" "))).when(F.col("own").isNotNull() & F.col("token").isNotNull(), shared).otherwise(F.col("path"))).drop("token", "own", "alone")
+    return out.withColumnRenamed("path", "route").drop("by")
+
+
+def _mined(routed: DataFrame, config: Config) -> DataFrame:
+    dealt = routed.repartition("n", "route").sortWithinPartitions("n", "route", "at", "event_id")
     return written(dealt.select("event_id", "text", "n", "route").mapInArrow(_trainer(config), _FIELDS), "drain")
 
 
-def assign(df: DataFrame, config: Config = Config(), *, mode: str = "exact", template_col: str = "template") -> tuple[DataFrame, DataFrame]:
+def _trained(lines: DataFrame, config: Config, share: int) -> DataFrame:
+    """Assignments, and each cluster once, of (event_id, at, text) rows; written, so that mining is done once."""
+    ship(lines.sparkSession)
+    routed = _routed(lines, config, share)
+    out = _mined(routed, config)
+    if not config.max_clusters:
+        return out
+    count = F.when((F.col("n_tokens") == 0), 1).otherwise(F.col("n_tokens"))
+    made = out.filter("event_id is null").groupBy(count.alias("n")).agg(F.count(F.lit(1)).alias("made"), F.count_distinct("route").alias("routes"))
+    over = written(made.filter((F.col("made") > config.max_clusters) & (F.col("routes") > 1)).select("n"), "drain-over")
+    if over.isEmpty():
+        return out
+    again = _mined(routed.join(F.broadcast(over), "n", "left_semi").withColumn("route", F.lit("")), config)
+    return out.withColumn("n", count).join(F.broadcast(over), "n", "left_anti").drop("n").unionByName(again)
+
+
+def assign(df: DataFrame, config: Config = Config(), *, mode: str = "exact", template_col: str = "template", share: int = SHARE) -> tuple[DataFrame, DataFrame]:
     """(assignments, clusters) of rows with event_id, received_at and a masked line.
 
     Assignments have event_id, seq, template_id_at_train, size (then), and
     template_id_final. Clusters have seq (in order of first event), template,
     template_id, n_tokens, size and first_event; only their list is numbered in one
-    task. A null line counts as empty; an empty table gives no rows.
+    task. A null line counts as empty; an empty table gives no rows. Nodes of over
+    ``share`` lines are dealt by their tokens.
     """
     rows = df.select(
         "event_id", F.col("received_at").alias("at"), F.array_join(tokens(F.coalesce(F.col(template_col), F.lit("")), config.max_tokens), " ").alias("text")
@@ -250,9 +313,9 @@ def assign(df: DataFrame, config: Config = Config(), *, mode: str = "exact", tem
     if mode == "distinct":
         first = rows.groupBy("text").agg(F.min(F.struct("at", "event_id")).alias("f"), F.count(F.lit(1)).alias("n"))
         first = written(first, "drain-distinct")
-        out = _trained(first.select("f.event_id", "f.at", "text"), config)
+        out = _trained(first.select("f.event_id", "f.at", "text"), config, share)
     elif mode == "exact":
-        out = _trained(rows, config)
+        out = _trained(rows, config, share)
     else:
         raise ValueError(mode)
     place = ["n_tokens", "route", "local"]

@@ -157,6 +157,25 @@ def drain_families(spark, sf):
     return assign(rows)[1].select("template", "size", "n_tokens", "first_event")
 
 
+# One token count with 150 first tokens: the 99 that come first have a child each, below which each second token is a
+# cluster; the others share the parameter's child, where a second token's lines are one cluster that generalises.
+@query(
+    """WITH o AS (SELECT o_orderkey AS event_id, o_orderdate AS placed, 'q' || chr(CAST(97 + o_custkey % 150 // 26 AS INT)) || chr(CAST(97 + o_custkey % 150 % 26 AS INT)) AS w, replace(substr(o_orderpriority, 3), ' ', '-') AS v FROM orders),
+f AS (SELECT w, row_number() OVER (ORDER BY min((placed, event_id))) AS place FROM o GROUP BY w),
+x AS (SELECT o.*, CASE WHEN place <= 99 THEN w ELSE '' END AS g FROM o JOIN f USING (w)),
+y AS (SELECT *, row_number() OVER t AS size, first_value(w) OVER t AS fw FROM x WINDOW t AS (PARTITION BY g, v ORDER BY placed, event_id)),
+z AS (SELECT *, bool_or(w <> fw) OVER (PARTITION BY g, v ORDER BY placed, event_id ROWS UNBOUNDED PRECEDING) AS moved, bool_or(w <> fw) OVER (PARTITION BY g, v) AS moves FROM y)
+SELECT event_id, size, 't_' || sha256(CASE WHEN moved THEN '<*>' ELSE w END || ' ' || v || ' goods went from the yard to bay seven at dusk') AS template_id_at_train,
+    't_' || sha256(CASE WHEN moves THEN '<*>' ELSE w END || ' ' || v || ' goods went from the yard to bay seven at dusk') AS template_id_final FROM z"""
+)
+def drain_dealt(spark, sf):
+    letter = lambda n: F.char((F.lit(97) + n).cast("int"))
+    c = F.col("o_custkey") % 150
+    line = F.concat(F.lit("q"), letter(F.floor(c / 26)), letter(c % 26), F.lit(" "), F.expr("replace(substring(o_orderpriority, 3), ' ', '-')"), F.lit(" goods went from the yard to bay seven at dusk"))
+    rows = spread(table(spark, sf, "orders")).select(F.col("o_orderkey").alias("event_id"), F.col("o_orderdate").alias("received_at"), line.alias("template"))
+    return assign(rows, share=1_000)[0].select("event_id", "size", "template_id_at_train", "template_id_final")
+
+
 @query(with_(EVENTS_SQL, "t AS (SELECT DISTINCT template, string_split(template, ' ') AS w FROM lines)") + "SELECT a.template AS a, b.template AS b, list_sum([CASE WHEN a.w[i] = b.w[i] THEN 1 ELSE 0 END FOR i IN range(1, len(a.w) + 1)]) / CAST(len(a.w) AS DOUBLE) AS similarity FROM t a JOIN t b ON a.template < b.template AND len(a.w) = len(b.w)")
 def pairwise_similarity(spark, sf):
     t = L.event_lines(spark, sf).select("template").distinct().withColumn("w", F.split("template", " "))
@@ -544,7 +563,8 @@ def stream_windows(spark, sf):
     return counted_to_end(spark, sf)
 
 
-@query()
+# Event lines of different types differ in one word of six, which is too much for one cluster.
+@query(with_(EVENTS_SQL) + "SELECT event_id, template_id AS template_id_at_train, row_number() OVER (PARTITION BY template_id ORDER BY received_at, event_id) AS size FROM lines")
 def stream_drain(spark, sf):
     from ..streaming.jobs import mined_to_end
 
