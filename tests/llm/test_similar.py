@@ -50,18 +50,18 @@ def test_names_and_sizes_of_sets():
             assert (fps[i] == fps[j]).all()
 
 
-@pytest.mark.parametrize("seed, hub", [(1, 0), (2, 120)])
-def test_groups_are_those_of_brute_force(spark, seed, hub):
+@pytest.mark.parametrize("seed, hub, exact", [(1, 0, False), (2, 120, False), (1, 0, True), (2, 120, True)])
+def test_groups_are_those_of_brute_force(spark, seed, hub, exact):
     """Seeds on which no pair of the few percent at 0.8 is missed; with a hub, an anchor gives a spanning set first."""
     texts = texts_with_near_copies(seed, hub)
     sets = [plain(t) for t in texts]
     near = [(i, j) for i, j in combinations(range(len(texts)), 2) if similarity(sets[i], sets[j]) >= 0.8]
     want = roots(len(texts), near)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("v", F.lit(1)).withColumn("KEY", F.lit(2))
-    got = {r.id: r.component_id for r in simhash.near_duplicates(df, similar=0.8, shingle=5).collect()}
+    got = {r.id: r.component_id for r in simhash.near_duplicates(df, similar=0.8, shingle=5, exact=exact).collect()}
     wrong = [k for k in got if got[k] not in {j for j in range(len(want)) if want[j] == want[k]}]
     assert not wrong and np.mean([got[k] == want[k] for k in range(len(texts))]) == 1.0
-    stay = simhash.near_deduplicated(df, similar=0.8, shingle=5)
+    stay = simhash.near_deduplicated(df, similar=0.8, shingle=5, exact=exact)
     assert stay.columns == df.columns and sorted(r.doc_id for r in stay.collect()) == sorted(set(want))
 
 
@@ -75,15 +75,54 @@ def test_null_ids_repeated_rows_and_empty_tables(spark):
         assert sorted(r.doc_id for r in simhash.near_deduplicated(df.filter("doc_id IS NOT NULL"), **options).collect()) == [7, 8, 9, 10]
 
 
-def test_recall_is_what_is_stated():
-    assert simhash.recall(0.8) > 0.98 and simhash.recall(0.85) > 0.995
-    rng = np.random.default_rng(5)
-    for similar in (0.8, 0.9):
-        base = rng.integers(0, 1 << 63, (2000, simhash.WIDE), np.int64).view(np.uint64)
-        flip = np.packbits(rng.random((2000, 64 * simhash.WIDE)) < simhash.differing(similar), axis=1).view(np.uint64)
-        cuts = simhash.wide_bits()
-        at = [{(int(k), int(r)) for keys, rows, home in simhash.anchors(x, cuts, 1) for k, r in zip(keys[home] if own else keys, rows[home] if own else rows)} for x, own in ((base, True), (base ^ flip, False))]
-        assert abs(len({r for _, r in at[0] & at[1]}) / 2000 - simhash.recall(similar)) < 0.03 or len({r for _, r in at[0] & at[1]}) / 2000 > simhash.recall(similar)
+def pairs_of_size(rng, n, count):
+    """Pairs of texts of n or fewer shingles with a similarity as close to 0.8 as there is, or equal texts in other case."""
+    word = lambda: rng.choice("abcdefghijkl") + str(rng.randint(0, 99_999))
+    out = []
+    for _ in range(count):
+        base = [word() for _ in range(n + 4)]
+        other = list(base)
+        while True:
+            more = list(other)
+            if rng.random() < 0.5 and len(more) > 5:
+                more.pop(rng.choice([0, -1]))
+            else:
+                more[rng.choice([0, -1])] = word()
+            a, b = (plain(" ".join(x)) for x in (base, more))
+            if similarity(a, b) < 0.8 or len(out) > 10 * count:
+                break
+            if more == other:
+                break
+            other = more
+        out.append((" ".join(base), " ".join(other)))
+    return out
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 12, 15, 20, 30, 50, 90, 200, 500])
+def test_pairs_of_each_size_are_found(n):
+    """Texts at the threshold meet at an anchor and pass both cuts at least as often as stated, and nine times of ten."""
+    rng = random.Random(n)
+    pairs = pairs_of_size(rng, n, 600 if n < 100 else 150)
+    a, b = ([p[k] for p in pairs] for k in (0, 1))
+    (x, xn, xs), (y, yn, ys) = simhash.wide_fingerprints(a), simhash.wide_fingerprints(b)
+    cuts = simhash.wide_bits()
+    at = [{(int(k), int(r)) for keys, rows, home in simhash.anchors(w, cuts, 1) for k, r in zip(keys[home] if own else keys, rows[home] if own else rows)} for w, own in ((x, True), (y, False))]
+    met = np.isin(np.arange(len(pairs)), [r for _, r in at[0] & at[1]])
+    size = np.minimum(np.maximum(xs, ys), simhash.SMALL)
+    near = np.bitwise_count(x[:, : simhash.MET] ^ y[:, : simhash.MET]).sum(1) <= simhash.most_bits(0.8, 64 * simhash.MET)[size]
+    close = np.bitwise_count(x ^ y).sum(1) <= simhash.most_bits(0.8, 64 * simhash.WIDE)[size]
+    found = np.mean((xn == yn) | (met & near & close))
+    assert found >= 0.95 and found >= simhash.recall(0.8, n) - 0.03, found
+
+
+def test_odds_of_small_sets():
+    """By drawing hashes."""
+    rng = np.random.default_rng(4)
+    for a, b, c in ((4, 5, 4), (5, 5, 5), (6, 6, 6), (8, 9, 8), (20, 24, 20)):
+        bits = rng.integers(0, 2, (40_000, a + b - c))
+        one, two = bits[:, :a].sum(1) * 2 > a, bits[:, a - c :].sum(1) * 2 > b
+        assert abs(np.mean(one != two) - simhash._odds(a, b, c)) < 0.01
+    assert abs(simhash.odds_by_size(0.8)[-1] - simhash.differing(0.8)) < 0.01 and simhash.recall(0.85) > 0.99
 
 
 def test_hot_anchors_and_tiles_change_nothing(spark, monkeypatch):

@@ -23,11 +23,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
-from math import acos, ceil, pi, sqrt
+from math import acos, ceil, comb, pi
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textvec as tv
@@ -46,6 +46,8 @@ PAIRS, ELEMENTS = 1 << 21, 1 << 18
 HOT, TILE, LEAST_SET = 1 << 16, 1 << 19, 256
 #: Words compared at the anchors, and elements of a set in a row.
 MET, PIECE = 2, 1024
+#: Sets of so many elements differ in their bits as larger ones do.
+SMALL = 256
 
 _P1, _P2, _P3, _P4, _P5 = map(
     np.uint64, (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
@@ -238,20 +240,54 @@ def anchors(fps: np.ndarray, cuts: list[tuple[int, int]], t: int) -> Iterator[tu
 
 
 def differing(similar: float) -> float:
-    """The share of bits in which SimHash differs for sets of a similarity."""
+    """The share of bits in which SimHash differs for large sets of a similarity."""
     return acos(2 * similar / (1 + similar)) / pi
 
 
-def most_bits(similar: float, bits: int, deviations: float = 2.5) -> int:
-    """Nearly all pairs of that similarity or more differ in so many of ``bits`` or fewer."""
-    p = differing(similar)
-    return ceil(bits * p + deviations * sqrt(bits * p * (1 - p)))
+def _odds(a: int, b: int, common: int) -> float:
+    """How often a bit differs between sets of ``a`` and ``b`` elements with so many in common, each bit of an element's hash being fair."""
+    share, own, other = (np.array([comb(n, k) for k in range(n + 1)], float) / 2.0**n for n in (common, a - common, b - common))
+    x = np.arange(common + 1)[:, None]
+    one = ((2 * (x + np.arange(a - common + 1)) > a) * own).sum(1)
+    two = ((2 * (x + np.arange(b - common + 1)) > b) * other).sum(1)
+    return float((share * (one * (1 - two) + two * (1 - one))).sum())
 
 
-def recall(similar: float, words: int = WIDE, bits: int = WIDE_BITS) -> float:
-    """The share of pairs with a similarity that meet: 1 bit or none of some block differs."""
-    p = differing(similar)
-    return 1 - (1 - (1 - p) ** bits - bits * p * (1 - p) ** (bits - 1)) ** (64 * words // bits)
+@lru_cache(maxsize=8)
+def odds_by_size(similar: float) -> np.ndarray:
+    """The largest share of bits in which sets of a similarity differ on average, by the size of the larger set; the last is for all above.
+
+    Bits of small sets differ more often than those of large ones, as few elements outvote the others.
+    """
+    out = np.zeros(SMALL + 1)
+    for n in range(1, SMALL + 1):
+        for a in range(ceil(similar * n - 1e-9), n + 1):
+            least = ceil(similar * (a + n) / (1 + similar) - 1e-9)
+            out[n] = max([out[n], *(_odds(a, n, c) for c in range(least, min(a, least + 1) + 1))])
+    out[SMALL] = max(out[SMALL - 8 :].max(), differing(similar))
+    return out
+
+
+def most_bits(similar: float, bits: int, deviations: float = 3.0) -> np.ndarray:
+    """Nearly all pairs of that similarity or more differ in so many of ``bits`` or fewer, by the size of the larger set."""
+    p = odds_by_size(similar)
+    return np.ceil(bits * p + deviations * np.sqrt(bits * p * (1 - p))).astype(np.int64)
+
+
+def recall(similar: float, size: int = SMALL, words: int = WIDE, bits: int = WIDE_BITS) -> float:
+    """The least share of pairs with a similarity that are found, by the size of the larger set.
+
+    They meet where 1 bit or none of some block differs (some others meet as well),
+    and pass both cuts, over the words compared at anchors and over all words.
+    """
+    p = float(odds_by_size(similar)[min(size, SMALL)])
+    meet = 1 - (1 - (1 - p) ** bits - bits * p * (1 - p) ** (bits - 1)) ** (64 * words // bits)
+
+    def within(n: int) -> float:
+        most = int(most_bits(similar, n)[min(size, SMALL)])
+        return sum(comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(min(most, n) + 1))
+
+    return meet - (1 - within(64 * MET)) - (1 - within(64 * words))
 
 
 class Forest:
@@ -287,12 +323,12 @@ def name_of(fps: np.ndarray) -> np.ndarray:
 
 
 def links(
-    keys: np.ndarray, fps: np.ndarray, home: np.ndarray, distance: int = DISTANCE, sizes: np.ndarray | None = None, least: float = 0.0
+    keys: np.ndarray, fps: np.ndarray, home: np.ndarray, distance: int | np.ndarray = DISTANCE, sizes: np.ndarray | None = None, least: float = 0.0
 ) -> tuple[np.ndarray, np.ndarray]:
     """Names of linked members that span what is linked at any anchor; rows come sorted by key, ``fps`` has a column for each word.
 
     Members hang on the least name that they are linked to, so that anchors give much the same links.
-    Of sets with ``sizes``, those are compared of which one has ``least`` of the other's size.
+    Of sets with ``sizes``, those are compared of which one has ``least`` of the other's size, and ``distance`` goes by the larger one.
     """
     fps = fps.reshape(len(keys), -1)
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
@@ -310,7 +346,8 @@ def links(
             fits = np.minimum(sizes[x], sizes[y]) >= least * np.maximum(sizes[x], sizes[y]) - 1e-9
             x, y = x[fits], y[fits]
         bits = sum(np.bitwise_count(w[x] ^ w[y]).astype(np.int16) for w in fps.T)
-        near = (bits <= distance) & (bits > 0)
+        most = distance if sizes is None else distance[np.minimum(np.maximum(sizes[x], sizes[y]), len(distance) - 1)]
+        near = (bits <= most) & (bits > 0)
         x, y = own[x[near]], own[y[near]]
         span = forest.add(x, y)
         xs.append(x[span])
@@ -393,7 +430,7 @@ def _placed(dealt: DataFrame, words: list[str]) -> DataFrame:
     return joined.select(F.explode(F.when(F.col("tiles").isNull(), one).otherwise(both)).alias("p"), *words).select("p.*", *words)
 
 
-def anchor_links(vertices: DataFrame, words: int, cuts: list[tuple[int, int]], t: int, distance: int, met: int = 1, least: float = 0.0) -> DataFrame:
+def anchor_links(vertices: DataFrame, words: int, cuts: list[tuple[int, int]], t: int, distance: int | np.ndarray, met: int = 1, least: float = 0.0) -> DataFrame:
     """Links (a, b) that connect all rows (n, w0, w1 …) which meet and differ in ``distance`` bits or fewer of the first ``met`` words."""
     fields = [f"w{k}" for k in range(words)]
 
@@ -440,12 +477,12 @@ def _anchor_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray
         yield tuple(np.concatenate(x) for x in zip(*kept, strict=True))
 
 
-def alike(words: np.ndarray, tile: np.ndarray, sizes: np.ndarray, values: np.ndarray, similar: float, cross: bool) -> tuple[np.ndarray, np.ndarray]:
+def alike(words: np.ndarray, tile: np.ndarray, sizes: np.ndarray, values: np.ndarray, similar: float, cross: bool, exact: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Rows that span what pairs of ``similar`` sets connect; with ``cross``, of pairs over two tiles.
 
     ``values`` are the rows' sets one after another, each rising. Pairs whose distance
-    over all words, or whose sizes, leave no doubt are not looked at; the others come
-    nearest first, and only if they are still apart.
+    over all words (but for ``exact``), or whose sizes, leave no doubt are not looked at;
+    the others come nearest first, and only if they are still apart.
     """
     m, most = len(sizes), most_bits(similar, 64 * words.shape[1])
     far, xs, ys = [], [], []
@@ -454,7 +491,10 @@ def alike(words: np.ndarray, tile: np.ndarray, sizes: np.ndarray, values: np.nda
         own = np.arange(k, min(k + step, m))
         d = sum(np.bitwise_count(w[own][:, None] ^ w[None, :]).astype(np.uint16) for w in words.T)
         ok = (tile[own][:, None] < tile[None, :]) if cross else (own[:, None] < np.arange(m)[None, :])
-        ok &= (d <= most) & (np.minimum(sizes[own][:, None], sizes[None, :]) >= similar * np.maximum(sizes[own][:, None], sizes[None, :]) - 1e-9)
+        larger = np.maximum(sizes[own][:, None], sizes[None, :])
+        ok &= np.minimum(sizes[own][:, None], sizes[None, :]) >= similar * larger - 1e-9
+        if not exact:
+            ok &= d <= most[np.minimum(larger, len(most) - 1)]
         p, q = np.nonzero(ok)
         far.append(d[p, q])
         xs.append(own[p].astype(np.int32))
@@ -519,10 +559,41 @@ def _set_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, .
         yield whole()
 
 
-def similar_links(df: DataFrame, vertices: DataFrame, id_col: str, text_col: str, similar: float, shingle: int, words: int = WIDE) -> DataFrame:
-    """Links (a, b) between sets of shingles that connect all pairs which meet and have the similarity."""
+def prefix_links(df: DataFrame, vertices: DataFrame, text_col: str, similar: float, shingle: int) -> DataFrame:
+    """Links (a, b) between names ``c`` of sets that share one of their rarest shingles.
+
+    Of n shingles in one order for all sets, rarest first, so many as n - ceil(similar *
+    n) + 1 cannot all miss those of a set that similar. Every shingle is shuffled, which
+    is what makes this dearer than anchors.
+    """
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in tv.slices(batches):
+            for _, made, h in shingle_sets(b.column(0).to_pylist(), shingle):
+                name = np.add.reduceat(tv.mix(h ^ _P4), np.cumsum(made) - made)
+                yield _batch(v=np.repeat(name, made), n=np.repeat(made, made).astype(np.int64), h=h)
+        tv.trim()
+
+    rows = df.select(F.col(text_col).alias("text")).mapInArrow(sets, "v long, n long, h long").distinct()
+    rows = written(rows, "simhash-shingles")
+    seen = written(rows.groupBy("h").agg(F.count(F.lit(1)).alias("seen")).filter("seen > 1"), "simhash-seen")
+    # A shingle of one set alone comes before all others and links nothing.
+    alone = rows.groupBy("v").agg(F.first("n").alias("n")).join(dealt_join(rows, "h", seen, F.col("v")).groupBy("v").agg(F.count(F.lit(1)).alias("shared")), "v")
+    place = F.row_number().over(Window.partitionBy("v").orderBy("seen", "h"))
+    ranked = dealt_join(rows.select("v", "h"), "h", seen, F.col("v")).withColumn("place", place)
+    kept = ranked.join(alone, "v").filter(F.col("place") + F.col("n") - F.col("shared") <= F.col("n") - F.ceil(F.lit(similar) * F.col("n") - 1e-9) + 1)
+    named = kept.join(vertices.select("v", "c"), "v").select("h", "c")
+    return summed(named, "h", F.col("c"), "c").select(F.col("least_of_key").alias("a"), F.col("c").alias("b")).filter("a <> b")
+
+
+def similar_links(df: DataFrame, vertices: DataFrame, id_col: str, text_col: str, similar: float, shingle: int, words: int = WIDE, exact: bool = False) -> DataFrame:
+    """Links (a, b) between sets of shingles that connect all pairs which meet and have the similarity; all of that similarity if ``exact``."""
     fields = [f"w{k}" for k in range(words)]
-    near = written(anchor_links(vertices, words, wide_bits(words), 1, most_bits(similar, 64 * MET, 3), MET, similar), "simhash-near")
+    if exact:
+        near = prefix_links(df, vertices, text_col, similar, shingle)
+    else:
+        near = anchor_links(vertices, words, wide_bits(words), 1, most_bits(similar, 64 * MET), MET, similar)
+    near = written(near, "simhash-near")
     # Sets whose words at the anchors are equal are one vertex there.
     groups = written(connected_components(near).toDF("c", "root"), "simhash-groups")
     shared = vertices.groupBy("c").agg(F.count(F.lit(1)).alias("k")).join(groups, "c", "left").filter("root is not null or k > 1")
@@ -562,7 +633,7 @@ def similar_links(df: DataFrame, vertices: DataFrame, id_col: str, text_col: str
             of = np.repeat(once & fp, size), np.repeat(once & ~fp, size)
             names = v[once & fp]
             made = np.bincount(np.searchsorted(names, v[once & ~fp]), weights=size[once & ~fp], minlength=len(names)).astype(np.int64)
-            a, b = alike(values[of[0]].view(np.uint64).reshape(-1, words), tile[once & fp], made, values[of[1]].view(np.uint64), similar, bool(cross[0]))
+            a, b = alike(values[of[0]].view(np.uint64).reshape(-1, words), tile[once & fp], made, values[of[1]].view(np.uint64), similar, bool(cross[0]), exact)
             yield _batch(a=np.minimum(names[a], names[b]), b=np.maximum(names[a], names[b]))
         tv.trim()
 
@@ -577,13 +648,13 @@ def similar_links(df: DataFrame, vertices: DataFrame, id_col: str, text_col: str
 
 def near_duplicates(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
-    distance: int = DISTANCE, blocks: int = BLOCKS, shingle: int = SHINGLE, similar: float | None = None,
+    distance: int = DISTANCE, blocks: int = BLOCKS, shingle: int = SHINGLE, similar: float | None = None, exact: bool = False,
 ) -> DataFrame:
     """One row for each input row: id, fp (long), component_id (the least id reachable).
 
     Rows are linked whose fingerprints differ in ``distance`` bits or fewer or, with
     ``similar``, whose sets of shingles have that Jaccard similarity (``fp`` then names
-    the set). Equal fingerprints or sets are one vertex, so copies never meet each other.
+    the set), but for the few percent that ``recall`` states; with ``exact``, all. Equal fingerprints or sets are one vertex, so copies never meet each other.
     Null texts and texts without words have fingerprint 0 and are linked. A component
     with only null ids has a null ``component_id``. Rows that repeat, with or without
     other text, are rows of their own. An empty table gives no rows.
@@ -597,7 +668,7 @@ def near_duplicates(
         rows = written(wide_table(df, id_col, text_col, shingle), "simhash-wide")
         others = [c for c in rows.columns if c not in ("id", "v")]
         vertices = written(rows.groupBy("v").agg(F.min("id").alias("first_id"), *[F.first(c).alias(c) for c in others]), "simhash-distinct")
-        found = similar_links(df, vertices, id_col, text_col, similar, shingle)
+        found = similar_links(df, vertices, id_col, text_col, similar, shingle, exact=exact)
     found = written(found, "simhash-links")
     roots = written(connected_components(found), "simhash-roots")
     linked = roots.join(vertices.select("v", "first_id"), "v")
