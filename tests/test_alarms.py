@@ -168,3 +168,87 @@ def test_judge_and_board(spark):
     assert board.totals(a).first().asDict() == {"open": 2, "critical": 1, "paging": 1, "hosts": 2}
     assert [(r.severity, r.n) for r in board.by_severity(a).collect()] == [("critical", 1), ("major", 1), ("minor", 0), ("info", 0)]
     assert [r.alarm_id for r in board.filtered(a, text="X H").collect()] == ["1"]
+
+
+def simulate_arrivals(rows, verdicts, c):
+    """Alarms (key, first event, count) line by line: an unjudged line waits, a first verdict raises for those that wait."""
+    found, state, waiting, judged = [], {}, {}, {}
+    marks = [(sec, -1, "v", tpl, (sev, act)) for tpl, sec, sev, act in verdicts] + [(sec, event, "l", tpl, (host, trig)) for event, tpl, host, sec, trig in rows]
+
+    def settle(key, sec):
+        alarm, cleared = state.get(key, (None, None))
+        if alarm and sec - alarm[1] > c.silence:
+            alarm, cleared = None, (alarm[1] + c.silence, alarm[0])
+        return alarm, cleared
+
+    def raise_(key, event, sec):
+        a = [key, event, 1]
+        found.append(a)
+        state[key] = ([a, sec], None)
+
+    for sec, event, kind, tpl, what in sorted(marks, key=lambda m: m[:3]):
+        if kind == "v":
+            if tpl not in judged and what[0] >= 3 and what[1] >= 0.5:
+                for host in waiting.get(tpl, ()):
+                    if settle((tpl, host), sec)[0] is None:
+                        raise_((tpl, host), None, sec)
+            judged[tpl] = what
+            continue
+        host, hot = what
+        if tpl not in judged:
+            waiting.setdefault(tpl, set()).add(host)
+            continue
+        severity, actionable = judged[tpl]
+        if severity < 1 or actionable < 0.5:
+            continue
+        key, trig = (tpl, host), hot or severity >= 3
+        alarm, cleared = settle(key, sec)
+        if alarm:
+            alarm[0][2] += 1
+            state[key] = ([alarm[0], sec], None)
+        elif trig and cleared and sec - cleared[0] <= c.cooldown:
+            cleared[1][2] += 1
+            state[key] = ([cleared[1], sec], None)
+        elif trig:
+            raise_(key, event, sec)
+        else:
+            state[key] = (None, cleared)
+    return sorted((k[0], str(k[1]), -1 if e is None else e, n) for k, e, n in found)
+
+
+def arriving(spark, seed):
+    rng = random.Random(seed)
+    rows, at = [], 0
+    for k in range(500):
+        at += rng.choice([0, 1, 40, 300, 500])
+        rows.append((k, rng.choice("abcd"), rng.choice(["h1", "h2", None]), at))
+    verdicts = [("a", rows[150][3], 3.0, 0.9), ("b", rows[100][3], 2.0, 0.9), ("c", rows[200][3], 3.0, 0.1), ("a", rows[300][3], 0.0, 0.9), ("b", rows[350][3], 3.0, 0.9)]
+    return rows, verdicts
+
+
+def test_verdicts_that_arrive_equal_a_simulation(spark):
+    """An alarm of a first verdict counts on, clears and revives; a second verdict only changes the gate."""
+    rows, verdicts = arriving(spark, 5)
+    stats = simulate_windows(rows)
+    hot = lambda e: stats[e][0] >= 5 or (stats[e][4] >= 300 and stats[e][0] / 300 >= 3 * stats[e][1] / stats[e][4])
+    df = spark.createDataFrame([(e, t, f"line {t}", f"raw {e}", h, s) for e, t, h, s in rows], "event_id long, template_id string, template string, raw string, host string, sec long")
+    v = spark.createDataFrame([(*x, 0.1) for x in verdicts], "template_id string, landed_sec long, severity double, actionable double, contextual double")
+    for c in (A.AlarmConfig(silence=500, cooldown=900), A.AlarmConfig(silence=60, cooldown=2000)):
+        lines = A.as_verdicts_arrive(W.window_stats(df), v, c).cache()
+        want = simulate_arrivals([(*r, hot(r[0])) for r in rows], verdicts, c)
+        log = A.contextual_changelog(lines, spark.createDataFrame([], "event_id long, delay_sec long, matters_now double, wake_someone double"), c).collect()
+        first = {}
+        for r in sorted((r for r in log if r.op != "Cleared"), key=lambda r: r["count"]):
+            first.setdefault(r.alarm_id, r)
+        last = {r.alarm_id: r["count"] for r in sorted(log, key=lambda r: r["count"])}
+        assert sorted((r.template_id, str(r.host), -1 if r.event_id is None else r.event_id, last[a]) for a, r in first.items()) == want
+        islands_ = A.alarms(lines, c).collect()
+        assert sorted((r.template_id, str(r.host), r["count"]) for r in islands_) == sorted((a, b, n) for a, b, _, n in want)
+        assert {r.exemplar for r in islands_ if r.opened_sec == verdicts[0][1] and r.template_id == "a"} == {""}
+
+
+def test_a_verdict_noticed_late_skips_open_keys(spark):
+    df = spark.createDataFrame([(1, "a", "t", "r1", "h1", 0), (2, "a", "t", "r2", "h2", 0), (3, "a", "t", "r3", "h1", 20)], "event_id long, template_id string, template string, raw string, host string, sec long")
+    v = spark.createDataFrame([("a", 10, 30, 3.0, 0.9, 0.0)], "template_id string, landed_sec long, noticed_sec long, severity double, actionable double, contextual double")
+    got = A.alarms(A.as_verdicts_arrive(W.window_stats(df), v)).collect()
+    assert sorted((r.host, r.opened_sec, r["count"], r.exemplar) for r in got) == [("h1", 20, 1, "r3"), ("h2", 30, 1, "")]

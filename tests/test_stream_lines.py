@@ -58,3 +58,39 @@ def test_many_batches_and_a_restart(spark, tmp_path):
     got = [(r.alarm_id, r.at_sec, r.event_id, r.op, r["count"], r.lane) for r in spark.read.schema(stream.schema).parquet(out).collect()]
     end = max(r[1] for r in got)
     assert len(got) == len(set(got)) and set(got) <= want and all(r[1] >= end - 1 or r[3] == "Cleared" for r in want - set(got)) and len(got) > 50
+
+
+def test_verdicts_as_a_second_input(spark, tmp_path):
+    """Verdicts land while lines stream by, some after a restart; the feed is the batch's."""
+    rng = random.Random(8)
+    began = datetime(2024, 5, 1, tzinfo=timezone.utc)
+    rows, at = [], 0
+    for k in range(400):
+        at += rng.choice([1, 2, 30, 200, 700])
+        rows.append((k, rng.choice(["t1", "t2", "t3", "never"]), rng.choice(["a", "b", None]), at))
+    half = rows[200][3]
+    landed = [("t1", rows[60][3], 3.0, 0.9, 0.1), ("t2", rows[90][3], 2.0, 0.9, 0.1), ("t3", rows[240][3], 3.0, 0.9, 0.1), ("t2", rows[300][3], 3.0, 0.9, 0.1), ("t1", rows[320][3], 0.0, 0.0, 0.0)]
+    time = lambda sec: began + timedelta(seconds=sec)
+    lines = spark.createDataFrame(rows, "event_id long, template_id string, host string, sec long").withColumn("template", F.col("template_id")).withColumn("raw", F.lit("x"))
+    verdicts = spark.createDataFrame(landed, "template_id string, landed_sec long, severity double, actionable double, contextual double")
+    answers = spark.createDataFrame([], "event_id long, delay_sec long, matters_now double, wake_someone double")
+    want = A.contextual_changelog(A.as_verdicts_arrive(W.window_stats(lines), verdicts), answers).collect()
+    kinds = "event_id long, template_id string, host string, received_at timestamp", "template_id string, landed_at timestamp, severity double, actionable double, contextual double"
+    for name in ("lines", "verdicts"):
+        (tmp_path / name).mkdir()
+    source = [spark.readStream.schema(k).parquet(str(tmp_path / n)) for k, n in zip(kinds, ("lines", "verdicts"), strict=True)]
+    feed = alarm_feed(*source, origin_us=int(began.timestamp() * 1_000_000), lateness="0 seconds")
+    out = new_folder(spark, "feed")
+
+    def keep(batch, n):
+        batch.write.mode("overwrite").parquet(f"{out}/batch={n}")
+
+    for part in (lambda sec: sec < half, lambda sec: sec >= half):
+        spark.createDataFrame([(e, t, h, time(s)) for e, t, h, s in rows if part(s)], kinds[0]).write.mode("append").parquet(str(tmp_path / "lines"))
+        spark.createDataFrame([(t, time(s), *x) for t, s, *x in landed if part(s)], kinds[1]).write.mode("append").parquet(str(tmp_path / "verdicts"))
+        feed.writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    key = lambda r: (r.alarm_id, r.at_sec, r.event_id, r.op, r["count"], r["rank"], r.lane)
+    got = [key(r) for r in spark.read.schema(feed.schema).parquet(out).collect()]
+    missing = set(map(key, want)) - set(got)
+    assert len(got) == len(set(got)) > 40 and set(got) <= set(map(key, want)) and all(r[3] == "Cleared" or r[1] >= rows[-1][3] for r in missing)
+    assert sum(r[2] is None and r[3] == "Raised" for r in got) >= 4

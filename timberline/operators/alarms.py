@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import ship
 from ..schema import severity_name, severity_rank
-from .verdicts import contextual, gate, severity_of
+from .verdicts import as_of, contextual, gate, severity_of
 from .windows import WindowConfig, triggered
 
 
@@ -164,6 +164,34 @@ def first_judgments(sightings: DataFrame, verdicts: DataFrame, c: AlarmConfig =
     )
 
 
+def as_verdicts_arrive(lines: DataFrame, verdicts: DataFrame, c: AlarmConfig = AlarmConfig()) -> DataFrame:
+    """Gated lines, each by the verdict that had landed by then, and a row for each alarm that a first verdict raises.
+
+    ``lines`` have their window statistics; ``verdicts`` are (template_id, landed_sec,
+    severity, actionable, contextual), more than one for a template where it was judged
+    anew. A line before its template's first verdict passes no gate. A first verdict
+    that is severe enough raises at once for each host that saw the template before:
+    the row has no event_id, an empty exemplar and the place before all lines of its
+    second, so that ``alarms``, ``episodes`` and ``changelog`` count on from it, clear
+    it and revive it. With a column ``noticed_sec`` a first verdict raises only then, and
+    not where lines have an alarm open by that time; within a cooldown it is a revival.
+    """
+    spans = verdicts.select("template_id", F.col("landed_sec").alias("judged_at"), "severity", "actionable", "contextual")
+    own = gated(as_of(lines, spans, "sec").drop("judged_at"), c)
+    noticed = "noticed_sec" if "noticed_sec" in verdicts.columns else "landed_sec"
+    first = verdicts.groupBy("template_id").agg(F.min_by(F.struct("landed_sec", F.col(noticed).alias("sec"), "severity", "actionable", "contextual"), "landed_sec").alias("v")).select("template_id", "v.*")
+    rank = severity_rank(severity_of(F.col("severity")))
+    severe = first.filter(gate(F.col("severity"), F.col("actionable"), c.floor, c.actionable) & (rank >= severity_rank(F.lit(c.bypass))))
+    waiting = lines.groupBy(*KEY).agg(F.min("sec").alias("seen"), F.min("template").alias("template"))
+    raised = waiting.join(severe, "template_id").filter(F.col("seen") < F.col("landed_sec")).withColumns({"rank": rank, "trig": F.lit(True), "raw": F.lit("")})
+    if noticed == "noticed_sec":
+        live = islands(own, c).select("_key", "episode", "ends").distinct()
+        is_open = F.struct(raised["template_id"], raised["host"]).eqNullSafe(live["_key"]) & (live["episode"] <= raised["sec"]) & (raised["sec"] <= live["ends"] + c.silence)
+        raised = raised.join(live, is_open, "left_anti")
+    columns = [F.col(x) if x in raised.columns else F.lit(None).cast(own.schema[x].dataType).alias(x) for x in own.columns]
+    return own.unionByName(raised.select(*columns))
+
+
 def context_snapshot(bursts: DataFrame, open_: DataFrame, most: int = 8, block: int = 900) -> DataFrame:
     """For each burst (host, sec), the oldest open alarms of its host at that time: array of (opened_sec, alarm_id, template).
 
@@ -243,6 +271,12 @@ class Machine:
                     else:
                         yield self._raise(due, event, rank, lane)
 
+    def judged(self, at: int, rank: int) -> Iterator[tuple]:
+        """A first verdict, severe enough, for a host that saw the template before; an open alarm stays as it is."""
+        yield from self.advance(at)
+        if not self.k.alarm:
+            yield self._raise(at, None, rank, "Dashboard")
+
     def line(self, at: int, event: int, rank: int, bypass: bool, hot: bool, flagged: bool, answer: tuple | None) -> Iterator[tuple]:
         """One gated line. ``answer`` is (seconds until it lands, matters_now, wake_someone), or None for a failed check at the deadline."""
         yield from self.advance(at)
@@ -284,7 +318,8 @@ def contextual_changelog(gated_lines: DataFrame, answers: DataFrame, c: AlarmCon
     """The change feed with contextual checks.
 
     ``answers`` are (event_id, delay_sec, matters_now, wake_someone) of the checks by
-    the line that tripped them; none means failed at the 10-second deadline. A key's
+    the line that tripped them; none means failed at the 10-second deadline. Rows
+    without an event_id are first verdicts, as ``as_verdicts_arrive`` gives them. A key's
     lines stream by in order, so a task holds one key's state, not its lines.
     """
     ship(gated_lines.sparkSession)
@@ -305,7 +340,10 @@ def contextual_changelog(gated_lines: DataFrame, answers: DataFrame, c: AlarmCon
                     if machine:
                         out += machine.advance(1 << 62)
                     machine, at = Machine(t, h, c), (t, h)
-                out += machine.line(sec, event, rank, bypass, hot, flag, None if delay is None else (delay, matters, wake))
+                if event is None:
+                    out += machine.judged(sec, rank)
+                else:
+                    out += machine.line(sec, event, rank, bypass, hot, flag, None if delay is None else (delay, matters, wake))
             if b is None and machine:
                 out += machine.advance(1 << 62)
             if out:

@@ -358,6 +358,37 @@ def alarms_first_judgment(spark, sf):
     return A.first_judgments(L.event_lines(spark, sf).select("template_id", "host", "received_at"), L.verdict_rows(spark))
 
 
+# Verdicts land together, after some lines of each template: rows without an event raise for the hosts that were waiting.
+LANDED_SQL = f"(SELECT CAST(floor((epoch_us(TIMESTAMP '{L.JUDGED_AT}') - min(epoch_us(ts))) / CAST({L.SQUEEZE}000000 AS DOUBLE)) AS BIGINT) FROM events)"
+ARRIVING_SQL = (
+    L.ALARMS_SQL.replace("g AS (", "g0 AS (", 1)
+    .replace(
+        ",\ni0 AS",
+        f""",
+g AS (SELECT * FROM g0 WHERE sec >= {LANDED_SQL} UNION ALL BY NAME SELECT DISTINCT template_id, host, template, '' AS raw, {LANDED_SQL} AS sec, severity, actionable, contextual, rank_, true AS trig
+    FROM (SELECT st.*, v.severity, v.actionable, v.contextual, {L.SEVERITY_SQL} AS rank_ FROM st JOIN v USING (template_id)) WHERE rank_ >= 4 AND actionable >= 0.5 AND sec < {LANDED_SQL}),
+i0 AS""",
+        1,
+    )
+    .replace("ORDER BY sec, event_id", "ORDER BY sec, event_id NULLS FIRST")
+    .replace("(sec, event_id)", "(sec, coalesce(event_id, -1))")
+    .replace("arg_min(event_id,", "arg_min_null(event_id,")
+    .replace("sha256(template_id || '|' || host || '|' || first_event)", "sha256(concat_ws('|', template_id, host, first_event))")
+)
+
+
+@query(with_(EVENTS_SQL, STATS_SQL, VERDICTS_SQL, ARRIVING_SQL) + "SELECT alarm_id, template, host, exemplar, severity, count, episodes, opened_sec, last_sec, open FROM alarms")
+def alarms_as_verdicts_arrive(spark, sf):
+    lines = L.stored_lines(spark, sf)
+    landed = F.unix_micros(F.lit(L.JUDGED_AT).cast("timestamp"))
+    began = table(spark, sf, "events").agg(F.min(F.unix_micros("ts")).alias("_began"))
+    verdicts = L.verdicts(spark).crossJoin(F.broadcast(began)).withColumn("landed_sec", F.floor((landed - F.col("_began")) / (1_000_000 * L.SQUEEZE)).cast("long")).drop("_began")
+    found = A.alarms(written(A.as_verdicts_arrive(W.window_stats(lines), verdicts), "arriving"))
+    now = lines.agg(F.max("sec").alias("_now"))
+    rows = found.crossJoin(F.broadcast(now)).withColumn("open", F.col("clears_sec") >= F.col("_now"))
+    return rows.select("alarm_id", "template", "host", "exemplar", "severity", "count", "episodes", "opened_sec", "last_sec", "open")
+
+
 def _answers(events):
     """Two checks of three are answered, after five seconds."""
     return events.filter(F.col("event_id") % 3 != 0).select(

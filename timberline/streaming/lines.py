@@ -25,7 +25,9 @@ from ..schema import severity_rank
 
 #: The state store that keyed processors with timers need.
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-HELD = "at_ms long, sec long, event_id long, host string, rank int, gated boolean, bypass boolean, flagged boolean, delay_sec long, matters_now double, wake_someone double"
+HELD = "at_ms long, sec long, event_id long, host string, kind int, rank int, gated boolean, bypass boolean, flagged boolean, delay_sec long, matters_now double, wake_someone double"
+#: Kinds of held rows: a line with its verdict, a line that takes the verdict of its time, a verdict that lands.
+JUDGED, WAITING, VERDICT = 0, 1, 2
 _FIELDS = [f.split()[0] for f in HELD.split(", ")]
 
 
@@ -77,6 +79,8 @@ class LineAlarms(StatefulProcessor):
         self.held = handle.getListState("held", HELD)
         self.stats = handle.getValueState("stats", "data binary")
         self.hosts = handle.getMapState("hosts", "host string", "data binary")
+        self.verdict = handle.getValueState("verdict", "rank int, gated boolean, bypass boolean, flagged boolean")
+        self.unjudged = handle.getMapState("unjudged", "host string", "seen boolean")
 
     def close(self) -> None:
         pass
@@ -91,7 +95,7 @@ class LineAlarms(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         for part in rows:
             new = list(part[_FIELDS].astype(object).where(part[_FIELDS].notna(), None).itertuples(index=False, name=None))
-            self.held.appendList([(int(a), int(s), int(e), h, int(r), bool(g), bool(b), bool(f), None if d is None else int(d), m, w) for a, s, e, h, r, g, b, f, d, m, w in new])
+            self.held.appendList([(int(a), int(s), None if e is None else int(e), h, int(k), int(r), bool(g), bool(b), bool(f), None if d is None else int(d), m, w) for a, s, e, h, k, r, g, b, f, d, m, w in new])
         self.wake(timerValues.getCurrentWatermarkInMs(), min((r[0] for r in self.held.get()), default=None))
         yield pd.DataFrame(columns=[f.split()[0] for f in CHANGES.split(", ")])
 
@@ -103,7 +107,8 @@ class LineAlarms(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs()
-        held = sorted(self.held.get(), key=lambda r: (r[1], r[2], r[0]))
+        # A verdict comes before the lines of its second.
+        held = sorted(self.held.get(), key=lambda r: (r[1], -1 if r[2] is None else r[2], r[0]))
         ready, rest = [r for r in held if r[0] <= mark], [r for r in held if r[0] > mark]
         self.held.clear()
         if rest:
@@ -121,8 +126,23 @@ class LineAlarms(StatefulProcessor):
             return machines[host]
 
         out: list[tuple] = []
-        for _, sec, event, host, rank, gated, bypass, flagged, delay, matters, wake in ready:
+        verdict = tuple(self.verdict.get()) if self.verdict.exists() else None
+        for _, sec, event, host, kind, rank, gated, bypass, flagged, delay, matters, wake in ready:
+            if kind == VERDICT:
+                if verdict is None:
+                    for (name,) in list(self.unjudged.keys()):
+                        if gated and bypass:
+                            out += machine(None if name == "-" else name[1:]).judged(sec, rank)
+                    self.unjudged.clear()
+                verdict = rank, gated, bypass, flagged
+                self.verdict.update(verdict)
+                continue
             short, long, _, span = stats.see(sec, host, self.c.windows, self.forget)
+            if kind == WAITING:
+                if verdict is None:
+                    self.unjudged.updateValue(("-" if host is None else "+" + host,), (True,))
+                    continue
+                rank, gated, bypass, flagged = verdict
             if gated:
                 out += machine(host).line(sec, event, rank, bypass, hot(short, long, span, self.c.windows), flagged, None if delay is None else (delay, matters, wake))
         for (name,) in list(self.hosts.keys()):
@@ -157,19 +177,30 @@ def alarm_feed(
     to; a flagged line without an answer fails its check. ``sec`` is the time since
     ``origin_us`` in seconds of ``squeeze`` seconds. Lines of templates without a
     verdict raise nothing. Sets the session's state store to one with timers.
+
+    With a column ``landed_at``, verdicts (as many as a template gets, a table or a
+    stream) are a second input of the keyed state: each holds from then on, and a first
+    one raises for the hosts that were waiting, as ``alarms.as_verdicts_arrive`` has it.
     """
     spark = lines.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
     ship(spark)
     rank = severity_rank(severity_of(F.col("severity")))
-    judged = lines.withWatermark("received_at", lateness).join(F.broadcast(verdicts.select("template_id", "severity", "actionable", "contextual")), "template_id")
+    arriving = "landed_at" in verdicts.columns
+    if arriving:
+        some = lines.select("template_id", "received_at", "event_id", "host", F.lit(WAITING).alias("kind"))
+        landed = verdicts.select("template_id", F.col("landed_at").alias("received_at"), F.lit(VERDICT).alias("kind"), "severity", "actionable", "contextual")
+        judged = some.unionByName(landed, allowMissingColumns=True).withWatermark("received_at", lateness)
+    else:
+        known = verdicts.select("template_id", "severity", "actionable", "contextual")
+        judged = lines.withWatermark("received_at", lateness).withColumn("kind", F.lit(JUDGED)).join(F.broadcast(known), "template_id")
     if answers is None:
         judged = judged.withColumns({"delay_sec": F.lit(None).cast("long"), "matters_now": F.lit(None).cast("double"), "wake_someone": F.lit(None).cast("double")})
     else:
         judged = judged.join(answers.select("event_id", "delay_sec", "matters_now", "wake_someone"), "event_id", "left")
     rows = judged.select(
         "template_id", "received_at", F.unix_millis("received_at").alias("at_ms"),
-        F.floor((F.unix_micros("received_at") - origin_us) / (1_000_000 * squeeze)).alias("sec"), "event_id", "host",
+        F.floor((F.unix_micros("received_at") - origin_us) / (1_000_000 * squeeze)).alias("sec"), "event_id", "host", "kind",
         F.coalesce(rank, F.lit(0)).cast("int").alias("rank"), gate(F.col("severity"), F.col("actionable"), c.floor, c.actionable).alias("gated"),
         F.coalesce(rank >= severity_rank(F.lit(c.bypass)), F.lit(False)).alias("bypass"), contextual(F.col("contextual"), c.contextual).alias("flagged"),
         "delay_sec", "matters_now", "wake_someone",
