@@ -252,3 +252,31 @@ def test_a_verdict_noticed_late_skips_open_keys(spark):
     v = spark.createDataFrame([("a", 10, 30, 3.0, 0.9, 0.0)], "template_id string, landed_sec long, noticed_sec long, severity double, actionable double, contextual double")
     got = A.alarms(A.as_verdicts_arrive(W.window_stats(df), v)).collect()
     assert sorted((r.host, r.opened_sec, r["count"], r.exemplar) for r in got) == [("h1", 20, 1, "r3"), ("h2", 30, 1, "")]
+
+
+@pytest.mark.parametrize("most, steps", [(65_536, [0, 5, 59, 60, 900]), (65_536, [0, 400, 2000, 3600]), (4, [0, 5, 60, 900]), (2, [0, 1, 700]), (1, [0, 61, 3601])])
+def test_eviction_equals_a_simulation(spark, most, steps):
+    """The table is swept only as a template without a window comes, and cut when it is full."""
+    rng = random.Random(most + len(steps))
+    rows, at = [], 0
+    for k in range(500):
+        at += rng.choice(steps)
+        rows.append((k, rng.choice(["a", "a", "b", "c", "d", None, f"t{rng.randint(0, 30)}"]), "h", at))
+    windows, swept, number, want, kept = {}, 0, {}, {}, 0
+    for event, tpl, _, sec in rows:
+        if tpl not in windows:
+            if len(windows) >= most:
+                for t in sorted(windows, key=lambda t: windows[t])[: len(windows) - most + 1]:
+                    del windows[t]
+            elif sec - swept >= 60:
+                swept = sec
+                windows = {t: w for t, w in windows.items() if sec - w[0] <= 3600}
+            number[tpl] = number.get(tpl, -1) + 1
+        elif sec - windows[tpl][0] > 3600:
+            kept += 1
+        windows[tpl] = (sec, event)
+        want[event] = number[tpl]
+    df = spark.createDataFrame(rows, "event_id long, template_id string, host string, sec long").withColumn("k", F.lit(1)).withColumn("new", F.lit("x"))
+    out = W.evicted(df, most=most)
+    assert out.columns == [*df.columns, "session"] and {r.event_id: r.session for r in out.collect()} == want
+    assert max(want.values()) > 0 and W.evicted(df.limit(0)).count() == 0

@@ -9,12 +9,16 @@ buckets are added, which are few. What the block before leaves is each host's la
 from __future__ import annotations
 
 import math
-
+from collections import OrderedDict
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import ship, written
+
 
 @dataclass(frozen=True)
 class WindowConfig:
@@ -28,6 +32,8 @@ class WindowConfig:
     rate_span: int = 300
     rate_factor: float = 3.0
     idle: int = 3600
+    #: Seconds between two sweeps of idle windows.
+    sweep: int = 60
 
 
 def seconds(lines: DataFrame, at: str = "received_at", origin: Column | None = None, squeeze: int = 1) -> DataFrame:
@@ -122,6 +128,100 @@ def idle_reset(lines: DataFrame, c: WindowConfig = WindowConfig()) -> DataFrame:
     return rows.join(sessions, ["k", "b"]).select("row.*", "session")
 
 
+class Table:
+    """Which templates hold a window, line by line in order: as many as the cap, the least recently seen first."""
+
+    def __init__(self, c: WindowConfig, most: int, start: int = 0):
+        self.c, self.most, self.swept = c, most, start
+        self.seen: OrderedDict[object, int] = OrderedDict()
+
+    def line(self, key: object, sec: int) -> bool:
+        """Whether the line begins a window."""
+        fresh = key not in self.seen
+        if fresh:
+            if len(self.seen) >= self.most:
+                while len(self.seen) >= self.most:
+                    self.seen.popitem(last=False)
+            elif sec - self.swept >= self.c.sweep:
+                self.swept = sec
+                while self.seen and sec - next(iter(self.seen.values())) > self.c.idle:
+                    self.seen.popitem(last=False)
+        self.seen[key] = sec
+        self.seen.move_to_end(key)
+        return fresh
+
+
+_STARTS = "k struct<template_id:string>, sec long, event_id long"
+
+
+def _swept_starts(blocks: DataFrame, c: WindowConfig, start: int) -> DataFrame:
+    """(k, sec, event_id) of the lines that begin another window, in a table that never fills up.
+
+    Only new templates and lines after an idle hour can come without a window. Of new
+    templates one for each second matters, as all others find the sweep done; what is
+    left streams through one task that holds the second of the last sweep.
+    """
+    order = Window.partitionBy("k").orderBy("b")
+    gaps = blocks.withColumn("before", F.lag("last").over(order)).select("k", "first.sec", "first.event_id", "before")
+    new = gaps.filter("before is null").groupBy("sec").agg(F.min("event_id").alias("event_id"))
+    back = gaps.filter(F.col("sec") - F.col("before") > c.idle)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        swept = start
+        for b in batches:
+            begun = []
+            for sec, before in zip(b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True):
+                fresh = before is None or swept - before > c.idle
+                begun.append(fresh and before is not None)
+                if fresh and sec - swept >= c.sweep:
+                    swept = sec
+            yield b.select([0, 1, 2]).filter(pa.array(begun))
+
+    rows = back.unionByName(new, allowMissingColumns=True).select("k", "sec", "event_id", "before")
+    return rows.repartition(1).sortWithinPartitions("sec", "event_id").mapInArrow(run, _STARTS)
+
+
+def _table_starts(rows: DataFrame, c: WindowConfig, most: int, start: int) -> DataFrame:
+    """The same for a table that does fill up: all lines stream through one task, which holds ``most`` windows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = Table(c, most, start)
+        for b in batches:
+            begun = [table.line(key, sec) for key, sec in zip(b.column(0).field(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            yield b.filter(pa.array(begun))
+
+    every = rows.select("k", "sec", "event_id").repartition(1).sortWithinPartitions("sec", "event_id").mapInArrow(run, _STARTS)
+    # A template's first line begins no other window.
+    firsts = rows.groupBy("k").agg(F.min(F.struct("sec", "event_id")).alias("first")).select("k", "first.*")
+    return every.join(firsts, ["k", "sec", "event_id"], "left_anti")
+
+
+def evicted(lines: DataFrame, c: WindowConfig = WindowConfig(), most: int = 65_536, start: int = 0) -> DataFrame:
+    """Adds ``session``: which window of its template a line belongs to, for a table of at most ``most`` windows.
+
+    A line of a template without a window first clears the table: of the least recently
+    seen ones if it is full, else of those idle for over ``idle`` seconds, but the latter
+    at most once in ``sweep`` seconds, and for the first time so long after ``start``. So
+    a template that was idle keeps its window if no other one came to clear it.
+    ``window_stats`` forgets with ``by`` of (template_id, session). Of windows with
+    equal seconds the one whose line came first is the staler; ``event_id`` orders lines.
+    """
+    ship(lines.sparkSession)
+    rows = lines.select(F.struct(F.col("template_id").cast("string").alias("template_id")).alias("k"), F.floor(F.col("sec") / c.idle).alias("b"), F.struct(*[lines[x] for x in lines.columns]).alias("row"), "sec", "event_id")
+    blocks = rows.groupBy("k", "b").agg(F.min(F.struct("sec", "event_id")).alias("first"), F.max("sec").alias("last"))
+    blocks = written(blocks, "window-blocks")
+    full = blocks.select("k").distinct().count() > most
+    starts = written(_table_starts(rows, c, most, start) if full else _swept_starts(blocks, c, start), "window-starts")
+    begun = starts.withColumns({"b": F.floor(F.col("sec") / c.idle), "new": F.lit(1).cast("long")})
+    # Windows begun in the blocks before, and in the line's own block up to it.
+    order = Window.partitionBy("k").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    counts = blocks.select("k", "b").join(begun.groupBy("k", "b").agg(F.sum("new").alias("n")), ["k", "b"], "left")
+    before = counts.select("k", "b", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("before"))
+    own = F.sum("new").over(Window.partitionBy("k", "b").orderBy("sec", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    marked = rows.join(begun, ["k", "b", "sec", "event_id"], "left").withColumn("own", F.coalesce(own, F.lit(0)))
+    return marked.join(before, ["k", "b"]).select("row.*", (F.col("before") + F.col("own")).alias("session"))
+
+
 def stalest_first(lines: DataFrame, keep: int) -> DataFrame:
     """The templates over the cap, those seen least recently first.
 

@@ -17,7 +17,7 @@ from ..operators.drain import assign, similarity
 from ..runtime import spread, written
 from ..sources import files, journal, otlp, syslog
 from . import lines as L
-from .lines import ALL_SQL, EVENTS_SQL, HISTORY_SQL, STATS_SQL, VERDICTS_SQL, quoted, sql_mask, table, with_
+from .lines import ALL_SQL, EVENTS_SQL, HISTORY_SQL, ORDER_VERDICTS_SQL, STATS_SQL, VERDICTS_SQL, quoted, sql_mask, table, with_
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -240,9 +240,9 @@ def unjudged_templates(spark, sf):
 # Verdicts
 
 
-@query(with_(VERDICTS_SQL, HISTORY_SQL) + "SELECT template_id, arg_max(severity, judged_at) AS severity, max(judged_at) AS judged_at FROM vh GROUP BY template_id")
+@query(with_(ORDER_VERDICTS_SQL) + "SELECT template_id, questions_hash, arg_max(severity, judged_at) AS severity, max(judged_at) AS judged_at FROM ov GROUP BY template_id, questions_hash")
 def verdict_latest(spark, sf):
-    return V.latest(L.verdict_rows(spark)).select("template_id", "severity", "judged_at")
+    return V.latest(L.order_verdicts(spark, sf)).select("template_id", "questions_hash", "severity", "judged_at")
 
 
 @query(with_(EVENTS_SQL, VERDICTS_SQL, HISTORY_SQL) + "SELECT l.event_id, (SELECT arg_max(severity, judged_at) FROM vh WHERE vh.template_id = l.template_id AND vh.judged_at <= l.received_at) AS severity FROM lines l")
@@ -250,15 +250,14 @@ def verdict_asof(spark, sf):
     return V.as_of(L.event_lines(spark, sf), L.verdict_rows(spark)).select("event_id", "severity")
 
 
-@query(with_(VERDICTS_SQL, HISTORY_SQL) + "SELECT template_id, judged_at, severity, row_number() OVER (PARTITION BY template_id ORDER BY judged_at) AS place FROM vh")
+@query(with_(ORDER_VERDICTS_SQL) + "SELECT template_id, judged_at, severity, row_number() OVER (PARTITION BY template_id ORDER BY judged_at) AS place FROM ov")
 def verdict_history(spark, sf):
-    return V.history(L.verdict_rows(spark)).select("template_id", "judged_at", "severity", "place")
+    return V.history(L.order_verdicts(spark, sf)).select("template_id", "judged_at", "severity", "place")
 
 
-@query(with_(VERDICTS_SQL, HISTORY_SQL) + "SELECT template_id, severity, judged_at FROM vh WHERE template_id = 't_' || sha256('app<VAR:PID>: error event <VAR:NUM> took <VAR:DUR>') AND questions_hash = 'q1' AND bundle_hash = 'b1' AND model = 'table'")
+@query(with_(ORDER_VERDICTS_SQL) + "SELECT template_id, severity, judged_at FROM ov WHERE questions_hash = 'q1' AND bundle_hash = 'b1' AND model = '1-URGENT'")
 def verdict_by_key(spark, sf):
-    key = L.verdicts(spark).filter("severity = 3").select("template_id")
-    return V.by_key(L.verdict_rows(spark), questions_hash="q1", bundle_hash="b1", model="table").join(key, "template_id", "left_semi").select("template_id", "severity", "judged_at")
+    return V.by_key(L.order_verdicts(spark, sf), questions_hash="q1", bundle_hash="b1", model="1-URGENT").select("template_id", "severity", "judged_at")
 
 
 @query(with_(EVENTS_SQL, VERDICTS_SQL) + f"SELECT l.event_id, coalesce({L.SEVERITY_SQL} >= 2 AND actionable >= 0.5, false) AS open FROM lines l LEFT JOIN v USING (template_id)")
@@ -310,6 +309,20 @@ def window_idle_reset(spark, sf):
     return W.idle_reset(lines).select("event_id", "session")
 
 
+# Lines of users without a window, in order: whether a sweep has forgotten one since its last line, and when the last sweep was.
+@query(
+    """WITH RECURSIVE l AS (SELECT event_id, user_id, CAST(floor((epoch_us(ts) - min(epoch_us(ts)) OVER ()) / CAST(1000000 AS DOUBLE)) AS BIGINT) AS sec FROM events),
+m AS (SELECT *, lag(sec) OVER (PARTITION BY user_id ORDER BY sec, event_id) AS before FROM l),
+c AS (SELECT event_id, sec, before, row_number() OVER (ORDER BY sec, event_id) AS i FROM m WHERE before IS NULL OR sec - before > 3600),
+r AS (SELECT CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS swept, false AS fresh, CAST(NULL AS BIGINT) AS event_id UNION ALL
+    SELECT c.i, CASE WHEN (c.before IS NULL OR r.swept - c.before > 3600) AND c.sec - r.swept >= 60 THEN c.sec ELSE r.swept END, coalesce(r.swept - c.before > 3600, false), c.event_id FROM r JOIN c ON c.i = r.i + 1)
+SELECT m.event_id, CAST(sum(CASE WHEN r.fresh THEN 1 ELSE 0 END) OVER (PARTITION BY m.user_id ORDER BY m.sec, m.event_id) AS BIGINT) AS session FROM m LEFT JOIN r ON r.event_id = m.event_id"""
+)
+def window_evict(spark, sf):
+    lines = W.seconds(table(spark, sf, "events").withColumn("template_id", F.col("user_id").cast("string")), "ts")
+    return W.evicted(lines).select("event_id", "session")
+
+
 @query("WITH l AS (SELECT user_id, max(CAST(floor((epoch_us(ts) - m) / CAST(1000000 AS DOUBLE)) AS BIGINT)) AS last_seen FROM (SELECT *, min(epoch_us(ts)) OVER () AS m FROM events) GROUP BY user_id) SELECT CAST(user_id AS VARCHAR) AS template_id, last_seen FROM (SELECT *, row_number() OVER (ORDER BY last_seen DESC, CAST(user_id AS VARCHAR) DESC) AS r FROM l) WHERE r > 20")
 def stalest_templates(spark, sf):
     lines = W.seconds(table(spark, sf, "events").withColumn("template_id", F.col("user_id").cast("string")), "ts")
@@ -534,6 +547,10 @@ def year_resolution(spark, sf):
 
 @query("SELECT event_id, event_type AS raw, CASE WHEN user_id % 2 = 0 THEN 'h' || user_id ELSE 'localhost' END AS host, ts AS timestamp, CASE WHEN user_id % 2 = 0 THEN 3 ELSE 2 END AS fields FROM events WHERE user_id % 5 <> 0")
 def normalize_journal(spark, sf):
+    return _journal(spark, sf).select("event_id", F.col("raw").cast("string").alias("raw"), "host", "timestamp", F.size("attrs").alias("fields"))
+
+
+def _journal(spark, sf):
     e = table(spark, sf, "events")
     record = F.to_json(
         F.map_filter(
@@ -545,8 +562,7 @@ def normalize_journal(spark, sf):
             lambda _, v: v.isNotNull(),
         )
     )
-    rows = journal.normalise(journal.parse(e.select("event_id", record.alias("line"))), own_unit="own.service")
-    return rows.select("event_id", F.col("raw").cast("string").alias("raw"), "host", "timestamp", F.size("attrs").alias("fields"))
+    return journal.normalise(journal.parse(e.select("event_id", record.alias("line"))), own_unit="own.service")
 
 
 @query("SELECT event_id, event_type AS raw, 'h' || (user_id % 4) AS host, CASE WHEN event_id % 3 = 0 THEN NULL ELSE ts END AS timestamp, CAST(user_id AS VARCHAR) AS user_attr, '[a, ' || user_id || ']' AS list_attr, 'app' AS scope, 'api' AS service FROM events")
@@ -569,12 +585,28 @@ def shed_rate_limit(spark, sf):
     return syslog.shed(e, 3).select("event_id", "shed")
 
 
-@query("SELECT source, count(*) AS n FROM (SELECT 'journal' AS source FROM events UNION ALL SELECT 'syslog' FROM orders UNION ALL SELECT 'otlp' FROM conversations) GROUP BY source")
+@query(
+    """SELECT source, count(*) AS n, count(DISTINCT host) AS hosts, CAST(sum(strlen(body)) AS BIGINT) AS bytes FROM (
+    SELECT 'journal' AS source, event_type AS body, CASE WHEN user_id % 2 = 0 THEN 'h' || user_id ELSE 'localhost' END AS host FROM events WHERE user_id % 5 <> 0
+    UNION ALL SELECT 'syslog', CASE o_orderkey % 3 WHEN 0 THEN 'shop 123 req' || o_orderkey || ' - order ' || o_orderkey WHEN 1 THEN 'shop[' || o_orderkey || ']: order ' || o_orderkey ELSE '<999>order ' || o_orderkey END, CASE o_orderkey % 3 WHEN 0 THEN 'web0' WHEN 1 THEN 'pve' ELSE '10.0.0.9' END FROM orders
+    UNION ALL SELECT 'otlp', coalesce(text, ''), 'c' || (conv_id % 7) FROM conversations) GROUP BY source"""
+)
 def union_sources(spark, sf):
-    e = table(spark, sf, "events").select(F.lit("journal").alias("source"), F.col("event_type").alias("raw"))
-    o = L.order_lines(spark, sf).select(F.lit("syslog").alias("source"), "raw")
-    c = table(spark, sf, "conversations").select(F.lit("otlp").alias("source"), F.col("text").alias("raw"))
-    return e.unionByName(o).unionByName(c).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    """Journal records, frames and exports through their own readers, as one table of events."""
+    from ..functions.text import body
+
+    c = table(spark, sf, "conversations")
+    value = lambda x: F.struct(x.alias("stringValue"))
+    host = F.struct(F.lit("host.name").alias("key"), value(F.concat(F.lit("c"), (F.col("conv_id") % 7).cast("string"))).alias("value"))
+    record = F.struct(value(F.coalesce("text", F.lit(""))).alias("body"))
+    logs = F.struct(F.struct(F.array(host).alias("attributes")).alias("resource"), F.array(F.struct(F.array(record).alias("logRecords"))).alias("scopeLogs"))
+    exports = c.select(F.to_json(F.struct(F.array(logs).alias("resourceLogs"))).alias("export"), F.lit("10.0.0.9").alias("peer"))
+    sources = (
+        _journal(spark, sf).withColumn("source", F.lit("journal")), syslog.normalise(_frames(spark, sf)), otlp.normalise(exports).withColumn("source", F.lit("otlp")),
+    )
+    rows = [e.select("source", "host", body(F.col("raw"), F.col("body_offset") if "body_offset" in e.columns else F.lit(0)).alias("body")) for e in sources]
+    every = rows[0].unionByName(rows[1]).unionByName(rows[2])
+    return every.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("host").alias("hosts"), F.sum(F.octet_length("body").cast("long")).alias("bytes"))
 
 
 @query("SELECT o_orderpriority AS model, count(*) AS records, CAST(sum(o_orderkey % 500) AS BIGINT) AS input_tokens, CAST(sum(o_orderkey % 80) AS BIGINT) AS output_tokens, CAST(sum((o_orderkey % 1000)) AS DOUBLE) AS cost FROM orders GROUP BY o_orderpriority")

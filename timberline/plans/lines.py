@@ -52,6 +52,18 @@ def verdict_rows(spark: SparkSession) -> DataFrame:
     return v.unionByName(later)
 
 
+def order_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as judgments: a customer is a template, judged anew with each order, by one of two sets of questions."""
+    key = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("t_"), F.col("o_custkey").cast("string")).alias("template_id"), F.concat(F.lit("q"), (key % 2).cast("string")).alias("questions_hash"), F.lit("b1").alias("bundle_hash"),
+        F.col("o_orderpriority").alias("model"), (key % 31 / 10).alias("severity"), F.timestamp_micros(F.unix_micros("o_orderdate") + key).alias("judged_at"),
+    )
+
+
+ORDER_VERDICTS_SQL = "ov AS (SELECT 't_' || o_custkey AS template_id, 'q' || (o_orderkey % 2) AS questions_hash, 'b1' AS bundle_hash, o_orderpriority AS model, (o_orderkey % 31) / CAST(10 AS DOUBLE) AS severity, make_timestamp(epoch_us(o_orderdate) + o_orderkey) AS judged_at FROM orders)"
+
+
 def stored_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event lines, masked once and written, for what reads them more than once."""
     return written(event_lines(spark, sf_dir), "lines")
