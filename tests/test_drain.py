@@ -138,6 +138,31 @@ def test_assign_edges(spark):
     assert got.s == pytest.approx(1 / 3) and got.g == ["a", "<*>", "<*>"]
 
 
+@pytest.mark.parametrize("config, share", [(Config(), 0), (Config(similarity=0.6, max_leaf=3), 30), (Config(similarity=0.7, max_clusters=8), 10**9)])
+def test_referrals_equal_a_replay(spark, config, share):
+    """A new cluster is compared with the templates of its moment, not with later ones or those forgotten."""
+    rng = random.Random(9)
+    lines = []
+    for _ in range(300):
+        n = rng.choice([6, 7, 7, 8]) if config.max_clusters > 8 else 7
+        lines.append(" ".join(rng.choice(["red", "blue"]) if i == 0 else rng.choice(["x", "y", f"w{rng.randint(0, 3)}"]) if i > 3 else "abcdefghijkl"[i] for i in range(n)))
+    miners, first, want = {}, {}, set()
+    # One table for each token count forgets as one task does; without forgetting that is one table for all.
+    for k, line in enumerate(lines):
+        words = line.split(" ")
+        miner = miners.setdefault(len(words), Miner(config))
+        c = miner.train(words, k)
+        if c.size == 1:
+            for other in (x for m in miners.values() for x in m.table.values() if x is not c):
+                if abs(len(other.tokens) - len(words)) <= 2:
+                    inter = sum((Counter(words) & Counter(other.tokens)).values())
+                    score = inter / (len(words) + len(other.tokens) - inter)
+                    if score >= 0.65:
+                        want.add((k, line, other.first, " ".join(other.tokens), round(score, 9)))
+    got = [(r.event_id, r.template, r.other_event, r.other_template, round(r.score, 9)) for r in neighbours.referrals(drain.versions(frame(spark, lines), config, share=share)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 10
+
+
 def test_neighbours_equal_brute_force(spark):
     rng = random.Random(7)
     bags = [[rng.choice("abcdefgh") for _ in range(rng.randint(1, 9))] for _ in range(120)] + [[], ["z"], ["z"]]

@@ -85,6 +85,8 @@ class Cluster:
     size: int = 1
     path: tuple[str, ...] = ()
     leaf: Node | None = None
+    #: The line that made or last changed the template.
+    changed: int = 0
     id: str = ""
     params: int = 0
 
@@ -181,12 +183,13 @@ class Miner:
             moved = [a if a == b else param for a, b in zip(cluster.tokens, words, strict=True)]
             if moved != cluster.tokens:
                 cluster.tokens = moved
+                cluster.changed = line
                 cluster.rename(self.config.param)
             cluster.size += 1
             self.table.move_to_end(cluster.seq)
             cluster.leaf.used.move_to_end(cluster.seq)
             return cluster
-        cluster = Cluster(self.next, list(words), line)
+        cluster = Cluster(self.next, list(words), line, changed=line)
         cluster.rename(self.config.param)
         self.next += 1
         self.table[cluster.seq] = cluster
@@ -197,12 +200,12 @@ class Miner:
         return cluster
 
 
-_FIELDS = "event_id long, n_tokens int, route string, local long, template_id_at_train string, size long, template string, first_event long"
+_FIELDS = "event_id long, n_tokens int, route string, local long, template_id_at_train string, size long, template string, first_event long, until long"
 
 
 def _trainer(config: Config):
     names = [f.split()[0] for f in _FIELDS.split(", ")]
-    types = [pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+    types = [pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names)
@@ -210,8 +213,8 @@ def _trainer(config: Config):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         miner, at, rows = None, None, []
 
-        def ended(clusters) -> list[tuple]:
-            return [(None, len(c.tokens), at[1], c.seq, None, c.size, " ".join(c.tokens), c.first) for c in clusters]
+        def ended(clusters, event: int | None = None) -> list[tuple]:
+            return [(None, len(c.tokens), at[1], c.seq, None, c.size, " ".join(c.tokens), c.first, event) for c in clusters]
 
         for b in batches:
             for event, text, n, route in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -223,9 +226,11 @@ def _trainer(config: Config):
                     if rest:
                         miner.reserve(n if text else 0, path.split(" ")[:-1], int(children))
                 c = miner.train(text.split(" ") if text else [], event)
-                rows.append((event, len(c.tokens), route, c.seq, c.id, c.size, None, None))
+                # The template where the line made or changed it.
+                version = (" ".join(c.tokens), c.first) if c.changed == event else (None, None)
+                rows.append((event, len(c.tokens), route, c.seq, c.id, c.size, *version, None))
                 if miner.forgotten:
-                    rows += ended(miner.forgotten)
+                    rows += ended(miner.forgotten, event)
                     miner.forgotten.clear()
             if rows:
                 yield batch(rows)
@@ -297,6 +302,28 @@ def _trained(lines: DataFrame, config: Config, share: int) -> DataFrame:
     return out.withColumn("n", count).join(F.broadcast(over), "n", "left_anti").drop("n").unionByName(again)
 
 
+def _texts(df: DataFrame, config: Config, template_col: str) -> DataFrame:
+    text = F.array_join(tokens(F.coalesce(F.col(template_col), F.lit("")), config.max_tokens), " ").alias("text")
+    return written(df.select("event_id", F.col("received_at").alias("at"), text), "drain-lines")
+
+
+def versions(df: DataFrame, config: Config = Config(), *, template_col: str = "template", share: int = SHARE) -> DataFrame:
+    """Every template that a cluster had: (first_event, template, template_id, since, until), the latter as (at, event_id).
+
+    ``first_event`` names the cluster, ``since`` is the line that made the template, and
+    ``until`` the one that changed it or for which the cluster was forgotten; null where
+    it stayed. Rows and order are as ``assign`` has them; event ids must differ.
+    """
+    rows = _texts(df, config, template_col)
+    out = _trained(rows, config, share)
+    places = rows.select("event_id", F.struct("at", "event_id").alias("since"))
+    made = out.filter("event_id is not null and template is not null").select("event_id", "first_event", "template").join(places, "event_id")
+    gone = out.filter("event_id is null and until is not null").select("first_event", F.col("until").alias("event_id"))
+    gone = gone.join(places.withColumnRenamed("since", "gone"), "event_id").select("first_event", "gone")
+    until = F.coalesce(F.lead("since").over(Window.partitionBy("first_event").orderBy("since")), F.col("gone"))
+    return made.join(gone, "first_event", "left").select("first_event", "template", template_id(F.col("template")).alias("template_id"), "since", until.alias("until"))
+
+
 def assign(df: DataFrame, config: Config = Config(), *, mode: str = "exact", template_col: str = "template", share: int = SHARE) -> tuple[DataFrame, DataFrame]:
     """(assignments, clusters) of rows with event_id, received_at and a masked line.
 
@@ -306,10 +333,7 @@ def assign(df: DataFrame, config: Config = Config(), *, mode: str = "exact", tem
     task. A null line counts as empty; an empty table gives no rows. Nodes of over
     ``share`` lines are dealt by their tokens.
     """
-    rows = df.select(
-        "event_id", F.col("received_at").alias("at"), F.array_join(tokens(F.coalesce(F.col(template_col), F.lit("")), config.max_tokens), " ").alias("text")
-    )
-    rows = written(rows, "drain-lines")
+    rows = _texts(df, config, template_col)
     if mode == "distinct":
         first = rows.groupBy("text").agg(F.min(F.struct("at", "event_id")).alias("f"), F.count(F.lit(1)).alias("n"))
         first = written(first, "drain-distinct")
@@ -320,7 +344,7 @@ def assign(df: DataFrame, config: Config = Config(), *, mode: str = "exact", tem
         raise ValueError(mode)
     place = ["n_tokens", "route", "local"]
     found = out.filter("event_id is null").select(*place, "template", "size", "first_event")
-    lines = out.filter("event_id is not null").drop("template", "first_event")
+    lines = out.filter("event_id is not null").drop("template", "first_event", "until")
     if mode == "distinct":
         trained = lines.join(first.select(F.col("f.event_id").alias("event_id"), "text", "n"), "event_id")
         sizes = trained.groupBy(*place).agg(F.sum("n").alias("size"))

@@ -13,7 +13,7 @@ from ..operators import alarms as A
 from ..operators import board, metrics, neighbours, synth
 from ..operators import verdicts as V
 from ..operators import windows as W
-from ..operators.drain import assign, similarity
+from ..operators.drain import assign, similarity, versions
 from ..runtime import spread, written
 from ..sources import files, journal, otlp, syslog
 from . import lines as L
@@ -159,21 +159,35 @@ def drain_families(spark, sf):
 
 # One token count with 150 first tokens: the 99 that come first have a child each, below which each second token is a
 # cluster; the others share the parameter's child, where a second token's lines are one cluster that generalises.
-@query(
-    """WITH o AS (SELECT o_orderkey AS event_id, o_orderdate AS placed, 'q' || chr(CAST(97 + o_custkey % 150 // 26 AS INT)) || chr(CAST(97 + o_custkey % 150 % 26 AS INT)) AS w, replace(substr(o_orderpriority, 3), ' ', '-') AS v FROM orders),
+DEALT_SQL = """o AS (SELECT o_orderkey AS event_id, o_orderdate AS placed, 'q' || chr(CAST(97 + o_custkey % 150 // 26 AS INT)) || chr(CAST(97 + o_custkey % 150 % 26 AS INT)) AS w, replace(substr(o_orderpriority, 3), ' ', '-') AS v FROM orders),
 f AS (SELECT w, row_number() OVER (ORDER BY min((placed, event_id))) AS place FROM o GROUP BY w),
 x AS (SELECT o.*, CASE WHEN place <= 99 THEN w ELSE '' END AS g FROM o JOIN f USING (w)),
 y AS (SELECT *, row_number() OVER t AS size, first_value(w) OVER t AS fw FROM x WINDOW t AS (PARTITION BY g, v ORDER BY placed, event_id)),
-z AS (SELECT *, bool_or(w <> fw) OVER (PARTITION BY g, v ORDER BY placed, event_id ROWS UNBOUNDED PRECEDING) AS moved, bool_or(w <> fw) OVER (PARTITION BY g, v) AS moves FROM y)
-SELECT event_id, size, 't_' || sha256(CASE WHEN moved THEN '<*>' ELSE w END || ' ' || v || ' goods went from the yard to bay seven at dusk') AS template_id_at_train,
-    't_' || sha256(CASE WHEN moves THEN '<*>' ELSE w END || ' ' || v || ' goods went from the yard to bay seven at dusk') AS template_id_final FROM z"""
-)
-def drain_dealt(spark, sf):
+z AS (SELECT *, bool_or(w <> fw) OVER (PARTITION BY g, v ORDER BY placed, event_id ROWS UNBOUNDED PRECEDING) AS moved, bool_or(w <> fw) OVER (PARTITION BY g, v) AS moves FROM y)"""
+DEALT_TAIL = " goods went from the yard to bay seven at dusk"
+
+
+def _dealt_lines(spark, sf):
     letter = lambda n: F.char((F.lit(97) + n).cast("int"))
     c = F.col("o_custkey") % 150
-    line = F.concat(F.lit("q"), letter(F.floor(c / 26)), letter(c % 26), F.lit(" "), F.expr("replace(substring(o_orderpriority, 3), ' ', '-')"), F.lit(" goods went from the yard to bay seven at dusk"))
-    rows = spread(table(spark, sf, "orders")).select(F.col("o_orderkey").alias("event_id"), F.col("o_orderdate").alias("received_at"), line.alias("template"))
-    return assign(rows, share=1_000)[0].select("event_id", "size", "template_id_at_train", "template_id_final")
+    line = F.concat(F.lit("q"), letter(F.floor(c / 26)), letter(c % 26), F.lit(" "), F.expr("replace(substring(o_orderpriority, 3), ' ', '-')"), F.lit(DEALT_TAIL))
+    return spread(table(spark, sf, "orders")).select(F.col("o_orderkey").alias("event_id"), F.col("o_orderdate").alias("received_at"), line.alias("template"))
+
+
+@query(with_(DEALT_SQL) + f"SELECT event_id, size, 't_' || sha256(CASE WHEN moved THEN '<*>' ELSE w END || ' ' || v || '{DEALT_TAIL}') AS template_id_at_train, 't_' || sha256(CASE WHEN moves THEN '<*>' ELSE w END || ' ' || v || '{DEALT_TAIL}') AS template_id_final FROM z")
+def drain_dealt(spark, sf):
+    return assign(_dealt_lines(spark, sf), share=1_000)[0].select("event_id", "size", "template_id_at_train", "template_id_final")
+
+
+# Every new cluster is like all that are there; how like goes by whether the other has generalised by then.
+@query(
+    with_(DEALT_SQL, "c AS (SELECT g, v, any_value(fw) AS w, arg_min(event_id, (placed, event_id)) AS event_id, min((placed, event_id)) AS born, min((placed, event_id)) FILTER (moved) AS moved_at FROM z GROUP BY g, v)",
+          "p AS (SELECT a.event_id, a.w || ' ' || a.v AS own, b.event_id AS other_event, CASE WHEN b.moved_at < a.born THEN '<*>' ELSE b.w END AS bw, b.v AS bv, a.w, a.v FROM c a JOIN c b ON b.born < a.born)",
+          "s AS (SELECT *, 10 + CAST(bw = w AS INT) + CAST(bv = v AS INT) AS shared FROM p)")
+    + f"SELECT event_id, 't_' || sha256(own || '{DEALT_TAIL}') AS template_id, other_event, 't_' || sha256(bw || ' ' || bv || '{DEALT_TAIL}') AS other_id, shared / CAST(24 - shared AS DOUBLE) AS score FROM s"
+)
+def referrals_at_creation(spark, sf):
+    return neighbours.referrals(versions(_dealt_lines(spark, sf), share=1_000)).select("event_id", "template_id", "other_event", "other_id", "score")
 
 
 @query(with_(EVENTS_SQL, "t AS (SELECT DISTINCT template, string_split(template, ' ') AS w FROM lines)") + "SELECT a.template AS a, b.template AS b, list_sum([CASE WHEN a.w[i] = b.w[i] THEN 1 ELSE 0 END FOR i IN range(1, len(a.w) + 1)]) / CAST(len(a.w) AS DOUBLE) AS similarity FROM t a JOIN t b ON a.template < b.template AND len(a.w) = len(b.w)")
