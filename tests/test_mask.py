@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests import golden
-from timberline.functions.mask import DEFAULT, DEFAULT_SLOTS, LINEAR, BadBundle, Bundle, Slot, mask, match_spans, matches, pieces, register, slot_uses
+from timberline.functions.mask import DEFAULT, DEFAULT_SLOTS, LINEAR, BadBundle, Bundle, Slot, mask, matches, pieces, register, slot_uses, spans
 
 CASES = [
     ("at 2026-09-19T10:00:00Z done", "at <VAR:TS> done"),
@@ -48,7 +48,7 @@ def test_golden_pairs(spark):
 
 def test_matches_spans_and_pieces(spark):
     df = spark.createDataFrame([("é from 10.0.0.9 took 5ms <VAR:NUM>",), (None,)], "raw string")
-    row = df.select(matches(F.col("raw")).alias("m"), match_spans()(F.col("raw")).alias("s")).first()
+    row = df.select(matches(F.col("raw")).alias("m"), spans(F.col("raw")).alias("s")).first()
     assert [tuple(x) for x in row.m] == [("IP4", "10.0.0.9"), ("DUR", "5ms")]
     assert [(x.name, x.start, x.end) for x in row.s] == [("IP4", 8, 16), ("DUR", 22, 25)]
     t = spark.createDataFrame([("a <VAR:NUM> b <VAR:IP4> <VAR:NUM>",)], "t string")
@@ -146,3 +146,21 @@ print("all masked")
 """
     run = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=600)
     assert "all masked" in run.stdout, run.stderr[-2000:]
+
+
+def test_spans_cut_what_masking_replaces(spark):
+    """Byte offsets on lines of many scripts, with separators, and of thousands of matches."""
+    rng = random.Random(3)
+    parts = ["10.0.0.9", " ", "é日", "5ms", "🎉", "<VAR:NUM>", "\x01", "\x04", "/a/b", "x", "٣", "http://é.com/日", "[12]", "\x04\x05"]
+    lines = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(200)] + ["7 é " * 1500, "", "\x01"]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(lines)] + [(-1, None)], "k int, raw string")
+    for r in df.select("k", "raw", spans(F.col("raw")).alias("s"), mask(F.col("raw")).alias("m")).collect():
+        if r.raw is None:
+            assert r.s is None
+            continue
+        raw, out, at = r.raw.encode(), b"", 0
+        for x in r.s:
+            assert raw[x.start : x.end].decode() == x.value and x.start >= at
+            out += raw[at : x.start] + f"<VAR:{x.name}>".encode()
+            at = x.end
+        assert (out + raw[at:]).decode() == r.m

@@ -12,11 +12,9 @@ import hashlib
 import operator
 import re
 import tomllib
-from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from functools import cached_property, reduce
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -203,11 +201,14 @@ class Bundle:
 DEFAULT = replace(Bundle.of(*DEFAULT_SLOTS), start=r"(?=\b|[\d/:\[<])")
 
 
-def mask(line: Column, bundle: Bundle = DEFAULT, unicode: bool = True) -> Column:
-    """The template of a line: each match as ``<VAR:NAME>``; placeholders stay as they are."""
+def _pieces(line: Column, bundle: Bundle, unicode: bool) -> tuple[Column, Column]:
+    """The line cut around its matches, and whether it has separators, which are then escaped.
+
+    Of each match: nothing, a placeholder, then one piece for each slot; text is before and after.
+    """
     flag = "(?U)" if unicode else ""
     odd = F.contains(line, F.lit(SEPARATOR))
-    clean, tags = line, F.array(*(F.lit(f"<VAR:{s.name}>") for s in bundle.slots))
+    clean = line
     for old, new in ESCAPES:
         clean = F.replace(clean, F.lit(old), F.lit(new))
     clean = F.when(odd, clean).otherwise(line)
@@ -215,18 +216,26 @@ def mask(line: Column, bundle: Bundle = DEFAULT, unicode: bool = True) -> Column
     if bundle.held:
         holds = reduce(operator.or_, (F.contains(line, F.lit(x)) for x in bundle.held))
         found = F.when(holds, found).otherwise(F.regexp_replace(clean, flag + bundle.lean, bundle.separated))
-    pieces_ = F.split(found, SEPARATOR, -1)
+    return F.split(found, SEPARATOR, -1), odd
+
+
+def _unescaped(text: Column, odd: Column) -> Column:
+    back = text
+    for old, new in reversed(ESCAPES):
+        back = F.replace(back, F.lit(new), F.lit(old))
+    return F.when(odd, back).otherwise(text)
+
+
+def mask(line: Column, bundle: Bundle = DEFAULT, unicode: bool = True) -> Column:
+    """The template of a line: each match as ``<VAR:NAME>``; placeholders stay as they are."""
+    pieces_, odd = _pieces(line, bundle, unicode)
+    tags = F.array(*(F.lit(f"<VAR:{s.name}>") for s in bundle.slots))
 
     def named(piece: Column, i: Column) -> Column:
-        # Of each match: nothing, a placeholder, then one piece for each slot; text is before and after.
         k = i % (len(bundle.slots) + 2)
         return F.when(k <= 1, piece).when(piece == "", piece).otherwise(F.get(tags, k - 2))
 
-    out = F.array_join(F.transform(pieces_, named), "")
-    back = out
-    for old, new in reversed(ESCAPES):
-        back = F.replace(back, F.lit(new), F.lit(old))
-    return F.when(odd, back).otherwise(out)
+    return _unescaped(F.array_join(F.transform(pieces_, named), ""), odd)
 
 
 def matches(line: Column, bundle: Bundle = DEFAULT, unicode: bool = True) -> Column:
@@ -245,32 +254,26 @@ def matches(line: Column, bundle: Bundle = DEFAULT, unicode: bool = True) -> Col
     return F.transform(own, named)
 
 
-def match_spans(bundle: Bundle = DEFAULT):
-    """A pandas UDF: (name, start, end, value) with UTF-8 byte offsets, which no built-in function gives."""
-    names = [s.name for s in bundle.slots]
-    alternation = "|".join([RESERVED.replace("(", "(?:"), *(f"({s.pattern})" for s in bundle.slots)])
-
-    @F.pandas_udf("array<struct<name:string,start:int,end:int,value:string>>")
-    def spans(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        pattern = re.compile(alternation)
-        for lines in parts:
-            rows = []
-            for line in lines:
-                if line is None:
-                    rows.append(None)
-                    continue
-                out, at, bytes_ = [], 0, 0
-                for m in pattern.finditer(line):
-                    bytes_ += len(line[at : m.start()].encode())
-                    size = len(m[0].encode())
-                    if m.lastindex:
-                        out.append({"name": names[m.lastindex - 1], "start": bytes_, "end": bytes_ + size, "value": m[0]})
-                    bytes_ += size
-                    at = m.end()
-                rows.append(out)
-            yield pd.Series(rows)
-
-    return spans
+def spans(line: Column, bundle: Bundle = DEFAULT, unicode: bool = True) -> Column:
+    """Array of (name, start, end, value) of what ``mask`` replaces, with UTF-8 byte offsets.
+
+    A match starts where the pieces before it end. Placeholders are passed over; a null
+    line has no array.
+    """
+    pieces_, odd = _pieces(line, bundle, unicode)
+    names = F.array(*(F.lit(s.name) for s in bundle.slots))
+    kinds = F.transform(pieces_, lambda p, i: F.struct((i % (len(bundle.slots) + 2)).alias("k"), _unescaped(p, odd).alias("value")))
+    full = F.filter(kinds, lambda p: p["value"] != "")
+    span = lambda p, at: F.struct(p["k"].alias("k"), at.alias("at"), p["value"].alias("value"))
+    none = F.array().cast("array<struct<k:int,at:int,value:string>>")
+
+    zero = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    found = F.aggregate(
+        full, zero, lambda acc, p: F.struct((acc["at"] + F.octet_length(p["value"])).alias("at"), F.concat(acc["out"], F.array(span(p, acc["at"]))).alias("out")), lambda acc: acc["out"]
+    )
+    slots = F.filter(found, lambda p: p["k"] > 1)
+    out = F.transform(slots, lambda p: F.struct(F.get(names, p["k"] - 2).alias("name"), p["at"].alias("start"), (p["at"] + F.octet_length(p["value"])).alias("end"), p["value"].alias("value")))
+    return F.when(line.isNotNull(), out)
 
 
 def placeholders(template: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.mask import mask, matches, pieces, slot_uses
+from ..functions.mask import mask, matches, pieces, slot_uses, spans
 from ..functions.text import content, excerpt, humanize, tokens
 from ..operators import alarms as A
 from ..operators import board, metrics, neighbours, synth
@@ -66,6 +66,16 @@ def slot_matches(spark, sf):
     return L.event_lines(spark, sf).select("event_id", F.array_join(found, ";").alias("found"))
 
 
+@query(
+    with_(EVENTS_SQL, f"m AS (SELECT event_id, regexp_extract_all(raw, {quoted(L.DEFAULT.alternation)}) AS m, string_split_regex(raw, {quoted(L.DEFAULT.alternation)}) AS p FROM lines)",
+          "s AS (SELECT event_id, unnest(m) AS x, unnest(list_transform(range(1, len(m) + 1), lambda i: CAST(list_sum(list_transform(p[1:i], lambda t: strlen(t))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda t: strlen(t))), 0) AS BIGINT))) AS a FROM m)")
+    + f"SELECT event_id, string_agg(CASE {' '.join(f'WHEN regexp_full_match(x, {quoted(s.pattern)}) THEN ' + quoted(s.name) for s in L.DEFAULT.slots)} END || ':' || a || ':' || (a + strlen(x)), ';' ORDER BY a) AS found FROM s GROUP BY event_id"
+)
+def slot_spans(spark, sf):
+    found = F.transform(spans(F.col("raw")), lambda m: F.concat_ws(":", m["name"], m["start"].cast("string"), m["end"].cast("string")))
+    return L.event_lines(spark, sf).select("event_id", F.array_join(found, ";").alias("found"))
+
+
 @query(with_(EVENTS_SQL) + "SELECT slot, count(*) AS seen FROM (SELECT unnest(regexp_extract_all(template, '<VAR:([A-Z][A-Z0-9_]*)>', 1)) AS slot FROM lines) GROUP BY slot")
 def slot_counts(spark, sf):
     uses = L.event_lines(spark, sf).groupBy("template").count().select("count", F.explode(slot_uses(F.col("template"))).alias("u"))
