@@ -274,7 +274,11 @@ def media_columns(df: DataFrame, media_col: str = "media", out: str = "tracks")
 
 
 def stored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_bytes, media) of each text, written to the shared folder; null texts count as empty."""
+    """(id, n_bytes, media) of each text, written to the shared folder.
+
+    Null texts count as empty, repeated rows are rows of their own, ids may be null, an
+    empty table gives an empty one, and other columns, of any names, are not read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -289,7 +293,11 @@ def stored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def media_report(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """What is read back from stored files: payload and container digests, and a feature of the sample tables."""
+    """What is read back from stored files: payload and container digests, and a feature of the sample tables.
+
+    One row for each stored row, repeated or without an id; equal texts have equal
+    values. An empty table gives no rows.
+    """
     fields = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
     def facts(n: int, data: bytes) -> tuple:

@@ -107,6 +107,12 @@ def quality_model(docs: DataFrame, labels: DataFrame, settings: Settings = SETTI
 
 
 def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score and predicted; labels of held-out rows are never read."""
+    """doc_id, held_out, score and predicted; labels of held-out rows are never read.
+
+    One row for each input row: null and empty texts get the score of no words, repeated
+    rows equal scores, a null id is not held out. Labels that are null, or of ids that
+    are null or in no row, teach nothing; without any, every score is 0.5. An empty
+    table gives no rows; other columns, of any names, are not read.
+    """
     model = quality_model(docs, labels.filter(~held_out("doc_id", 4, 2)))
     return score(docs, model).select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", "predicted")

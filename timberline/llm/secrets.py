@@ -213,7 +213,12 @@ def scan(df: DataFrame, text_col: str = "text", out: str = "secrets") -> DataFra
 
 
 def report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, counts by kind, digest of the base spans, and all spans as text."""
+    """id, counts by kind, digest of the base spans, and all spans as text.
+
+    One row for each input row: a null text counts as empty and has no spans, repeated
+    rows have equal ones, ids may be null, an empty table gives no rows, and other
+    columns, of any names, are not read. Texts of any length are scanned whole.
+    """
     found = scan(df.select(id_col, text_col), text_col, "s").select(id_col, "s.base", "s.spans")
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
     return found.select(

@@ -307,7 +307,9 @@ def decoded(df: DataFrame, path: str, ids_col: str = "ids", out: str = "text") -
 def report(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, number and CRC-32 (of 32-bit integers) of the ids, digest of the decoded text, and whether it is the text again.
 
-    A text that holds the mark itself is decoded with spaces in its place.
+    A text that holds the mark itself is decoded with spaces in its place. One row for
+    each input row: null and empty texts have no ids, repeated rows equal ones, ids may
+    be null, an empty table gives no rows, and other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
