@@ -19,28 +19,45 @@ from timberline.llm.toxicity import Toxicity
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity score accepts; held-out labels stay unread."""
+    """Documents that the toxicity score accepts; held-out labels stay unread.
+
+    Null and empty texts are clean; repeated rows share their fate; nothing goes by id,
+    lang or source. In this and all stages rows may have null ids, other columns stay
+    as they are, and an empty table gives one.
+    """
     labels = table(spark, sf_dir, "labels").filter(~held_out("doc_id", 3, 1))
     return Toxicity(docs, labels).accepted(docs)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document with the smallest doc_id."""
+    """Of equal texts, the document with the smallest doc_id.
+
+    Null texts count as empty. Of rows that agree in id and text the first by a hash of
+    all columns stays; a null id comes after all others.
+    """
     return deduplicated(docs)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents with 0.8 or more of their five-word shingles in common, the one with the smallest doc_id."""
+    """Of each group of documents with 0.8 or more of their five-word shingles in common, the one with the smallest doc_id.
+
+    Texts without words, null ones among them, are one group; a row without an id stays
+    only where its group has no id.
+    """
     return near_deduplicated(docs, similar=0.8, shingle=5)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their source's target weight takes them."""
+    """Documents as often as their source's target weight takes them.
+
+    A null source is a source of its own; texts without words have no size and come as
+    often as their odds say; rows that share an id and a source are mixed together.
+    """
     return Mix(docs).mixed(docs)
 
 
 def as_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source and the SentencePiece ids of each document's whole text."""
+    """doc_id, lang, source and the SentencePiece ids of each document's whole text; null and empty texts have none."""
     return encoded(docs, vocabulary("piece_bpe_32k.model")).select("doc_id", "lang", "source", "ids")
 
 
