@@ -1,3 +1,4 @@
+import random
 import socket
 
 import pytest
@@ -33,6 +34,34 @@ def test_alarm_feed_into_a_table(spark, tmp_path):
     assert [s["alarm_id"] for s in sent] == ["a"]
 
 
+def test_compaction_keeps_what_is_open(spark, tmp_path):
+    """Snapshots and later changes show what all changes do; files read and kept stay bounded."""
+    rng = random.Random(1)
+    plain, store = Store(spark, str(tmp_path / "plain")), Store(spark, str(tmp_path / "compacted"))
+    kind, at, last = "alarm_id string, at_sec long, op string, count long, lane string", 0, {}
+    for batch in range(24):
+        rows = []
+        for _ in range(3):
+            at += rng.choice([1, 100, 400])
+            name = f"a{rng.randint(0, 9)}"
+            # A cleared alarm comes again only within the cooldown.
+            if last.get(name, ("", 0))[0] == "Cleared" and at - last[name][1] > 1800:
+                name = f"new{at}"
+            op = rng.choice(["Raised", "Updated", "Cleared"])
+            last[name] = op, at
+            rows.append((name, at, op, rng.randint(1, 9), "Dashboard"))
+        for x in (plain, store):
+            x.alarm_sink()(spark.createDataFrame(rows, kind).coalesce(1), batch)
+        if batch % 4 == 3:
+            before = [tuple(r) for r in store.open_alarms().collect()]
+            assert store.compact(most_behind=6) == batch
+            assert before == [tuple(r) for r in store.open_alarms().collect()]
+    assert [tuple(r) for r in store.open_alarms().collect()] == [tuple(r) for r in plain.open_alarms().collect()] != []
+    assert store.compact(most_behind=6) == 23
+    assert len(list((tmp_path / "compacted/alarm_changes").glob("batch=*"))) == 6 and len(list((tmp_path / "compacted/alarm_snapshots").glob("through=*"))) == 2
+    assert store.feed(0)[0] == "resync" and store.feed(20)[0] == "changes"
+
+
 def test_sockets():
     f = Frames(10)
     assert f.feed(b"one\r\ntw") == [b"one"] and f.feed(b"o\n\n") == [b"two"]

@@ -6,6 +6,7 @@ folders by a hash of the template id, so that reading one template reads one fol
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,7 +34,9 @@ class Store:
     def read(self, table: str, schema) -> DataFrame:
         try:
             return self.spark.read.parquet(f"{self.path}/{table}").drop("shard")
-        except AnalysisException:
+        except AnalysisException as x:
+            if x.getCondition() != "PATH_NOT_FOUND":
+                raise
             return self.spark.createDataFrame([], schema)
 
     def of_template(self, table: str, template_id: str, at: str) -> DataFrame:
@@ -83,12 +86,62 @@ class Store:
         order = [c for c in ("batch", "at_sec") if c in rows.columns]
         return "changes", after if last is None else last, rows.filter(F.col("batch") > after).orderBy(*order)
 
-    def open_alarms(self) -> DataFrame:
-        """Alarms whose last change is not a clear, oldest first."""
+    def _snapshot(self) -> tuple[int, DataFrame] | None:
+        """The last batch that a snapshot covers, and its rows: each alarm's last change and when it opened."""
+        try:
+            manifest = self.spark.read.schema("through long, path string").parquet(f"{self.path}/alarm_manifest")
+        except AnalysisException as x:
+            if x.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
+        row = manifest.agg(F.max_by(F.struct("through", "path"), "through").alias("m")).first().m
+        return None if row is None else (row.through, self.spark.read.parquet(row.path))
+
+    def _last_changes(self) -> DataFrame:
+        """Each alarm's last change and ``opened_sec``, from the snapshot and what came after."""
         rows = self.spark.read.parquet(f"{self.path}/alarm_changes")
         rest = [c for c in rows.columns if c != "alarm_id"]
-        last = rows.groupBy("alarm_id").agg(F.max_by(F.struct(*rest), F.struct("at_sec", "batch")).alias("r"), F.min("at_sec").alias("opened_sec"))
-        return last.select("alarm_id", "opened_sec", "r.*").filter("op <> 'Cleared'").orderBy("opened_sec", "alarm_id")
+        rows, found = rows.withColumn("opened_sec", F.col("at_sec")), self._snapshot()
+        if found:
+            through, snapshot = found
+            rows = rows.filter(F.col("batch") > through).unionByName(snapshot)
+        last = rows.groupBy("alarm_id").agg(F.max_by(F.struct(*rest), F.struct("at_sec", "batch")).alias("r"), F.min("opened_sec").alias("opened_sec"))
+        return last.select("alarm_id", "opened_sec", "r.*")
+
+    def compact(self, cooldown: int = 1800, most_behind: int = 256) -> int | None:
+        """Put the alarms as they are now into a snapshot, so that ``open_alarms`` reads it and later batches alone.
+
+        A cleared alarm stays in the snapshot for as long as it can be revived. The
+        snapshot is written whole, then a manifest of one row names it: a reader sees
+        the state before or after. Batches of changes that are more than ``most_behind``
+        before it are deleted, of older snapshots all but one; who still reads by an
+        older manifest must be done within that many batches. Returns the last batch in it.
+        """
+        last = self._last_changes()
+        through, now = last.agg(F.max("batch"), F.max("at_sec")).first()
+        found = self._snapshot()
+        if through is None or (found and through <= found[0]):
+            return found[0] if found else None
+        path = f"{self.path}/alarm_snapshots/through={through}-{uuid.uuid4().hex}"
+        last.filter((F.col("op") != "Cleared") | (F.col("at_sec") >= now - cooldown)).coalesce(1).write.parquet(path)
+        self.spark.createDataFrame([(through, path)], "through long, path string").coalesce(1).write.mode("append").parquet(f"{self.path}/alarm_manifest")
+        self._delete("alarm_changes", "batch=", lambda n: n <= through - most_behind)
+        self._delete("alarm_snapshots", "through=", lambda n: n < (found[0] if found else through))
+        return through
+
+    def _delete(self, table: str, prefix: str, gone: Callable[[int], bool]) -> None:
+        """Remove a table's folders by the number in their names."""
+        jvm = self.spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}")
+        fs = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        for status in fs.listStatus(at):
+            name = status.getPath().getName()
+            if name.startswith(prefix) and gone(int(name.removeprefix(prefix).partition("-")[0])):
+                fs.delete(status.getPath(), True)
+
+    def open_alarms(self) -> DataFrame:
+        """Alarms whose last change is not a clear, oldest first."""
+        return self._last_changes().filter("op <> 'Cleared'").orderBy("opened_sec", "alarm_id")
 
 
 def corrected(verdicts: DataFrame, corrections: DataFrame) -> DataFrame:
