@@ -10,8 +10,12 @@ is repeated by level where a node holds many lines. Each task trains on its line
 order as they stream by; it holds a cluster table, not lines, and a cluster that is
 forgotten is given out at once.
 
-All this holds while no cluster is forgotten for the table's size. So counts that made
-more clusters than are kept are mined again, each in one task.
+All this holds while no cluster is forgotten for the table's size. That goes by the last
+use over all token counts, which ``_bounded`` finds by turns: lines are mined under a
+schedule of what is forgotten when, and the schedule is told from what was mined, until
+it stays. A schedule that stays is what one table would have forgotten, since what
+happens at a line hangs on earlier lines alone. Of the lines, only new clusters, and
+uses over ``max_clusters`` lines after the last one, can matter to it.
 
 ``distinct`` mode trains on the distinct masked lines in order of first appearance,
 which is far fewer rows where lines repeat, and joins the rest back.
@@ -39,11 +43,13 @@ _DIGIT = re.compile(r"[0-9]")
 #: Lines of a node from which on they are dealt by its tokens; rows of a routing table that is broadcast.
 SHARE = 20_000
 BROADCAST_ROWS = 200_000
+#: Rounds of mining under a schedule before one task takes all lines.
+ROUNDS = 12
 
 
 @dataclass(frozen=True)
 class Config:
-    """``max_clusters`` holds for each token count; 0 is no bound."""
+    """``max_clusters`` holds over all token counts; 0 is no bound."""
 
     similarity: float = 0.90
     depth: int = 8
@@ -89,6 +95,8 @@ class Cluster:
     changed: int = 0
     id: str = ""
     params: int = 0
+    #: Whether it was forgotten for a full leaf, not for the table.
+    full: bool = False
 
     def rename(self, param: str) -> None:
         self.params = self.tokens.count(param)
@@ -105,7 +113,6 @@ class Miner:
         self.root = Node()
         #: From the least to the most recently used.
         self.table: OrderedDict[int, Cluster] = OrderedDict()
-        self.sizes: dict[int, int] = {}
         self.next = 1
         #: Clusters forgotten since they were last asked for.
         self.forgotten: list[Cluster] = []
@@ -159,10 +166,11 @@ class Miner:
         node.used[cluster.seq] = None
         cluster.path, cluster.leaf = tuple(path), node
         if self.config.max_leaf and len(node.members) > self.config.max_leaf:
-            self.forget(next(iter(node.used)))
+            self.forget(next(iter(node.used)), full=True)
 
-    def forget(self, seq: int) -> None:
+    def forget(self, seq: int, full: bool = False) -> None:
         cluster = self.table.pop(seq)
+        cluster.full = full
         self.forgotten.append(cluster)
         nodes = [self.root]
         for key in cluster.path:
@@ -173,7 +181,6 @@ class Miner:
             if node.members or node.children:
                 break
             del parent.children[key]
-        self.sizes[len(cluster.tokens)] -= 1
 
     def train(self, words: list[str], line: int = 0) -> Cluster:
         words = words[: self.config.max_tokens]
@@ -193,44 +200,48 @@ class Miner:
         cluster.rename(self.config.param)
         self.next += 1
         self.table[cluster.seq] = cluster
-        self.sizes[len(words)] = self.sizes.get(len(words), 0) + 1
         self._insert(cluster)
-        if self.config.max_clusters and self.sizes[len(words)] > self.config.max_clusters:
-            self.forget(next(s for s, c in self.table.items() if len(c.tokens) == len(words) and s != cluster.seq))
+        if self.config.max_clusters and len(self.table) > self.config.max_clusters:
+            self.forget(next(iter(self.table)))
         return cluster
 
 
-_FIELDS = "event_id long, n_tokens int, route string, local long, template_id_at_train string, size long, template string, first_event long, until long"
+_FIELDS = "event_id long, n_tokens int, route string, local long, template_id_at_train string, size long, template string, first_event long, until long, full boolean"
 
 
 def _trainer(config: Config):
     names = [f.split()[0] for f in _FIELDS.split(", ")]
-    types = [pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+    types = [pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.bool_()]
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        miner, at, rows = None, None, []
+        miner, at, rows, live = None, None, [], {}
 
         def ended(clusters, event: int | None = None) -> list[tuple]:
-            return [(None, len(c.tokens), at[1], c.seq, None, c.size, " ".join(c.tokens), c.first, event) for c in clusters]
+            return [(None, len(c.tokens), at[1], c.seq, None, c.size, " ".join(c.tokens), c.first, event, c.full) for c in clusters]
 
         for b in batches:
-            for event, text, n, route in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for event, text, n, route, victim in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if at != (n, route):
                     if miner:
                         rows += ended(miner.table.values())
-                    miner, at = Miner(config), (n, route)
+                    miner, at, live = Miner(config), (n, route), {}
                     path, rest, children = route.partition("\n")
                     if rest:
                         miner.reserve(n if text else 0, path.split(" ")[:-1], int(children))
-                c = miner.train(text.split(" ") if text else [], event)
-                # The template where the line made or changed it.
-                version = (" ".join(c.tokens), c.first) if c.changed == event else (None, None)
-                rows.append((event, len(c.tokens), route, c.seq, c.id, c.size, *version, None))
+                if victim is None:
+                    c = miner.train(text.split(" ") if text else [], event)
+                    live[c.first] = c.seq
+                    # The template where the line made or changed it.
+                    rows.append((event, len(c.tokens), route, c.seq, c.id, c.size, " ".join(c.tokens) if c.changed == event else None, c.first, None, None))
+                elif victim in live:
+                    miner.forget(live[victim])
                 if miner.forgotten:
                     rows += ended(miner.forgotten, event)
+                    for c in miner.forgotten:
+                        del live[c.first]
                     miner.forgotten.clear()
             if rows:
                 yield batch(rows)
@@ -281,25 +292,130 @@ def _routed(lines: DataFrame, config: Config, share: int) -> DataFrame:
     return out.withColumnRenamed("path", "route").drop("by")
 
 
-def _mined(routed: DataFrame, config: Config) -> DataFrame:
-    dealt = routed.repartition("n", "route").sortWithinPartitions("n", "route", "at", "event_id")
-    return written(dealt.select("event_id", "text", "n", "route").mapInArrow(_trainer(config), _FIELDS), "drain")
+def _mined(routed: DataFrame, config: Config, schedule: DataFrame | None = None) -> DataFrame:
+    """Lines by (n, route) in order; ``schedule`` (n, event_id, victim) names clusters by first event, forgotten once that line has been taken."""
+    rows = routed.select("event_id", "at", "text", "n", "route", F.lit(None).cast("long").alias("victim"))
+    if schedule is not None:
+        rows = rows.unionByName(schedule.withColumns({"at": F.col("event_id"), "text": F.lit(""), "route": F.lit("")}))
+    dealt = rows.repartition("n", "route").sortWithinPartitions("n", "route", "at", "event_id", F.col("victim").asc_nulls_first())
+    return written(dealt.select("event_id", "text", "n", "route", "victim").mapInArrow(_trainer(config), _FIELDS), "drain")
 
 
-def _trained(lines: DataFrame, config: Config, share: int) -> DataFrame:
+def _ranked(lines: DataFrame) -> DataFrame:
+    """Adds ``place``, the rank of a line by (at, event_id): counted within ranges, which are then added up."""
+    ranges = written(lines.repartitionByRange("at", "event_id").withColumn("range", F.spark_partition_id()), "drain-ranges")
+    within = F.row_number().over(Window.partitionBy("range").orderBy("at", "event_id"))
+    # As many rows as there are ranges.
+    sizes = ranges.groupBy("range").agg(F.count(F.lit(1)).alias("lines"))
+    before = sizes.select("range", (F.sum("lines").over(Window.orderBy("range")) - F.col("lines")).alias("before"))
+    return written(ranges.withColumn("within", within).join(F.broadcast(before), "range").withColumn("place", F.col("before") + F.col("within")).drop("range", "before", "within"), "drain-places")
+
+
+#: What happens to the table at a line, in this order; a cluster of a line then begins to be idle.
+_USED, _MADE, _LEFT, _IDLE = range(4)
+
+
+def _table(most: int):
+    """Follows the table's size through (place, kind, n, first, since, till) rows in order and gives out idle clusters as they are forgotten.
+
+    Holds idle clusters that are still in the table, so at most ``most`` and one.
+    """
+    names, types = ["n", "first", "since", "till", "event_id"], [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idle: OrderedDict[int, tuple] = OrderedDict()
+        size, now, out = 0, None, []
+
+        def shrink() -> None:
+            nonlocal size
+            while size > most and idle:
+                out.append((*idle.popitem(last=False)[1], now))
+                size -= 1
+
+        for b in batches:
+            for place, kind, n, first, since, till in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if place != now or kind == _IDLE:
+                    shrink()
+                now = place
+                if kind == _IDLE:
+                    idle[first] = (n, first, since, till)
+                elif kind == _MADE:
+                    size += 1
+                elif kind == _USED:
+                    # Where it was forgotten, the line makes it anew.
+                    size += idle.pop(first, None) is None
+                elif idle.pop(first, None):
+                    size -= 1
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names)
+                out.clear()
+        shrink()
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names)
+
+    return run
+
+
+def _schedule(out: DataFrame, most: int) -> DataFrame:
+    """What one table of ``most`` clusters would forget, told from lines that were mined: (n, event_id, victim)."""
+    count = F.greatest("n_tokens", F.lit(1)).alias("n")
+    # A cluster that is forgotten for the table was not used by over ``most`` lines, so that only its last use in each block of lines matters.
+    uses = out.filter("event_id is not null").groupBy(count, F.col("first_event").alias("first"), F.floor(F.col("event_id") / most).alias("block"))
+    uses = uses.agg(F.min("event_id").alias("from"), F.max("event_id").alias("since"))
+    till = F.lead("from").over(Window.partitionBy("n", "first").orderBy("block"))
+    left = out.filter("event_id is null and full").select(count, F.col("first_event").alias("first"), F.col("until").alias("left"))
+    idle = uses.withColumn("till", till).filter(F.col("till").isNull() | (F.col("till") - F.col("since") > most)).join(left, ["n", "first"], "left")
+    # Where a leaf forgets a cluster, its last idle time ends.
+    idle = written(idle.withColumn("left", F.when(F.col("till").isNull(), F.col("left"))).select("n", "first", "since", "till", "left"), "drain-idle")
+    none = F.lit(None).cast("long")
+    events = (
+        idle.select(F.col("since").alias("place"), F.lit(_IDLE).alias("kind"), "n", "first", "since", "till")
+        .unionByName(idle.filter("till is not null").select(F.col("till").alias("place"), F.lit(_USED).alias("kind"), "n", "first", "since", "till"))
+        .unionByName(idle.filter("left is not null").select(F.col("left").alias("place"), F.lit(_LEFT).alias("kind"), "n", "first", "since", "till"))
+        .unionByName(out.filter("event_id is null").select(F.col("first_event").alias("place"), F.lit(_MADE).alias("kind"), count, F.col("first_event").alias("first"), none.alias("since"), none.alias("till")))
+    )
+    gone = events.repartition(1).sortWithinPartitions("place", "kind").mapInArrow(_table(most), "n int, first long, since long, till long, event_id long")
+    # A cluster that was made anew goes by the line that did.
+    anew = F.lag("till").over(Window.partitionBy("n", "first").orderBy("since"))
+    return written(gone.select("n", "event_id", F.coalesce(anew, F.col("first")).alias("victim")), "drain-schedule")
+
+
+def _bounded(lines: DataFrame, config: Config, share: int, rounds: int) -> DataFrame:
+    """One table's forgetting over all token counts: counts whose schedule changed are mined again, each in one task, until none does.
+
+    After ``rounds`` rounds one task takes all lines in order, with equal results.
+    """
+    ranked = _ranked(lines)
+    placed = ranked.select(F.col("place").alias("event_id"), F.col("place").alias("at"), "text")
+    routed = written(_routed(placed, config, share), "drain-routed")
+    # A task forgets for its own table, too: what one task's lines push out, all lines push out no later.
+    out, last = _mined(routed, config), None
+    for k in range(rounds):
+        new = _schedule(out, config.max_clusters)
+        moved = new if last is None else new.exceptAll(last).unionByName(last.exceptAll(new))
+        counts = written(moved.select("n").distinct(), "drain-moved")
+        if counts.isEmpty():
+            break
+        again = _mined(routed.join(counts, "n", "left_semi").withColumn("route", F.lit("")), config, new.join(counts, "n", "left_semi"))
+        stays = out.withColumn("n", F.greatest("n_tokens", F.lit(1))).join(counts, "n", "left_anti").drop("n")
+        out, last = written(stays.unionByName(again), "drain-round"), new
+    else:
+        out = _mined(routed.withColumns({"n": F.lit(0), "route": F.lit("")}), config)
+    named = lambda c: ranked.select(F.col("place").alias(c), F.col("event_id").alias(f"{c}_"))
+    # Lines need the first event only where they made or changed a template.
+    out = out.withColumn("first_event", F.when(F.col("template").isNotNull(), F.col("first_event")))
+    for c in ("event_id", "first_event", "until"):
+        out = out.join(named(c), c, "left").drop(c).withColumnRenamed(f"{c}_", c)
+    return written(out, "drain-bounded")
+
+
+def _trained(lines: DataFrame, config: Config, share: int, rounds: int) -> DataFrame:
     """Assignments, and each cluster once, of (event_id, at, text) rows; written, so that mining is done once."""
     ship(lines.sparkSession)
-    routed = _routed(lines, config, share)
-    out = _mined(routed, config)
-    if not config.max_clusters:
-        return out
-    count = F.when((F.col("n_tokens") == 0), 1).otherwise(F.col("n_tokens"))
-    made = out.filter("event_id is null").groupBy(count.alias("n")).agg(F.count(F.lit(1)).alias("made"), F.count_distinct("route").alias("routes"))
-    over = written(made.filter((F.col("made") > config.max_clusters) & (F.col("routes") > 1)).select("n"), "drain-over")
-    if over.isEmpty():
-        return out
-    again = _mined(routed.join(F.broadcast(over), "n", "left_semi").withColumn("route", F.lit("")), config)
-    return out.withColumn("n", count).join(F.broadcast(over), "n", "left_anti").drop("n").unionByName(again)
+    out = _mined(_routed(lines, config, share), config)
+    if config.max_clusters and out.filter("event_id is null").count() > config.max_clusters:
+        return _bounded(lines, config, share, rounds)
+    return out
 
 
 def _texts(df: DataFrame, config: Config, template_col: str) -> DataFrame:
@@ -307,7 +423,7 @@ def _texts(df: DataFrame, config: Config, template_col: str) -> DataFrame:
     return written(df.select("event_id", F.col("received_at").alias("at"), text), "drain-lines")
 
 
-def versions(df: DataFrame, config: Config = Config(), *, template_col: str = "template", share: int = SHARE) -> DataFrame:
+def versions(df: DataFrame, config: Config = Config(), *, template_col: str = "template", share: int = SHARE, rounds: int = ROUNDS) -> DataFrame:
     """Every template that a cluster had: (first_event, template, template_id, since, until), the latter as (at, event_id).
 
     ``first_event`` names the cluster, ``since`` is the line that made the template, and
@@ -315,7 +431,7 @@ def versions(df: DataFrame, config: Config = Config(), *, template_col: str = "t
     it stayed. Rows and order are as ``assign`` has them; event ids must differ.
     """
     rows = _texts(df, config, template_col)
-    out = _trained(rows, config, share)
+    out = _trained(rows, config, share, rounds)
     places = rows.select("event_id", F.struct("at", "event_id").alias("since"))
     made = out.filter("event_id is not null and template is not null").select("event_id", "first_event", "template").join(places, "event_id")
     gone = out.filter("event_id is null and until is not null").select("first_event", F.col("until").alias("event_id"))
@@ -324,27 +440,28 @@ def versions(df: DataFrame, config: Config = Config(), *, template_col: str = "t
     return made.join(gone, "first_event", "left").select("first_event", "template", template_id(F.col("template")).alias("template_id"), "since", until.alias("until"))
 
 
-def assign(df: DataFrame, config: Config = Config(), *, mode: str = "exact", template_col: str = "template", share: int = SHARE) -> tuple[DataFrame, DataFrame]:
+def assign(df: DataFrame, config: Config = Config(), *, mode: str = "exact", template_col: str = "template", share: int = SHARE, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
     """(assignments, clusters) of rows with event_id, received_at and a masked line.
 
     Assignments have event_id, seq, template_id_at_train, size (then), and
     template_id_final. Clusters have seq (in order of first event), template,
     template_id, n_tokens, size and first_event; only their list is numbered in one
     task. A null line counts as empty; an empty table gives no rows. Nodes of over
-    ``share`` lines are dealt by their tokens.
+    ``share`` lines are dealt by their tokens. ``rounds`` bounds how often lines are
+    mined under a schedule of what a full table forgets; results do not hang on it.
     """
     rows = _texts(df, config, template_col)
     if mode == "distinct":
         first = rows.groupBy("text").agg(F.min(F.struct("at", "event_id")).alias("f"), F.count(F.lit(1)).alias("n"))
         first = written(first, "drain-distinct")
-        out = _trained(first.select("f.event_id", "f.at", "text"), config, share)
+        out = _trained(first.select("f.event_id", "f.at", "text"), config, share, rounds)
     elif mode == "exact":
-        out = _trained(rows, config, share)
+        out = _trained(rows, config, share, rounds)
     else:
         raise ValueError(mode)
     place = ["n_tokens", "route", "local"]
     found = out.filter("event_id is null").select(*place, "template", "size", "first_event")
-    lines = out.filter("event_id is not null").drop("template", "first_event", "until")
+    lines = out.filter("event_id is not null").drop("template", "first_event", "until", "full")
     if mode == "distinct":
         trained = lines.join(first.select(F.col("f.event_id").alias("event_id"), "text", "n"), "event_id")
         sizes = trained.groupBy(*place).agg(F.sum("n").alias("size"))
