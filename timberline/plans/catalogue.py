@@ -13,7 +13,7 @@ from ..operators import alarms as A
 from ..operators import board, metrics, neighbours, synth
 from ..operators import verdicts as V
 from ..operators import windows as W
-from ..operators.drain import assign, similarity, versions
+from ..operators.drain import Config, assign, similarity, versions
 from ..runtime import spread, written
 from ..sources import files, journal, otlp, syslog
 from . import lines as L
@@ -189,6 +189,24 @@ def drain_dealt(spark, sf):
     return assign(_dealt_lines(spark, sf), share=1_000)[0].select("event_id", "size", "template_id_at_train", "template_id_final")
 
 
+# Texts of two token counts that are a cluster each, in a table of 200: a text that comes again is forgotten by then if
+# 200 others have come since.
+@query(
+    """WITH o AS (SELECT o_orderkey AS event_id, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS t, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey % 600 ELSE o_custkey % 20 END AS c, substr(o_orderpriority, 3) AS v FROM orders),
+x AS (SELECT event_id, t, 'q' || chr(CAST(97 + c // 26 AS INT)) || chr(CAST(97 + c % 26 AS INT)) || ' ' || v || ' goods went to bay seven' AS text FROM o),
+p AS (SELECT *, lag(t) OVER (PARTITION BY text ORDER BY t) AS before, lead(t) OVER (PARTITION BY text ORDER BY t) AS after FROM x),
+e AS (SELECT a.t, count(*) AS others FROM p a JOIN p b ON b.t > a.before AND b.t < a.t WHERE a.t - a.before > 200 AND (b.after IS NULL OR b.after > a.t) GROUP BY a.t),
+q AS (SELECT event_id, t, text, sum(CASE WHEN before IS NULL OR others >= 200 THEN 1 ELSE 0 END) OVER (PARTITION BY text ORDER BY t) AS life FROM p LEFT JOIN e USING (t))
+SELECT event_id, row_number() OVER (PARTITION BY text, life ORDER BY t) AS size, 't_' || sha256(text) AS template_id_at_train FROM q"""
+)
+def drain_bounded(spark, sf):
+    letter = lambda n: F.char((F.lit(97) + n).cast("int"))
+    c = F.when(F.col("o_orderkey") % 3 == 0, F.col("o_custkey") % 600).otherwise(F.col("o_custkey") % 20)
+    line = F.concat(F.lit("q"), letter(F.floor(c / 26)), letter(c % 26), F.lit(" "), F.expr("substring(o_orderpriority, 3)"), F.lit(" goods went to bay seven"))
+    rows = spread(table(spark, sf, "orders")).select(F.col("o_orderkey").alias("event_id"), F.col("o_orderdate").alias("received_at"), line.alias("template"))
+    return assign(rows, Config(similarity=1.0, max_clusters=200, max_leaf=0, max_children=2_000))[0].select("event_id", "size", "template_id_at_train")
+
+
 # Every new cluster is like all that are there; how like goes by whether the other has generalised by then.
 @query(
     with_(DEALT_SQL, "c AS (SELECT g, v, any_value(fw) AS w, arg_min(event_id, (placed, event_id)) AS event_id, min((placed, event_id)) AS born, min((placed, event_id)) FILTER (moved) AS moved_at FROM z GROUP BY g, v)",
