@@ -177,11 +177,15 @@ z AS (SELECT *, bool_or(w <> fw) OVER (PARTITION BY g, v ORDER BY placed, event_
 DEALT_TAIL = " goods went from the yard to bay seven at dusk"
 
 
-def _dealt_lines(spark, sf):
+def _dealt(orders):
     letter = lambda n: F.char((F.lit(97) + n).cast("int"))
     c = F.col("o_custkey") % 150
     line = F.concat(F.lit("q"), letter(F.floor(c / 26)), letter(c % 26), F.lit(" "), F.expr("replace(substring(o_orderpriority, 3), ' ', '-')"), F.lit(DEALT_TAIL))
-    return spread(table(spark, sf, "orders")).select(F.col("o_orderkey").alias("event_id"), F.col("o_orderdate").alias("received_at"), line.alias("template"))
+    return orders.select(F.col("o_orderkey").alias("event_id"), F.col("o_orderdate").alias("received_at"), line.alias("template"))
+
+
+def _dealt_lines(spark, sf):
+    return _dealt(spread(table(spark, sf, "orders")))
 
 
 @query(with_(DEALT_SQL) + f"SELECT event_id, size, 't_' || sha256(CASE WHEN moved THEN '<*>' ELSE w END || ' ' || v || '{DEALT_TAIL}') AS template_id_at_train, 't_' || sha256(CASE WHEN moves THEN '<*>' ELSE w END || ' ' || v || '{DEALT_TAIL}') AS template_id_final FROM z")
@@ -676,6 +680,14 @@ def stream_drain(spark, sf):
     return mined_to_end(spark, sf)
 
 
+# A miner that knows no parameter's child, no bound on children, or another order gives other rows.
+@query(with_(DEALT_SQL) + f"SELECT event_id, size, 't_' || sha256(CASE WHEN moved THEN '<*>' ELSE w END || ' ' || v || '{DEALT_TAIL}') AS template_id_at_train FROM z")
+def stream_drain_dealt(spark, sf):
+    from ..streaming.jobs import dealt_to_end
+
+    return dealt_to_end(spark, sf, _dealt)
+
+
 CHANGELOG_SQL = ORACLE_SQL["alarm_changelog"]
 
 

@@ -7,18 +7,16 @@ holds rows back until the watermark passes and then takes them in order of
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.mask import mask
 from ..functions.text import template_id, tokens
 from ..operators.alarms import AlarmConfig
-from ..operators.drain import Config, Miner
-from ..runtime import new_folder, ship
+from ..operators.drain import Config
+from ..runtime import importable, new_folder, ship
+from .lines import STORE
+from .mining import ASSIGNED, LineMiner
 
 
 def classified(lines: DataFrame) -> DataFrame:
@@ -37,34 +35,18 @@ def sessions(lines: DataFrame, silence: str = "15 minutes", lateness: str = "10
 
 
 def mine(lines: DataFrame, config: Config = Config(), lateness: str = "10 minutes") -> DataFrame:
-    """Assignments (event_id, n_tokens, local, template_id_at_train, size), mined by token count with keyed state."""
-    import pickle
-
-    schema = "event_id long, n_tokens int, local long, template_id_at_train string, size long"
-    ship(lines.sparkSession)
-
-    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        miner, held = pickle.loads(state.get[0]) if state.exists else (Miner(config), [])
-        for p in parts:
-            held += zip(p["at_us"], p["event_id"], p["text"], strict=True)
-        mark = state.getCurrentWatermarkMs()
-        held.sort()
-        # Spark keeps the watermark in whole milliseconds.
-        ready = [r for r in held if r[0] // 1000 <= mark]
-        held = held[len(ready) :]
-        out = []
-        for _, event, text in ready:
-            c = miner.train(text.split(" ") if text else [], event)
-            out.append((event, len(c.tokens), c.seq, c.id, c.size))
-        state.update((pickle.dumps((miner, held)),))
-        if held:
-            # A timeout fires once the watermark is above it, and rows are due once the watermark reaches them.
-            state.setTimeoutTimestamp(max(int(held[0][0]) // 1000 - 1, mark))
-        yield pd.DataFrame(out, columns=[f.split()[0] for f in schema.split(", ")])
-
+    """Assignments (event_id, n_tokens, local, template_id_at_train, size), mined by token count with keyed state.
+
+    ``max_clusters`` holds for each token count here. Sets the session's state store to
+    one with timers.
+    """
+    spark = lines.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    ship(spark)
     words = F.array_join(tokens(F.col("template"), config.max_tokens), " ")
     rows = lines.withWatermark("received_at", lateness).select("received_at", "event_id", words.alias("text"), F.unix_micros("received_at").alias("at_us")).withColumn("n", F.size(F.split("text", " ")))
-    return rows.groupBy("n").applyInPandasWithState(run, schema, "kept binary", "append", GroupStateTimeout.EventTimeTimeout)
+    with importable(spark):
+        return rows.groupBy("n").transformWithStateInPandas(LineMiner(config), ASSIGNED, "append", "EventTime")
 
 
 def to_end(spark: SparkSession, stream: DataFrame, mode: str = "append") -> DataFrame:
@@ -111,6 +93,14 @@ def mined_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     return to_end(spark, mine(classified(event_stream(spark, sf_dir)), lateness="0 seconds")).select("event_id", "template_id_at_train", "size")
 
 
+def dealt_to_end(spark: SparkSession, sf_dir: str, lines) -> DataFrame:
+    """Mining as a stream of the orders table, made into lines by ``lines(frame)``."""
+    schema = spark.read.parquet(f"{sf_dir}/orders.parquet").schema
+    orders = spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet").parquet(sf_dir)
+    rows = lines(orders).withColumn("received_at", F.col("received_at").cast("timestamp"))
+    return to_end(spark, mine(rows, lateness="0 seconds")).select("event_id", "template_id_at_train", "size")
+
+
 def alarms_to_end(spark: SparkSession, sf_dir: str, c: AlarmConfig = AlarmConfig(contextual=float("inf")), answers: DataFrame | None = None) -> DataFrame:
     """The feed from raw lines to alarms; without contextual checks unless ``c`` asks for them."""
     from ..plans.lines import SQUEEZE, table, verdicts
