@@ -152,6 +152,6 @@ def test_lines_of_a_file_in_several_splits(spark, tmp_path):
 def test_journal_tail(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.json").write_text(json.dumps({"MESSAGE": "hi"}) + "\n" + json.dumps({"MESSAGE": "own", "_SYSTEMD_UNIT": "me"}) + "\n")
-    q = journal.tail(spark, str(tmp_path / "in"), own_unit="me").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    q = journal.tail(spark, str(tmp_path / "in"), own_unit="me", begin="start").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert [bytes(r.raw) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [b"hi"]

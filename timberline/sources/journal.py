@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import importable, ship
+from . import tailing
 from .syslog import host_or
 
 
@@ -31,6 +33,14 @@ def normalise(df: DataFrame, record: str = "record", own_unit: str | None = None
     )
 
 
-def tail(spark: SparkSession, folder: str, own_unit: str | None = None) -> DataFrame:
-    """A stream of the records that are exported into a folder, line by line, but for the engine's own unit's."""
-    return normalise(parse(spark.readStream.text(folder).withColumnRenamed("value", "line")), own_unit=own_unit)
+def tail(spark: SparkSession, folder: str, own_unit: str | None = None, begin: str = "end") -> DataFrame:
+    """A stream of the records that are appended to the exports in a folder, but for the engine's own unit's.
+
+    Records that are there when the stream first starts are passed over, unless
+    ``begin`` is ``start``; started again from its checkpoint, it goes on where it was.
+    """
+    ship(spark)
+    with importable(spark):
+        tailing.register(spark)
+        lines = spark.readStream.format("lines_tail").option("path", folder).option("begin", begin).load()
+    return normalise(parse(lines.select("line")), own_unit=own_unit)
