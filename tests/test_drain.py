@@ -92,7 +92,7 @@ def test_dealt_mining_equals_one_table(spark, firsts, config, share):
         rest = [rng.choice("xyz") if i in (3, 9) else "abcdefghijkl"[i] for i in range(rng.choice([0, 2, 10, 11]))]
         lines.append(" ".join([head, second, *rest] if rest else [head]))
     want = {k: (len(c.tokens), id(c), c) for k, c in plain_mined(lines, config).items()}
-    out, clusters = assign(frame(spark, lines), config, share=share)
+    out, clusters = assign(frame(spark, lines), config, share=share, alone=0 if share else drain.ALONE)
     rows = {r.event_id: r for r in out.join(clusters.select("seq", "template", F.col("size").alias("whole")), "seq").collect()}
     assert len(rows) == len(lines)
     assert {k: (r.template, r.whole) for k, r in rows.items()} == {k: (" ".join(c.tokens), c.size) for k, (_, _, c) in want.items()}
@@ -116,7 +116,7 @@ def test_one_table_over_all_token_counts(spark, config, rounds, monkeypatch):
         kind = min(int(rng.expovariate(0.15)) + k // 300 * 3, 60)
         lines.append(" ".join([f"{'abcdefgh'[kind % 8]}", f"s{'pqrstuvw'[kind // 8 % 8]}", "in", f"{rng.choice('xy')}", "for", str(kind), "of", "all", "z"][:n]))
     want = plain_mined(lines, config)
-    out, clusters = assign(frame(spark, lines), config, share=40, rounds=rounds)
+    out, clusters = assign(frame(spark, lines), config, share=40, rounds=rounds, alone=0)
     rows = {r.event_id: r for r in out.join(clusters.select("seq", "template", "first_event", F.col("size").alias("whole")), "seq").collect()}
     assert {k: (r.template, r.first_event, r.whole) for k, r in rows.items()} == {k: (" ".join(c.tokens), c.first, c.size) for k, c in want.items()}
     assert turns and (rounds == 1 or len(turns) < rounds), turns
@@ -176,7 +176,7 @@ def test_referrals_equal_a_replay(spark, config, share):
                     score = inter / (len(words) + len(other.tokens) - inter)
                     if score >= 0.65:
                         want.add((k, line, other.first, " ".join(other.tokens), round(score, 9)))
-    got = [(r.event_id, r.template, r.other_event, r.other_template, round(r.score, 9)) for r in neighbours.referrals(drain.versions(frame(spark, lines), config, share=share)).collect()]
+    got = [(r.event_id, r.template, r.other_event, r.other_template, round(r.score, 9)) for r in neighbours.referrals(drain.versions(frame(spark, lines), config, share=share, alone=0)).collect()]
     assert len(got) == len(set(got)) and set(got) == want and len(want) >= 5
 
 

@@ -43,8 +43,9 @@ _DIGIT = re.compile(r"[0-9]")
 #: Lines of a node from which on they are dealt by its tokens; rows of a routing table that is broadcast.
 SHARE = 20_000
 BROADCAST_ROWS = 200_000
-#: Rounds of mining under a schedule before one task takes all lines.
+#: Rounds of mining under a schedule before one task takes all lines, as it does at once with few lines and too many clusters.
 ROUNDS = 12
+ALONE = 200_000
 
 
 @dataclass(frozen=True)
@@ -409,11 +410,13 @@ def _bounded(lines: DataFrame, config: Config, share: int, rounds: int) -> DataF
     return written(out, "drain-bounded")
 
 
-def _trained(lines: DataFrame, config: Config, share: int, rounds: int) -> DataFrame:
+def _trained(lines: DataFrame, config: Config, share: int, rounds: int, alone: int) -> DataFrame:
     """Assignments, and each cluster once, of (event_id, at, text) rows; written, so that mining is done once."""
     ship(lines.sparkSession)
     out = _mined(_routed(lines, config, share), config)
     if config.max_clusters and out.filter("event_id is null").count() > config.max_clusters:
+        if lines.count() <= alone:
+            return _mined(lines.withColumns({"n": F.lit(0), "route": F.lit("")}), config)
         return _bounded(lines, config, share, rounds)
     return out
 
@@ -423,7 +426,7 @@ def _texts(df: DataFrame, config: Config, template_col: str) -> DataFrame:
     return written(df.select("event_id", F.col("received_at").alias("at"), text), "drain-lines")
 
 
-def versions(df: DataFrame, config: Config = Config(), *, template_col: str = "template", share: int = SHARE, rounds: int = ROUNDS) -> DataFrame:
+def versions(df: DataFrame, config: Config = Config(), *, template_col: str = "template", share: int = SHARE, rounds: int = ROUNDS, alone: int = ALONE) -> DataFrame:
     """Every template that a cluster had: (first_event, template, template_id, since, until), the latter as (at, event_id).
 
     ``first_event`` names the cluster, ``since`` is the line that made the template, and
@@ -431,7 +434,7 @@ def versions(df: DataFrame, config: Config = Config(), *, template_col: str = "t
     it stayed. Rows and order are as ``assign`` has them; event ids must differ.
     """
     rows = _texts(df, config, template_col)
-    out = _trained(rows, config, share, rounds)
+    out = _trained(rows, config, share, rounds, alone)
     places = rows.select("event_id", F.struct("at", "event_id").alias("since"))
     made = out.filter("event_id is not null and template is not null").select("event_id", "first_event", "template").join(places, "event_id")
     gone = out.filter("event_id is null and until is not null").select("first_event", F.col("until").alias("event_id"))
@@ -440,7 +443,7 @@ def versions(df: DataFrame, config: Config = Config(), *, template_col: str = "t
     return made.join(gone, "first_event", "left").select("first_event", "template", template_id(F.col("template")).alias("template_id"), "since", until.alias("until"))
 
 
-def assign(df: DataFrame, config: Config = Config(), *, mode: str = "exact", template_col: str = "template", share: int = SHARE, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+def assign(df: DataFrame, config: Config = Config(), *, mode: str = "exact", template_col: str = "template", share: int = SHARE, rounds: int = ROUNDS, alone: int = ALONE) -> tuple[DataFrame, DataFrame]:
     """(assignments, clusters) of rows with event_id, received_at and a masked line.
 
     Assignments have event_id, seq, template_id_at_train, size (then), and
@@ -448,15 +451,16 @@ def assign(df: DataFrame, config: Config = Config(), *, mode: str = "exact", tem
     template_id, n_tokens, size and first_event; only their list is numbered in one
     task. A null line counts as empty; an empty table gives no rows. Nodes of over
     ``share`` lines are dealt by their tokens. ``rounds`` bounds how often lines are
-    mined under a schedule of what a full table forgets; results do not hang on it.
+    mined under a schedule of what a full table forgets, which is not needed for up to
+    ``alone`` lines; results hang on neither.
     """
     rows = _texts(df, config, template_col)
     if mode == "distinct":
         first = rows.groupBy("text").agg(F.min(F.struct("at", "event_id")).alias("f"), F.count(F.lit(1)).alias("n"))
         first = written(first, "drain-distinct")
-        out = _trained(first.select("f.event_id", "f.at", "text"), config, share, rounds)
+        out = _trained(first.select("f.event_id", "f.at", "text"), config, share, rounds, alone)
     elif mode == "exact":
-        out = _trained(rows, config, share, rounds)
+        out = _trained(rows, config, share, rounds, alone)
     else:
         raise ValueError(mode)
     place = ["n_tokens", "route", "local"]

@@ -208,7 +208,7 @@ def drain_bounded(spark, sf):
     c = F.when(F.col("o_orderkey") % 3 == 0, F.col("o_custkey") % 600).otherwise(F.col("o_custkey") % 20)
     line = F.concat(F.lit("q"), letter(F.floor(c / 26)), letter(c % 26), F.lit(" "), F.expr("substring(o_orderpriority, 3)"), F.lit(" goods went to bay seven"))
     rows = spread(table(spark, sf, "orders")).select(F.col("o_orderkey").alias("event_id"), F.col("o_orderdate").alias("received_at"), line.alias("template"))
-    return assign(rows, Config(similarity=1.0, max_clusters=200, max_leaf=0, max_children=2_000))[0].select("event_id", "size", "template_id_at_train")
+    return assign(rows, Config(similarity=1.0, max_clusters=200, max_leaf=0, max_children=2_000), alone=0)[0].select("event_id", "size", "template_id_at_train")
 
 
 # Every new cluster is like all that are there; how like goes by whether the other has generalised by then.
