@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -232,3 +233,44 @@ def test_synthesis(spark):
     bundle, new = synth.synthesise(lines, propose)
     assert [s.name for s in new] == ["JOB", "ST"] and bundle.slots[-1].name == "NUM" and len(asked) == 2
     assert lines.select(mask(F.col("raw"), bundle).alias("m")).first().m.endswith("six <VAR:JOB> end")
+
+
+def test_a_crowded_leaf_compares_few(monkeypatch):
+    """Of the members of a leaf only those that share a part with the line are compared, with equal results."""
+    rng = random.Random(21)
+    lines = [" ".join(["a", "b", "c", "d", "e", *(rng.choice("uvwxyz") + rng.choice("klmno") for _ in range(25))]) for _ in range(120)]
+    lines += [" ".join(w if i != 9 else f"{k}" for i, w in enumerate(rng.choice(lines).split(" "))) for k in range(300)]
+    asked = []
+    parts = Miner._candidates
+    monkeypatch.setattr(Miner, "_candidates", lambda m, node, words: asked.append(len(found := parts(m, node, words))) or found)
+    few = [(c.seq, c.size) for c in plain_mined(lines, Config()).values()]
+    compared = sum(asked)
+    monkeypatch.setattr(Miner, "_candidates", lambda m, node, words: node.members)
+    assert few == [(c.seq, c.size) for c in plain_mined(lines, Config()).values()]
+    assert compared < 5_000
+
+
+def test_known_texts_are_taken_at_once():
+    """Texts that are known need no search, and lines of a batch are taken as one by one."""
+    rng = random.Random(22)
+    texts = [f"{a} went {b} for {c} and then back home today {d}" for a in "xyz" for b in "pq" for c in ("7", "m") for d in "st"]
+    lines = [rng.choice(texts) for _ in range(3000)]
+    for config in (Config(), Config(max_clusters=7), Config(max_leaf=2, similarity=0.6), Config(max_children=2)):
+        one, many = Miner(config), Miner(config)
+        want, got = [], []
+        for k, t in enumerate(lines[:1500]):
+            one.train(t.split(" "), k)
+            many.take(t, k)
+        for k, t in enumerate(lines[1500:], 1500):
+            c = one.train(t.split(" "), k)
+            want.append((c.seq, c.size, c.id))
+        k, codes = 1500, [texts.index(t) for t in lines[1500:]]
+        while k < 3000:
+            clusters, at, sizes = many.take_known(texts, np.array(codes[k - 1500 :]))
+            got += [(clusters[i].seq, s, clusters[i].id) for i, s in zip(at.tolist(), sizes.tolist(), strict=True)]
+            k += len(at)
+            if k < 3000:
+                c = many.take(lines[k], k)
+                got.append((c.seq, c.size, c.id))
+                k += 1
+        assert got == want and list(one.table) == list(many.table)

@@ -23,15 +23,17 @@ which is far fewer rows where lines repeat, and joins the rest back.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
 import unicodedata
 from collections import OrderedDict
-from collections.abc import Iterator
+from collections.abc import Iterator, MutableMapping
 from dataclasses import dataclass, field
 from fractions import Fraction
 from operator import eq
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,7 +47,11 @@ SHARE = 20_000
 BROADCAST_ROWS = 200_000
 #: Rounds of mining under a schedule before one task takes all lines, as it does at once with few lines and too many clusters.
 ROUNDS = 12
-ALONE = 200_000
+ALONE = 1_000_000
+#: Members of a leaf that are compared one by one; texts whose cluster is remembered; unknown lines of a batch after which all are taken one by one.
+FEW = 4
+REMEMBERED = 100_000
+UNKNOWN = 16
 
 
 @dataclass(frozen=True)
@@ -75,13 +81,15 @@ def numeric(token: str) -> bool:
     return any(unicodedata.category(c)[0] == "N" for c in token)
 
 
-@dataclass
+@dataclass(slots=True)
 class Node:
     children: dict[str, Node] = field(default_factory=dict)
     #: In order of entry, by which equal candidates are told apart.
     members: list[int] = field(default_factory=list)
     #: The members from the least to the most recently used.
     used: OrderedDict[int, None] = field(default_factory=OrderedDict)
+    #: Members by (part of the tokens, its words), made once a leaf has more than ``FEW``.
+    index: dict[tuple, set[int]] | None = None
 
 
 @dataclass
@@ -117,6 +125,10 @@ class Miner:
         self.next = 1
         #: Clusters forgotten since they were last asked for.
         self.forgotten: list[Cluster] = []
+        #: Clusters that are a text word by word, below nodes of its own words: it finds them as long as they stay so.
+        self.exact: dict[str, Cluster] = {}
+        #: Clusters of texts that changed nothing since anything last changed.
+        self.same: dict[str, Cluster] = {}
 
     def reserve(self, n: int, path: list[str], children: int) -> None:
         """Keep the place of so many children of a node, whose lines are mined elsewhere."""
@@ -143,7 +155,7 @@ class Miner:
         table = self.table
         # A line may hold the parameter itself, which is equal to nothing.
         literal = words.count(self.config.param)
-        for seq in node.members:
+        for seq in self._candidates(node, words):
             cluster = table[seq]
             same = sum(map(eq, cluster.tokens, words))
             if literal:
@@ -152,25 +164,76 @@ class Miner:
                 best, most, wild = cluster, same, cluster.params
         return best if best and most * self.of >= self.need * n else None
 
+    def _parts(self, words: list[str]) -> list[tuple]:
+        """The tokens after those that route, in one part more than may differ, so that of two alike lists one part is equal; without parts that hold the parameter."""
+        n = len(words)
+        first, parts = self._levels(n), n + (-self.need * n // self.of) + 1
+        rest = n - first
+        if parts > rest:
+            return []
+        cut = [first + rest * k // parts for k in range(parts + 1)]
+        return [(k, part) for k in range(parts) if self.config.param not in (part := tuple(words[cut[k] : cut[k + 1]]))]
+
+    def _candidates(self, node: Node, words: list[str]) -> list[int]:
+        """The members that may be alike enough, in order of entry."""
+        if len(node.members) <= FEW or self._levels(len(words)) + 1 + (len(words) + (-self.need * len(words) // self.of)) > len(words):
+            return node.members
+        if node.index is None:
+            node.index = {}
+            for seq in node.members:
+                for part in self._parts(self.table[seq].tokens):
+                    node.index.setdefault(part, set()).add(seq)
+        return sorted(set().union(*(node.index.get(part, ()) for part in self._parts(words))))
+
+    def _unlist(self, cluster: Cluster, parts: list[tuple]) -> None:
+        index = cluster.leaf.index
+        if index is not None:
+            for part in parts:
+                index[part].discard(cluster.seq)
+                if not index[part]:
+                    del index[part]
+
+    def _changed(self, cluster: Cluster) -> None:
+        """Before a cluster is changed or forgotten."""
+        self.same.clear()
+        text = " ".join(cluster.tokens)
+        if self.exact.get(text) is cluster:
+            del self.exact[text]
+
+    @staticmethod
+    def _child(children: MutableMapping[str, Node], key: str) -> Node:
+        node = children.get(key)
+        if node is None:
+            node = children[key] = Node()
+        return node
+
     def _insert(self, cluster: Cluster) -> None:
         words = cluster.tokens
         path = [str(len(words))]
-        node = self.root.children.setdefault(path[0], Node())
+        node = self._child(self.root.children, path[0])
         param, most = self.config.param, self.config.max_children
         for word in words[: self._levels(len(words))]:
             kids = node.children
             room = len(kids) + (param not in kids) < most
             key = word if word in kids or (room and not numeric(word)) else param
             path.append(key)
-            node = kids.setdefault(key, Node())
+            node = self._child(kids, key)
         node.members.append(cluster.seq)
         node.used[cluster.seq] = None
+        if node.index is not None:
+            for part in self._parts(words):
+                node.index.setdefault(part, set()).add(cluster.seq)
         cluster.path, cluster.leaf = tuple(path), node
+        self.same.clear()
+        if not cluster.params and param not in path:
+            self.exact[" ".join(words)] = cluster
         if self.config.max_leaf and len(node.members) > self.config.max_leaf:
             self.forget(next(iter(node.used)), full=True)
 
     def forget(self, seq: int, full: bool = False) -> None:
         cluster = self.table.pop(seq)
+        self._changed(cluster)
+        self._unlist(cluster, self._parts(cluster.tokens))
         cluster.full = full
         self.forgotten.append(cluster)
         nodes = [self.root]
@@ -183,6 +246,50 @@ class Miner:
                 break
             del parent.children[key]
 
+    def known(self, text: str) -> Cluster | None:
+        """The cluster that a text goes to without a change, if that is known."""
+        return self.exact.get(text) or self.same.get(text)
+
+    def take(self, text: str, line: int = 0) -> Cluster:
+        """``train`` for the words of a text."""
+        cluster = self.known(text)
+        if cluster:
+            cluster.size += 1
+            self._use(cluster)
+            return cluster
+        cluster = self.train(text.split(" ") if text else [], line)
+        if cluster.size > 1 and cluster.changed != line and text not in self.exact:
+            if len(self.same) >= REMEMBERED:
+                self.same.clear()
+            self.same[text] = cluster
+        return cluster
+
+    def _use(self, cluster: Cluster) -> None:
+        self.table.move_to_end(cluster.seq)
+        cluster.leaf.used.move_to_end(cluster.seq)
+
+    def take_known(self, texts: list[str], codes: np.ndarray) -> tuple[list[Cluster], np.ndarray, np.ndarray]:
+        """Lines (as places in ``texts``) up to the first that is not known: their clusters, each line's place in these, and sizes."""
+        found = [self.known(t) for t in texts]
+        unknown = np.array([c is None for c in found], dtype=bool)[codes]
+        if unknown.any():
+            codes = codes[: int(unknown.argmax())]
+        clusters = list({c.seq: c for c in found if c}.values())
+        place = {c.seq: k for k, c in enumerate(clusters)}
+        at = np.array([place[c.seq] if c else -1 for c in found], dtype=np.int64)[codes]
+        counts = np.bincount(at, minlength=len(clusters))
+        order = np.argsort(at, kind="stable")
+        before = np.empty(len(at), dtype=np.int64)
+        before[order] = np.arange(len(at)) - np.repeat(np.cumsum(counts) - counts, counts)
+        sizes = np.array([c.size for c in clusters], dtype=np.int64)[at] + before + 1 if clusters else before
+        last = np.full(len(clusters), -1, dtype=np.int64)
+        last[at] = np.arange(len(at))
+        for k in np.argsort(last, kind="stable"):
+            if last[k] >= 0:
+                clusters[k].size += int(counts[k])
+                self._use(clusters[k])
+        return clusters, at, sizes
+
     def train(self, words: list[str], line: int = 0) -> Cluster:
         words = words[: self.config.max_tokens]
         cluster = self.find(words)
@@ -190,12 +297,13 @@ class Miner:
             param = self.config.param
             moved = [a if a == b else param for a, b in zip(cluster.tokens, words, strict=True)]
             if moved != cluster.tokens:
+                self._changed(cluster)
+                self._unlist(cluster, list(set(self._parts(cluster.tokens)) - set(self._parts(moved))))
                 cluster.tokens = moved
                 cluster.changed = line
                 cluster.rename(self.config.param)
             cluster.size += 1
-            self.table.move_to_end(cluster.seq)
-            cluster.leaf.used.move_to_end(cluster.seq)
+            self._use(cluster)
             return cluster
         cluster = Cluster(self.next, list(words), line, changed=line)
         cluster.rename(self.config.param)
@@ -217,38 +325,94 @@ def _trainer(config: Config):
     def batch(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
+    def known(miner: Miner, at: tuple, events: pa.Array, texts: list[str], codes: np.ndarray) -> pa.RecordBatch | None:
+        """Lines up to the first that may change something, at once."""
+        clusters, k, sizes = miner.take_known(texts, codes)
+        if not len(k):
+            return None
+        k = pa.array(k)
+        of = lambda values, kind: pa.array(values, kind).take(k)
+        none = lambda kind: pa.nulls(len(k), kind)
+        columns = [
+            events.slice(0, len(k)), of([len(c.tokens) for c in clusters], pa.int32()), of([at[1]] * len(clusters), pa.string()), of([c.seq for c in clusters], pa.int64()),
+            of([c.id for c in clusters], pa.string()), pa.array(sizes), none(pa.string()), of([c.first for c in clusters], pa.int64()), none(pa.int64()), none(pa.bool_()),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names)
+
+    def runs(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """A batch cut where (n, route) changes."""
+        n, route = b.column(2).to_numpy(), b.column(3).dictionary_encode().indices.to_numpy()
+        ends = [*(np.flatnonzero((n[1:] != n[:-1]) | (route[1:] != route[:-1])) + 1).tolist(), len(n)]
+        for begin, end in zip([0, *ends], ends, strict=False):
+            if end > begin:
+                yield b.slice(begin, end - begin)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A miner has no cycles, and walks over its many nodes would take as long as mining.
+        gc.disable()
+        try:
+            yield from mined(batches)
+        finally:
+            gc.enable()
+
+    def mined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         miner, at, rows, live = None, None, [], {}
 
         def ended(clusters, event: int | None = None) -> list[tuple]:
             return [(None, len(c.tokens), at[1], c.seq, None, c.size, " ".join(c.tokens), c.first, event, c.full) for c in clusters]
 
-        for b in batches:
-            for event, text, n, route, victim in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if at != (n, route):
-                    if miner:
-                        rows += ended(miner.table.values())
-                    miner, at, live = Miner(config), (n, route), {}
-                    path, rest, children = route.partition("\n")
-                    if rest:
-                        miner.reserve(n if text else 0, path.split(" ")[:-1], int(children))
-                if victim is None:
-                    c = miner.train(text.split(" ") if text else [], event)
-                    live[c.first] = c.seq
-                    # The template where the line made or changed it.
-                    rows.append((event, len(c.tokens), route, c.seq, c.id, c.size, " ".join(c.tokens) if c.changed == event else None, c.first, None, None))
-                elif victim in live:
-                    miner.forget(live[victim])
-                if miner.forgotten:
-                    rows += ended(miner.forgotten, event)
-                    for c in miner.forgotten:
-                        del live[c.first]
-                    miner.forgotten.clear()
-            if rows:
+        def one(event: int, text: str, victim: int | None = None) -> None:
+            if victim is None:
+                c = miner.take(text, event)
+                live[c.first] = c.seq
+                # The template where the line made or changed it.
+                rows.append((event, len(c.tokens), at[1], c.seq, c.id, c.size, " ".join(c.tokens) if c.changed == event else None, c.first, None, None))
+            elif victim in live:
+                miner.forget(live[victim])
+            if miner.forgotten:
+                rows.extend(ended(miner.forgotten, event))
+                for c in miner.forgotten:
+                    del live[c.first]
+                miner.forgotten.clear()
+
+        for b in (r for whole in batches for r in runs(whole)):
+            event, text, n, route, victim = b.columns
+            key = n[0].as_py(), route[0].as_py()
+            if at != key:
+                if miner:
+                    rows += ended(miner.table.values())
+                miner, at, live = Miner(config), key, {}
+                path, rest, children = at[1].partition("\n")
+                if rest:
+                    miner.reserve(at[0] if text[0].as_py() else 0, path.split(" ")[:-1], int(children))
+            begin = 0
+            coded = text.dictionary_encode()
+            if victim.null_count == len(b) and 2 * len(coded.dictionary) <= len(b):
+                texts, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+                for _ in range(UNKNOWN):
+                    found = known(miner, at, event.slice(begin), texts, codes[begin:])
+                    if found:
+                        if rows:
+                            yield batch(rows)
+                            rows.clear()
+                        yield found
+                        begin += len(found)
+                    if begin == len(b):
+                        break
+                    one(event[begin].as_py(), texts[codes[begin]])
+                    begin += 1
+                    if begin == len(b):
+                        break
+            if begin < len(b):
+                for row in zip(event.slice(begin).to_pylist(), text.slice(begin).to_pylist(), victim.slice(begin).to_pylist(), strict=True):
+                    one(*row)
+            if len(rows) >= 5_000:
                 yield batch(rows)
-                rows = []
-        if miner and miner.table:
-            yield batch(ended(miner.table.values()))
+                rows.clear()
+        if miner:
+            rows += ended(miner.table.values())
+        if rows:
+            yield batch(rows)
 
     return run
 
