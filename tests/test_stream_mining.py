@@ -3,6 +3,7 @@
 import random
 from datetime import datetime, timedelta, timezone
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,3 +121,18 @@ def test_many_batches_and_a_restart(spark, tmp_path):
                 c = miner.train(text.split(" "), event)
                 want[event] = (n, c.seq, c.id, c.size)
     assert got == want and len(want) == 240
+
+
+def test_lines_of_known_texts_cost_no_state():
+    """What is read and written goes by texts, not by lines; lines and sizes are as one by one."""
+    rng = random.Random(3)
+    texts = [f"{a} went {b} to the far end of town then" for a in ("x", "y", "7") for b in "pqrs"]
+    for config in (Config(), Config(max_clusters=5), Config(similarity=0.7, max_leaf=2)):
+        lines = [rng.choice(texts) for _ in range(30_000)]
+        nodes, clusters = Entries(), Entries()
+        p, plain = LineMiner(config), Miner(config)
+        want = [(k, len(c.tokens), c.seq, c.id, c.size) for k, t in enumerate(lines) for c in [plain.train(t.split(" "), k)]]
+        miner = StoredMiner(config, nodes, clusters)
+        got = [tuple(r) for f in p.mined(miner, np.arange(30_000), np.array(lines, dtype=object)) for r in f.itertuples(index=False)]
+        miner.flush()
+        assert got == want and nodes.writes + clusters.writes < 200

@@ -7,21 +7,24 @@ use is a list that is linked through the clusters' entries.
 
 from __future__ import annotations
 
-import heapq
 import pickle
 from collections import OrderedDict
 from collections.abc import Iterator, MutableMapping
 
+import numpy as np
 import pandas as pd
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.drain import Cluster, Config, Miner, Node
+from ..operators.drain import UNKNOWN, Cluster, Config, Miner, Node
 
 ASSIGNED = "event_id long, n_tokens int, local long, template_id_at_train string, size long"
 _COLUMNS = [f.split()[0] for f in ASSIGNED.split(", ")]
-#: Rows of an entry of held rows; lines after which what was read is written and let go.
-CHUNK = 1_000
-FLUSH = 10_000
+#: Rows of an entry of held rows, those that are sorted before they are cut into entries, and those that are mined at once.
+CHUNK = 10_000
+SORTED = 500_000
+BLOCK = 100_000
+#: Entries after which what was read is written and let go.
+FLUSH = 20_000
 
 
 class Entries:
@@ -200,9 +203,15 @@ class StoredMiner(Miner):
         self.tree.flush()
         self.root = self.tree.node("")
         self.forgotten.clear()
+        self.exact.clear()
+        self.same.clear()
         return self.next, self.table.live, self.table.oldest, self.table.newest
 
 
+    def full(self) -> bool:
+        return len(self.table.clusters) + len(self.tree.nodes) > FLUSH
+
+
 class LineMiner(StatefulProcessor):
     """One token count's lines, held back until the watermark and mined in order of (received_at, event_id)."""
 
@@ -221,59 +230,108 @@ class LineMiner(StatefulProcessor):
         pass
 
     def hold(self, rows: list[tuple]) -> None:
+        """Rows in order, see ``keep``."""
+        at, event, text = zip(*rows, strict=True)
+        self.keep(np.array(at, dtype=np.int64), np.array(event, dtype=np.int64), np.array(text, dtype=object))
+
+    def keep(self, at: np.ndarray, event: np.ndarray, text: np.ndarray) -> None:
         """Rows in order as entries of at most ``CHUNK`` each, named by their first time."""
         part = self.parts.get()[0] if self.parts.exists() else 0
-        for k in range(0, len(rows), CHUNK):
+        for k in range(0, len(at), CHUNK):
             part += 1
-            self.held.updateValue((rows[k][0], part), (pickle.dumps(rows[k : k + CHUNK]),))
+            end = k + CHUNK
+            codes, texts = pd.factorize(text[k:end])
+            self.held.updateValue((int(at[k]), part), (pickle.dumps((at[k:end], event[k:end], codes.astype(np.int32), list(texts))),))
         self.parts.update((part,))
 
+    def sorted_in(self, parts: list[pd.DataFrame]) -> int:
+        """Keep rows of any order; gives back the first time."""
+        at, event = (np.concatenate([p[c].to_numpy(dtype=np.int64) for p in parts]) for c in ("at_us", "event_id"))
+        text = np.concatenate([p["text"].fillna("").to_numpy(dtype=object) for p in parts])
+        order = np.lexsort((event, at))
+        self.keep(at[order], event[order], text[order])
+        return int(at[order[0]])
+
     def wake(self, mark: int, at_us: int) -> None:
         """A timer fires once the watermark is past it."""
         self.handle.registerTimer(max(at_us // 1000 - 1, mark + 1))
 
     def due(self, mark: int) -> Iterator[tuple]:
-        """Held rows up to the watermark, in order; an entry is read once rows of its time are taken."""
+        """Held rows up to the watermark, in order."""
+        for at, event, text in self.due_blocks(mark):
+            yield from zip(at.tolist(), event.tolist(), text, strict=True)
+
+    def due_blocks(self, mark: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The same as arrays; an entry is read once rows of its time are taken, and rows are given out once no later entry has any before them."""
         keys = sorted(tuple(k) for k in self.held.keys() if k[0] // 1000 <= mark)
-        rows: list[tuple] = []
+        rows = (np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0, dtype=object))
         k = 0
-        while rows or k < len(keys):
-            while k < len(keys) and (not rows or keys[k][0] <= rows[0][0]):
-                held = pickle.loads(self.held.getValue(keys[k])[0])
+        while k < len(keys) or len(rows[0]):
+            new, n = [rows], 0
+            while k < len(keys) and n < BLOCK:
+                at, event, codes, texts = pickle.loads(self.held.getValue(keys[k])[0])
                 self.held.removeKey(keys[k])
-                later = [r for r in held if r[0] // 1000 > mark]
-                if later:
-                    self.hold(later)
-                for r in held[: len(held) - len(later)]:
-                    heapq.heappush(rows, r)
+                text = np.array(texts, dtype=object)[codes]
+                ready = int(np.searchsorted(at, (mark + 1) * 1000))
+                if ready < len(at):
+                    self.keep(at[ready:], event[ready:], text[ready:])
+                new.append((at[:ready], event[:ready], text[:ready]))
+                n += ready
                 k += 1
-            yield heapq.heappop(rows)
+            rows = tuple(np.concatenate(c) for c in zip(*new, strict=True))
+            order = np.lexsort((rows[1], rows[0]))
+            rows = tuple(c[order] for c in rows)
+            cut = int(np.searchsorted(rows[0], keys[k][0])) if k < len(keys) else len(rows[0])
+            if cut:
+                yield tuple(c[:cut] for c in rows)
+                rows = tuple(c[cut:] for c in rows)
+
+    def mined(self, miner: StoredMiner, event: np.ndarray, text: np.ndarray) -> Iterator[pd.DataFrame]:
+        """Assignments of lines in order; known texts are taken at once."""
+        codes, texts = pd.factorize(text)
+        begin, unknown = 0, UNKNOWN if 2 * len(texts) <= len(text) else 0
+        while begin < len(text):
+            if unknown:
+                clusters, k, sizes = miner.take_known(texts, codes[begin:])
+                if len(k):
+                    of = lambda values: np.array(values)[k]  # noqa: B023, E731
+                    columns = [event[begin : begin + len(k)], of([len(c.tokens) for c in clusters]), of([c.seq for c in clusters]), np.array([c.id for c in clusters], dtype=object)[k], sizes]
+                    yield pd.DataFrame(dict(zip(_COLUMNS, columns, strict=True)))
+                    begin += len(k)
+            out = []
+            for j in range(begin, min(begin + (1 if unknown else CHUNK), len(text))):
+                c = miner.take(text[j], int(event[j]))
+                out.append((int(event[j]), len(c.tokens), c.seq, c.id, c.size))
+                if miner.full():
+                    self.known.update(miner.flush())
+            if out:
+                yield pd.DataFrame(out, columns=_COLUMNS)
+            begin, unknown = begin + len(out), max(unknown - 1, 0)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        first = None
+        first, parts, n = None, [], 0
         for part in rows:
-            new = sorted((int(a), int(e), t) for a, e, t in zip(part["at_us"], part["event_id"], part["text"], strict=True))
-            if new:
-                self.hold(new)
-                first = new[0][0] if first is None else min(first, new[0][0])
+            parts.append(part)
+            n += len(part)
+            if n >= SORTED:
+                at = self.sorted_in(parts)
+                first, parts, n = at if first is None else min(first, at), [], 0
+        if n:
+            at = self.sorted_in(parts)
+            first = at if first is None else min(first, at)
         if first is not None:
             self.wake(timerValues.getCurrentWatermarkInMs(), first)
         yield pd.DataFrame(columns=_COLUMNS)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs()
-        miner, out = None, []
-        for _, event, text in self.due(mark):
+        miner = None
+        for _, event, text in self.due_blocks(mark):
             miner = miner or StoredMiner(self.config, self.nodes, self.clusters, tuple(self.known.get()) if self.known.exists() else None)
-            c = miner.train(text.split(" ") if text else [], event)
-            out.append((event, len(c.tokens), c.seq, c.id, c.size))
-            if len(out) == FLUSH:
-                self.known.update(miner.flush())
-                yield pd.DataFrame(out, columns=_COLUMNS)
-                out = []
+            yield from self.mined(miner, event, text)
         if miner:
             self.known.update(miner.flush())
         later = min((k[0] for k in self.held.keys()), default=None)
         if later is not None:
             self.wake(mark, later)
-        yield pd.DataFrame(out, columns=_COLUMNS)
+        yield pd.DataFrame(columns=_COLUMNS)
