@@ -235,6 +235,18 @@ def test_synthesis(spark):
     assert lines.select(mask(F.col("raw"), bundle).alias("m")).first().m.endswith("six <VAR:JOB> end")
 
 
+def test_synthesis_masks_once_and_mines_many_texts_once(spark, monkeypatch):
+    """The plan of the answer masks nothing anew, and lines that are bound to fill the table are mined by one pass."""
+    word = lambda k: "".join(chr(97 + int(d)) for d in str(k))
+    lines = spark.createDataFrame([(k, k, f"job {word(k % 40)} state one two three four five six seven {word(k)} end") for k in range(400)], "event_id long, received_at long, raw string")
+    passes, mined = [], drain._mined
+    monkeypatch.setattr(drain, "_mined", lambda *a: passes.append(1) or mined(*a))
+    found = synth.candidates(lines, config=Config(max_clusters=20))
+    assert len(passes) == 1 and "regexp_replace" not in found._jdf.queryExecution().optimizedPlan().toString()
+    wide = synth.candidates(lines, config=Config(max_clusters=100))
+    assert len(passes) == 2 and {(tuple(r.before), r.occurrences, tuple(r.examples)) for r in wide.collect()} == {(("seven",), 10, tuple(word(k + 40 * i) for i in range(5))) for k in range(40)}
+
+
 def test_a_crowded_leaf_compares_few(monkeypatch):
     """Of the members of a leaf only those that share a part with the line are compared, with equal results."""
     rng = random.Random(21)

@@ -577,11 +577,14 @@ def _bounded(lines: DataFrame, config: Config, share: int, rounds: int) -> DataF
 def _trained(lines: DataFrame, config: Config, share: int, rounds: int, alone: int) -> DataFrame:
     """Assignments, and each cluster once, of (event_id, at, text) rows; written, so that mining is done once."""
     ship(lines.sparkSession)
+    few, texts = lines.agg(F.count(F.lit(1)) <= alone, F.approx_count_distinct("text")).first()
+    together = lines.withColumns({"n": F.lit(0), "route": F.lit("")})
+    # So many texts are likely to make too many clusters; if they don't, results are the same.
+    if config.max_clusters and few and texts > config.max_clusters:
+        return _mined(together, config)
     out = _mined(_routed(lines, config, share), config)
     if config.max_clusters and out.filter("event_id is null").count() > config.max_clusters:
-        if lines.count() <= alone:
-            return _mined(lines.withColumns({"n": F.lit(0), "route": F.lit("")}), config)
-        return _bounded(lines, config, share, rounds)
+        return _mined(together, config) if few else _bounded(lines, config, share, rounds)
     return out
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.mask import DEFAULT, BadBundle, Bundle, Slot, mask
 from ..functions.text import tokens
+from ..runtime import written
 from .drain import Config, assign
 
 LEAST, MOST_EXAMPLES, MOST_CANDIDATES, WIDTH = 3, 5, 50, 1
@@ -22,10 +23,14 @@ def candidates(lines: DataFrame, bundle: Bundle = DEFAULT, *, least: int = LEAST
     ``lines`` have event_id, received_at and raw (or template, if ``masked``). Examples
     are the first distinct values; values that are placeholders are none.
     """
-    rows = lines if masked else lines.withColumn("template", mask(F.col("raw"), bundle))
+    masks = F.col("template") if masked else mask(F.col("raw"), bundle)
+    # Masked once: mining reads the lines, and so do the examples.
+    rows = written(lines.select("event_id", "received_at", masks.alias("template")), "synth-lines")
     assigned, clusters = assign(rows, config)
     wide = clusters.filter(F.col("size") >= least).select("seq", "size", "template", F.posexplode(F.split("template", " ")).alias("position", "t"), F.split("template", " ").alias("ct")).filter(F.col("t") == config.param)
-    values = assigned.select("event_id", "seq").join(rows.select("event_id", "received_at", tokens(F.col("template"), config.max_tokens).alias("lt")), "event_id")
+    # Few lines are of clusters with an open place.
+    open_ = assigned.select("event_id", "seq").join(wide.select("seq").distinct(), "seq", "left_semi")
+    values = open_.join(rows.select("event_id", "received_at", tokens(F.col("template"), config.max_tokens).alias("lt")), "event_id")
     at = wide.join(values, "seq").withColumn("value", F.get("lt", F.col("position"))).filter(F.col("value").isNotNull() & ~F.col("value").rlike("^<VAR:.*>$"))
     first = at.groupBy("seq", "position", "value").agg(F.min(F.struct("received_at", "event_id")).alias("seen"))
     ranked = first.withColumn("r", F.row_number().over(Window.partitionBy("seq", "position").orderBy("seen"))).filter(F.col("r") <= MOST_EXAMPLES)
