@@ -247,6 +247,22 @@ def test_synthesis_masks_once_and_mines_many_texts_once(spark, monkeypatch):
     assert len(passes) == 2 and {(tuple(r.before), r.occurrences, tuple(r.examples)) for r in wide.collect()} == {(("seven",), 10, tuple(word(k + 40 * i) for i in range(5))) for k in range(40)}
 
 
+def test_pairs_of_copies_are_made_from_lists(spark, monkeypatch):
+    """Lists of many copies, cut into parts, give each pair once; no join or exchange moves the pairs."""
+    monkeypatch.setattr(neighbours, "COPIES", 3)
+    texts = {k: ("a b c d e f", "a b c d e g", "x y z")[k % 3].split(" ") for k in range(60)}
+    rows = spark.createDataFrame(list(texts.items()), "seq long, tokens array<string>")
+    score = {frozenset((0,)): 1.0, frozenset((1,)): 1.0, frozenset((2,)): 1.0, frozenset((0, 1)): 5 / 7}
+    want = sorted((a, b, s) for a in texts for b in texts if a < b and (s := score.get(frozenset((a % 3, b % 3)))))
+    found = neighbours.neighbours(rows)
+    assert sorted(tuple(r) for r in found.collect()) == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert next(k for k, x in enumerate(plan) if "Join" in x) > max(k for k, x in enumerate(plan[: len(plan)]) if "explode(ys" in x)
+    some = neighbours.neighbours(rows, only=rows.select("seq").filter("seq < 4"))
+    both = {(a, b) for a, b, _ in want} | {(b, a) for a, b, _ in want}
+    assert sorted((r.seq_a, r.seq_b) for r in some.collect()) == sorted(p for p in both if p[0] < 4)
+
+
 def test_a_crowded_leaf_compares_few(monkeypatch):
     """Of the members of a leaf only those that share a part with the line are compared, with equal results."""
     rng = random.Random(21)
