@@ -263,6 +263,32 @@ def test_pairs_of_copies_are_made_from_lists(spark, monkeypatch):
     assert sorted((r.seq_a, r.seq_b) for r in some.collect()) == sorted(p for p in both if p[0] < 4)
 
 
+def test_a_full_table_of_texts_is_followed_by_blocks(spark, monkeypatch):
+    """Where each text is a cluster, blocks of time give what one miner gives; other lines go by turns."""
+    rng = random.Random(23)
+    texts = ["", "a", "a b", "7 b", *(f"{a} x{k} goes {b}" for a in ("p", "q2", "r") for k in range(6) for b in ("in", "out"))]
+    lines = [rng.choice(texts[: 6 if k % 3 else 40]) for k in range(1500)]
+    config = Config(similarity=1.0, max_clusters=9, max_leaf=0, max_children=50)
+    monkeypatch.setattr(drain, "BLOCK", 60)
+    monkeypatch.setattr(drain, "_bounded", None)
+    df = spark.createDataFrame([(k * 7 % 1501, k, t) for k, t in enumerate(lines)], "event_id long, received_at long, template string").repartition(3)
+    miner, want, ended = Miner(config), [], []
+    for k, t in enumerate(lines):
+        c = miner.train(t.split(" ") if t else [], k * 7 % 1501)
+        want.append((k * 7 % 1501, c.id, c.size))
+        ended += [(c.first, " ".join(c.tokens), c.size) for c in miner.forgotten]
+        miner.forgotten.clear()
+    ended += [(c.first, " ".join(c.tokens), c.size) for c in miner.table.values()]
+    got, clusters = drain.assign(df, config, alone=0)
+    assert sorted((r.event_id, r.template_id_at_train, r["size"]) for r in got.collect()) == sorted(want)
+    assert sorted((r.first_event, r.template, r["size"]) for r in clusters.collect()) == sorted(ended)
+    gone = {r.first_event: r.until.at if r.until else None for r in drain.versions(df, config, alone=0).collect()}
+    assert len(gone) == len(ended) and sum(x is None for x in gone.values()) == 9
+    for other in (Config(similarity=1.0, max_clusters=9, max_leaf=0, max_children=2), Config(similarity=0.9, max_clusters=9, max_leaf=0)):
+        assert not drain._apart(df.select(F.col("template").alias("text")), other)
+    assert not drain._apart(df.select(F.lit("a <*>").alias("text")), config)
+
+
 def test_a_crowded_leaf_compares_few(monkeypatch):
     """Of the members of a leaf only those that share a part with the line are compared, with equal results."""
     rng = random.Random(21)

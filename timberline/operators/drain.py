@@ -15,7 +15,9 @@ use over all token counts, which ``_bounded`` finds by turns: lines are mined un
 schedule of what is forgotten when, and the schedule is told from what was mined, until
 it stays. A schedule that stays is what one table would have forgotten, since what
 happens at a line hangs on earlier lines alone. Of the lines, only new clusters, and
-uses over ``max_clusters`` lines after the last one, can matter to it.
+uses over ``max_clusters`` lines after the last one, can matter to it. Where only equal
+lines are alike and no node can fill up, a table holds the texts used last, and lines
+are dealt by time instead (``_separate``).
 
 ``distinct`` mode trains on the distinct masked lines in order of first appearance,
 which is far fewer rows where lines repeat, and joins the rest back.
@@ -52,6 +54,8 @@ ALONE = 1_000_000
 FEW = 4
 REMEMBERED = 100_000
 UNKNOWN = 16
+#: Least lines of a block of time, where texts are clusters of their own.
+BLOCK = 250_000
 
 
 @dataclass(frozen=True)
@@ -574,6 +578,108 @@ def _bounded(lines: DataFrame, config: Config, share: int, rounds: int) -> DataF
     return written(out, "drain-bounded")
 
 
+def _apart(lines: DataFrame, config: Config) -> bool:
+    """Whether each text is bound to be a cluster of its own: only equal lines are alike, and no node or leaf can fill up."""
+    if Fraction(str(config.similarity)) != 1 or config.max_leaf:
+        return False
+    param = F.lit(config.param)
+    texts = written(lines.select("text").distinct().withColumn("by", F.split("text", " ")), "drain-texts")
+    if not texts.filter(F.array_contains("by", param)).isEmpty():
+        return False
+    # Tokens of a number category go to the parameter's child and take no room.
+    at = F.least(F.lit(max(0, config.depth - 3)), F.size("by") - 1)
+    kids = texts.withColumn("n", F.size("by")).select("n", "by", F.explode(F.sequence(F.lit(0), at - 1)).alias("level"), at.alias("at")).filter("level >= 0 and level < at")
+    key = F.when(F.get("by", F.col("level")).rlike(r"\p{N}"), param).otherwise(F.get("by", F.col("level")))
+    path = F.transform(F.slice("by", F.lit(1), F.col("level")), lambda w: F.when(w.rlike(r"\p{N}"), param).otherwise(w))
+    kids = kids.select("n", path.alias("path"), key.alias("key")).distinct().filter(F.col("key") != param)
+    return kids.groupBy("n", "path").count().filter(F.col("count") >= config.max_children).isEmpty()
+
+
+_USES = "place long, event_id long, text string, kind int"
+
+
+def _recent(most: int):
+    """Follows which ``most`` texts were used last through (block, at, place, event_id, text) rows in order and gives out lines, as ``_USED`` or ``_MADE`` with their texts, and a text that a line pushes out as ``_LEFT``.
+
+    Rows without a place are texts used before the block.
+    """
+    names, types = ["place", "event_id", "text", "kind"], [pa.int64(), pa.int64(), pa.string(), pa.int32()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table: OrderedDict[str, None] = OrderedDict()
+        now = None
+        for b in batches:
+            out = []
+            for block, _, place, event, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if block != now:
+                    now = block
+                    table.clear()
+                known = text in table
+                table[text] = None
+                if known:
+                    table.move_to_end(text)
+                if place is not None:
+                    out.append((place, event, text, _USED if known else _MADE))
+                    if len(table) > most:
+                        out.append((place, event, table.popitem(last=False)[0], _LEFT))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names)
+
+    return run
+
+
+def _before_blocks(most: int):
+    """The ``most`` texts used last before each block, from (block, text, used) rows in order of use."""
+    names, types = ["block", "text", "used"], [pa.int64(), pa.string(), pa.int64()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table: OrderedDict[str, int] = OrderedDict()
+        now = None
+        for b in batches:
+            for block, text, used in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if now is not None and block != now:
+                    while len(table) > most:
+                        table.popitem(last=False)
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(([block] * len(table), list(table), list(table.values())), types, strict=True)], names)
+                now = block
+                table[text] = used
+                table.move_to_end(text)
+
+    return run
+
+
+def _separate(lines: DataFrame, config: Config, least: int) -> DataFrame:
+    """What a table that fills up gives where each text is a cluster of its own.
+
+    It then holds the ``max_clusters`` texts that were used last, whatever came before.
+    So lines are dealt by blocks of time, each of which begins with the texts used last
+    before it; these follow from as many texts of each block, which are few.
+    """
+    most = config.max_clusters
+    ranked = _ranked(lines).withColumn("block", F.floor((F.col("place") - 1) / max(least, 4 * most)))
+    by_use = Window.partitionBy("block").orderBy(F.desc("used"))
+    last = ranked.groupBy("block", "text").agg(F.max("place").alias("used")).withColumn("r", F.row_number().over(by_use)).filter(F.col("r") <= most)
+    seeds = last.select("block", "text", "used").repartition(1).sortWithinPartitions("used").mapInArrow(_before_blocks(most), "block long, text string, used long")
+    none = F.lit(None).cast("long")
+    rows = ranked.select("block", F.col("place").alias("at"), "place", "event_id", "text").unionByName(seeds.select("block", F.col("used").alias("at"), none.alias("place"), none.alias("event_id"), "text"))
+    dealt = rows.repartition("block").sortWithinPartitions("block", "at")
+    uses = dealt.mapInArrow(_recent(most), _USES)
+    so_far = Window.partitionBy("text").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    made = F.col("kind") == _MADE
+    lived = written(uses.withColumn("local", F.max(F.when(made, F.col("place"))).over(so_far)), "drain-uses")
+    n = F.when(F.col("text") == "", F.lit(0)).otherwise(F.size(F.split("text", " "))).cast("int").alias("n_tokens")
+    nothing = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    size = F.row_number().over(Window.partitionBy("text", "local").orderBy("place")).cast("long").alias("size")
+    taken = lived.filter(F.col("kind") != _LEFT).select(
+        "event_id", n, F.lit("").alias("route"), "local", template_id(F.col("text")).alias("template_id_at_train"), size, F.when(made, F.col("text")).alias("template"),
+        F.when(made, F.col("event_id")).alias("first_event"), nothing("long", "until"), nothing("boolean", "full"),
+    )
+    left = F.col("kind") == _LEFT
+    ended = lived.groupBy("text", "local").agg(F.count_if(~left).alias("size"), F.max(F.when(made, F.col("event_id"))).alias("first_event"), F.max(F.when(left, F.col("event_id"))).alias("until"))
+    clusters = ended.select(nothing("long", "event_id"), n, F.lit("").alias("route"), "local", nothing("string", "template_id_at_train"), "size", F.col("text").alias("template"), "first_event", "until", F.lit(False).alias("full"))
+    return taken.unionByName(clusters)
+
+
 def _trained(lines: DataFrame, config: Config, share: int, rounds: int, alone: int) -> DataFrame:
     """Assignments, and each cluster once, of (event_id, at, text) rows; written, so that mining is done once."""
     ship(lines.sparkSession)
@@ -582,6 +688,8 @@ def _trained(lines: DataFrame, config: Config, share: int, rounds: int, alone: i
     # So many texts are likely to make too many clusters; if they don't, results are the same.
     if config.max_clusters and few and texts > config.max_clusters:
         return _mined(together, config)
+    if config.max_clusters and texts > config.max_clusters and _apart(lines, config):
+        return written(_separate(lines, config, BLOCK), "drain-separate")
     out = _mined(_routed(lines, config, share), config)
     if config.max_clusters and out.filter("event_id is null").count() > config.max_clusters:
         return _mined(together, config) if few else _bounded(lines, config, share, rounds)
