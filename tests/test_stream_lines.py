@@ -3,12 +3,14 @@
 import random
 from datetime import datetime, timedelta, timezone
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from timberline.operators import alarms as A
 from timberline.operators import windows as W
 from timberline.runtime import new_folder
-from timberline.streaming.lines import Statistics, alarm_feed
+from timberline.streaming.lines import Rows, Statistics, alarm_feed, packed
 
 
 def test_statistics_equal_the_batch(spark):
@@ -94,3 +96,16 @@ def test_verdicts_as_a_second_input(spark, tmp_path):
     missing = set(map(key, want)) - set(got)
     assert len(got) == len(set(got)) > 40 and set(got) <= set(map(key, want)) and all(r[3] == "Cleared" or r[1] >= rows[-1][3] for r in missing)
     assert sum(r[2] is None and r[3] == "Raised" for r in got) >= 4
+
+
+def test_held_rows_are_columns_and_come_in_order(spark):
+    """Entries of held rows, with null hosts and events, are one table in order of (second, event), and can be held again."""
+    rows = [(1000 * (k % 7), k % 7, None if k == 5 else k, ("a", "b", None)[k % 3], k % 2, 3, True, k % 2 == 0, False, None if k % 4 else k, k / 10, None) for k in range(20)]
+    names = ["at_ms", "sec", "event_id", "host", "kind", "rank", "gated", "bypass", "flagged", "delay_sec", "matters_now", "wake_someone"]
+    parts = [pd.DataFrame(rows[:9], columns=names), pd.DataFrame(rows[9:], columns=names)]
+    held = Rows(map(packed, parts))
+    want = [(s, e, h, k, r, g, b, f, None if d is None else (d, m, w)) for _, s, e, h, k, r, g, b, f, d, m, w in sorted(rows, key=lambda x: (x[1], -1 if x[2] is None else x[2]))]
+    every = held.order(np.ones(20, dtype=bool))
+    assert list(held.tuples(every)) == want
+    again = Rows(packed(held.frame(every[k : k + 6])) for k in range(0, 20, 6))
+    assert list(again.tuples(again.order(np.ones(20, dtype=bool)))) == want

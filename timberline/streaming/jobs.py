@@ -78,7 +78,8 @@ def upsert(changes: DataFrame, sink, key: str = "alarm_id"):
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a stream of lines."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    e = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    # A table of one file is read by few tasks; masking is dealt out.
+    e = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).repartition(spark.sparkContext.defaultParallelism)
     raw = F.concat(F.lit("app["), F.col("user_id").cast("string"), F.lit("]: "), "event_type", F.lit(" event "), F.col("event_id").cast("string"), F.lit(" took "), F.floor(F.col("value") * 100).cast("long").cast("string"), F.lit("ms"))
     return e.select("event_id", F.col("ts").cast("timestamp").alias("received_at"), F.concat(F.lit("host"), (F.col("user_id") % 4).cast("string")).alias("host"), raw.alias("raw"))
 
