@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tests import golden
 from timberline.functions.mask import mask
+from timberline.functions.text import spaced, tokens
 from timberline.operators import drain, metrics, neighbours, synth
 from timberline.operators.drain import Config, Miner, assign, generalise, numeric, similarity
 
@@ -123,6 +124,60 @@ def test_one_table_over_all_token_counts(spark, config, rounds, monkeypatch):
     assert turns and (rounds == 1 or len(turns) < rounds), turns
 
 
+def changing_lines(rng, count, new=()):
+    """A few texts over and over; at some places a line that makes a cluster, or changes one that others then miss."""
+    heads, kinds = ["alpha", "beta", "x9"], ["on", "off", "idle"]
+    lines = [f"{rng.choice(heads)} was found to be {rng.choice(kinds)} by the {rng.choice('pq')} watch at noon" for _ in range(count)]
+    for k, line in new:
+        lines[k] = line
+    return lines
+
+
+LATE = [(400, "gamma was found to be on by the p watch at noon"), (650, "alpha was found to be on by the r watch at noon"), (700, "one more"), (900, "")]
+
+
+@pytest.mark.parametrize("config, whole", [(Config(), True), (Config(similarity=0.8, max_children=3), True), (Config(max_leaf=1), False), (Config(max_clusters=3), False)])
+def test_few_texts_are_mined_by_ranges(spark, config, whole, monkeypatch):
+    """Only ranges with a change are mined whole, and every line is as one miner has it; equal times and late changes too."""
+    monkeypatch.setattr(drain, "RANGE", 25)
+    rng = random.Random(3)
+    lines = changing_lines(rng, 1000, LATE)
+    found, mined, repeated = [], [], drain._repeated
+    monkeypatch.setattr(drain, "_repeated", lambda *a: found.append(repeated(*a)) or found[-1])
+    mine = drain._mined
+    monkeypatch.setattr(drain, "_mined", lambda rows, *a: mined.append(rows.count()) or mine(rows, *a))
+    df = spark.createDataFrame([(k, k // 40, t) for k, t in enumerate(lines)], "event_id long, received_at long, template string").repartition(3)
+    m, want = Miner(config), {}
+    for k, line in enumerate(lines):
+        c = m.train(line.split(" ") if line else [], k)
+        want[k] = [c, c.size, c.id]
+    out, clusters = assign(df, config, alone=0)
+    rows = out.join(clusters.select("seq", "template", "first_event", F.col("size").alias("whole")), "seq").collect()
+    assert len(rows) == len(lines)
+    got = {r.event_id: (r.template, r.first_event, r.whole, r["size"], r.template_id_at_train, r.template_id_final) for r in rows}
+    assert got == {k: (" ".join(c.tokens), c.first, c.size, size, id_, c.id) for k, (c, size, id_) in want.items()}
+    assert clusters.count() == len({id(c) for c, _, _ in want.values()})
+    assert bool(found and found[-1]) == whole
+    assert not whole or max(mined) < 0.7 * len(lines)
+    # Templates over time, too.
+    if whole:
+        had = {(r.first_event, r.template, r.since.event_id) for r in drain.versions(df, config, alone=0).collect()}
+        m, made = Miner(config), set()
+        for k, line in enumerate(lines):
+            c = m.train(line.split(" ") if line else [], k)
+            if c.changed == k:
+                made.add((c.first, " ".join(c.tokens), k))
+        assert had == made
+
+
+def test_spaced(spark):
+    odd = ["", " ", "a b", " a", "a ", "a  b", "a\tb", "a\u00a0b", "\u3000", "é b", "a\nb\x0bc\fd\re", "a\x1cb", "x " * 300, "y" * 300, "b " * 128 + "c", "a " * 3 + "b", "\u2028a"]
+    df = spark.createDataFrame([(t,) for t in odd], "t string")
+    for most in (1, 2, 3, 128):
+        for r in df.select("t", spaced(F.col("t"), most).alias("a"), F.array_join(tokens(F.col("t"), most), " ").alias("b")).collect():
+            assert r.a == r.b, (r.t, most)
+
+
 def test_tasks_of_one_token_count(spark):
     """Thousands of first tokens: those with a child of their own, and one task for the rest."""
     rng = random.Random(6)

@@ -19,6 +19,10 @@ uses over ``max_clusters`` lines after the last one, can matter to it. Where onl
 lines are alike and no node can fill up, a table holds the texts used last, and lines
 are dealt by time instead (``_separate``).
 
+Where many lines are of few texts, hardly any line changes anything. Then ranges of time
+with a change are mined whole, and of the others the first line of each text; the rest
+follow by joins and counts (``_repeated``).
+
 ``distinct`` mode trains on the distinct masked lines in order of first appearance,
 which is far fewer rows where lines repeat, and joins the rest back.
 """
@@ -40,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import template_id, tokens
+from ..functions.text import spaced, template_id
 from ..runtime import ship, written
 
 _DIGIT = re.compile(r"[0-9]")
@@ -56,6 +60,11 @@ REMEMBERED = 100_000
 UNKNOWN = 16
 #: Least lines of a block of time, where texts are clusters of their own.
 BLOCK = 250_000
+#: More lines than that of at most so many texts are mined by ranges of time; lines of a range; how often ranges with a change are looked for.
+MANY = 200_000
+TEXTS = 10_000
+RANGE = 200_000
+PASSES = 4
 
 
 @dataclass(frozen=True)
@@ -680,10 +689,92 @@ def _separate(lines: DataFrame, config: Config, least: int) -> DataFrame:
     return taken.unionByName(clusters)
 
 
-def _trained(lines: DataFrame, config: Config, share: int, rounds: int, alone: int) -> DataFrame:
-    """Assignments, and each cluster once, of (event_id, at, text) rows; written, so that mining is done once."""
+_CLUSTER = ["n_tokens", "route", "local"]
+
+
+def _range_of(place):
+    """Rows that are numbered by partition have the partition in the upper bits."""
+    return F.shiftright(place, 33)
+
+
+def _repeated(lines: DataFrame, config: Config, share: int, ranges: int) -> tuple[DataFrame, DataFrame] | None:
+    """What lines of few texts give, as ``_trained`` does; nothing where a cluster is forgotten or too many ranges have a change.
+
+    As long as no cluster is made, changed or forgotten, a text that changed nothing
+    goes where it went before. So it is enough to mine ranges of time with a change
+    whole, and of each other the first line of each text, if that shows no change in
+    another range; else that range is taken whole, too, and so on.
+    """
+    texts = written(lines.select("text").distinct().withColumn("code", F.monotonically_increasing_id()), "drain-texts")
+    coded = lines.join(F.broadcast(texts), "text").select("event_id", "at", "code")
+    in_order = coded.repartitionByRange(ranges, "at", "event_id").sortWithinPartitions("at", "event_id")
+    placed = written(in_order.select("event_id", "code", F.monotonically_increasing_id().alias("place")).withColumn("range", _range_of("place")), "drain-places")
+    firsts = written(placed.groupBy("range", "code").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("lines")), "drain-firsts")
+    # New texts come in the first range for certain.
+    whole = {0}
+    for _ in range(PASSES):
+        taken_whole = F.col("range").isin(sorted(whole))
+        kept = placed.filter(taken_whole).select("place", "code").unionByName(firsts.filter(~taken_whole).select("place", "code"))
+        kept = written(kept.join(F.broadcast(texts), "code").select(F.col("place").alias("event_id"), F.col("place").alias("at"), "text"), "drain-kept")
+        # As few lines as are left are dealt by their token counts alone.
+        by_count = kept.withColumns({"n": F.size(F.split("text", " ")), "route": F.lit("")})
+        out = _mined(by_count if kept.count() <= ALONE else _routed(kept, config, share), config)
+        if not out.filter("event_id is null and until is not null").isEmpty():
+            return None
+        changed = {r[0] for r in out.filter("event_id is not null and template is not null").select(_range_of("event_id")).distinct().collect()}
+        if changed <= whole:
+            break
+        whole |= changed
+        if 2 * len(whole) > ranges:
+            return None
+    else:
+        return None
+    mined = out.filter("event_id is not null").withColumnRenamed("event_id", "place").withColumn("range", _range_of("place"))
+    names = placed.filter(taken_whole).select(F.col("place").alias("first_event"), F.col("event_id").alias("first_event_"))
+    nothing = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    # Files of numbered lines are small beside what they hold, so that Spark would rather broadcast lines than what they are joined to.
+    moved = lambda df: df.hint("merge")
+    # Each text's cluster in a range without a change, and each cluster's lines in a range and before it.
+    where = firsts.filter(~taken_whole).join(moved(mined.select("place", *_CLUSTER, "template_id_at_train")), "place").drop("place")
+    where = written(where, "drain-where")
+    parts = mined.filter(taken_whole).select("range", *_CLUSTER, F.lit(1).cast("long").alias("lines")).unionByName(where.select("range", *_CLUSTER, "lines"))
+    earlier = Window.partitionBy(*_CLUSTER).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.groupBy("range", *_CLUSTER).agg(F.sum("lines").alias("lines"))
+    parts = written(parts.withColumn("before", F.coalesce(F.sum("lines").over(earlier), F.lit(0))), "drain-parts")
+    before = parts.drop("lines")
+    own = mined.filter(taken_whole).select("place", "range", *_CLUSTER, "template_id_at_train", "template", "first_event").join(moved(names), "first_event", "left")
+    own = own.join(before, ["range", *_CLUSTER]).withColumn("first_event", F.when(F.col("template").isNotNull(), F.col("first_event_"))).drop("first_event_", "range")
+    own = placed.filter(taken_whole).select("event_id", "place", "range").join(moved(written(own, "drain-own-lines")), "place")
+    hint = F.broadcast if where.count() <= BROADCAST_ROWS else moved
+    same = placed.filter(~taken_whole).join(hint(where.join(before, ["range", *_CLUSTER]).drop("lines")), ["range", "code"]).select(
+        "event_id", "place", "range", *_CLUSTER, "template_id_at_train", "before", nothing("string", "template"), nothing("long", "first_event")
+    )
+    size = F.col("before") + F.row_number().over(Window.partitionBy("range", *_CLUSTER).orderBy("place"))
+    assigned = own.unionByName(same).withColumn("size", size)
+    assigned = assigned.select("event_id", *_CLUSTER, "template_id_at_train", "size", "template", "first_event", nothing("long", "until"), nothing("boolean", "full"))
+    sizes = parts.groupBy(*_CLUSTER).agg(F.sum("lines").alias("size"))
+    clusters = out.filter("event_id is null").select(*_CLUSTER, "template", "first_event").join(sizes, _CLUSTER).join(moved(names), "first_event")
+    clusters = clusters.select(
+        nothing("long", "event_id"), *_CLUSTER, nothing("string", "template_id_at_train"), "size", "template", F.col("first_event_").alias("first_event"), nothing("long", "until"), nothing("boolean", "full")
+    )
+    return assigned, written(clusters, "drain-clusters")
+
+
+def _trained(lines: DataFrame, config: Config, share: int, rounds: int, alone: int) -> tuple[DataFrame, DataFrame]:
+    """Assignments, and each cluster once, of (event_id, at, text) rows; what is mined is written, so that it is done once."""
     ship(lines.sparkSession)
-    few, texts = lines.agg(F.count(F.lit(1)) <= alone, F.approx_count_distinct("text")).first()
+    count, texts = lines.agg(F.count(F.lit(1)), F.approx_count_distinct("text")).first()
+    fits = not config.max_clusters or texts <= config.max_clusters
+    if fits and texts <= TEXTS and count > min(alone, MANY):
+        found = _repeated(lines, config, share, max(lines.sparkSession.sparkContext.defaultParallelism, -(-count // RANGE)))
+        if found:
+            return found
+    out = _all_trained(lines, config, share, rounds, count <= alone, texts)
+    return out.filter("event_id is not null"), out.filter("event_id is null")
+
+
+def _all_trained(lines: DataFrame, config: Config, share: int, rounds: int, few: bool, texts: int) -> DataFrame:
+    """Each line is mined."""
     together = lines.withColumns({"n": F.lit(0), "route": F.lit("")})
     # So many texts are likely to make too many clusters; if they don't, results are the same.
     if config.max_clusters and few and texts > config.max_clusters:
@@ -697,7 +788,7 @@ def _trained(lines: DataFrame, config: Config, share: int, rounds: int, alone: i
 
 
 def _texts(df: DataFrame, config: Config, template_col: str) -> DataFrame:
-    text = F.array_join(tokens(F.coalesce(F.col(template_col), F.lit("")), config.max_tokens), " ").alias("text")
+    text = spaced(F.coalesce(F.col(template_col), F.lit("")), config.max_tokens).alias("text")
     return written(df.select("event_id", F.col("received_at").alias("at"), text), "drain-lines")
 
 
@@ -709,10 +800,10 @@ def versions(df: DataFrame, config: Config = Config(), *, template_col: str = "t
     it stayed. Rows and order are as ``assign`` has them; event ids must differ.
     """
     rows = _texts(df, config, template_col)
-    out = _trained(rows, config, share, rounds, alone)
+    taken, found = _trained(rows, config, share, rounds, alone)
     places = rows.select("event_id", F.struct("at", "event_id").alias("since"))
-    made = out.filter("event_id is not null and template is not null").select("event_id", "first_event", "template").join(places, "event_id")
-    gone = out.filter("event_id is null and until is not null").select("first_event", F.col("until").alias("event_id"))
+    made = taken.filter("template is not null").select("event_id", "first_event", "template").join(places, "event_id")
+    gone = found.filter("until is not null").select("first_event", F.col("until").alias("event_id"))
     gone = gone.join(places.withColumnRenamed("since", "gone"), "event_id").select("first_event", "gone")
     until = F.coalesce(F.lead("since").over(Window.partitionBy("first_event").orderBy("since")), F.col("gone"))
     return made.join(gone, "first_event", "left").select("first_event", "template", template_id(F.col("template")).alias("template_id"), "since", until.alias("until"))
@@ -733,14 +824,14 @@ def assign(df: DataFrame, config: Config = Config(), *, mode: str = "exact", tem
     if mode == "distinct":
         first = rows.groupBy("text").agg(F.min(F.struct("at", "event_id")).alias("f"), F.count(F.lit(1)).alias("n"))
         first = written(first, "drain-distinct")
-        out = _trained(first.select("f.event_id", "f.at", "text"), config, share, rounds, alone)
+        lines, found = _trained(first.select("f.event_id", "f.at", "text"), config, share, rounds, alone)
     elif mode == "exact":
-        out = _trained(rows, config, share, rounds, alone)
+        lines, found = _trained(rows, config, share, rounds, alone)
     else:
         raise ValueError(mode)
-    place = ["n_tokens", "route", "local"]
-    found = out.filter("event_id is null").select(*place, "template", "size", "first_event")
-    lines = out.filter("event_id is not null").drop("template", "first_event", "until", "full")
+    place = _CLUSTER
+    found = found.select(*place, "template", "size", "first_event")
+    lines = lines.drop("template", "first_event", "until", "full")
     if mode == "distinct":
         trained = lines.join(first.select(F.col("f.event_id").alias("event_id"), "text", "n"), "event_id")
         sizes = trained.groupBy(*place).agg(F.sum("n").alias("size"))
