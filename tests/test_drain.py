@@ -170,6 +170,19 @@ def test_few_texts_are_mined_by_ranges(spark, config, whole, monkeypatch):
         assert had == made
 
 
+def test_no_task_takes_a_common_cluster(spark):
+    """Lines are joined to their clusters without a move by cluster, and without a sort of one route's lines."""
+    lines = ["alpha was found"] * 500
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, -1)
+    try:
+        plan = assign(frame(spark, lines), alone=0)[0].select("event_id", "template_id_final")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(threshold, before)
+    assert "hashpartitioning(n_tokens" not in plan and "Window" not in plan
+
+
 def test_spaced(spark):
     odd = ["", " ", "a b", " a", "a ", "a  b", "a\tb", "a\u00a0b", "\u3000", "é b", "a\nb\x0bc\fd\re", "a\x1cb", "x " * 300, "y" * 300, "b " * 128 + "c", "a " * 3 + "b", "\u2028a"]
     df = spark.createDataFrame([(t,) for t in odd], "t string")

@@ -842,7 +842,9 @@ def assign(df: DataFrame, config: Config = Config(), *, mode: str = "exact", tem
         "n_tokens", "size", "first_event", "route", "local",
     )
     names = clusters.select(*place, "seq", F.col("template_id").alias("template_id_final"))
-    assignments = lines.join(names, place).select("event_id", "seq", "template_id_at_train", "size", "template_id_final")
+    # A cluster may have most lines, which one task would take by a join that moves them.
+    hint = F.broadcast if found.count() <= BROADCAST_ROWS else (lambda x: x)
+    assignments = lines.join(hint(names), place).select("event_id", "seq", "template_id_at_train", "size", "template_id_final")
     return assignments, clusters.drop("route", "local")
 
 
