@@ -396,3 +396,48 @@ def test_known_texts_are_taken_at_once():
                 got.append((c.seq, c.size, c.id))
                 k += 1
         assert got == want and list(one.table) == list(many.table)
+
+
+@pytest.mark.parametrize("config", [Config(max_clusters=30), Config(max_clusters=60, max_leaf=3, max_children=4), Config(max_clusters=25, similarity=0.6), Config(max_clusters=20, similarity=0.0), Config(max_clusters=40, depth=3)])
+def test_texts_like_no_other_pass_a_full_table_as_keys(spark, config, monkeypatch):
+    """One table's lines have their text only where another text may be alike; each line and cluster is as one miner has it."""
+    rng = random.Random(31)
+    word = lambda: rng.choice("bcdfg") + rng.choice("aeiou") + rng.choice("lmnpr") + rng.choice("aeiou")
+    lines = []
+    for _ in range(900):
+        kind, n = rng.random(), rng.choice([0, 1, 2, 7, 12, 12, 23])
+        if kind < 0.25 and lines:
+            lines.append(rng.choice(lines[-80:]))
+        elif kind < 0.4:
+            lines.append(" ".join(["one", "of", rng.choice("xy"), "many", "jobs", "has", "been", "done", "by", rng.choice("pqrs"), "for", rng.choice(["all", "<*>"])]))
+        else:
+            lines.append(" ".join(rng.choice([word(), "7", "alpha"]) if k < 2 else word() for k in range(n)))
+    given, mine = [], drain._mined
+    monkeypatch.setattr(drain, "_mined", lambda rows, *a: given.extend(rows.collect()) or mine(rows, *a))
+    df = spark.createDataFrame([(k, k // 3, t) for k, t in enumerate(lines)], "event_id long, received_at long, template string").repartition(3)
+    m, want, ended, made = Miner(config), {}, [], set()
+    for k, t in enumerate(lines):
+        c = m.train(t.split(" ") if t else [], k)
+        want[k] = c, c.size, c.id
+        if c.changed == k:
+            made.add((c.first, " ".join(c.tokens), k))
+        ended += [(c.first, " ".join(c.tokens), c.size, len(c.tokens), k) for c in m.forgotten]
+        m.forgotten.clear()
+    ended += [(c.first, " ".join(c.tokens), c.size, len(c.tokens), None) for c in m.table.values()]
+    out, clusters = assign(df, config)
+    found = clusters.collect()
+    assert sorted((r.first_event, r.template, r["size"], r.n_tokens) for r in found) == sorted(e[:4] for e in ended)
+    assert [r.first_event for r in sorted(found, key=lambda r: r.seq)] == sorted(e[0] for e in ended)
+    by_seq = {r.seq: r.first_event for r in found}
+    assert {r.event_id: (by_seq[r.seq], r["size"], r.template_id_at_train, r.template_id_final) for r in out.collect()} == {k: (c.first, size, id_, c.id) for k, (c, size, id_) in want.items()}
+    texts = [r.text for r in given if r.text is not None]
+    assert len(given) == len(lines) and (len(texts) < len(lines) / 2 or config.similarity < 0.9)
+    gone = {r.first_event: r.until.event_id if r.until else None for r in drain.versions(df, config).orderBy("since").collect()}
+    assert {(r.first_event, r.template, r.since.event_id) for r in drain.versions(df, config).collect()} == made
+    assert gone == {e[0]: e[4] for e in ended}
+
+
+def test_many_clusters_are_numbered_by_ranges(spark, monkeypatch):
+    monkeypatch.setattr(drain, "BROADCAST_ROWS", 10)
+    found = spark.createDataFrame([(k * 37 % 101, k % 5) for k in range(101)], "first_event long, n_tokens int").repartition(3)
+    assert sorted((r.seq, r.first_event) for r in drain._numbered(found).collect()) == [(k + 1, k) for k in range(101)]

@@ -15,9 +15,12 @@ use over all token counts, which ``_bounded`` finds by turns: lines are mined un
 schedule of what is forgotten when, and the schedule is told from what was mined, until
 it stays. A schedule that stays is what one table would have forgotten, since what
 happens at a line hangs on earlier lines alone. Of the lines, only new clusters, and
-uses over ``max_clusters`` lines after the last one, can matter to it. Where only equal
-lines are alike and no node can fill up, a table holds the texts used last, and lines
-are dealt by time instead (``_separate``).
+uses over ``max_clusters`` lines after the last one, can matter to it. Up to ``ALONE``
+lines one task follows the table instead (``_together``). What a text is like is looked
+for before that, by all tasks; a text that is like no other, as most are, goes through
+the table as a key and the tokens that route it. Where only equal lines are alike and no
+node can fill up, a table holds the texts used last, and lines are dealt by time
+(``_separate``).
 
 Where many lines are of few texts, hardly any line changes anything. Then ranges of time
 with a change are mined whole, and of the others the first line of each text; the rest
@@ -37,6 +40,7 @@ from collections import OrderedDict
 from collections.abc import Iterator, MutableMapping
 from dataclasses import dataclass, field
 from fractions import Fraction
+from functools import lru_cache
 from operator import eq
 
 import numpy as np
@@ -51,9 +55,11 @@ _DIGIT = re.compile(r"[0-9]")
 #: Lines of a node from which on they are dealt by its tokens; rows of a routing table that is broadcast.
 SHARE = 20_000
 BROADCAST_ROWS = 200_000
-#: Rounds of mining under a schedule before one task takes all lines, as it does at once with few lines and too many clusters.
+#: Rounds of mining under a schedule before one task takes all lines, as it does at once up to so many lines that make too many clusters.
 ROUNDS = 12
-ALONE = 1_000_000
+ALONE = 100_000_000
+#: Up to so many lines that are left are dealt by their token counts alone.
+LEFT = 1_000_000
 #: Members of a leaf that are compared one by one; texts whose cluster is remembered; unknown lines of a batch after which all are taken one by one.
 FEW = 4
 REMEMBERED = 100_000
@@ -87,6 +93,7 @@ class Config:
             raise ValueError("no children")
 
 
+@lru_cache(100_000)
 def numeric(token: str) -> bool:
     """Whether a token has a character of a number category."""
     if token.isascii():
@@ -105,7 +112,7 @@ class Node:
     index: dict[tuple, set[int]] | None = None
 
 
-@dataclass
+@dataclass(slots=True)
 class Cluster:
     seq: int
     tokens: list[str]
@@ -119,6 +126,9 @@ class Cluster:
     params: int = 0
     #: Whether it was forgotten for a full leaf, not for the table.
     full: bool = False
+    #: Of a text that is like no other: its key and its number of tokens, of which ``tokens`` has those that route.
+    key: bytes | None = None
+    n: int = 0
 
     def rename(self, param: str) -> None:
         self.params = self.tokens.count(param)
@@ -142,6 +152,8 @@ class Miner:
         self.exact: dict[str, Cluster] = {}
         #: Clusters of texts that changed nothing since anything last changed.
         self.same: dict[str, Cluster] = {}
+        #: Clusters of texts that are like no other, by key.
+        self.lone: dict[bytes, list[Cluster]] = {}
 
     def reserve(self, n: int, path: list[str], children: int) -> None:
         """Keep the place of so many children of a node, whose lines are mined elsewhere."""
@@ -155,13 +167,18 @@ class Miner:
         """How many tokens route a line of n tokens."""
         return max(0, min(self.config.depth - 3, n - 1))
 
-    def find(self, words: list[str]) -> Cluster | None:
-        n = len(words)
+    def _leaf(self, n: int, words: list[str]) -> Node | None:
+        """Where a line of n tokens looks for its cluster."""
         node = self.root.children.get(str(n))
         for word in words[: self._levels(n)]:
             if node is None:
                 return None
             node = node.children.get(word) or node.children.get(self.config.param)
+        return node
+
+    def find(self, words: list[str]) -> Cluster | None:
+        n = len(words)
+        node = self._leaf(n, words)
         if node is None:
             return None
         best, most, wild = None, -1, -1
@@ -220,45 +237,91 @@ class Miner:
             node = children[key] = Node()
         return node
 
-    def _insert(self, cluster: Cluster) -> None:
-        words = cluster.tokens
-        path = [str(len(words))]
+    def _place(self, cluster: Cluster, n: int) -> Node:
+        """The leaf for a new cluster of n tokens."""
+        path = [str(n)]
         node = self._child(self.root.children, path[0])
         param, most = self.config.param, self.config.max_children
-        for word in words[: self._levels(len(words))]:
+        for word in cluster.tokens[: self._levels(n)]:
             kids = node.children
-            room = len(kids) + (param not in kids) < most
-            key = word if word in kids or (room and not numeric(word)) else param
-            path.append(key)
-            node = self._child(kids, key)
-        node.members.append(cluster.seq)
+            child = kids.get(word)
+            if child is None:
+                if len(kids) + (param not in kids) >= most or numeric(word):
+                    word = param
+                child = self._child(kids, word)
+            path.append(word)
+            node = child
         node.used[cluster.seq] = None
+        cluster.path, cluster.leaf = tuple(path), node
+        self.same.clear()
+        return node
+
+    def _insert(self, cluster: Cluster) -> None:
+        words = cluster.tokens
+        node = self._place(cluster, len(words))
+        node.members.append(cluster.seq)
         if node.index is not None:
             for part in self._parts(words):
                 node.index.setdefault(part, set()).add(cluster.seq)
-        cluster.path, cluster.leaf = tuple(path), node
-        self.same.clear()
-        if not cluster.params and param not in path:
+        if not cluster.params and self.config.param not in cluster.path:
             self.exact[" ".join(words)] = cluster
-        if self.config.max_leaf and len(node.members) > self.config.max_leaf:
+        self._bound(node)
+
+    def _bound(self, node: Node) -> None:
+        """After a cluster came to a leaf."""
+        if self.config.max_leaf and len(node.used) > self.config.max_leaf:
             self.forget(next(iter(node.used)), full=True)
 
     def forget(self, seq: int, full: bool = False) -> None:
         cluster = self.table.pop(seq)
-        self._changed(cluster)
-        self._unlist(cluster, self._parts(cluster.tokens))
+        if cluster.key is None:
+            self._changed(cluster)
+            self._unlist(cluster, self._parts(cluster.tokens))
+            cluster.leaf.members.remove(seq)
+        else:
+            self.same.clear()
+            self._unkey(cluster)
         cluster.full = full
         self.forgotten.append(cluster)
+        del cluster.leaf.used[seq]
+        if cluster.leaf.used or cluster.leaf.children:
+            return
         nodes = [self.root]
         for key in cluster.path:
             nodes.append(nodes[-1].children[key])
-        nodes[-1].members.remove(seq)
-        del nodes[-1].used[seq]
         for key, parent, node in zip(reversed(cluster.path), reversed(nodes[:-1]), reversed(nodes[1:]), strict=True):
-            if node.members or node.children:
+            if node.used or node.children:
                 break
             del parent.children[key]
 
+    def _unkey(self, cluster: Cluster) -> None:
+        own = self.lone[cluster.key]
+        own.remove(cluster)
+        if not own:
+            del self.lone[cluster.key]
+
+    def take_lone(self, key: bytes, n: int, words: list[str], line: int = 0) -> Cluster:
+        """``train`` for a text of n tokens that only equal texts are like: by its key and the tokens that route it."""
+        own = self.lone.get(key)
+        if own:
+            leaf = self._leaf(n, words)
+            for cluster in own:
+                if cluster.leaf is leaf:
+                    cluster.size += 1
+                    self._use(cluster)
+                    return cluster
+        cluster = Cluster(self.next, words, line, changed=line, key=key, n=n)
+        self.next += 1
+        self.table[cluster.seq] = cluster
+        if own:
+            own.append(cluster)
+        else:
+            self.lone[key] = [cluster]
+        self._bound(self._place(cluster, n))
+        if self.config.max_clusters and len(self.table) > self.config.max_clusters:
+            self.forget(next(iter(self.table)))
+        return cluster
+
     def known(self, text: str) -> Cluster | None:
         """The cluster that a text goes to without a change, if that is known."""
         return self.exact.get(text) or self.same.get(text)
@@ -331,6 +394,9 @@ class Miner:
 _FIELDS = "event_id long, n_tokens int, route string, local long, template_id_at_train string, size long, template string, first_event long, until long, full boolean"
 
 
+_FOLLOWED = "row long, event_id long, n_tokens int, local long, key binary, template_id_at_train string, size long, template string, first_row long, first_event long, until long, full boolean"
+
+
 def _trainer(config: Config):
     names = [f.split()[0] for f in _FIELDS.split(", ")]
     types = [pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.bool_()]
@@ -430,6 +496,59 @@ def _trainer(config: Config):
     return run
 
 
+def _follower(config: Config):
+    """Mines all lines in order, from (row, event_id, text, key, n, by) rows; a line with a key has no text, and the tokens that route it.
+
+    What has a key comes out without a template and an id, which are those of the text of its line.
+    """
+    names, types = [f.split()[0] for f in _FOLLOWED.split(", ")], [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+    def mined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        miner, rows, line = Miner(config), [], 0
+        # The row and the event of the first line of each cluster in the table.
+        first: dict[int, tuple[int, int]] = {}
+
+        def ended(c: Cluster, event: int | None) -> tuple:
+            row, made = first.pop(c.seq)
+            lone = c.key is not None
+            return (None, None, c.n if lone else len(c.tokens), c.seq, c.key, None, c.size, None if lone else " ".join(c.tokens), row, made, event, c.full)
+
+        for b in batches:
+            # What is null has no number.
+            for row, event, text, key, n, by in zip(*(c.fill_null(0).to_numpy(zero_copy_only=False).tolist() if pa.types.is_integer(c.type) else c.to_numpy(zero_copy_only=False) for c in b.columns), strict=True):
+                line += 1
+                if key is None:
+                    c = miner.take(text, line)
+                    made = first.setdefault(c.seq, (row, event))
+                    rows.append((row, event, len(c.tokens), c.seq, None, c.id, c.size, " ".join(c.tokens) if c.changed == line else None, made[0], made[1], None, None))
+                else:
+                    c = miner.take_lone(key, n, by.split(" ") if by else [], line)
+                    made = first.setdefault(c.seq, (row, event))
+                    rows.append((row, event, n, c.seq, key, None, c.size, None, made[0], made[1], None, None))
+                if miner.forgotten:
+                    rows.extend(ended(c, event) for c in miner.forgotten)
+                    miner.forgotten.clear()
+            if len(rows) >= 5_000:
+                yield batch(rows)
+                rows.clear()
+        rows.extend(ended(c, None) for c in miner.table.values())
+        if rows:
+            yield batch(rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # As in ``_trainer``.
+        gc.disable()
+        try:
+            yield from mined(batches)
+        finally:
+            gc.enable()
+
+    return run
+
+
 def _levels(lines: DataFrame, config: Config, share: int) -> list[tuple[DataFrame, DataFrame]]:
     """For each level, its nodes of over ``share`` lines (n, path, own), and the tokens there whose lines are alone (n, path, token).
 
@@ -471,7 +590,13 @@ def _routed(lines: DataFrame, config: Config, share: int) -> DataFrame:
 
 
 def _mined(routed: DataFrame, config: Config, schedule: DataFrame | None = None) -> DataFrame:
-    """Lines by (n, route) in order; ``schedule`` (n, event_id, victim) names clusters by first event, forgotten once that line has been taken."""
+    """Lines by (n, route) in order; ``schedule`` (n, event_id, victim) names clusters by first event, forgotten once that line has been taken.
+
+    Lines of which some have a key for their text, as ``_keyed`` gives them, are one table's.
+    """
+    if "key" in routed.columns:
+        dealt = routed.repartition(1).sortWithinPartitions("at", "event_id")
+        return written(dealt.select("row", "event_id", "text", "key", "n", "by").mapInArrow(_follower(config), _FOLLOWED), "drain")
     rows = routed.select("event_id", "at", "text", "n", "route", F.lit(None).cast("long").alias("victim"))
     if schedule is not None:
         rows = rows.unionByName(schedule.withColumns({"at": F.col("event_id"), "text": F.lit(""), "route": F.lit("")}))
@@ -489,6 +614,54 @@ def _ranked(lines: DataFrame) -> DataFrame:
     return written(ranges.withColumn("within", within).join(F.broadcast(before), "range").withColumn("place", F.col("before") + F.col("within")).drop("range", "before", "within"), "drain-places")
 
 
+def _alike_parts(words, config: Config):
+    """A text's tokens cut in one part more than may differ, each as a number: texts that are alike have one of them in common. None where a text is to be compared with all."""
+    share = Fraction(str(config.similarity))
+    n = F.size(words)
+    count = (n * (share.denominator - share.numerator) / share.denominator).cast("decimal(20,9)")
+    count = F.floor(count).cast("int") + 1
+    cut = lambda k: F.floor(n.cast("long") * k / count).cast("int")
+    part = lambda k: F.xxhash64(n, k, F.slice(words, cut(k) + 1, cut(k + 1) - cut(k)))
+    return F.when((count <= n) & ~F.array_contains(words, config.param), F.transform(F.sequence(F.lit(0), count - 1), part))
+
+
+def _keyed(lines: DataFrame, config: Config) -> DataFrame:
+    """(row, event_id, at, text, key, n, by) of lines: texts that no other can be alike to are a key, a count and the tokens that route them, all others a text.
+
+    A cluster's template has no tokens but those of the line that made it, so that a line
+    that joins it is as much like that line's text. Two numbers tell texts apart here,
+    and of equal parts which are not of different texts only some are compared for nothing.
+    """
+    words, empty = F.col("words"), F.col("text") == ""
+    n = F.when(empty, F.lit(0)).otherwise(F.size(words))
+    by = F.when(empty, F.lit("")).otherwise(F.array_join(F.slice(words, F.lit(1), F.least(F.lit(max(0, config.depth - 3)), F.size(words) - 1)), " "))
+    cut = lines.withColumn("words", F.split("text", " ")).select("row", "event_id", "at", F.unhex(F.sha2("text", 256)).alias("key"), n.alias("n"), by.alias("by"), _alike_parts(words, config).alias("parts"), F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b"))
+    cut = written(cut, "drain-cut")
+    each = cut.select("row", "a", "b", F.explode("parts").alias("part"))
+    two = each.groupBy("part").agg(*(f(c).alias(f"{f.__name__}_{c}") for c in "ab" for f in (F.min, F.max))).filter("min_a <> max_a OR min_b <> max_b")
+    shared = written(two.select("part"), "drain-shared")
+    rich = each.join(shared, "part", "left_semi").select("row").distinct().unionByName(cut.filter("parts is null").select("row"))
+    rich = written(rich, "drain-rich")
+    nothing = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    whole = lines.join(rich, "row", "left_semi").select("row", "event_id", "at", "text", nothing("binary", "key"), nothing("int", "n"), nothing("string", "by"))
+    return whole.unionByName(cut.join(rich, "row", "left_anti").select("row", "event_id", "at", nothing("string", "text"), "key", "n", "by"))
+
+
+def _together(lines: DataFrame, config: Config, templates: bool) -> tuple[DataFrame, DataFrame]:
+    """One table's lines in order, in one task, which takes most of them as a key; ``templates``: also those of lines that made a cluster."""
+    out = _mined(_keyed(lines, config), config)
+    texts = lines.select(F.col("row").alias("first_row"), F.col("text").alias("own"))
+    filled = F.coalesce("template", "own")
+    found = out.filter("row is null").join(texts, "first_row").withColumn("template", filled)
+    taken = out.filter("row is not null").withColumn("template_id_at_train", F.coalesce("template_id_at_train", F.concat(F.lit("t_"), F.lower(F.hex("key")))))
+    if templates:
+        own = F.when(F.col("key").isNotNull() & (F.col("row") == F.col("first_row")), F.col("own"))
+        taken = taken.join(texts, "first_row").withColumn("template", F.coalesce("template", own))
+    made = F.when(F.col("template").isNotNull(), F.col("first_event"))
+    columns = lambda df, first: df.select("event_id", "n_tokens", F.lit("").alias("route"), "local", "template_id_at_train", "size", "template", first.alias("first_event"), "until", "full")
+    return columns(taken, made), written(columns(found, F.col("first_event")), "drain-clusters")
+
+
 #: What happens to the table at a line, in this order; a cluster of a line then begins to be idle.
 _USED, _MADE, _LEFT, _IDLE = range(4)
 
@@ -718,7 +891,7 @@ def _repeated(lines: DataFrame, config: Config, share: int, ranges: int) -> tupl
         kept = written(kept.join(F.broadcast(texts), "code").select(F.col("place").alias("event_id"), F.col("place").alias("at"), "text"), "drain-kept")
         # As few lines as are left are dealt by their token counts alone.
         by_count = kept.withColumns({"n": F.size(F.split("text", " ")), "route": F.lit("")})
-        out = _mined(by_count if kept.count() <= ALONE else _routed(kept, config, share), config)
+        out = _mined(by_count if kept.count() <= LEFT else _routed(kept, config, share), config)
         if not out.filter("event_id is null and until is not null").isEmpty():
             return None
         changed = {r[0] for r in out.filter("event_id is not null and template is not null").select(_range_of("event_id")).distinct().collect()}
@@ -760,8 +933,8 @@ def _repeated(lines: DataFrame, config: Config, share: int, ranges: int) -> tupl
     return assigned, written(clusters, "drain-clusters")
 
 
-def _trained(lines: DataFrame, config: Config, share: int, rounds: int, alone: int) -> tuple[DataFrame, DataFrame]:
-    """Assignments, and each cluster once, of (event_id, at, text) rows; what is mined is written, so that it is done once."""
+def _trained(lines: DataFrame, config: Config, share: int, rounds: int, alone: int, templates: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Assignments, and each cluster once, of (event_id, at, text, row) rows, of which ``row`` is a number of its own; what is mined is written, so that it is done once. ``templates``: lines that made a cluster have its template for certain."""
     ship(lines.sparkSession)
     count, texts = lines.agg(F.count(F.lit(1)), F.approx_count_distinct("text")).first()
     fits = not config.max_clusters or texts <= config.max_clusters
@@ -769,27 +942,38 @@ def _trained(lines: DataFrame, config: Config, share: int, rounds: int, alone: i
         found = _repeated(lines, config, share, max(lines.sparkSession.sparkContext.defaultParallelism, -(-count // RANGE)))
         if found:
             return found
-    out = _all_trained(lines, config, share, rounds, count <= alone, texts)
+    few, out = count <= alone, None
+    if config.max_clusters and texts > config.max_clusters:
+        if count > min(alone, BLOCK) and _apart(lines, config):
+            out = written(_separate(lines, config, BLOCK), "drain-separate")
+        elif few:
+            # So many texts are likely to make too many clusters; if they don't, results are the same.
+            return _together(lines, config, templates)
+    if out is None:
+        out = _mined(_routed(lines, config, share), config)
+        if config.max_clusters and out.filter("event_id is null").count() > config.max_clusters:
+            if few:
+                return _together(lines, config, templates)
+            out = _bounded(lines, config, share, rounds)
     return out.filter("event_id is not null"), out.filter("event_id is null")
 
 
-def _all_trained(lines: DataFrame, config: Config, share: int, rounds: int, few: bool, texts: int) -> DataFrame:
-    """Each line is mined."""
-    together = lines.withColumns({"n": F.lit(0), "route": F.lit("")})
-    # So many texts are likely to make too many clusters; if they don't, results are the same.
-    if config.max_clusters and few and texts > config.max_clusters:
-        return _mined(together, config)
-    if config.max_clusters and texts > config.max_clusters and _apart(lines, config):
-        return written(_separate(lines, config, BLOCK), "drain-separate")
-    out = _mined(_routed(lines, config, share), config)
-    if config.max_clusters and out.filter("event_id is null").count() > config.max_clusters:
-        return _mined(together, config) if few else _bounded(lines, config, share, rounds)
-    return out
-
-
 def _texts(df: DataFrame, config: Config, template_col: str) -> DataFrame:
     text = spaced(F.coalesce(F.col(template_col), F.lit("")), config.max_tokens).alias("text")
-    return written(df.select("event_id", F.col("received_at").alias("at"), text), "drain-lines")
+    return written(df.select("event_id", F.col("received_at").alias("at"), text, F.monotonically_increasing_id().alias("row")), "drain-lines")
+
+
+def _numbered(found: DataFrame) -> DataFrame:
+    """Adds ``seq`` from 1 in order of first event; many clusters are counted within ranges, which are then added up."""
+    if found.count() <= BROADCAST_ROWS:
+        return found.withColumn("seq", F.row_number().over(Window.orderBy("first_event", "n_tokens")).cast("long"))
+    placed = found.repartitionByRange("first_event", "n_tokens").sortWithinPartitions("first_event", "n_tokens")
+    placed = written(placed.withColumn("place", F.monotonically_increasing_id()), "drain-numbered").withColumn("range", _range_of("place"))
+    # As many rows as there are ranges.
+    sizes = placed.groupBy("range").agg(F.count(F.lit(1)).alias("clusters"))
+    before = sizes.select("range", (F.sum("clusters").over(Window.orderBy("range")) - F.col("clusters")).alias("before"))
+    seq = F.col("before") + F.col("place") - F.shiftleft(F.col("range"), 33) + 1
+    return placed.join(F.broadcast(before), "range").withColumn("seq", seq).drop("range", "place", "before")
 
 
 def versions(df: DataFrame, config: Config = Config(), *, template_col: str = "template", share: int = SHARE, rounds: int = ROUNDS, alone: int = ALONE) -> DataFrame:
@@ -800,7 +984,7 @@ def versions(df: DataFrame, config: Config = Config(), *, template_col: str = "t
     it stayed. Rows and order are as ``assign`` has them; event ids must differ.
     """
     rows = _texts(df, config, template_col)
-    taken, found = _trained(rows, config, share, rounds, alone)
+    taken, found = _trained(rows, config, share, rounds, alone, templates=True)
     places = rows.select("event_id", F.struct("at", "event_id").alias("since"))
     made = taken.filter("template is not null").select("event_id", "first_event", "template").join(places, "event_id")
     gone = found.filter("until is not null").select("first_event", F.col("until").alias("event_id"))
@@ -823,8 +1007,8 @@ def assign(df: DataFrame, config: Config = Config(), *, mode: str = "exact", tem
     rows = _texts(df, config, template_col)
     if mode == "distinct":
         first = rows.groupBy("text").agg(F.min(F.struct("at", "event_id")).alias("f"), F.count(F.lit(1)).alias("n"))
-        first = written(first, "drain-distinct")
-        lines, found = _trained(first.select("f.event_id", "f.at", "text"), config, share, rounds, alone)
+        first = written(first.withColumn("row", F.monotonically_increasing_id()), "drain-distinct")
+        lines, found = _trained(first.select("f.event_id", "f.at", "text", "row"), config, share, rounds, alone)
     elif mode == "exact":
         lines, found = _trained(rows, config, share, rounds, alone)
     else:
@@ -837,8 +1021,8 @@ def assign(df: DataFrame, config: Config = Config(), *, mode: str = "exact", tem
         sizes = trained.groupBy(*place).agg(F.sum("n").alias("size"))
         found = found.drop("size").join(sizes, place)
         lines = rows.select("event_id", "text").join(trained.drop("event_id"), "text").drop("text", "n")
-    clusters = found.select(
-        F.row_number().over(Window.orderBy("first_event", "n_tokens")).cast("long").alias("seq"), "template", template_id(F.col("template")).alias("template_id"),
+    clusters = _numbered(found).select(
+        "seq", "template", template_id(F.col("template")).alias("template_id"),
         "n_tokens", "size", "first_event", "route", "local",
     )
     names = clusters.select(*place, "seq", F.col("template_id").alias("template_id_final"))
