@@ -441,3 +441,20 @@ def test_many_clusters_are_numbered_by_ranges(spark, monkeypatch):
     monkeypatch.setattr(drain, "BROADCAST_ROWS", 10)
     found = spark.createDataFrame([(k * 37 % 101, k % 5) for k in range(101)], "first_event long, n_tokens int").repartition(3)
     assert sorted((r.seq, r.first_event) for r in drain._numbered(found).collect()) == [(k + 1, k) for k in range(101)]
+
+
+def test_lines_are_mined_whole(spark):
+    """What comes after many tokens tells clusters apart and is a place of its own, also in a full table and in proposals."""
+    head = " ".join(["job", "alpha"] + ["w" + "abcdefghij"[k % 10] for k in range(140)])
+    tails = [" ".join(f"{c}{c}{'abcdefghij'[k % 10]}" for k in range(60)) for c in "xyz"]
+    lines = [f"{head} {tails[k % 3]} {'pqr'[k % 2]}" for k in range(30)]
+    want = Counter((f"{head} {t} <*>", 10) for t in tails)
+    for config in (Config(), Config(max_clusters=3), Config(max_clusters=2)):
+        m = plain_mined(lines, config)
+        found = assign(frame(spark, lines), config)[1].collect()
+        assert Counter(r["size"] for r in found) == Counter(c.size for c in {id(c): c for c in m.values()}.values()) and {r.n_tokens for r in found} == {203}
+        assert config.max_clusters == 2 or Counter((r.template, r["size"]) for r in found) == want
+    assert {r.n_tokens for r in assign(frame(spark, lines), Config(max_tokens=128))[1].collect()} == {128}
+    rows = synth.candidates(frame(spark, lines), masked=True).collect()
+    assert {(r.position, r.occurrences, tuple(r.examples)) for r in rows} == {(202, 10, ("p", "q")), (202, 10, ("q", "p"))}
+    assert frame(spark, ["a b  c"]).select(F.size(tokens(F.col("template"), 0)).alias("n"), spaced(F.col("template"), 0).alias("s")).first() == (3, "a b c")

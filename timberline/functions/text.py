@@ -10,19 +10,22 @@ EXCERPT_BYTES = 160
 
 
 def tokens(line: Column, most: int = MOST_TOKENS) -> Column:
-    """The first ``most`` tokens between white space in the Unicode sense."""
-    return F.slice(F.filter(F.split(line, r"[\s\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"), lambda t: t != ""), 1, most)
+    """The first ``most`` tokens between white space in the Unicode sense; 0 is all of them."""
+    every = F.filter(F.split(line, r"[\s\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"), lambda t: t != "")
+    return F.slice(every, 1, most) if most else every
 
 
 def spaced(line: Column, most: int = MOST_TOKENS) -> Column:
-    """The first ``most`` tokens with a space between them; a short line in ASCII that has them so is taken as it is."""
+    """The first ``most`` tokens (0: all) with a space between them; a line in ASCII that has them so, and no more, is taken as it is."""
     # Without a pattern, which takes longer than what comes of it.
     plain = F.octet_length(line) == F.length(line)
     for space in ("\t", "\n", "\x0b", "\f", "\r", "  "):
         plain &= ~F.contains(line, F.lit(space))
     plain &= ~F.startswith(line, F.lit(" ")) & ~F.endswith(line, F.lit(" "))
     # Tokens and the spaces between them are one less than twice as many characters at least.
-    return F.when(plain & (F.length(line) <= 2 * most), line).otherwise(F.array_join(tokens(line, most), " "))
+    if most:
+        plain &= F.length(line) <= 2 * most
+    return F.when(plain, line).otherwise(F.array_join(tokens(line, most), " "))
 
 
 def template_id(template: Column) -> Column:

@@ -75,14 +75,14 @@ PASSES = 4
 
 @dataclass(frozen=True)
 class Config:
-    """``max_clusters`` holds over all token counts; 0 is no bound."""
+    """``max_clusters`` holds over all token counts; 0 is no bound. Lines are taken whole, unless ``max_tokens`` cuts them."""
 
     similarity: float = 0.90
     depth: int = 8
     max_children: int = 100
     max_clusters: int = 65_536
     param: str = "<*>"
-    max_tokens: int = 128
+    max_tokens: int = 0
     referral_floor: float = 0.65
     max_leaf: int = 128
 
@@ -367,7 +367,7 @@ class Miner:
         return clusters, at, sizes
 
     def train(self, words: list[str], line: int = 0) -> Cluster:
-        words = words[: self.config.max_tokens]
+        words = words[: self.config.max_tokens or None]
         cluster = self.find(words)
         if cluster:
             param = self.config.param
