@@ -458,3 +458,16 @@ def test_lines_are_mined_whole(spark):
     rows = synth.candidates(frame(spark, lines), masked=True).collect()
     assert {(r.position, r.occurrences, tuple(r.examples)) for r in rows} == {(202, 10, ("p", "q")), (202, 10, ("q", "p"))}
     assert frame(spark, ["a b  c"]).select(F.size(tokens(F.col("template"), 0)).alias("n"), spaced(F.col("template"), 0).alias("s")).first() == (3, "a b c")
+
+
+def test_proposals_move_the_texts_of_open_places_alone(spark, monkeypatch):
+    """In a full table most lines are mined as keys; lines of clusters with an open place are written before their texts are joined."""
+    word = lambda k: "".join(chr(97 + int(d)) for d in str(k))
+    lines = [f"{word(k)} stands alone among all of the others" if k % 4 else f"job state one two three four five six seven {word(k % 24)} end" for k in range(400)]
+    given, stored, mine, write = [], {}, drain._mined, synth.written
+    monkeypatch.setattr(drain, "_mined", lambda rows, *a: given.extend(rows.collect()) or mine(rows, *a))
+    monkeypatch.setattr(synth, "written", lambda df, name: stored.setdefault(name, write(df, name)))
+    found = synth.candidates(frame(spark, lines).withColumnRenamed("template", "raw"), config=Config(max_clusters=50)).collect()
+    assert [(r.occurrences, r.position, r.examples) for r in found] == [(100, 9, [word(k) for k in (0, 4, 8, 12, 16)])]
+    assert len(given) == 400 and sum(r.text is not None for r in given) == 100
+    assert stored["synth-open"].count() == 100

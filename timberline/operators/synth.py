@@ -28,9 +28,10 @@ def candidates(lines: DataFrame, bundle: Bundle = DEFAULT, *, least: int = LEAST
     rows = written(lines.select("event_id", "received_at", masks.alias("template")), "synth-lines")
     assigned, clusters = assign(rows, config)
     wide = clusters.filter(F.col("size") >= least).select("seq", "size", "template", F.posexplode(F.split("template", " ")).alias("position", "t"), F.split("template", " ").alias("ct")).filter(F.col("t") == config.param)
-    # Few lines are of clusters with an open place.
-    open_ = assigned.select("event_id", "seq").join(wide.select("seq").distinct(), "seq", "left_semi")
-    values = open_.join(rows.select("event_id", "received_at", tokens(F.col("template"), config.max_tokens).alias("lt")), "event_id")
+    # Few lines are of clusters with an open place; they are written, so that it is known how few, and only their texts are moved and cut.
+    wide = written(wide, "synth-wide")
+    open_ = written(assigned.select("event_id", "seq").join(wide.select("seq").distinct(), "seq", "left_semi"), "synth-open")
+    values = open_.join(rows, "event_id").select("seq", "event_id", "received_at", tokens(F.col("template"), config.max_tokens).alias("lt"))
     at = wide.join(values, "seq").withColumn("value", F.get("lt", F.col("position"))).filter(F.col("value").isNotNull() & ~F.col("value").rlike("^<VAR:.*>$"))
     first = at.groupBy("seq", "position", "value").agg(F.min(F.struct("received_at", "event_id")).alias("seen"))
     ranked = first.withColumn("r", F.row_number().over(Window.partitionBy("seq", "position").orderBy("seen"))).filter(F.col("r") <= MOST_EXAMPLES)
