@@ -471,3 +471,23 @@ def test_proposals_move_the_texts_of_open_places_alone(spark, monkeypatch):
     assert [(r.occurrences, r.position, r.examples) for r in found] == [(100, 9, [word(k) for k in (0, 4, 8, 12, 16)])]
     assert len(given) == 400 and sum(r.text is not None for r in given) == 100
     assert stored["synth-open"].count() == 100
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_lists_of_copies_are_not_moved_with_pairs(spark, monkeypatch, few):
+    """What is dealt out has the names of lists; where lists are too many to be sent to all, the pairs are the same."""
+    monkeypatch.setattr(neighbours, "COPIES", 3)
+    if not few:
+        monkeypatch.setattr(neighbours, "BROADCAST_MEMBERS", 0)
+    texts = {k: ("a b c d e f", "a b c d e g", "x y z", "")[k % 4].split() for k in range(60)}
+    rows = spark.createDataFrame(list(texts.items()), "seq long, tokens array<string>")
+    score = {frozenset((0,)): 1.0, frozenset((1,)): 1.0, frozenset((2,)): 1.0, frozenset((0, 1)): 5 / 7}
+    want = sorted((a, b, s) for a in texts for b in texts if a < b and (s := score.get(frozenset((a % 4, b % 4)))))
+    found = neighbours.neighbours(rows)
+    assert sorted(tuple(r) for r in found.collect()) == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    join, dealt = (next(k for k, x in enumerate(plan) if what in x) for what in ("Join", "Repartition"))
+    assert (join < dealt) == few
+    some = {(r.seq_a, r.seq_b) for r in neighbours.neighbours(rows, only=rows.filter("seq < 4")).collect()}
+    assert some == {(a, b) for p in want for a, b in (p[:2], p[1::-1]) if a < 4}
+    assert neighbours.neighbours(rows.filter("seq < 0")).count() == 0
